@@ -168,12 +168,12 @@ def nearest(
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = queries.select(
-        key, "query_id", unit.alias("vec"), block("query_id", blocks_q).alias("_q")
+        F.col(key).alias(key), "query_id", unit.alias("vec"), block("query_id", blocks_q).alias("_q")
     ).withColumn("_s", all_blocks(blocks_s))
     items = space if offset is None else space.join(offset, [key, "item_id"])
     weight = F.lit(1.0) if offset is None else F.col("denominator")
     right = items.select(
-        key, "item_id", unit.alias("vec"), weight.alias("weight"), block("item_id", blocks_s).alias("_s")
+        F.col(key).alias(key), "item_id", unit.alias("vec"), weight.alias("weight"), block("item_id", blocks_s).alias("_s")
     ).withColumn("_q", all_blocks(blocks_q))
 
     def best(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -226,10 +226,10 @@ def softmax_denominators(
     blocks_s = _blocks(space.count() if n_space is None else n_space)
     unit = l2_normalise(F.col("vec").cast("array<double>")).alias("vec")
     left = samples.select(
-        key, unit, F.pmod(F.xxhash64("query_id"), F.lit(blocks_q)).cast("int").alias("_q")
+        F.col(key).alias(key), unit, F.pmod(F.xxhash64("query_id"), F.lit(blocks_q)).cast("int").alias("_q")
     ).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(blocks_s - 1))))
     right = space.select(
-        key, "item_id", unit, F.pmod(F.xxhash64("item_id"), F.lit(blocks_s)).cast("int").alias("_s")
+        F.col(key).alias(key), "item_id", unit, F.pmod(F.xxhash64("item_id"), F.lit(blocks_s)).cast("int").alias("_s")
     ).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))))
 
     def partial_sums(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:

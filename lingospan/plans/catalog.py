@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lingospan.plans import text_queries  # noqa: F401
+from lingospan.plans import file_queries, join_queries, text_queries, vector_queries  # noqa: F401
 from lingospan.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

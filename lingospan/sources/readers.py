@@ -256,8 +256,8 @@ def parse_perplexity_log(lines: DataFrame, keys: Sequence[str] = ()) -> DataFram
     rows = lines.filter(F.col("line").rlike(pattern)).select(
         *keys,
         "line_no",
-        F.regexp_extract("line", pattern, 1).cast("double").alias("likelihood"),
-        F.regexp_extract("line", pattern, 2).cast("double").alias("perplexity"),
+        F.regexp_extract("line", pattern, 1).try_cast("double").alias("likelihood"),
+        F.regexp_extract("line", pattern, 2).try_cast("double").alias("perplexity"),
     )
     return number_by_id(rows, keys, "line_no", out="iter").select(*keys, "iter", "likelihood", "perplexity")
 
