@@ -18,7 +18,6 @@ from pyspark.sql import Window as W
 
 from lingospan.functions.text import word_script_binary
 from lingospan.functions.vectors import drop_dims, l2_normalise
-from lingospan.operators.sequence import number_by_id
 
 BLOCK_ROWS = 4096
 

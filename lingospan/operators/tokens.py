@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from lingospan.functions import text as tx
 from lingospan.functions.vectors import let
@@ -27,7 +29,7 @@ def segment_with(
     documents: DataFrame, segmenter: Callable[[str], Sequence[str]], text_col: str = "text"
 ) -> DataFrame:
     """Hook for a caller's own segmenter (per-language libraries), Arrow batches per task."""
-    schema = documents.drop(text_col).schema.add("tokens", "array<string>")
+    schema = documents.drop(text_col).schema.add("tokens", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -188,8 +190,6 @@ def corpus_descriptive(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def class_index(labelled: DataFrame, class_col: str = "class") -> DataFrame:
     """0-based index of each class in sorted order (a handful of classes)."""
-    from pyspark.sql import Window as W
-
     classes = labelled.select(class_col).distinct()
     order = F.row_number().over(W.orderBy(class_col)) - 1
     return classes.withColumn("class_id", order.cast("long"))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from lingospan.plans import file_queries, join_queries, text_queries, topic_queries, vector_queries  # noqa: F401
-from lingospan.plans.registry import ORACLES, QUERIES
+from lingospan.plans.registry import BUILDERS, ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["BUILDERS", "ORACLES", "QUERIES"]

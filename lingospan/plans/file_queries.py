@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from lingospan.functions.text import letter_tokens
 from lingospan.operators import tokens
 from lingospan.operators.sequence import number_by_id
-from lingospan.plans.corpus import SOURCE, Corpus
+from lingospan.plans.corpus import SOURCE, Corpus, per_model
 from lingospan.plans.registry import query, six
 from lingospan.sources import readers, writers
 from lingospan.sources.lines import read_lines
@@ -101,18 +103,22 @@ def whole_file(c: Corpus, path: str) -> DataFrame:
     """Lines of an ordered folder of parts, numbered across the parts."""
     lines = read_lines(c.spark, path)
     sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
     before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return lines.join(offsets, "file").select((F.col("line_no") + F.col("start")).alias("line_no"), "line")
 
 
-@query("read_bidict", "SELECT seq * 4 + m AS seq, lower(tgt_word) AS src_word, src_word AS tgt_word FROM coded", views="""coded AS (
-  SELECT *, CASE model_id WHEN 'en-de' THEN 0 WHEN 'en-es' THEN 1 ELSE 2 END AS m FROM dict)""")
+@query(
+    "read_bidict",
+    r"""SELECT seq * 4 + m AS seq, CASE WHEN regexp_matches(tgt_word, '[^\x00-\x7F]') THEN tgt_word ELSE lower(tgt_word) END AS src_word,
+      CASE WHEN regexp_matches(src_word, '[^\x00-\x7F]') THEN 'X' ELSE 'x' END || src_word AS tgt_word
+    FROM (SELECT *, CASE model_id WHEN 'en-de' THEN 0 WHEN 'en-es' THEN 1 ELSE 2 END AS m FROM dict)""",
+)
 def read_bidict(c: Corpus):
+    """Lines ``source,target`` of all models with a capital before the source word."""
     number = F.when(F.col("model_id") == "en-de", 0).when(F.col("model_id") == "en-es", 1).otherwise(2)
-    lines = c.bidict.select((F.col("seq") * 4 + number).alias("line_no"), F.concat_ws(",", F.upper("src_word"), "tgt_word").alias("line"))
+    line = F.concat(F.lit("X"), F.col("src_word"), F.lit(","), F.col("tgt_word"))
+    lines = c.bidict.select((F.col("seq") * 4 + number).alias("line_no"), line.alias("line"))
     return readers.parse_bidict(lines, ",", reverse=True, lower_english=True)
 
 
@@ -196,8 +202,8 @@ def read_topics_mtm(c: Corpus):
 
 @query(
     "read_theta",
-    """SELECT doc_id AS lang_seq, substr(topic_id, 4)::BIGINT AS topic_id, round(theta, 6) + 0.0 AS weight
-    FROM theta WHERE round(theta, 6) > 0""",
+    """SELECT doc_id AS lang_seq, substr(topic_id, 4)::BIGINT AS topic_id, round(theta + 1e-9, 6) + 0.0 AS weight
+    FROM theta WHERE round(theta + 1e-9, 6) > 0""",
 )
 def read_theta(c: Corpus):
     parts = F.transform("theta", lambda x: x.cast("string"))
@@ -374,7 +380,7 @@ def topic_word_report(c: Corpus):
 
 @query(
     "doc_topic_report",
-    """SELECT pair_id * 2 + side_no AS doc_no, lang, array_to_string(toks, ', ') AS words, round(top, 6) + 0.0 AS top
+    """SELECT pair_id * 2 + side_no AS doc_no, lang, array_to_string(toks, ', ') AS words, round(top + 1e-9, 6) + 0.0 AS top
     FROM mdocs JOIN (SELECT doc_id, max(theta) AS top FROM theta GROUP BY doc_id) USING (doc_id)
     WHERE model_id = 'en-fr' AND pair_id * 2 + side_no < 1000""",
 )
@@ -402,8 +408,6 @@ def upsert_nlp_result(c: Corpus):
 )
 def process_available_documents(c: Corpus):
     """The documents as a stream, processed to the end, then read back."""
-    from lingospan.functions.text import letter_tokens
-
     text = F.col("text")
     stream = incremental.document_stream(c.spark, c.path, c.documents.schema, "documents.parquet")
     results = scratch_path(c.spark, "nlp-results")
@@ -419,13 +423,11 @@ def process_available_documents(c: Corpus):
 
 @query(
     "save_model_bundle",
-    """SELECT model_id, 'topic_words' AS part, count(*) AS n, round(sum(weight), 6) + 0.0 AS total FROM mtopic GROUP BY ALL
-    UNION ALL SELECT model_id, CASE side WHEN 'src' THEN 'source_theta' ELSE 'target_theta' END, count(*), round(sum(theta), 6) + 0.0
+    """SELECT model_id, 'topic_words' AS part, count(*) AS n, round(sum(weight) + 1e-9, 6) + 0.0 AS total FROM mtopic GROUP BY ALL
+    UNION ALL SELECT model_id, CASE side WHEN 'src' THEN 'source_theta' ELSE 'target_theta' END, count(*), round(sum(theta) + 1e-9, 6) + 0.0
     FROM theta JOIN models USING (lang) GROUP BY ALL""",
 )
 def save_model_bundle(c: Corpus):
-    from lingospan.plans.corpus import per_model
-
     path = scratch_path(c.spark, "bundle")
     theta = per_model(c.theta_cells)
     writers.save_model_bundle(

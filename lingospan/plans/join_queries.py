@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lingospan.operators import dictionaries, matching, metrics, tokens, topics
+from lingospan.functions.vectors import array_sum, dot, doubles
+from lingospan.operators import dictionaries, matching, metrics, topics
 from lingospan.operators.sequence import number_by_id
 from lingospan.plans.corpus import SOURCE, Corpus, per_model
 from lingospan.plans.registry import query, six
@@ -116,14 +118,12 @@ def words_not_in_pairs(c: Corpus):
 @query(
     "training_pair_vectors",
     """SELECT d.seq, d.model_id || ':' || src_word AS src_word,
-      round(list_sum(s.vec::DOUBLE[]), 6) + 0.0 AS sum_x, round(list_dot_product(s.vec::DOUBLE[], t.vec::DOUBLE[]), 6) + 0.0 AS xy
+      round(list_sum(s.vec::DOUBLE[]) + 1e-9, 6) + 0.0 AS sum_x, round(list_dot_product(s.vec::DOUBLE[], t.vec::DOUBLE[]) + 1e-9, 6) + 0.0 AS xy
     FROM dict d
     JOIN mvec s ON s.model_id = d.model_id AND s.side = 'src' AND s.word = d.src_word
     JOIN mvec t ON t.model_id = d.model_id AND t.side = 'tgt' AND t.word = d.tgt_word""",
 )
 def training_pair_vectors(c: Corpus):
-    from lingospan.functions.vectors import array_sum, dot, doubles
-
     pairs = matching.training_pair_vectors(keyed_bidict(c), per_side(c, "src"), per_side(c, "tgt"))
     return pairs.select(
         "seq", "src_word", six(array_sum(doubles(F.col("x")))).alias("sum_x"), six(dot(F.col("x"), F.col("y"))).alias("xy")
@@ -186,7 +186,7 @@ def lang_index(c: Corpus):
 
 @query(
     "attach_theta",
-    """SELECT nth.doc_id, pair_id AS lang_seq, topic_id, round(theta, 6) + 0.0 AS weight
+    """SELECT nth.doc_id, pair_id AS lang_seq, topic_id, round(theta + 1e-9, 6) + 0.0 AS weight
     FROM nth JOIN theta USING (doc_id) WHERE theta > 0""",
 )
 def attach_theta(c: Corpus):
@@ -213,7 +213,7 @@ def attach_theta_joint(c: Corpus):
 
 @query(
     "dict_pairs_in_topics",
-    """SELECT t.model_id, t.topic_id, round(count(s.word) / 50.0, 6) + 0.0 AS proportion
+    """SELECT t.model_id, t.topic_id, round(count(s.word) / 50.0 + 1e-9, 6) + 0.0 AS proportion
     FROM (SELECT DISTINCT model_id, topic_id FROM mtopic) t
     LEFT JOIN (SELECT a.model_id, a.topic_id, a.word FROM mtopic a
       JOIN dict d ON d.model_id = a.model_id AND d.src_word = a.word AND a.side = 'src'
@@ -254,7 +254,7 @@ def model_ranks(c: Corpus):
 
 @query(
     "dictionary_rank_coverage",
-    """SELECT model_id, count(*) AS n_pairs, round(avg(avg_rank) / any_value(n), 6) + 0.0 AS rank_coverage
+    """SELECT model_id, count(*) AS n_pairs, round(avg(avg_rank) / any_value(n) + 1e-9, 6) + 0.0 AS rank_coverage
     FROM matched JOIN larger USING (model_id) GROUP BY model_id""",
     views=RANKS_SQL,
 )
@@ -265,7 +265,7 @@ def dictionary_rank_coverage(c: Corpus):
 
 @query(
     "dictionary_rank_coverage_slice",
-    """SELECT model_id, count(*) AS n_pairs, round(avg(avg_rank) / any_value(n), 6) + 0.0 AS rank_coverage
+    """SELECT model_id, count(*) AS n_pairs, round(avg(avg_rank) / any_value(n) + 1e-9, 6) + 0.0 AS rank_coverage
     FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY seq) - 1 AS place FROM matched WHERE avg_rank < 2100)
     JOIN larger USING (model_id) WHERE place >= 800 AND place < 3800 GROUP BY model_id""",
     views=RANKS_SQL,
@@ -279,7 +279,7 @@ def dictionary_rank_coverage_slice(c: Corpus):
 
 @query(
     "dictionary_coverage",
-    """SELECT model_id, n_covered, n_words, round(n_covered / n_words, 6) + 0.0 AS coverage FROM (
+    """SELECT model_id, n_covered, n_words, round(n_covered / n_words + 1e-9, 6) + 0.0 AS coverage FROM (
       SELECT model_id, count(DISTINCT src_word) AS n_covered FROM dict
       WHERE (model_id, src_word) IN (SELECT model_id, word FROM mvec WHERE side = 'src')
         AND (model_id, tgt_word) IN (SELECT model_id, word FROM mvec WHERE side = 'tgt') GROUP BY model_id)
@@ -337,8 +337,6 @@ def split_topics_by_script(c: Corpus):
       FROM topic LEFT JOIN concepts USING (lang, word) WHERE lang IN ('en', 'fr'))""",
 )
 def split_concept_topics(c: Corpus):
-    from pyspark.sql import Window as W
-
     concepts = matching.dedupe_bidict(c.bidict.filter("model_id = 'en-fr'")).withColumn(
         "concept", F.concat(F.lit("#"), F.col("seq").cast("string"))
     )

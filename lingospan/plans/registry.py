@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lingospan.plans.corpus import PRELUDE, Corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BUILDERS: dict[str, Callable[[Corpus], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
@@ -19,6 +20,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
     def register(fn: Callable[[Corpus], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
+        BUILDERS[name] = fn
         QUERIES[name] = lambda spark, path: fn(Corpus(spark, path))
         if sql is not None:
             ORACLES[name] = PRELUDE.rstrip() + (f",\n{views.strip()}" if views else "") + "\n" + sql.strip()
@@ -28,6 +30,10 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
 
 def six(value: Column | str) -> Column:
-    """Six decimals without negative zero, the precision both engines agree on."""
+    """Six decimals without negative zero, the precision both engines agree on.
+
+    The small shift keeps values that lie exactly between two roundings, such as 1/64, from
+    falling to either side with the order of a sum.
+    """
     column = F.col(value) if isinstance(value, str) else value
-    return F.round(column, 6) + F.lit(0.0)
+    return F.round(column + F.lit(1e-9), 6) + F.lit(0.0)

@@ -213,7 +213,7 @@ CELLS = "unnest(v) AS x, (generate_subscripts(v, 1) - 1)::BIGINT AS dim"
 
 @query(
     "l2_normalise_vec",
-    f"""SELECT vec_id, dim, round(x, 6) + 0.0 AS x FROM (SELECT vec_id, {CELLS} FROM (
+    f"""SELECT vec_id, dim, round(x + 1e-9, 6) + 0.0 AS x FROM (SELECT vec_id, {CELLS} FROM (
       SELECT vec_id, list_transform(d, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM (
         SELECT vec_id, d, sqrt(list_sum(list_transform(d, lambda x: x * x))) AS n
         FROM (SELECT vec_id, embedding::DOUBLE[] AS d FROM embeddings))))""",
@@ -224,7 +224,7 @@ def l2_normalise_vec(c: Corpus):
 
 @query(
     "l1_normalise_theta",
-    f"""SELECT vec_id, dim, round(x, 6) + 0.0 AS x FROM (SELECT vec_id, {CELLS} FROM (
+    f"""SELECT vec_id, dim, round(x + 1e-9, 6) + 0.0 AS x FROM (SELECT vec_id, {CELLS} FROM (
       SELECT vec_id, list_transform(d, lambda x: x / CASE WHEN n = 0 THEN 2.220446049250313e-16 ELSE n END) AS v
       FROM (SELECT vec_id, d, list_sum(list_transform(d, lambda x: abs(x))) AS n
         FROM (SELECT vec_id, embedding::DOUBLE[] AS d FROM embeddings))))""",
@@ -236,7 +236,7 @@ def l1_normalise_theta(c: Corpus):
 @query(
     "cosine_similarity",
     """SELECT model_id, seq, round(list_dot_product(x, y)
-        / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 6) + 0.0 AS cosine
+        / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) + 1e-9, 6) + 0.0 AS cosine
     FROM (SELECT d.model_id, seq, s.vec::DOUBLE[] AS x, t.vec::DOUBLE[] AS y FROM dict d
       JOIN mvec s ON s.model_id = d.model_id AND s.side = 'src' AND s.word = src_word
       JOIN mvec t ON t.model_id = d.model_id AND t.side = 'tgt' AND t.word = tgt_word)""",
@@ -250,7 +250,7 @@ def cosine_similarity(c: Corpus):
 
 @query(
     "drop_vector_dims",
-    f"""SELECT vec_id, dim, round(x, 6) + 0.0 AS x FROM (SELECT vec_id, {CELLS} FROM (
+    f"""SELECT vec_id, dim, round(x + 1e-9, 6) + 0.0 AS x FROM (SELECT vec_id, {CELLS} FROM (
       SELECT vec_id, list(x ORDER BY i) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x,
         generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
       WHERE i NOT IN (0, 5, 17, 63) GROUP BY vec_id))""",
@@ -266,7 +266,7 @@ def drop_vector_dims(c: Corpus):
 
 @query(
     "corpus_descriptive",
-    """SELECT n.lang, n_docs, n_types, round(mean_tokens, 6) + 0.0 AS mean_tokens FROM (
+    """SELECT n.lang, n_docs, n_types, round(mean_tokens + 1e-9, 6) + 0.0 AS mean_tokens FROM (
       SELECT lang, count(*) AS n_docs, avg(greatest(len(toks), 1)) AS mean_tokens FROM docs GROUP BY lang) n
     JOIN (SELECT lang, count(DISTINCT word) AS n_types FROM (
       SELECT lang, unnest(CASE WHEN len(toks) = 0 THEN [''] ELSE toks END) AS word FROM docs) GROUP BY lang) t
@@ -315,7 +315,7 @@ def class_index(c: Corpus):
 
 @query(
     "mean_and_pop_stddev",
-    """SELECT lang, source, round(avg(len(toks)), 6) + 0.0 AS mean, round(stddev_pop(len(toks)), 6) + 0.0 AS stddev
+    """SELECT lang, source, round(avg(len(toks)) + 1e-9, 6) + 0.0 AS mean, round(stddev_pop(len(toks)) + 1e-9, 6) + 0.0 AS stddev
     FROM docs GROUP BY ALL""",
 )
 def mean_and_pop_stddev(c: Corpus):

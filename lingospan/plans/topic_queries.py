@@ -49,7 +49,7 @@ def lda_joint_concept(c: Corpus):
 
 @query(
     "topic_centroids",
-    """SELECT topic_id, lang, i - 1 AS dim, round(avg(x), 6) + 0.0 AS x FROM (
+    """SELECT topic_id, lang, i - 1 AS dim, round(avg(x) + 1e-9, 6) + 0.0 AS x FROM (
       SELECT topic_id, lang, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) AS i
       FROM topic JOIN vec USING (lang, word) WHERE rank <= 10) GROUP BY ALL""",
 )
@@ -90,7 +90,7 @@ def merge_topic_words(c: Corpus):
 
 @query(
     "merge_theta",
-    f"SELECT model_id, side, doc_id, cluster_id, round(w, 6) + 0.0 AS weight FROM (SELECT model_id, side, doc_id, {MAP_SQL}, sum(theta) AS w FROM theta JOIN models USING (lang) GROUP BY ALL)",
+    f"SELECT model_id, side, doc_id, cluster_id, round(w + 1e-9, 6) + 0.0 AS weight FROM (SELECT model_id, side, doc_id, {MAP_SQL}, sum(theta) AS w FROM theta JOIN models USING (lang) GROUP BY ALL)",
 )
 def merge_theta(c: Corpus):
     merged = topics.merge_theta(per_model(c.theta_cells), given_map(c))
@@ -145,7 +145,7 @@ def align_topics_by_rho(c: Corpus):
 
 @query(
     "map_theta_by_rho",
-    """SELECT r.model_id, doc_id, src_topic, round(sum(w * theta), 6) + 0.0 AS weight FROM rho r
+    """SELECT r.model_id, doc_id, src_topic, round(sum(w * theta) + 1e-9, 6) + 0.0 AS weight FROM rho r
     JOIN (SELECT 'en-' || lang AS model_id, doc_id, substr(topic_id, 4)::INTEGER AS tgt_topic, theta FROM theta WHERE lang <> 'en') t
     USING (model_id, tgt_topic) GROUP BY ALL""",
     views=RHO_SQL.replace("AS w FROM", "AS w FROM"),
@@ -195,7 +195,7 @@ REF_NPMI = "ln(((n + 1e-12::DOUBLE) / n_docs) / ((df_src / n_docs) * (df_tgt / n
 
 
 def coherence_sql(score: str, name: str) -> str:
-    return f"""SELECT model_id, k, round(avg(s), 6) + 0.0 AS {name} FROM (
+    return f"""SELECT model_id, k, round(avg(s) + 1e-9, 6) + 0.0 AS {name} FROM (
       SELECT model_id, k, topic_id, avg({score}) AS s FROM kcell GROUP BY ALL) GROUP BY ALL"""
 
 
@@ -243,8 +243,8 @@ rcover AS (SELECT model_id, k, avg(src / k) AS coverage_src, avg(tgt / k) AS cov
 
 @query(
     "coherence_npmi_reference",
-    f"""SELECT model_id, k, round(npmi, 6) + 0.0 AS npmi, round(npmi_std, 6) + 0.0 AS npmi_std,
-      round(coverage_src, 6) + 0.0 AS coverage_src, round(coverage_tgt, 6) + 0.0 AS coverage_tgt
+    f"""SELECT model_id, k, round(npmi + 1e-9, 6) + 0.0 AS npmi, round(npmi_std + 1e-9, 6) + 0.0 AS npmi_std,
+      round(coverage_src + 1e-9, 6) + 0.0 AS coverage_src, round(coverage_tgt + 1e-9, 6) + 0.0 AS coverage_tgt
     FROM rcover JOIN (SELECT model_id, k, avg({REF_NPMI}) AS npmi, stddev_pop({REF_NPMI}) AS npmi_std
       FROM rcell, rk WHERE i <= k AND j <= k GROUP BY ALL) USING (model_id, k)""",
     views=REFERENCE_SQL,
@@ -266,7 +266,7 @@ def coherence_npmi_reference(c: Corpus):
 
 @query(
     "crosslingual_proportion",
-    r"""SELECT model_id, round(1 - count(*) FILTER (share <= 1 - 0.7::DOUBLE OR share >= 0.7::DOUBLE) / count(*), 6) + 0.0 AS crosslingual_share
+    r"""SELECT model_id, round(1 - count(*) FILTER (share <= 1 - 0.7::DOUBLE OR share >= 0.7::DOUBLE) / count(*) + 1e-9, 6) + 0.0 AS crosslingual_share
     FROM (SELECT model_id, topic_id, count(*) FILTER (rank <= 100 AND NOT regexp_matches(word, '[^\x00-\x7F]')) / 100::DOUBLE AS share
       FROM mixed GROUP BY ALL) GROUP BY model_id""",
 )
@@ -290,8 +290,8 @@ def full_topics(c: Corpus) -> DataFrame:
 
 
 def diversity_sql(similarity: str) -> str:
-    return f"""SELECT model_id, k, round(1 - avg({similarity}), 6) + 0.0 AS diversity,
-      round(stddev_pop({similarity}), 6) + 0.0 AS diversity_std FROM two GROUP BY ALL"""
+    return f"""SELECT model_id, k, round(1 - avg({similarity}) + 1e-9, 6) + 0.0 AS diversity,
+      round(stddev_pop({similarity}) + 1e-9, 6) + 0.0 AS diversity_std FROM two GROUP BY ALL"""
 
 
 POSITIONAL = "len(list_filter(range(1, len(wa) + 1), lambda i: wa[i] = wb[i])) / len(wa)"
@@ -315,7 +315,7 @@ def topic_diversity_jaccard(c: Corpus):
 
 @query(
     "unique_word_proportion",
-    """SELECT model_id, side, k, round(fewest / k, 6) + 0.0 AS unique_share FROM (
+    """SELECT model_id, side, k, round(fewest / k + 1e-9, 6) + 0.0 AS unique_share FROM (
       SELECT model_id, side, k, min(len(wa) - len(list_intersect(wa, wb))) AS fewest FROM two GROUP BY ALL)""",
     views=LISTS_SQL,
 )
@@ -353,7 +353,7 @@ def model_theta(c: Corpus) -> DataFrame:
 
 @query(
     "theta_jsd",
-    "SELECT model_id, round(1 - avg(d), 6) + 0.0 AS similarity, round(stddev_pop(d), 6) + 0.0 AS jsd_std FROM jsd GROUP BY model_id",
+    "SELECT model_id, round(1 - avg(d) + 1e-9, 6) + 0.0 AS similarity, round(stddev_pop(d) + 1e-9, 6) + 0.0 AS jsd_std FROM jsd GROUP BY model_id",
     views=JSD_SQL,
 )
 def theta_jsd(c: Corpus):
@@ -363,7 +363,7 @@ def theta_jsd(c: Corpus):
 
 @query(
     "theta_jsd_skip_first",
-    "SELECT model_id, round(1 - avg(d), 6) + 0.0 AS similarity, round(stddev_pop(d), 6) + 0.0 AS jsd_std FROM jsd WHERE pair_id > 0 GROUP BY model_id",
+    "SELECT model_id, round(1 - avg(d) + 1e-9, 6) + 0.0 AS similarity, round(stddev_pop(d) + 1e-9, 6) + 0.0 AS jsd_std FROM jsd WHERE pair_id > 0 GROUP BY model_id",
     views=JSD_SQL,
 )
 def theta_jsd_skip_first(c: Corpus):
@@ -382,7 +382,7 @@ def feature_split(c: Corpus):
 
 @query(
     "accuracy_report",
-    """SELECT tgt_lang, round(avg(hit) FILTER (part = 'dev'), 6) + 0.0 AS dev_acc, round(avg(hit) FILTER (part = 'test'), 6) + 0.0 AS test_acc
+    """SELECT tgt_lang, round(avg(hit) FILTER (part = 'dev') + 1e-9, 6) + 0.0 AS dev_acc, round(avg(hit) FILTER (part = 'test') + 1e-9, 6) + 0.0 AS test_acc
     FROM (SELECT m.lang AS tgt_lang, CASE WHEN s.lang = 'en' THEN data_type ELSE 'test' END AS part,
       CASE WHEN class = doc_id % 2 THEN 1.0::DOUBLE ELSE 0.0 END AS hit FROM split s, (SELECT unnest(['de', 'es', 'fr']) AS lang) m
       WHERE (s.lang = 'en' AND data_type IN ('train', 'dev')) OR (s.lang = m.lang AND data_type = 'test')) GROUP BY tgt_lang""",

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lingospan.functions.vectors import l2_normalise
 from lingospan.operators import dictionaries, embedding, matching
-from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus
+from lingospan.plans.corpus import LANGUAGES, SOURCE, Corpus
 from lingospan.plans.registry import query, six
 from lingospan.storage import store
 
@@ -36,8 +36,8 @@ def vector_sums(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.size("vec").alias("width"), six(plain).alias("total"), six(weighted).alias("weighted"))
 
 
-SUMS = """len(v)::INTEGER AS width, round(list_sum(v), 6) + 0.0 AS total,
-  round(list_dot_product(v, list_transform(range(1, len(v) + 1), lambda i: i::DOUBLE)), 6) + 0.0 AS weighted"""
+SUMS = """len(v)::INTEGER AS width, round(list_sum(v) + 1e-9, 6) + 0.0 AS total,
+  round(list_dot_product(v, list_transform(range(1, len(v) + 1), lambda i: i::DOUBLE)) + 1e-9, 6) + 0.0 AS weighted"""
 
 
 @query("train_word2vec")
@@ -53,7 +53,7 @@ def train_word2vec(c: Corpus):
 
 @query(
     "gram_cells",
-    """SELECT i, j, round(sum(s.x * t.x), 6) + 0.0 AS xx, round(sum(s.x * t.y), 6) + 0.0 AS xy FROM
+    """SELECT i, j, round(sum(s.x * t.x) + 1e-9, 6) + 0.0 AS xx, round(sum(s.x * t.y) + 1e-9, 6) + 0.0 AS xy FROM
       (SELECT id, unnest(x) AS x, (generate_subscripts(x, 1) - 1)::INTEGER AS i FROM pairs) s
       JOIN (SELECT id, unnest(x) AS x, unnest(y) AS y, (generate_subscripts(x, 1) - 1)::INTEGER AS j FROM pairs) t USING (id)
     GROUP BY i, j""",
@@ -129,7 +129,7 @@ scores AS (SELECT a.model_id, a.id AS query_id, b.id AS item_id, b.side AS item_
 
 @query(
     "nearest_words",
-    """SELECT model_id, query_id, item_id, round(s, 6) + 0.0 AS score, n::INTEGER AS rank FROM (SELECT *,
+    """SELECT model_id, query_id, item_id, round(s + 1e-9, 6) + 0.0 AS score, n::INTEGER AS rank FROM (SELECT *,
       row_number() OVER (PARTITION BY model_id, query_id ORDER BY s DESC, item_id) AS n FROM scores) WHERE n <= 10""",
     views=COS_SQL,
 )
@@ -163,8 +163,6 @@ sums AS (SELECT s.model_id, item_id, sum(exp(10 * list_dot_product(a.v, b.v))) A
 
 def softmax_samples(c: Corpus) -> DataFrame:
     """50 source vectors per model, a seeded sample."""
-    from pyspark.sql import Window as W
-
     digest = dictionaries.seeded_digest(3, F.col("query_id"))
     rank = F.row_number().over(W.partitionBy("model_id").orderBy(digest))
     return as_queries(side(c, "src")).withColumn("n", rank).filter("n <= 50").drop("n")
@@ -172,7 +170,7 @@ def softmax_samples(c: Corpus) -> DataFrame:
 
 @query(
     "softmax_denominators",
-    "SELECT model_id, item_id, round(denominator, 6) + 0.0 AS denominator FROM sums",
+    "SELECT model_id, item_id, round(denominator + 1e-9, 6) + 0.0 AS denominator FROM sums",
     views=SOFT_SQL,
 )
 def softmax_denominators(c: Corpus):
@@ -182,7 +180,7 @@ def softmax_denominators(c: Corpus):
 
 @query(
     "translate_inverted_softmax",
-    """SELECT model_id, query_id, item_id, round(q, 6) + 0.0 AS score FROM (SELECT *,
+    """SELECT model_id, query_id, item_id, round(q + 1e-9, 6) + 0.0 AS score FROM (SELECT *,
       row_number() OVER (PARTITION BY model_id, query_id ORDER BY round(q, 12) DESC, item_id) AS n
       FROM (SELECT *, exp(10 * s) / denominator AS q FROM scores JOIN sums USING (model_id, item_id))) WHERE n = 1""",
     views=SOFT_SQL,
@@ -210,7 +208,7 @@ hits AS (SELECT t.model_id, src_word, n.rank, contains(substr(n.item_id, 4), tgt
 
 
 def precision_sql(hit: str) -> str:
-    cuts = ", ".join(f"round(avg(p{k}), 6) + 0.0 AS p_at_{k}" for k in (1, 5, 10, 30))
+    cuts = ", ".join(f"round(avg(p{k}) + 1e-9, 6) + 0.0 AS p_at_{k}" for k in (1, 5, 10, 30))
     sums = ", ".join(f"count(*) FILTER ({hit} AND rank <= {k}) AS p{k}" for k in (1, 5, 10, 30))
     return f"""SELECT model_id, count(*) AS n_pairs, {cuts} FROM (
       SELECT model_id, src_word, {sums} FROM hits GROUP BY ALL) GROUP BY model_id"""

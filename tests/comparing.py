@@ -41,7 +41,6 @@ def difference(spark_df, con, sql: str) -> str | None:
     a = sorted(map(repr, ours[names].itertuples(index=False, name=None)))
     b = sorted(map(repr, theirs[names].itertuples(index=False, name=None)))
     if a != b:
-        only = [x for x in a if x not in set(b)][:3]
-        other = [x for x in b if x not in set(a)][:3]
+        only, other = sorted(set(a) - set(b))[:3], sorted(set(b) - set(a))[:3]
         return f"values differ: {only} against {other}"
     return None
