@@ -21,9 +21,10 @@ SENTENCE_ENDS = ";；！!？?。"
 # Fixed value: stands for a sentence in which the tokeniser found nothing.
 EMPTY_SENTENCE_WORD = "there_is_no_word"
 
+# Characters Python counts as white space.
 UNICODE_SPACE = (
-    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 LETTER_RUN = r"\p{L}+"
 WORD_OF_TWO = r"[\p{L}\p{N}_]{2,}"
@@ -32,8 +33,33 @@ HAN = r"[\x{4e00}-\x{9fff}]"
 
 
 def char_class(chars: str) -> str:
-    """Regex class body matching exactly ``chars`` in both Java and RE2 syntax."""
-    return "".join(rf"\x{{{ord(c):x}}}" for c in dict.fromkeys(chars))
+    """Regex class body matching exactly ``chars`` in both Java and RE2 syntax.
+
+    Single characters below U+0100 share one bit set in Java, so they stay apart; higher
+    ones are joined to ranges.
+    """
+    points = sorted({ord(c) for c in chars})
+    parts = [rf"\x{{{p:x}}}" for p in points if p < 256]
+    high = [p for p in points if p >= 256]
+    while high:
+        n = 1
+        while n < len(high) and high[n] == high[0] + n:
+            n += 1
+        parts.append(rf"\x{{{high[0]:x}}}" + (rf"-\x{{{high[n - 1]:x}}}" if n > 1 else ""))
+        high = high[n:]
+    return "".join(parts)
+
+
+def delete_chars(text: Column, chars: str, extra_class: str = "") -> Column:
+    """Remove ``chars`` and members of ``extra_class``, which names no character below U+0100.
+
+    One pass looks at the bit set only. The other tests the range first, so that Latin text
+    never walks through the list of high characters.
+    """
+    low = "".join(c for c in chars if ord(c) < 256)
+    high = "".join(c for c in chars if ord(c) >= 256)
+    text = F.regexp_replace(text, f"[{char_class(low)}]+", "")
+    return F.regexp_replace(text, rf"[\x{{100}}-\x{{10ffff}}&&[{char_class(high)}{extra_class}]]+", "")
 
 
 def strip_html(text: Column) -> Column:
@@ -59,9 +85,10 @@ def segment_sentences(
         text = strip_html(text)
     text = F.regexp_replace(text, period_regex, "。")
     text = F.regexp_replace(text, comma_regex, "，")
-    text = F.regexp_replace(text, f"[{char_class(SPECIAL_SYMBOLS)}]+", "")
-    blanks = UNICODE_SPACE if keep_digits else UNICODE_SPACE + r"\p{Nd}"
-    text = F.regexp_replace(text, f"[{blanks}]+", "")
+    if keep_digits:
+        text = delete_chars(text, SPECIAL_SYMBOLS + UNICODE_SPACE)
+    else:
+        text = delete_chars(text, SPECIAL_SYMBOLS + UNICODE_SPACE + "0123456789", r"\p{Nd}")
     if script_map is not None:
         text = normalise_script(text, *script_map)
     parts = F.split(text, f"[{char_class(SENTENCE_ENDS)}]")

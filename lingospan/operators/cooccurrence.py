@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lingospan.operators.matching import spread
 from lingospan.storage import store
 
 MAX_CELLS = 8_000_000
@@ -38,17 +39,69 @@ class Block:
         return len(self.left) + 1, len(self.right) + 1
 
 
-def scored_documents(docs: DataFrame, scored: DataFrame, doc_key: str, match: Sequence[str]) -> DataFrame:
-    """``(model_id, doc_key, ids)``: the scored words of each document as distinct ids.
+class ScoredWords:
+    """The bounded list of words to score, numbered per model by ``match`` columns."""
+
+    def __init__(self, words: DataFrame, match: Sequence[str]):
+        self.match = tuple(match)
+        rows = words.select("model_id", *match).distinct().collect()
+        self.by_model: dict[str, list[tuple]] = {}
+        for row in sorted(tuple(r) for r in rows):
+            self.by_model.setdefault(row[0], []).append(row[1:])
+        self.ids = {(m, k): n for m, keys in self.by_model.items() for n, k in enumerate(keys)}
+
+    def id_of(self, row) -> int:
+        return self.ids[(row["model_id"], tuple(row[c] for c in self.match))]
+
+    def lookups(self) -> dict[tuple[str, str | None], tuple[list[str], list[int]]]:
+        """Words and ids per model and language; language None serves every language."""
+        found: dict[tuple[str, str | None], tuple[list[str], list[int]]] = {}
+        for model, keys in self.by_model.items():
+            for number, key in enumerate(keys):
+                named = dict(zip(self.match, key))
+                words, ids = found.setdefault((model, named.get("lang")), ([], []))
+                words.append(named["word"])
+                ids.append(number)
+        return found
+
+
+def scored_documents(docs: DataFrame, scored: ScoredWords, doc_key: str) -> DataFrame:
+    """``(model_id, doc_key, ids)``: the scored words each document contains.
 
     ``docs(model_id, doc_key, lang, tokens)`` may hold several rows per document (its sides).
+    The look-up runs over whole Arrow columns inside the task that made the tokens; only ids
+    are shuffled, one short array per row.
     """
-    terms = docs.select(
-        "model_id", doc_key, "lang", F.explode(F.array_distinct("tokens")).alias("word")
-    )
-    left, right = spread(terms, scored.select("model_id", *match, "word_id"), doc_key)
-    hits = left.join(right, ["model_id", *match, "_part"])
-    return hits.groupBy("model_id", doc_key).agg(F.collect_set("word_id").alias("ids"))
+    lookups = {k: (pa.array(w), np.array(i, dtype=np.int32)) for k, (w, i) in scored.lookups().items()}
+    with_lang = "lang" in scored.match
+    schema = docs.select("model_id", doc_key).schema.add("ids", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for (model, lang), (words, ids) in lookups.items():
+                chosen = pc.equal(table["model_id"], model)
+                if with_lang:
+                    chosen = pc.and_(chosen, pc.equal(table["lang"], lang))
+                part = table.filter(chosen).combine_chunks()
+                if part.num_rows == 0:
+                    continue
+                tokens = part["tokens"].chunk(0)
+                found = pc.index_in(tokens.flatten(), value_set=words)
+                rows = np.repeat(np.arange(part.num_rows), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                at = found.drop_null().to_numpy(zero_copy_only=False)
+                cells = np.unique(rows[known].astype(np.int64) * len(ids) + at)
+                sizes = np.bincount(cells // len(ids), minlength=part.num_rows)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                values = pa.array(ids[cells % len(ids)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part["model_id"].chunk(0), part[doc_key].chunk(0), pa.ListArray.from_arrays(offsets, values)],
+                    names=["model_id", doc_key, "ids"],
+                )
+
+    hits = docs.select("model_id", doc_key, "lang", "tokens").mapInArrow(run, schema)
+    return hits.groupBy("model_id", doc_key).agg(F.flatten(F.collect_list("ids")).alias("ids"))
 
 
 def block_counts(documents: DataFrame, blocks: Sequence[Block]) -> DataFrame:
@@ -102,7 +155,7 @@ def _products(blocks: Sequence[Block]):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for model, chosen in by_model.items():
-                ids = table.filter(pa.compute.equal(table["model_id"], model))["ids"].combine_chunks()
+                ids = table.filter(pc.equal(table["model_id"], model))["ids"].combine_chunks()
                 used = columns[model]
                 for start in range(0, len(ids), ROWS_PER_PRODUCT):
                     part = ids.slice(start, ROWS_PER_PRODUCT)
@@ -136,13 +189,6 @@ def _with_any(seen: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(seen), 1), dtype=np.float32), seen[:, columns]])
 
 
-def word_ids(words: DataFrame, match: Sequence[str]) -> DataFrame:
-    """Dense id per model for a bounded list of scored words."""
-    distinct = words.select("model_id", *match).distinct()
-    order = F.row_number().over(W.partitionBy("model_id").orderBy(*match)) - 1
-    return distinct.withColumn("word_id", order.cast("int"))
-
-
 def topic_pair_counts(
     docs: DataFrame,
     topic_words: DataFrame,
@@ -157,12 +203,11 @@ def topic_pair_counts(
     ``max_k`` rows, the only thing gathered on the driver.
     """
     top = topic_words.filter(F.col("rank") <= max_k)
-    ids = word_ids(top, match)
-    numbered = top.join(ids, ["model_id", *match])
+    scored = ScoredWords(top, match)
     lists: dict[tuple[str, str], dict[str, list[tuple[int, int]]]] = {}
-    for row in numbered.select("model_id", "topic_id", "side", "rank", "word_id").toLocalIterator():
+    for row in top.select("model_id", "topic_id", "side", "lang", "rank", "word").collect():
         sides = lists.setdefault((row.model_id, str(row.topic_id)), {"src": [], "tgt": []})
-        sides[row.side].append((row["rank"], row.word_id))
+        sides[row.side].append((row["rank"], scored.id_of(row)))
     blocks = [
         Block(
             model,
@@ -172,8 +217,7 @@ def topic_pair_counts(
         )
         for (model, topic), sides in sorted(lists.items())
     ]
-    documents = scored_documents(docs, ids, doc_key, match)
-    cells = block_counts(documents, blocks).withColumnRenamed("block_id", "topic_id")
+    cells = block_counts(scored_documents(docs, scored, doc_key), blocks).withColumnRenamed("block_id", "topic_id")
     row_of = W.partitionBy("model_id", "topic_id", "i")
     column_of = W.partitionBy("model_id", "topic_id", "j")
     return cells.withColumn("df_src", F.max(F.when(F.col("j") == 0, F.col("n"))).over(row_of)).withColumn(
@@ -183,26 +227,24 @@ def topic_pair_counts(
 
 def cooccurrence(
     docs: DataFrame,
-    scored: DataFrame,
+    words: DataFrame,
     doc_key: str = "pair_id",
     match: Sequence[str] = ("lang", "word"),
 ) -> DataFrame:
     """Symmetric counts between all scored words; the diagonal is the document frequency.
 
-    ``scored`` is the bounded list of words to score. The upper triangle is worked off in
+    ``words`` is the bounded list of words to score. The upper triangle is worked off in
     tiles; zero cells are not returned.
     """
-    ids = word_ids(scored, match)
-    widths = {r.model_id: r.n for r in ids.groupBy("model_id").agg(F.count("*").alias("n")).collect()}
+    scored = ScoredWords(words, match)
     blocks = []
-    for model, width in sorted(widths.items()):
-        for a in range(0, width, TILE):
-            for b in range(a, width, TILE):
-                left = tuple(range(a, min(a + TILE, width)))
-                right = tuple(range(b, min(b + TILE, width)))
+    for model, keys in scored.by_model.items():
+        for a in range(0, len(keys), TILE):
+            for b in range(a, len(keys), TILE):
+                left = tuple(range(a, min(a + TILE, len(keys))))
+                right = tuple(range(b, min(b + TILE, len(keys))))
                 blocks.append(Block(model, f"{a}:{b}", left, right))
-    documents = scored_documents(docs, ids, doc_key, match)
-    cells = block_counts(documents, blocks).filter("i > 0 AND j > 0 AND n > 0")
+    cells = block_counts(scored_documents(docs, scored, doc_key), blocks).filter("i > 0 AND j > 0 AND n > 0")
     origin = F.split("block_id", ":")
     upper = cells.select(
         "model_id",
@@ -216,7 +258,11 @@ def cooccurrence(
         F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))),
     ).otherwise(F.array(F.struct("a", "b")))
     pairs = upper.select("model_id", F.explode(both).alias("p"), "n").select("model_id", "p.a", "p.b", "n")
-    names = [F.col(c) for c in match]
-    first = ids.select("model_id", F.col("word_id").alias("a"), *[c.alias(f"{m}1") for c, m in zip(names, match)])
-    second = ids.select("model_id", F.col("word_id").alias("b"), *[c.alias(f"{m}2") for c, m in zip(names, match)])
-    return pairs.join(first, ["model_id", "a"]).join(second, ["model_id", "b"]).drop("a", "b")
+    named = [(m, n, *key) for m, keys in scored.by_model.items() for n, key in enumerate(keys)]
+    names = docs.sparkSession.createDataFrame(
+        named, "model_id string, id int, " + ", ".join(f"{c} string" for c in match)
+    )
+    for position, column in (("1", "a"), ("2", "b")):
+        side = names.select("model_id", F.col("id").alias(column), *[F.col(c).alias(f"{c}{position}") for c in match])
+        pairs = pairs.join(side, ["model_id", column])
+    return pairs.drop("a", "b")

@@ -32,15 +32,22 @@ def train_word2vec(
     window: int = 5,
     min_count: int = 15,
     max_iter: int = 1,
+    partitions: int | None = None,
     seed: int = 1,
     tokens: str = "tokens",
 ) -> DataFrame:
-    """``(word, vec)`` trained on token arrays (hierarchical softmax)."""
+    """``(word, vec)`` trained on token arrays (hierarchical softmax).
+
+    Partitions train side by side and are averaged after each pass; the default is one per
+    core of the session.
+    """
+    partitions = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(
         vectorSize=vector_size,
         windowSize=window,
         minCount=min_count,
         maxIter=max_iter,
+        numPartitions=partitions,
         seed=seed,
         inputCol=tokens,
         outputCol="_doc",

@@ -1,8 +1,7 @@
 """Vocabulary, dictionary and document joins.
 
-Joins carry no broadcast hint: vocabularies, dictionaries and vectors are stored tables of
-known size, so Catalyst broadcasts the small ones and uses a shuffled join for the rest.
-Token tables are dominated by a few very frequent words; ``spread`` splits those keys.
+Joins of vocabulary-size tables carry no hint; Catalyst and adaptive execution choose. Joins
+of a token table go through ``lookup_join``, which checks the size of the other side.
 """
 
 from __future__ import annotations
@@ -15,19 +14,27 @@ from pyspark.sql import functions as F
 from lingospan.functions.text import is_ascii
 from lingospan.operators.sequence import number_by_id
 from lingospan.operators.tokens import distinct_terms, term_positions, tokens_from_positions
+from lingospan.storage import store
 
-SPREAD = 8
+BROADCAST_CELLS = 8_000_000
+SPREAD = 16
 
 
-def spread(big: DataFrame, small: DataFrame, by: str, ways: int = SPREAD) -> tuple[DataFrame, DataFrame]:
-    """Split every key of ``big`` in ``ways`` by a hash of ``by``; repeat ``small`` as often.
+def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], by: str, how: str = "inner") -> DataFrame:
+    """Join token rows to a table with one row per word.
 
-    Join on the old keys plus ``_part``. A word that fills a third of the token table then
-    reaches ``ways`` tasks, which the adaptive skew join may split further.
+    The small side is stored and counted. Up to ``BROADCAST_CELLS`` values it is broadcast, so
+    the tokens stay where they are. Beyond that both sides are shuffled, every key of ``big``
+    split in ``SPREAD`` parts by a hash of ``by``: a word that fills a third of the rows then
+    reaches many tasks, which the adaptive skew join may split further.
     """
-    part = F.pmod(F.xxhash64(by), F.lit(ways)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
-    return big.withColumn("_part", part), small.withColumn("_part", copies)
+    table = store(small, "lookup")
+    if table.count() * len(table.columns) <= BROADCAST_CELLS:
+        return big.join(F.broadcast(table), list(keys), how)
+    part = F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    joined = big.withColumn("_part", part).join(table.withColumn("_part", copies), [*keys, "_part"], how)
+    return joined.drop("_part")
 
 
 def tag_split_labels(documents: DataFrame, index_lines: DataFrame) -> DataFrame:
@@ -57,14 +64,14 @@ def filter_tokens_to_vocab(
     document and the regrouping moves one row per document.
     """
     terms = docs.select(*doc_columns, F.inline(term_positions(F.col(tokens))))
-    left, right = spread(terms, vocab.select(*keys, "word").distinct(), doc_columns[0])
-    kept = left.join(right, [*keys, "word", "_part"], "left_semi")
+    words = vocab.select(*keys, "word").distinct()
+    kept = lookup_join(terms, words, [*keys, "word"], doc_columns[0], "left_semi")
     return _regroup(kept, doc_columns, tokens)
 
 
 def missing_words(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Distinct corpus words absent from the vectors of every language."""
-    words = docs.select(F.explode(F.array_distinct(tokens)).alias("word")).distinct()
+    words = distinct_terms(docs, [], tokens).distinct()
     return words.join(vocab.select("word"), "word", "left_anti").withColumn("ascii", is_ascii(F.col("word")))
 
 
@@ -190,9 +197,10 @@ def concept_corpus(
     terms = docs.filter(F.col("lang").isin(src_lang, tgt_lang)).select(
         *doc_columns, F.inline(term_positions(F.col(tokens)))
     )
-    left, right = spread(terms, names, doc_columns[0])
     own = F.concat_ws(":", "lang", "word")
-    named = left.join(right, ["lang", "word", "_part"], "left").withColumn("word", F.coalesce("concept", own))
+    named = lookup_join(terms, names, ["lang", "word"], doc_columns[0], "left").withColumn(
+        "word", F.coalesce("concept", own)
+    )
     return _regroup(named, doc_columns, tokens)
 
 

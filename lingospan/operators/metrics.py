@@ -88,7 +88,7 @@ def _topic_lists(topic_words: DataFrame, ks: Sequence[int]) -> DataFrame:
         "k", F.explode(F.filter(lengths, lambda k: F.col("rank") <= k))
     )
     return rows.groupBy("model_id", "side", "k", "topic_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words")
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words")
     )
 
 

@@ -39,9 +39,28 @@ def segment_with(
     return documents.mapInPandas(run, schema)
 
 
+def unnest(docs: DataFrame, keep: Sequence[str], words: Column) -> DataFrame:
+    """One row ``(…keep, word)`` per element.
+
+    For a plain ``explode`` the optimizer adds a test that the array is not empty and moves
+    it below the projection, where the tokeniser then runs once more per test. The outer
+    form adds no test; its placeholder row for an empty array is dropped here.
+    """
+    return docs.select(*keep, F.explode_outer(words).alias("word")).filter(F.col("word").isNotNull())
+
+
 def explode_tokens(docs: DataFrame, keep: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """One row per token with its 0-based position."""
-    return docs.select(*keep, F.posexplode(tokens).alias("pos", "word"))
+    rows = docs.select(*keep, F.posexplode_outer(tokens).alias("pos", "word"))
+    return rows.filter(F.col("word").isNotNull())
+
+
+def only_if(value: Column, condition: Callable[[Column], Column]) -> Column:
+    """Generator that yields ``value`` when it meets ``condition``.
+
+    A filter on a computed column is moved below the projection and computes it twice.
+    """
+    return F.explode(F.filter(F.array(value), condition))
 
 
 def term_counts(tokens: Column) -> Column:
@@ -64,7 +83,7 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs))
 
 
 def term_positions(tokens: Column) -> Column:
@@ -91,7 +110,7 @@ def term_positions(tokens: Column) -> Column:
         )
 
     placed = F.transform(tokens, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
-    return F.when(F.size(tokens) > 0, let(F.array_sort(placed), runs))
+    return F.when(F.size(tokens) > 0, let(F.sort_array(placed), runs))
 
 
 def tokens_from_positions(terms: Column) -> Column:
@@ -104,7 +123,7 @@ def tokens_from_positions(terms: Column) -> Column:
             ),
         )
     )
-    return F.transform(F.array_sort(placed), lambda item: item["word"])
+    return F.transform(F.sort_array(placed), lambda item: item["word"])
 
 
 def bag_of_words(docs: DataFrame, keep: Sequence[str] = ("doc_id", "lang"), tokens: str = "tokens") -> DataFrame:
@@ -114,7 +133,7 @@ def bag_of_words(docs: DataFrame, keep: Sequence[str] = ("doc_id", "lang"), toke
 
 def distinct_terms(docs: DataFrame, keep: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """One row per document and distinct word, without a shuffle."""
-    return docs.select(*keep, F.explode(F.array_distinct(tokens)).alias("word"))
+    return unnest(docs, keep, F.array_distinct(tokens))
 
 
 def document_frequency(docs: DataFrame, keys: Sequence[str] = ("lang",), tokens: str = "tokens") -> DataFrame:
@@ -129,6 +148,11 @@ def word_counts(bow: DataFrame, keys: Sequence[str] = ("lang",)) -> DataFrame:
     )
 
 
+def corpus_frequency(docs: DataFrame, keys: Sequence[str] = ("lang",), tokens: str = "tokens") -> DataFrame:
+    """Corpus frequency alone, counted in each task before the shuffle."""
+    return unnest(docs, keys, F.col(tokens)).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cf"))
+
+
 def vocabulary(docs: DataFrame, keys: Sequence[str] = ("lang",), tokens: str = "tokens") -> DataFrame:
     """Distinct words."""
     return distinct_terms(docs, keys, tokens).distinct()
@@ -156,20 +180,20 @@ def rank_by_count(counts: DataFrame, keys: Sequence[str] = ("lang",), out: str =
 
 def word_frequency_rank(docs: DataFrame, keys: Sequence[str] = ("lang",), tokens: str = "tokens") -> DataFrame:
     """0-based rank by descending count, ties by first appearance in document order."""
-    seen = docs.select(*keys, "doc_id", F.posexplode(tokens).alias("pos", "word"))
+    seen = docs.select(*keys, "doc_id", F.inline(term_positions(F.col(tokens)))).select(
+        *keys, "doc_id", "word", F.size("positions").alias("tf"), F.get("positions", F.lit(0)).alias("pos")
+    )
     counts = seen.groupBy(*keys, "word").agg(
-        F.count(F.lit(1)).alias("cf"), F.min(F.struct("doc_id", "pos")).alias("first")
+        F.sum("tf").alias("cf"), F.min("doc_id").alias("first_doc"), F.min_by("pos", "doc_id").alias("first_pos")
     )
     buckets = {
         "_count": -count_bucket(F.col("cf")),
-        "_doc": F.when(
-            F.col("cf") < 128, F.floor(F.col("first.doc_id") / F.lit(ID_BUCKET)).cast("long")
-        ).otherwise(F.lit(0).cast("long")),
+        "_doc": F.when(F.col("cf") < 128, F.floor(F.col("first_doc") / F.lit(ID_BUCKET)).cast("long")).otherwise(
+            F.lit(0).cast("long")
+        ),
     }
-    ranked = number_rows(
-        counts, keys, [F.desc("cf"), F.col("first")], buckets, out="freq_rank"
-    )
-    return ranked.select(*keys, "word", "cf", "freq_rank")
+    order = [F.desc("cf"), F.col("first_doc"), F.col("first_pos")]
+    return number_rows(counts, keys, order, buckets, out="freq_rank").select(*keys, "word", "cf", "freq_rank")
 
 
 def corpus_descriptive(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -180,7 +204,7 @@ def corpus_descriptive(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
     empty = F.when(F.size(tokens) == 0, F.array(F.lit(""))).otherwise(F.col(tokens))
     types = (
-        docs.select("lang", F.explode(F.array_distinct(empty)).alias("word"))
+        unnest(docs, ["lang"], F.array_distinct(empty))
         .distinct()
         .groupBy("lang")
         .agg(F.count(F.lit(1)).alias("n_types"))

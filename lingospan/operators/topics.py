@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,8 @@ from pyspark.sql import Window as W
 
 from lingospan.functions.text import is_ascii, word_script
 from lingospan.functions.vectors import l1_normalise
-from lingospan.operators.matching import spread
+from lingospan.operators.matching import lookup_join
+from lingospan.storage import store
 
 
 def top_words_per_topic(phi: DataFrame, keys: Sequence[str], top_n: int) -> DataFrame:
@@ -63,7 +66,7 @@ def topic_centroids(topic_words: DataFrame, vectors: DataFrame, keys: Sequence[s
     chosen = topic_words.filter(F.col("rank") <= top_p).join(vectors.select("lang", "word", "vec"), ["lang", "word"])
     cells = chosen.select(*keys, F.posexplode("vec").alias("dim", "x"))
     means = cells.groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
+    ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
     return means.groupBy(*keys).agg(F.transform(ordered, lambda c: c["x"]).alias("vec"))
 
 
@@ -137,10 +140,10 @@ def theta_from_phi(
         for n, t in enumerate(topics)
     ]
     wide = phi.groupBy(*keys, "lang", "word").agg(*weights)
-    left, right = spread(bow, wide, "doc_id")
     columns = [f"_w{n}" for n in range(len(topics))]
     sums = [F.sum(F.col("tf") * F.col(c)).alias(c) for c in columns]
-    totals = left.join(right, [*keys, "lang", "word", "_part"]).groupBy(*keys, *doc_columns).agg(*sums)
+    weighted = lookup_join(bow, wide, [*keys, "lang", "word"], doc_columns[0])
+    totals = weighted.groupBy(*keys, *doc_columns).agg(*sums)
     return totals.select(*keys, *doc_columns, F.array(*columns).alias("theta"))
 
 
@@ -183,7 +186,8 @@ def fit_lda(
     ``alpha_sum`` is the Dirichlet mass over all topics.
     """
     vectoriser = CountVectorizer(inputCol=tokens, outputCol="_counts", minDF=min_df, vocabSize=vocab_size).fit(docs)
-    counted = vectoriser.transform(docs.select(*doc_columns, tokens)).drop(tokens)
+    # Every iteration reads the counts again, so they are written once.
+    counted = store(vectoriser.transform(docs.select(*doc_columns, tokens)).drop(tokens), "word-counts")
     lda = LDA(
         k=n_topics,
         maxIter=max_iter,
@@ -206,16 +210,16 @@ def fit_lda(
 
 
 def lda_per_language(docs: DataFrame, languages: Sequence[str], n_topics: int, **options) -> tuple[DataFrame, DataFrame]:
-    """One model per language; a language is one distributed training job."""
-    phis, thetas = [], []
-    for lang in languages:
+    """One model per language; the trainings share the cluster."""
+
+    def train(lang: str) -> tuple[DataFrame, DataFrame]:
         phi, theta = fit_lda(docs.filter(F.col("lang") == lang), n_topics, **options)
-        phis.append(phi.withColumn("lang", F.lit(lang)))
-        thetas.append(theta.withColumn("lang", F.lit(lang)))
-    phi, theta = phis[0], thetas[0]
-    for more_phi, more_theta in zip(phis[1:], thetas[1:]):
-        phi, theta = phi.unionByName(more_phi), theta.unionByName(more_theta)
-    return phi, theta
+        return phi.withColumn("lang", F.lit(lang)), theta.withColumn("lang", F.lit(lang))
+
+    with ThreadPoolExecutor(len(languages)) as pool:
+        models = list(pool.map(train, languages))
+    phis, thetas = zip(*models)
+    return reduce(DataFrame.unionByName, phis), reduce(DataFrame.unionByName, thetas)
 
 
 def lda_polylingual(pair_docs: DataFrame, n_topics: int, **options) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lingospan.operators import matching, tokens, topics
-from lingospan.storage import store
+from lingospan.storage import spread_scan, store
 
 LANGUAGES = ("de", "en", "es", "fr")
 SOURCE = "en"
@@ -108,10 +108,18 @@ class Corpus:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        return spread_scan(self.documents, "doc_id")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return spread_scan(self.table("pages"), "page_id")
+
     @cached_property
     def docs(self) -> DataFrame:
         """``(doc_id, lang, source, tokens)``"""
-        return tokens.with_tokens(self.documents.select("doc_id", "lang", "source", "text"))
+        return tokens.with_tokens(self.texts.select("doc_id", "lang", "source", "text"))
 
     @cached_property
     def bow(self) -> DataFrame:
@@ -120,7 +128,7 @@ class Corpus:
     @cached_property
     def ranks(self) -> DataFrame:
         """``(lang, word, cf, r)``"""
-        return tokens.rank_by_count(tokens.word_counts(self.bow)).select("lang", "word", "cf", "r")
+        return tokens.rank_by_count(tokens.corpus_frequency(self.docs)).select("lang", "word", "cf", "r")
 
     @cached_property
     def stored_ranks(self) -> DataFrame:
@@ -178,9 +186,8 @@ class Corpus:
     @cached_property
     def phi(self) -> DataFrame:
         """``(topic_id, lang, word, weight)``: the document source stands for the topic."""
-        return self.bow.groupBy(F.col("source").alias("topic_id"), "lang", "word").agg(
-            F.sum("tf").cast("double").alias("weight")
-        )
+        counts = tokens.corpus_frequency(self.docs, ["source", "lang"])
+        return counts.select(F.col("source").alias("topic_id"), "lang", "word", F.col("cf").cast("double").alias("weight"))
 
     @cached_property
     def topic_ids(self) -> list[str]:

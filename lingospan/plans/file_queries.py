@@ -36,7 +36,7 @@ def written_lines(c: Corpus, name: str, write) -> DataFrame:
 def labelled_lines(c: Corpus) -> DataFrame:
     """``source TAB text`` per document; French rows get a third field and must be refused."""
     extra = F.when(F.col("lang") == "fr", F.lit("x"))
-    return c.documents.select(
+    return c.texts.select(
         F.col("doc_id").alias("line_no"), F.concat_ws("\t", "source", one_line(), extra).alias("line")
     )
 
@@ -77,7 +77,7 @@ def parse_news_xml(c: Corpus):
         F.lit('<newsitem><metadata><codes class="bip:countries:1.0"><code code="MCAT"/></codes>'),
         F.lit('<codes class="bip:topics:1.0">'), codes, F.lit("</codes></metadata><text>"), paragraphs, end,
     )
-    files = c.documents.select(F.col("source").alias("sub_corpus"), F.col("doc_id").cast("string").alias("file_name"), xml.alias("xml"))
+    files = c.texts.select(F.col("source").alias("sub_corpus"), F.col("doc_id").cast("string").alias("file_name"), xml.alias("xml"))
     return readers.parse_news_xml(files)[0]
 
 
@@ -133,7 +133,7 @@ two_sided AS (SELECT CASE lang WHEN 'en' THEN 'src' ELSE 'tgt' END AS side, rank
 def topic_lines(c: Corpus, topic_words: DataFrame | None = None):
     """Ranked words of every source topic as one array, topics numbered per language."""
     rows = c.topic_words if topic_words is None else topic_words
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "word")))
     words = F.transform(ordered, lambda x: x["word"])
     grouped = rows.groupBy("topic_id", "lang").agg(words.alias("words"))
     return number_by_id(grouped.withColumn("id", F.substring("topic_id", 4, 9).cast("long")), ["lang"], "id", out="no")

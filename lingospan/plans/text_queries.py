@@ -10,7 +10,7 @@ from lingospan.operators import embedding, metrics, tokens
 from lingospan.plans.corpus import Corpus
 from lingospan.plans.registry import query, six
 
-SPACE = tx.UNICODE_SPACE
+SPACE = tx.char_class(tx.UNICODE_SPACE)
 SYMBOLS = tx.char_class(tx.SPECIAL_SYMBOLS)
 ENDS = tx.char_class(tx.SENTENCE_ENDS)
 # A caller's character table for script normalisation.
@@ -28,7 +28,7 @@ def sentences_sql(text: str, blanks: str) -> str:
 
 @query("strip_html", r"SELECT page_id, regexp_replace(html, '<[^\n]*?>', '', 'g') AS text FROM pages")
 def strip_html(c: Corpus):
-    return c.table("pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    return c.pages.select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 @query(
@@ -38,7 +38,7 @@ def strip_html(c: Corpus):
 )
 def segment_sentences(c: Corpus):
     sentences = tx.segment_sentences(F.col("text"), period_regex=r"\.")
-    rows = c.documents.select("doc_id", F.posexplode(sentences).alias("sent_id", "sentence"))
+    rows = c.texts.select("doc_id", F.posexplode(sentences).alias("sent_id", "sentence"))
     return rows.withColumn("sent_id", F.col("sent_id").cast("long"))
 
 
@@ -49,7 +49,7 @@ def segment_sentences(c: Corpus):
 )
 def segment_sentences_no_digits(c: Corpus):
     sentences = tx.segment_sentences(F.col("html"), period_regex=r"\.", keep_digits=False)
-    rows = c.table("pages").select("page_id", F.posexplode(sentences).alias("sent_id", "sentence"))
+    rows = c.pages.select("page_id", F.posexplode(sentences).alias("sent_id", "sentence"))
     return rows.withColumn("sent_id", F.col("sent_id").cast("long"))
 
 
@@ -58,7 +58,7 @@ def segment_sentences_no_digits(c: Corpus):
     f"SELECT doc_id, translate(text, '{SCRIPT_FROM}', '{SCRIPT_TO}') AS text FROM documents",
 )
 def normalise_script(c: Corpus):
-    return c.documents.select("doc_id", tx.normalise_script(F.col("text"), SCRIPT_FROM, SCRIPT_TO).alias("text"))
+    return c.texts.select("doc_id", tx.normalise_script(F.col("text"), SCRIPT_FROM, SCRIPT_TO).alias("text"))
 
 
 @query("tokenise", "SELECT doc_id, lang, pos, word FROM tok")
@@ -77,7 +77,7 @@ def tokenise(c: Corpus):
       FROM (SELECT doc_id, string_split(text, '.') AS s FROM documents))""",
 )
 def empty_sentence_placeholder(c: Corpus):
-    rows = c.documents.select("doc_id", F.posexplode(F.split("text", r"\.", -1)).alias("sent_id", "sentence"))
+    rows = c.texts.select("doc_id", F.posexplode(F.split("text", r"\.", -1)).alias("sent_id", "sentence"))
     words = tx.empty_sentence_placeholder(tx.letter_tokens(F.col("sentence")))
     return rows.select("doc_id", F.col("sent_id").cast("long").alias("sent_id"), F.array_join(words, " ").alias("tokens"))
 
@@ -90,7 +90,7 @@ def empty_sentence_placeholder(c: Corpus):
       FROM documents)""",
 )
 def count_vectorizer_tokens(c: Corpus):
-    words = c.documents.select("lang", tx.count_vectorizer_tokens(F.col("text")).alias("tokens"))
+    words = c.texts.select("lang", tx.count_vectorizer_tokens(F.col("text")).alias("tokens"))
     return tokens.count_vectorizer_vocab(words)
 
 
@@ -120,7 +120,7 @@ def annotated_tokens(c: Corpus):
             (F.char_length(t) <= 3).alias("is_stop"),
         )
 
-    return c.documents.select("doc_id", F.transform(F.split("text", " ", -1), mark).alias("tokens"))
+    return c.texts.select("doc_id", F.transform(F.split("text", " ", -1), mark).alias("tokens"))
 
 
 @query(
@@ -131,7 +131,7 @@ def annotated_tokens(c: Corpus):
 )
 def project_tokens(c: Corpus):
     words = tx.project_tokens(F.col("tokens"), accept_pos=["NOUN", "VERB"], use_entity=False)
-    rows = annotated_tokens(c).select("doc_id", words.alias("words")).filter(F.size("words") > 0)
+    rows = annotated_tokens(c).select("doc_id", tokens.only_if(words, lambda w: F.size(w) > 0).alias("words"))
     return rows.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -144,7 +144,7 @@ def project_tokens(c: Corpus):
 )
 def project_tokens_entities(c: Corpus):
     words = tx.project_tokens(F.col("tokens"), want_stop=True, want_lemma=False)
-    rows = annotated_tokens(c).select("doc_id", words.alias("words")).filter(F.size("words") > 0)
+    rows = annotated_tokens(c).select("doc_id", tokens.only_if(words, lambda w: F.size(w) > 0).alias("words"))
     return rows.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -164,7 +164,7 @@ def tagged(word):
 )
 def pos_filter_tagged(c: Corpus):
     words = tx.pos_filter_tagged(F.transform("tokens", tagged))
-    rows = c.docs.select("doc_id", words.alias("words")).filter(F.size("words") > 0)
+    rows = c.docs.select("doc_id", tokens.only_if(words, lambda w: F.size(w) > 0).alias("words"))
     return rows.select("doc_id", F.array_join("words", " ").alias("words"))
 
 
@@ -278,7 +278,7 @@ def corpus_descriptive(c: Corpus):
 
 @query("vocab_count_export", "SELECT lang, word, cf FROM freq WHERE cf > 100")
 def vocab_count_export(c: Corpus):
-    return tokens.vocab_count_export(tokens.word_counts(c.bow)).select("lang", "word", "cf")
+    return tokens.vocab_count_export(tokens.corpus_frequency(c.docs)).select("lang", "word", "cf")
 
 
 @query(

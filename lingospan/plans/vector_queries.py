@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +46,14 @@ SUMS = """len(v)::INTEGER AS width, round(list_sum(v) + 1e-9, 6) + 0.0 AS total,
 @query("train_word2vec")
 def train_word2vec(c: Corpus):
     """Vectors of every language; each language is one training job."""
-    spaces = None
-    for lang in LANGUAGES:
+
+    def train(lang: str) -> DataFrame:
         sentences = c.docs.filter((F.col("lang") == lang) & (F.size("tokens") > 0))
-        vectors = embedding.train_word2vec(sentences, vector_size=20).withColumn("lang", F.lit(lang))
-        spaces = vectors if spaces is None else spaces.unionByName(vectors)
-    return spaces
+        return embedding.train_word2vec(sentences, vector_size=20).withColumn("lang", F.lit(lang))
+
+    with ThreadPoolExecutor(len(LANGUAGES)) as pool:
+        spaces = list(pool.map(train, LANGUAGES))
+    return reduce(DataFrame.unionByName, spaces)
 
 
 @query(
@@ -323,7 +328,7 @@ def centres(c: Corpus, which: str) -> DataFrame:
     """Given clusters: the vectors of one label, with their mean as centre."""
     cells = side(c, which).select("model_id", F.col("label").alias("cluster"), F.posexplode("vec").alias("dim", "x"))
     means = cells.groupBy("model_id", "cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
+    ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
     return means.groupBy("model_id", "cluster").agg(F.transform(ordered, lambda p: p["x"]).alias("vec"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lingospan.functions.text import is_ascii
-from lingospan.operators.matching import spread
+from lingospan.operators.matching import lookup_join
 
 
 def write_lines(lines: DataFrame, path: str, order: Sequence[str], line: str = "line") -> None:
@@ -119,7 +119,7 @@ def format_sparse_counts(doc_terms: DataFrame, doc_key: str = "doc_id") -> DataF
     """``total id:count …`` per document from ``(doc, terms array<struct<word_id, tf>>)``."""
     total = F.aggregate("terms", F.lit(0).cast("long"), lambda acc, t: acc + t["tf"])
     items = F.transform(
-        F.array_sort("terms"),
+        F.sort_array("terms"),
         lambda t: F.concat_ws(":", t["word_id"].cast("string"), t["tf"].cast("string")),
     )
     return doc_terms.select(doc_key, F.concat_ws(" ", total.cast("string"), F.array_join(items, " ")).alias("line"))
@@ -127,8 +127,7 @@ def format_sparse_counts(doc_terms: DataFrame, doc_key: str = "doc_id") -> DataF
 
 def collect_terms(bow: DataFrame, vocab: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """Encode words by vocabulary id and gather the terms of each document."""
-    left, right = spread(bow, vocab, doc_key)
-    coded = left.join(right, ["lang", "word", "_part"])
+    coded = lookup_join(bow, vocab, ["lang", "word"], doc_key)
     return coded.groupBy(doc_key).agg(F.collect_list(F.struct("word_id", "tf")).alias("terms"))
 
 
@@ -154,7 +153,7 @@ def write_mtm_bidict(bidict: DataFrame, path: str) -> None:
 
 def topic_word_report(topic_words: DataFrame, keys: Sequence[str], top_n: int) -> DataFrame:
     """One line per topic with its best words."""
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "word")))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "word")))
     return (
         topic_words.filter(F.col("rank") <= top_n)
         .groupBy(*keys)

@@ -42,3 +42,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of fewer splits than cores one hash partition per core.
+
+    A large table has many splits and is returned as it is; a small file would otherwise
+    leave all work after the scan to one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
