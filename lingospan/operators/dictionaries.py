@@ -68,8 +68,11 @@ def split_dictionary(
     gives the exact fraction.
     """
     numbered = number_by_id(bidict, keys, "seq", out="_at")
-    total = bidict.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    joined = numbered.join(total, list(keys)) if keys else numbered.join(F.broadcast(total))
+    total = F.count(F.lit(1)).alias("_n")
+    if keys:
+        joined = numbered.join(bidict.groupBy(*keys).agg(total), list(keys))
+    else:
+        joined = numbered.withColumn("_n", bidict.agg(total).scalar())
     kept = (F.col("_n") * F.lit(1 - ratio)).cast("int") + (0 if strict_count else 1)
     part = F.when(F.col("_at") < kept, "train").otherwise("test")
     return joined.withColumn("part", part).drop("_at", "_n")
@@ -83,10 +86,12 @@ def seeded_digest(seed: int, key: Column) -> Column:
 def shuffle_corpus(docs: DataFrame, seed: int, doc_key: str = "doc_id") -> DataFrame:
     """Seeded permutation: ``shuffled_seq`` overall and ``lang_seq`` per language."""
     digest = docs.withColumn("_digest", seeded_digest(seed, F.col(doc_key)))
-    buckets = {"_bucket": F.substring("_digest", 1, 3)}
     order = [F.col("_digest"), F.col(doc_key)]
-    overall = number_rows(digest, [], order, buckets, out="shuffled_seq")
-    return number_rows(overall, ["lang"], order, buckets, out="lang_seq").drop("_digest")
+    split = F.conv(F.substring("_digest", 1, 14), 16, 10).cast("long")
+    n_rows = docs.count()
+    overall = number_rows(digest, [], order, split, out="shuffled_seq", scan=True, n_rows=n_rows)
+    both = number_rows(overall, ["lang"], order, split, out="lang_seq", scan=True, n_rows=n_rows)
+    return both.drop("_digest")
 
 
 def sample_vectors(vectors: DataFrame, n: int, seed: int) -> DataFrame:

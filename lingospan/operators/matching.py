@@ -206,7 +206,7 @@ def concept_corpus(
 
 def corpus_pairs(documents: DataFrame, src_lang: str) -> DataFrame:
     """Pair the n-th source document with the n-th document of every other language."""
-    numbered = number_by_id(documents.select("doc_id", "lang"), ["lang"], "doc_id", out="pair_id")
+    numbered = number_by_id(documents.select("doc_id", "lang"), ["lang"], "doc_id", out="pair_id", scan=True)
     src = numbered.filter(F.col("lang") == src_lang).select("pair_id", F.col("doc_id").alias("src_doc"))
     tgt = numbered.filter(F.col("lang") != src_lang).select(
         "pair_id", F.col("lang").alias("model_id"), F.col("doc_id").alias("tgt_doc")

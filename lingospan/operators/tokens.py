@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from lingospan.functions import text as tx
 from lingospan.functions.vectors import let
-from lingospan.operators.sequence import ID_BUCKET, count_bucket, number_by_word, number_rows
+from lingospan.operators.sequence import count_key, number_by_word, number_rows, word_key
 
 
 def with_tokens(documents: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
@@ -170,12 +170,8 @@ def vocab_count_export(counts: DataFrame, more_than: int = 100) -> DataFrame:
 
 def rank_by_count(counts: DataFrame, keys: Sequence[str] = ("lang",), out: str = "r") -> DataFrame:
     """0-based rank by descending count, ties in word order."""
-    coarse = count_bucket(F.col("cf"))
-    buckets = {
-        "_count": -coarse,
-        "_prefix": F.when(F.col("cf") < 128, F.substring("word", 1, 2)).otherwise(F.lit("")),
-    }
-    return number_rows(counts, keys, [F.desc("cf"), F.col("word")], buckets, out=out)
+    split = count_key(F.col("cf"), word_key(F.col("word"), 6))
+    return number_rows(counts, keys, [F.desc("cf"), F.col("word")], split, out=out)
 
 
 def word_frequency_rank(docs: DataFrame, keys: Sequence[str] = ("lang",), tokens: str = "tokens") -> DataFrame:
@@ -186,14 +182,9 @@ def word_frequency_rank(docs: DataFrame, keys: Sequence[str] = ("lang",), tokens
     counts = seen.groupBy(*keys, "word").agg(
         F.sum("tf").alias("cf"), F.min("doc_id").alias("first_doc"), F.min_by("pos", "doc_id").alias("first_pos")
     )
-    buckets = {
-        "_count": -count_bucket(F.col("cf")),
-        "_doc": F.when(F.col("cf") < 128, F.floor(F.col("first_doc") / F.lit(ID_BUCKET)).cast("long")).otherwise(
-            F.lit(0).cast("long")
-        ),
-    }
     order = [F.desc("cf"), F.col("first_doc"), F.col("first_pos")]
-    return number_rows(counts, keys, order, buckets, out="freq_rank").select(*keys, "word", "cf", "freq_rank")
+    split = count_key(F.col("cf"), F.shiftright("first_doc", 15))
+    return number_rows(counts, keys, order, split, out="freq_rank").select(*keys, "word", "cf", "freq_rank")
 
 
 def corpus_descriptive(docs: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -130,10 +130,6 @@ class Corpus:
         """``(lang, word, cf, r)``"""
         return tokens.rank_by_count(tokens.corpus_frequency(self.docs)).select("lang", "word", "cf", "r")
 
-    @cached_property
-    def stored_ranks(self) -> DataFrame:
-        return store(self.ranks, "ranks")
-
     @cached_property
     def pairs(self) -> DataFrame:
         return matching.corpus_pairs(self.documents, SOURCE).withColumn(
@@ -174,7 +170,7 @@ class Corpus:
     @cached_property
     def bidict(self) -> DataFrame:
         """``(model_id, seq, src_word, tgt_word)``"""
-        ranks = self.stored_ranks
+        ranks = self.ranks
         src = ranks.filter(F.col("lang") == SOURCE).select(F.col("r").alias("seq"), F.col("word").alias("src_word"))
         tgt = ranks.filter(F.col("lang") != SOURCE).select(
             F.col("r").alias("seq"),

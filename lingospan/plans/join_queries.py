@@ -111,7 +111,7 @@ def bidict_encoded(c: Corpus):
     "SELECT word, cf FROM rnk WHERE lang = 'en' AND word NOT IN (SELECT src_word FROM dict)",
 )
 def words_not_in_pairs(c: Corpus):
-    vocab = c.stored_ranks.filter(F.col("lang") == SOURCE).select("word", "cf")
+    vocab = c.ranks.filter(F.col("lang") == SOURCE).select("word", "cf")
     return matching.words_not_in_pairs(vocab, c.bidict)
 
 
@@ -181,7 +181,7 @@ def pair_documents(c: Corpus):
 
 def lang_index(c: Corpus):
     """Position of each document in the file of its language."""
-    return number_by_id(c.documents.select("doc_id", "lang"), ["lang"], "doc_id", out="lang_seq")
+    return number_by_id(c.documents.select("doc_id", "lang"), ["lang"], "doc_id", out="lang_seq", scan=True)
 
 
 @query(
@@ -249,7 +249,7 @@ larger AS (SELECT model_id, max(n) AS n FROM (SELECT model_id, side, count(*) AS
 
 
 def model_ranks(c: Corpus):
-    return per_model(c.stored_ranks).select("model_id", "side", "word", F.col("r").alias("freq_rank"))
+    return per_model(c.ranks).select("model_id", "side", "word", F.col("r").alias("freq_rank"))
 
 
 @query(

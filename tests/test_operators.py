@@ -15,9 +15,14 @@ from lingospan.operators import (
 )
 
 
-def test_positions_with_a_hot_group(spark):
+@pytest.fixture(params=[2_000_000, 100])
+def bucket_rows(request, monkeypatch):
+    monkeypatch.setattr(sequence, "ROWS_PER_BUCKET", request.param)
+
+
+def test_positions_with_a_hot_group(spark, bucket_rows):
     random.seed(1)
-    ids = random.sample(range(5_000_000), 3000)
+    ids = random.sample(range(500_000), 2000) + [2**62 + i for i in range(500)]
     rows = [("hot" if i % 3 else f"g{i % 7}", v) for i, v in enumerate(ids)]
     df = spark.createDataFrame(rows, "g string, id long")
     got = {(r.g, r.id): r.seq for r in sequence.number_by_id(df, ["g"], "id").collect()}
@@ -26,13 +31,48 @@ def test_positions_with_a_hot_group(spark):
             assert got[(g, v)] == at
 
 
-def test_rank_by_count_matches_sorting(spark):
+def test_rank_by_count_matches_sorting(spark, bucket_rows):
     random.seed(2)
-    words = [(f"w{random.randint(0, 10**6)}", random.choice([1, 1, 1, 2, 3, 127, 128, 129, 255, 256, 1000, 1001])) for _ in range(500)]
-    words = list({w: c for w, c in words}.items())
-    df = spark.createDataFrame([("en", w, c) for w, c in words], "lang string, word string, cf long")
+    counts = [1, 1, 1, 2, 3, 127, 128, 129, 255, 256, 1000, 1001]
+    words = {f"{random.choice(['w', 'ww', 'é', '字'])}{random.randint(0, 10**6)}": random.choice(counts) for _ in range(700)}
+    df = spark.createDataFrame([("en", w, c) for w, c in words.items()], "lang string, word string, cf long")
     got = [r.word for r in tokens.rank_by_count(df).orderBy("r").collect()]
-    assert got == [w for w, _ in sorted(words, key=lambda x: (-x[1], x[0]))]
+    assert got == [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0].encode()))]
+
+
+def test_frequency_rank_by_first_appearance(spark, bucket_rows):
+    random.seed(5)
+    docs = [(i * 40_000, "en", [f"w{random.randint(0, 400)}" for _ in range(8)]) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, tokens array<string>")
+    order = Counter(w for _, _, ws in docs for w in ws)
+    first = {}
+    for _, _, ws in docs:
+        for w in ws:
+            first.setdefault(w, len(first))
+    got = [r.word for r in tokens.word_frequency_rank(df).orderBy("freq_rank").collect()]
+    assert got == sorted(order, key=lambda w: (-order[w], first[w]))
+
+
+def test_seeded_shuffle_is_a_permutation(spark, bucket_rows):
+    df = spark.createDataFrame([(i, "en" if i % 3 else "fr") for i in range(600)], "doc_id long, lang string")
+    got = dictionaries.shuffle_corpus(df, 168).toPandas().sort_values("shuffled_seq")
+    assert got["shuffled_seq"].tolist() == list(range(600)) and got["doc_id"].tolist() != list(range(600))
+    for _, part in got.groupby("lang"):
+        assert part["lang_seq"].tolist() == list(range(len(part)))
+
+
+@pytest.mark.parametrize("cells", [8_000_000, 0])
+def test_lookup_join_on_both_sides_of_the_limit(spark, monkeypatch, cells):
+    monkeypatch.setattr(matching, "BROADCAST_CELLS", cells)
+    tokens_of = [(i, "hot" if i % 3 else f"w{i}") for i in range(300)]
+    big = spark.createDataFrame(tokens_of, "doc_id long, word string")
+    small = spark.createDataFrame([("hot", 1), ("w0", 2), ("w3", 3)], "word string, n int")
+    joined = matching.lookup_join(big, small, ["word"], "doc_id").collect()
+    expected = {"hot": 1, "w0": 2, "w3": 3}
+    assert sorted((r.doc_id, r.n) for r in joined) == sorted((d, expected[w]) for d, w in tokens_of if w in expected)
+    semi = matching.lookup_join(big, small.select("word"), ["word"], "doc_id", "left_semi")
+    assert semi.count() == len(joined)
+    assert matching.lookup_join(big, small, ["word"], "doc_id", "left").count() == 300
 
 
 def test_term_counts_and_positions(spark):
