@@ -348,13 +348,14 @@ coded AS (SELECT doc_id, word_id, tf FROM bow JOIN ids USING (lang, word))"""
 
 @query(
     "write_sparse_counts",
-    """SELECT sum(tf)::BIGINT || ' ' || array_to_string(list(word_id || ':' || tf ORDER BY word_id), ' ') AS line
-    FROM coded GROUP BY doc_id""",
+    """SELECT coalesce(line, '0 ') AS line FROM documents LEFT JOIN (
+      SELECT doc_id, sum(tf)::BIGINT || ' ' || array_to_string(list(word_id || ':' || tf ORDER BY word_id), ' ') AS line
+      FROM coded GROUP BY doc_id) USING (doc_id)""",
     views=CODED_SQL,
 )
 def write_sparse_counts(c: Corpus):
     vocab = tokens.count_vectorizer_vocab(c.docs)
-    terms = writers.collect_terms(c.bow, vocab)
+    terms = writers.collect_terms(c.documents, c.bow, vocab)
     return written_lines(c, "sparse", lambda p: writers.write_sparse_counts(terms, p))
 
 

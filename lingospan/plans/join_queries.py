@@ -10,6 +10,7 @@ from lingospan.operators import dictionaries, matching, metrics, topics
 from lingospan.operators.sequence import number_by_id
 from lingospan.plans.corpus import SOURCE, Corpus, per_model
 from lingospan.plans.registry import query, six
+from lingospan.storage import store
 
 WORDS = "array_to_string(list(word ORDER BY pos), ' ') AS words"
 
@@ -169,7 +170,7 @@ KEPT_SQL = f"""kept AS (
     views=KEPT_SQL,
 )
 def pair_documents(c: Corpus):
-    kept = matching.filter_tokens_to_vocab(c.docs, c.vectors).select("doc_id", "tokens")
+    kept = store(matching.filter_tokens_to_vocab(c.docs, c.vectors).select("doc_id", "tokens"), "kept-tokens")
     keyed = c.pairs.withColumn("key", F.struct("model_id", "pair_id"))
     src = keyed.join(kept, keyed.src_doc == kept.doc_id).select("key", "tokens")
     tgt = keyed.join(kept, keyed.tgt_doc == kept.doc_id).select("key", "tokens")

@@ -348,7 +348,8 @@ jsd AS (SELECT model_id, pair_id, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q)
 
 
 def model_theta(c: Corpus) -> DataFrame:
-    return per_model(c.theta).select("model_id", "doc_id", "theta")
+    """Document weights, stored like a model's theta file, for every model."""
+    return per_model(store(c.theta, "theta")).select("model_id", "doc_id", "theta")
 
 
 @query(

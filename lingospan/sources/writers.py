@@ -125,10 +125,12 @@ def format_sparse_counts(doc_terms: DataFrame, doc_key: str = "doc_id") -> DataF
     return doc_terms.select(doc_key, F.concat_ws(" ", total.cast("string"), F.array_join(items, " ")).alias("line"))
 
 
-def collect_terms(bow: DataFrame, vocab: DataFrame, doc_key: str = "doc_id") -> DataFrame:
-    """Encode words by vocabulary id and gather the terms of each document."""
+def collect_terms(docs: DataFrame, bow: DataFrame, vocab: DataFrame, doc_key: str = "doc_id") -> DataFrame:
+    """Encode words by vocabulary id and gather the terms of each document, empty ones too."""
     coded = lookup_join(bow, vocab, ["lang", "word"], doc_key)
-    return coded.groupBy(doc_key).agg(F.collect_list(F.struct("word_id", "tf")).alias("terms"))
+    terms = coded.groupBy(doc_key).agg(F.collect_list(F.struct("word_id", "tf")).alias("terms"))
+    none = F.array().cast("array<struct<word_id:bigint,tf:bigint>>")
+    return docs.select(doc_key).join(terms, doc_key, "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def write_sparse_counts(doc_terms: DataFrame, path: str, doc_key: str = "doc_id") -> None:

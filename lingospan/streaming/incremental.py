@@ -37,12 +37,15 @@ def process_available(
     query.awaitTermination()
 
 
-def nlp_result(content: Column, tokens: Column) -> list[Column]:
-    """Result and status columns: empty content is an error row, not an exception."""
+def nlp_result(content: Column, tokens: Column, prefix: str = "") -> list[Column]:
+    """Result and status columns: empty content is an error row, not an exception.
+
+    ``prefix`` names the columns of a second text field, such as an abstract.
+    """
     failed = content.isNull() | (F.length(content) == 0)
     return [
-        F.when(~failed, tokens).alias("tokens"),
-        F.when(failed, "error").otherwise("done").alias("status"),
+        F.when(~failed, tokens).alias(f"{prefix}tokens"),
+        F.when(failed, "error").otherwise("done").alias(f"{prefix}status"),
     ]
 
 
