@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lingospan.operators.matching import lookup_join
+from lingospan.storage import store
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)`` with 0-based line numbers per file.
 
     Files are read in splits. A split knows its byte offset, so its lines are numbered inside
     the split and shifted by the line counts of the splits before it; only one row per split
-    meets in a window.
+    meets in a window. The lines are stored on the way: how a file is split depends on the
+    cores present, so a second scan could cut it elsewhere.
     """
     split = ["file", "split_at"]
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("split_at"),
-        F.monotonically_increasing_id().alias("at"),
-        F.col("value").alias("line"),
+    lines = store(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split_at"),
+            F.monotonically_increasing_id().alias("at"),
+            F.col("value").alias("line"),
+        ),
+        "lines",
     )
     splits = lines.groupBy(*split).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("file").orderBy("split_at").rowsBetween(W.unboundedPreceding, -1)
     offsets = splits.select(*split, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     line_no = F.col("offset") + F.col("at") - F.col("first")
-    return lines.join(offsets, split).select("file", line_no.cast("long").alias("line_no"), "line")
+    numbered = lookup_join(lines, offsets, split, "at")
+    return numbered.select("file", line_no.cast("long").alias("line_no"), "line")

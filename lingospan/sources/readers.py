@@ -60,22 +60,21 @@ def parse_news_xml(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     codes = found(f'//codes[@class="{TOPIC_CODE_CLASS}"]/code/@code')
     classes = F.filter(codes, lambda c: c.isin(*CLASS_CODES))
     n_paragraphs = F.when(F.col("well_formed"), F.xpath_int(xml, F.lit("count(//p)")))
-    rows = checked.select(
-        "sub_corpus",
-        "file_name",
-        "xml",
+    item = F.struct(
         classes.alias("classes"),
         found("//p/node()[1][self::text()]").alias("paragraphs"),
         n_paragraphs.alias("n_paragraphs"),
     )
+    # Behind a generator the paths are evaluated once, however the item is tested below.
+    rows = checked.select("sub_corpus", "file_name", F.explode(F.array(item)).alias("item"))
     good = F.coalesce(
-        (F.size("classes") == 1) & (F.size("paragraphs") == F.col("n_paragraphs")), F.lit(False)
+        (F.size("item.classes") == 1) & (F.size("item.paragraphs") == F.col("item.n_paragraphs")), F.lit(False)
     )
     accepted = rows.filter(good).select(
         "sub_corpus",
         "file_name",
-        F.col("classes")[0].alias("class"),
-        F.array_join("paragraphs", " ").alias("content"),
+        F.col("item.classes")[0].alias("class"),
+        F.array_join("item.paragraphs", " ").alias("content"),
     )
     return accepted, rows.filter(~good).select("sub_corpus", "file_name")
 

@@ -16,7 +16,7 @@ def scratch_root(spark: SparkSession) -> str:
     A temporary folder is used only by a local-mode session that sets none.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not context.master.startswith("local"):
