@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from lingospan.functions.text import is_ascii, word_script
 from lingospan.functions.vectors import l1_normalise
 from lingospan.operators.matching import lookup_join
+from lingospan.operators.tokens import document_frequency
 from lingospan.storage import store
 
 
@@ -183,11 +184,16 @@ def fit_lda(
 ) -> tuple[DataFrame, DataFrame]:
     """Online variational LDA: ``phi(topic_id, word, weight)`` and ``theta(doc…, theta)``.
 
-    ``alpha_sum`` is the Dirichlet mass over all topics.
+    ``alpha_sum`` is the Dirichlet mass over all topics. The vocabulary is the ``vocab_size``
+    words with the highest document frequency; it and phi pass the driver, as in Spark ML.
     """
-    vectoriser = CountVectorizer(inputCol=tokens, outputCol="_counts", minDF=min_df, vocabSize=vocab_size).fit(docs)
+    frequency = document_frequency(docs, [], tokens).filter(F.col("df") >= min_df)
+    # Ties in word order: the seeded start of the training depends on the word ids.
+    words = [r.word for r in frequency.orderBy(F.desc("df"), "word").limit(vocab_size).collect()]
+    vectoriser = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="_counts")
+    counted = vectoriser.transform(docs.select(*doc_columns, tokens)).drop(tokens)
     # Every iteration reads the counts again, so they are written once.
-    counted = store(vectoriser.transform(docs.select(*doc_columns, tokens)).drop(tokens), "word-counts")
+    counted = store(counted.sortWithinPartitions(*doc_columns), "word-counts")
     lda = LDA(
         k=n_topics,
         maxIter=max_iter,
@@ -200,10 +206,10 @@ def fit_lda(
     )
     model = lda.fit(counted)
     spark = docs.sparkSession
-    described = model.describeTopics(len(vectoriser.vocabulary)).select(
+    described = model.describeTopics(len(words)).select(
         F.col("topic").alias("topic_id"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")
     )
-    vocab = spark.createDataFrame(list(enumerate(vectoriser.vocabulary)), "word_id int, word string")
+    vocab = spark.createDataFrame(list(enumerate(words)), "word_id int, word string")
     phi = described.select("topic_id", F.col("t.termIndices").alias("word_id"), F.col("t.termWeights").alias("weight"))
     theta = model.transform(counted).select(*doc_columns, vector_to_array("_theta").alias("theta"))
     return phi.join(vocab, "word_id").drop("word_id"), theta
