@@ -26,6 +26,11 @@ UNICODE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# Patterns of the token and tag formats.
+HTML_TAG = r"<[^\n]*?>"
+TAGGED_WORD = r"(.*)#"
+TAGGER_LINE = r"(?s)(.+)\t(.+),"
+ACCEPTED_POS = ("NOUN", "PROPN", "ADJ", "ADV", "VERB")
 LETTER_RUN = r"\p{L}+"
 WORD_OF_TWO = r"[\p{L}\p{N}_]{2,}"
 NON_ASCII = r"[^\x00-\x7F]"
@@ -63,7 +68,7 @@ def delete_chars(text: Column, chars: str, extra_class: str = "") -> Column:
 
 
 def strip_html(text: Column) -> Column:
-    return F.regexp_replace(text, r"<[^\n]*?>", "")
+    return F.regexp_replace(text, HTML_TAG, "")
 
 
 def normalise_script(text: Column, matching: str, replacement: str) -> Column:
@@ -114,7 +119,7 @@ def token_accepted(
     *,
     want_stop: bool = False,
     want_alpha: bool = True,
-    accept_pos: Sequence[str] = ("NOUN", "PROPN", "ADJ", "ADV", "VERB"),
+    accept_pos: Sequence[str] = ACCEPTED_POS,
     use_entity: bool = True,
 ) -> Column:
     """Keep rule for one token struct; an entity mark in ``shape`` overrides the others."""
@@ -148,16 +153,15 @@ def pos_filter_tagged(tagged: Column, tags: Sequence[str] = ("#N", "#V")) -> Col
             hit = hit | item.contains(tag)
         return hit
 
-    words = F.transform(F.filter(tagged, accepted), lambda t: F.regexp_extract(t, r"(.*)#", 1))
+    words = F.transform(F.filter(tagged, accepted), lambda t: F.regexp_extract(t, TAGGED_WORD, 1))
     return F.filter(words, lambda w: (F.char_length(w) >= 2) & ~is_ascii(w))
 
 
 def parse_tagger_line(line: Column) -> tuple[Column, Column]:
     """``word TAB features,`` to ``(word, word#POS)``; NULL where the shape differs."""
-    pattern = r"(?s)(.+)\t(.+),"
-    matched = line.rlike(pattern)
-    word = F.when(matched, F.regexp_extract(line, pattern, 1))
-    pos = F.substring_index(F.regexp_extract(line, pattern, 2), ",", 1)
+    matched = line.rlike(TAGGER_LINE)
+    word = F.when(matched, F.regexp_extract(line, TAGGER_LINE, 1))
+    pos = F.substring_index(F.regexp_extract(line, TAGGER_LINE, 2), ",", 1)
     return word, F.when(matched, F.concat(word, F.lit("#"), pos))
 
 

@@ -21,6 +21,11 @@ TOPIC_CODE_CLASS = "bip:topics:1.0"
 CLASS_CODES = ("CCAT", "ECAT", "GCAT", "MCAT")
 # Fixed value: words read from a vector file at most.
 MAX_VOCAB_SIZE = 200_000
+# Line formats of topic files and training logs.
+TOPIC_LINE = r"Topic\d+:\s(.*)"
+TOPIC_BREAK = "-"
+ITEM_SEPARATOR = "   "
+PERPLEXITY_LINE = r"(-*\d+\.\d+) per-word .* (\d+\.\d+) perplexity"
 
 
 def _split(sep: str) -> Column:
@@ -150,9 +155,8 @@ def read_bidict(spark: SparkSession, path: str, sep: str = " ", **options) -> Da
 
 def parse_topics_lftm(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``Topic<n>: w1 w2 …`` lines to ``(topic_id, rank, word)``; topics in file order."""
-    pattern = r"Topic\d+:\s(.*)"
-    topics = lines.filter(F.col("line").rlike(pattern)).withColumn(
-        "words", F.split(F.regexp_extract("line", pattern, 1), " ", -1)
+    topics = lines.filter(F.col("line").rlike(TOPIC_LINE)).withColumn(
+        "words", F.split(F.regexp_extract("line", TOPIC_LINE, 1), " ", -1)
     )
     numbered = number_by_id(topics, keys, "line_no", out="topic_id")
     return _ranked(numbered, keys)
@@ -172,8 +176,8 @@ def parse_topics_csv_dash(lines: DataFrame, keys: Sequence[str] = ()) -> DataFra
     word = F.from_csv("line", F.lit("w string"))["w"]
     rows = lines.withColumn("word", word)
     order = W.partitionBy(*keys).orderBy("line_no")
-    topic = F.sum(F.when(F.col("word") == "-", 1).otherwise(0)).over(order)
-    words = rows.withColumn("topic_id", topic.cast("long")).filter(F.col("word") != "-")
+    topic = F.sum(F.when(F.col("word") == TOPIC_BREAK, 1).otherwise(0)).over(order)
+    words = rows.withColumn("topic_id", topic.cast("long")).filter(F.col("word") != TOPIC_BREAK)
     rank = F.row_number().over(W.partitionBy(*keys, "topic_id").orderBy("line_no"))
     return words.select(*keys, "topic_id", rank.alias("rank"), "word")
 
@@ -194,7 +198,7 @@ def parse_topics_polylingual(lines: DataFrame, keys: Sequence[str] = ()) -> Data
 
 def parse_topics_mtm(lines: DataFrame, n_topics: int, keys: Sequence[str] = ()) -> DataFrame:
     """Two blocks of ``n_topics`` lines; items split by three spaces, the first is a flag."""
-    items = F.split(F.rtrim("line"), "   ", -1)
+    items = F.split(F.rtrim("line"), ITEM_SEPARATOR, -1)
     words = F.transform(F.slice(items, 2, F.size(items)), lambda w: F.substring_index(w, ":", 1))
     topics = lines.filter(F.col("line_no") < 2 * n_topics).select(
         *keys,
@@ -250,12 +254,11 @@ def read_rho(spark: SparkSession, path: str, n_topics: int) -> DataFrame:
 
 def parse_perplexity_log(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``(iter, likelihood, perplexity)`` of the log lines that report both."""
-    pattern = r"(-*\d+\.\d+) per-word .* (\d+\.\d+) perplexity"
-    rows = lines.filter(F.col("line").rlike(pattern)).select(
+    rows = lines.filter(F.col("line").rlike(PERPLEXITY_LINE)).select(
         *keys,
         "line_no",
-        F.regexp_extract("line", pattern, 1).try_cast("double").alias("likelihood"),
-        F.regexp_extract("line", pattern, 2).try_cast("double").alias("perplexity"),
+        F.regexp_extract("line", PERPLEXITY_LINE, 1).try_cast("double").alias("likelihood"),
+        F.regexp_extract("line", PERPLEXITY_LINE, 2).try_cast("double").alias("perplexity"),
     )
     return number_by_id(rows, keys, "line_no", out="iter").select(*keys, "iter", "likelihood", "perplexity")
 
