@@ -5,12 +5,14 @@ of TREES x DEPTH minima is cut into TREES sorted orders; nodes whose longest com
 an order is at least MIN_DEPTH minima lie in one region of it. Candidates come in two rounds:
 first the neighbours in each order and the pairs of each member with its region's first node,
 then, when confirmed links have been contracted, every pair of different components that is
-left in a region. A region of more than REGION nodes is searched at greater depth in the
-second round, so depth adapts to how crowded an order is; no region is cut. Links are
-confirmed on full sets.
+left in a region and whose sizes and signatures allow a link. A region of more than REGION
+nodes is searched at greater depth in the second round, so depth adapts to how crowded an
+order is; no region is cut. Links are confirmed on full sets.
 
 Two texts at the threshold of 0.85 share MIN_DEPTH = 4 minima in none of 14 orders with
-probability (1 - 0.85**4)**14 = 3e-5.
+probability (1 - 0.85**4)**14 = 3e-5, and fall short of the agreement that the second round
+asks of signatures with about the same probability. In a crowded region a pair can be missed
+at greater depth only if no chain of other links joins the two.
 
 Defined results: a null or blank text has an empty set and is linked with nothing. Rows
 without doc_id are linked with nothing, keep component null and are kept. Rows that share a
@@ -30,7 +32,8 @@ from lingospan.llm.components import connected_components
 from lingospan.llm.tables import ids_and_texts, store
 
 TREES, DEPTH, MIN_DEPTH = 14, 8, 4
-REGION = 64
+DEEPER = (6, 8, 12, 16, 24, 32)
+REGION = 512
 _SEEDS = wd.constants(TREES * DEPTH, 11)
 _PLACES = wd.constants(8, 13)
 
@@ -113,27 +116,65 @@ def _neighbours(batches):
         last = (regions[-1], nodes[-1])
 
 
+def _order(depth: int):
+    """The first ``depth`` minima of an order; deep ones run on into the next orders."""
+    return F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + 1, depth)
+
+
+def _region(depth: int):
+    return F.xxhash64("tree", F.lit(depth), _order(depth))
+
+
 def _regions(nodes: DataFrame) -> DataFrame:
-    """One row per node and order whose region there holds other nodes too."""
-    orders = nodes.select("node", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.struct(t.alias("tree"), F.slice("signature", t * DEPTH + 1, DEPTH).alias("minima")),
-    )).alias("o")).select("node", "o.tree", "o.minima")
-    depth = lambda d: F.xxhash64("tree", F.slice("minima", 1, d))
-    orders = orders.withColumn("region", depth(MIN_DEPTH))
-    crowds = orders.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
+    """One row per node and order whose region there holds other nodes too.
+
+    The hub of a region is the member that shares regions with most nodes: in a family of
+    edited copies that is the text they were copied from.
+    """
+    orders = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    orders = orders.select("node", "tree", _order(DEPTH).alias("minima"), _region(MIN_DEPTH).alias("region"))
+    crowds = orders.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
     found = store(orders.join(crowds, "region"), "regions")
-    narrow = None
-    for d in (MIN_DEPTH + 2, DEPTH):
-        deep = found.where(F.col("size") > REGION).select("node", depth(d).alias("deep"))
-        sizes = deep.groupBy("deep").agg(F.count("*").alias("n"))
-        narrow = sizes if narrow is None else narrow.unionByName(sizes)
-    middle, deepest = depth(MIN_DEPTH + 2), depth(DEPTH)
-    small = found.where(F.col("size") <= REGION).select("node", F.col("region").alias("place"))
-    crowded = found.where(F.col("size") > REGION).select("node", middle.alias("deep"), deepest.alias("deepest")).join(narrow, "deep")
-    crowded = crowded.select("node", F.when(F.col("n") <= REGION, F.col("deep")).otherwise(F.col("deepest")).alias("place"))
-    places = store(small.unionByName(crowded), "places")
-    return found, places
+    weights = found.groupBy("node").agg(F.sum("size").alias("weight"))
+    heaviest = F.max(F.struct("weight", (-F.col("node")).alias("least")))
+    hubs = found.select("node", "region").join(weights, "node").groupBy("region").agg((-heaviest["least"]).alias("hub"))
+    return store(found.join(hubs, "region"), "hubs")
+
+
+def _places(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``place, size, node``: each region at the least depth that leaves it REGION nodes at most."""
+    crowded = found.where(F.col("size") > REGION).select("node", "tree").join(nodes.select("node", "signature"), "node")
+    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _region(d).alias("place")) for d in DEEPER])).alias("at")
+    crowded = store(crowded.select("node", "tree", levels).select("node", "tree", "at.*"), "depths")
+    sizes = crowded.groupBy("place").agg(F.count("*").alias("size"))
+    first = F.min(F.struct((F.col("size") > REGION).alias("large"), F.when(F.col("size") > REGION, -F.col("depth")).otherwise(F.col("depth")).alias("rank"), "place", "size"))
+    deep = crowded.join(sizes, "place").groupBy("node", "tree").agg(first.alias("at")).select("at.place", "at.size", "node")
+    return found.where(F.col("size") <= REGION).select(F.col("region").alias("place"), "size", "node").unionByName(deep)
+
+
+def _across(share: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of different components in one place whose sizes and signatures allow a link."""
+        group = group.drop_duplicates("node").sort_values("node")
+        node, part, n = (group[c].to_numpy() for c in ("node", "component", "n_shingles"))
+        minima = np.stack(group["signature"].to_numpy()) if len(group) else np.zeros((0, TREES * DEPTH), np.int32)
+        out_a, out_b = [], []
+        for i in range(len(node) - 1):
+            low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+            near = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * low >= share * high)) + i + 1
+            near = near[(minima[near] == minima[i]).sum(axis=1) >= least_agreement(share)]
+            out_a.append(np.full(len(near), node[i]))
+            out_b.append(node[near])
+        empty = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate(out_a + empty), "b": np.concatenate(out_b + empty)})
+
+    return run
+
+
+def least_agreement(share: int) -> int:
+    """Equal minima that two sets at the threshold fall short of once in 30,000 pairs."""
+    n, p = TREES * DEPTH, share / 100
+    return int(n * p - 4 * (n * p * (1 - p)) ** 0.5)
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -173,7 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, share: int = 85) -> DataFram
         .withColumn("node", F.monotonically_increasing_id())
     )
     nodes = store(nodes, "nodes")
-    found, places = _regions(nodes)
+    found = _regions(nodes)
 
     hubs = found.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     n_parts = max(nodes.sparkSession.sparkContext.defaultParallelism, found.rdd.getNumPartitions())
@@ -187,15 +228,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, share: int = 85) -> DataFram
 
     links = store(_confirm(hubs.unionByName(near), nodes, sets, share), "links")
     labels = store(connected_components(links), "labels")
-    placed = places.join(labels, "node", "left").select("place", "node", F.coalesce("component", "node").alias("component"))
+    placed = _places(found, nodes).join(labels, "node", "left").select("place", "size", "node", F.coalesce("component", "node").alias("component"))
+    placed = store(placed, "places")
     mixed = placed.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    placed = store(placed.join(mixed.select("place"), "place").distinct(), "mixed")
-    parts = placed.select("place", "component").distinct()
-    between = parts.alias("x").join(parts.alias("y"), "place").where("x.component < y.component")
-    between = between.select("place", F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-    left = placed.select("place", F.col("component").alias("ca"), F.col("node").alias("a"))
-    right = placed.select("place", F.col("component").alias("cb"), F.col("node").alias("b"))
-    across = between.join(left, ["place", "ca"]).join(right, ["place", "cb"]).select("a", "b")
+    # A place that stays large at full depth is compared in blocks, each pair of blocks in a task.
+    n_blocks = F.ceil(F.col("size") / REGION).cast("int")
+    placed = placed.join(mixed.select("place"), "place").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    placed = placed.select("place", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "component")
+    placed = placed.join(nodes.select("node", "n_shingles", "signature"), "node")
+    across = placed.groupBy("place", "x", "y").applyInPandas(_across(share), "a long, b long")
     more = store(_confirm(across, nodes, sets, share), "more-links")
     labels = connected_components(links.unionByName(more))
 
