@@ -32,8 +32,8 @@ from lingospan.llm.components import connected_components
 from lingospan.llm.tables import ids_and_texts, store
 
 TREES, DEPTH, MIN_DEPTH = 14, 8, 4
-DEEPER = (6, 8, 12, 16, 24, 32)
-REGION = 512
+DEEPER = (5, 6, 8, 10, 12, 16, 24, 32)
+REGION = 1024
 _SEEDS = wd.constants(TREES * DEPTH, 11)
 _PLACES = wd.constants(8, 13)
 
