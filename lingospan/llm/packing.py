@@ -16,6 +16,7 @@ a document, also without doc_id or with a repeated one.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 
@@ -32,7 +33,8 @@ from lingospan.llm.tables import ids_and_texts, store
 
 CAPACITY = 2048
 END_MARK = 0
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_000_000
+MARK, JOINED = "<|startoftext|>", 512
 PRICE_STEPS = 16
 BATCH = 256
 FULL = 0.9985
@@ -48,14 +50,18 @@ SIGN[[c for c in range(0x21, 0x7F) if not LETTER[c] and chr(c) not in "'01234567
 class WordTokenizer:
     """Ids of texts, encoding each distinct chunk once.
 
-    Chunks end at ASCII white space and between an ASCII letter and another ASCII sign except
+    For tokenizers that lower-case, as the one of the registered query does. Chunks end at
+    ASCII white space and between an ASCII letter and another ASCII sign except
     the apostrophe; the tokenizer never joins anything over these borders.
     """
 
     def __init__(self, path: str):
+        # Spark already runs a task per core; more threads would only hold more memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mark_id = self.tokenizer.token_to_id(MARK)
         self.forget()
 
     def forget(self) -> None:
@@ -63,6 +69,32 @@ class WordTokenizer:
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks, where each begins among them and how many it has.
+
+        Many chunks are one text, with a special token between them that splits it again.
+        """
+        whole = [c.decode() for c in chunks]
+        alone = np.array([self.mark_id is None or "<|" in c for c in whole], bool)
+        joined = [whole[i] for i in np.flatnonzero(~alone)]
+        texts = [MARK.join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)]
+        ids, sizes = [], np.zeros(len(chunks), np.int64)
+        out = []
+        for i in range(0, len(texts), 8):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + 8], add_special_tokens=False):
+                part = np.array([*e.ids, self.mark_id], np.uint32)
+                ends = np.flatnonzero(part == self.mark_id)
+                out.append(np.diff(ends, prepend=-1) - 1)
+                ids.append(part[part != self.mark_id])
+        sizes[~alone] = np.concatenate(out) if out else 0
+        single = [np.array(self.tokenizer.encode(whole[i], add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(alone)]
+        sizes[alone] = [len(x) for x in single]
+        ids = np.concatenate([*ids, *single, np.zeros(0, np.uint32)])
+        places = np.empty(len(chunks), np.int64)
+        order = np.concatenate([np.flatnonzero(~alone), np.flatnonzero(alone)])
+        places[order] = np.cumsum(sizes[order]) - sizes[order]
+        return ids, places, sizes
+
     def ids(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, each text ended by END_MARK, and their borders."""
         data, offsets = wd.text_bytes(column)
@@ -73,17 +105,17 @@ class WordTokenizer:
             cuts = cuts[~np.isin(cuts, offsets)]
             starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
             first = np.searchsorted(starts, offsets)
-        distinct, example, which = np.unique(wd.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        # The tokenizer ignores case, but its special tokens do not.
+        folded = data if b"<|" in (raw := data.tobytes()) else wd.FOLD[data]
+        distinct, example, which = np.unique(wd.word_hashes(folded, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > MEMO_WORDS:
             self.forget()
         at = np.searchsorted(self.known, distinct)
         new = np.flatnonzero((at == len(self.known)) | (self.known[np.minimum(at, max(0, len(self.known) - 1))] != distinct)) if len(self.known) else np.arange(len(distinct))
         if len(new):
-            raw = data.tobytes()
-            lists = [e.ids for e in self.encode([raw[starts[i] : ends[i]].decode() for i in example[new]], add_special_tokens=False)]
-            sizes = np.array([len(x) for x in lists], np.int64)
-            places = len(self.pool) + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, np.array([t for x in lists for t in x], np.uint32)])
+            ids, places, sizes = self.encoded([raw[starts[i] : ends[i]] for i in example[new]])
+            places = places + len(self.pool)
+            self.pool = np.concatenate([self.pool, ids])
             gap = at[new] if len(at) else new * 0
             self.known = np.insert(self.known, gap, distinct[new])
             self.start = np.insert(self.start, gap, places)
