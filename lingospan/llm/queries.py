@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingospan.llm import decontamination, language_id, near_dedup, packing, secret_scan
+from lingospan.llm import decontamination, fingerprint, language_id, near_dedup, packing, secret_scan, substring_dedup
 from lingospan.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path())
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.without_repeats(documents(spark, sf_dir)))
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(fingerprint.fingerprinted(documents(spark, sf_dir)))
+
+
 def learnable_languages(docs: DataFrame) -> DataFrame:
     return docs.where(language_id.fold("doc_id", 4) != 2)
 
