@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lingospan.llm import decontamination, fingerprint, language_id, near_dedup, packing, secret_scan, substring_dedup
+from lingospan.llm import (
+    decontamination,
+    fingerprint,
+    language_id,
+    license_scan,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    substring_dedup,
+    toxicity,
+)
 from lingospan.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +44,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_secret_scans"] = secret_scan.oracle()
 
 
+@query
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(documents(spark, sf_dir)))
+
+
+ORACLES["op2_license_scans"] = license_scan.oracle()
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path())
@@ -60,6 +79,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(docs, machine).select("doc_id", held_out, "lang_pred", "score")
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels.where(language_id.fold("doc_id", 5) != 0))
+    held_out = (F.col("doc_id").isNotNull() & (language_id.fold("doc_id", 5) == 0)).alias("held_out")
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.scored(docs, net).select("doc_id", held_out, "score", predicted, "n_windows")
+
+
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
@@ -70,6 +98,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    known = labels.where(language_id.fold("doc_id", 5) != 0)
+    path = F.concat_ws("/", "source", F.coalesce("lang", F.lit(quality.NO_SITE)))
+    return quality.rated(docs, known, F.col("source"), path)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
