@@ -28,6 +28,10 @@ def difference(spark_df, con, sql: str) -> str | None:
         return f"columns {names} against {sorted(theirs.columns)}"
     if len(ours) != len(theirs):
         return f"{len(ours)} rows against {len(theirs)}"
+    for n in names:
+        # A column of integers with nulls comes as floats on one side and as Int64 on the other.
+        if theirs[n].dtype.kind == "i" and ours[n].dtype.kind == "f" and ours[n].isna().any():
+            ours[n], theirs[n] = ours[n].astype("Int64"), theirs[n].astype("Int64")
     kinds = {
         n: (ours[n].dtype.kind, theirs[n].dtype.kind)
         for n in names
