@@ -152,21 +152,39 @@ def _places(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.where(F.col("size") <= REGION).select(F.col("region").alias("place"), "size", "node").unionByName(deep)
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
 def _across(share: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components in one place whose sizes and signatures allow a link."""
+        """Links that join different components of one place, confirmed on full sets.
+
+        Sizes and signatures rule most pairs out; a pair that earlier links of the place
+        already join is passed over.
+        """
         group = group.drop_duplicates("node").sort_values("node")
-        node, part, n = (group[c].to_numpy() for c in ("node", "component", "n_shingles"))
-        minima = np.stack(group["signature"].to_numpy()) if len(group) else np.zeros((0, TREES * DEPTH), np.int32)
-        out_a, out_b = [], []
+        node, part = group["node"].to_numpy(), group["component"].to_numpy().copy()
+        sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
+        n = np.array([len(x) for x in sets])
+        minima = np.stack(group["signature"].to_numpy())
+        links = []
         for i in range(len(node) - 1):
             low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
             near = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * low >= share * high)) + i + 1
             near = near[(minima[near] == minima[i]).sum(axis=1) >= least_agreement(share)]
-            out_a.append(np.full(len(near), node[i]))
-            out_b.append(node[near])
-        empty = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(out_a + empty), "b": np.concatenate(out_b + empty)})
+            for j in near.tolist():
+                if part[i] == part[j]:
+                    continue
+                common = _common(sets[i], sets[j])
+                if 100 * common >= share * (n[i] + n[j] - common):
+                    links.append((node[i], node[j]))
+                    part[part == part[j]] = part[i]
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
@@ -193,10 +211,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, share: int) ->
         out = []
         for x, y in zip(left, right, strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            common = _common(x, y)
             out.append(100 * common >= share * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
@@ -236,9 +251,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, share: int = 85) -> DataFram
     placed = placed.join(mixed.select("place"), "place").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     placed = placed.select("place", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "component")
-    placed = placed.join(nodes.select("node", "n_shingles", "signature"), "node")
-    across = placed.groupBy("place", "x", "y").applyInPandas(_across(share), "a long, b long")
-    more = store(_confirm(across, nodes, sets, share), "more-links")
+    placed = placed.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    more = store(placed.groupBy("place", "x", "y").applyInPandas(_across(share), "a long, b long"), "more-links")
     labels = connected_components(links.unionByName(more))
 
     named = nodes.select("node", "set_key", "doc_id").join(labels, "node", "left")
