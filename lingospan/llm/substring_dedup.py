@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +81,10 @@ def _suffixes(size: int):
             raw = data.tobytes()
             pieces = [raw[a:b].decode() for a, b in zip(starts[at], ends[at + count + size - 2], strict=True)]
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [block.column(0).take(take), block.column(2).take(take), pa.array(key.view(np.int64)), pa.array(at - first[doc], pa.int64()), pa.array(pieces, pa.string())],
-                ["doc_id", "version", "prefix", "at", "words"],
-            )
+            low, high = _content_keys(pieces)
+            columns = [block.column(0).take(take), block.column(2).take(take), pa.array(key.view(np.int64)), pa.array(at - first[doc], pa.int64())]
+            columns += [pa.array(low), pa.array(high), pa.array(pieces, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "prefix", "at", "low", "high", "words"])
 
     return run
 
@@ -101,7 +102,7 @@ def _window_words(texts: list[str], size: int):
 
 def _tree(size: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Windows below deep nodes of one group's tree that have a smaller document there."""
+        """For each window of a segment, the smallest document below its deep node."""
         data, starts, ends, segment, place, head = _window_words(group["words"].tolist(), size)
         raw = data.tobytes()
         codes = pd.factorize(np.array([raw[a:b] for a, b in zip(starts, ends, strict=True)], object))[0].astype(np.int32)
@@ -111,30 +112,40 @@ def _tree(size: int):
         common = np.where(differs.any(axis=1), differs.argmax(axis=1), size)
         node = np.flatnonzero(np.concatenate([[True], common < size]))
         docs = group["doc_id"].to_numpy()[segment[order]]
-        lowest = np.repeat(np.minimum.reduceat(docs, node), np.diff(np.concatenate([node, [len(docs)]])))
-        hit = order[docs > lowest]
-        mask = np.zeros(len(group), np.int64)
-        np.bitwise_or.at(mask, segment[hit], np.int64(1) << place[hit])
-        out = group[["doc_id", "version", "at"]].assign(mask=mask)
-        return out[mask != 0]
+        lowest = np.empty(len(docs), np.int64)
+        lowest[order] = np.repeat(np.minimum.reduceat(docs, node), np.diff(np.concatenate([node, [len(docs)]])))
+        cuts = np.flatnonzero(np.diff(segment)) + 1
+        out = group[["low", "high"]].copy()
+        out["lowest"] = np.split(lowest, cuts)
+        return out
 
     return run
 
 
+def _content_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the word sequence of each text."""
+    data, offsets = wd.text_bytes(pa.array(texts, pa.string()))
+    starts, ends, first = wd.word_spans(data, offsets, wd.WHITE)
+    hashes, other = wd.word_hashes(data, starts, ends), wd.word_hashes(data[::-1], len(data) - ends, len(data) - starts)
+    place = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
+    low = np.add.reduceat(hashes * _PLACES[place], first[:-1]) if len(texts) else hashes
+    high = np.add.reduceat(other * _PLACES[63 - place], first[:-1]) if len(texts) else other
+    return wd.mix(low).view(np.int64), wd.mix(high).view(np.int64)
+
+
 def _whole_windows(size: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(4).to_pylist()
-            data, starts, ends, segment, place, head = _window_words(texts, size)
+            data, starts, ends, segment, place, head = _window_words(batch.column(3).to_pylist(), size)
             hashes, other = wd.word_hashes(data, starts, ends), wd.word_hashes(data[::-1], len(data) - ends, len(data) - starts)
             low, high = np.zeros(len(head), np.uint64), np.zeros(len(head), np.uint64)
             for k in range(size):
                 low += hashes[head + k] * _PLACES[k]
                 high += other[head + k] * _PLACES[k + size]
             take = pa.array(segment)
-            at = batch.column(3).take(take).to_numpy() + place
-            columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(at), pa.array(wd.mix(low).view(np.int64)), pa.array(wd.mix(high).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "at", "low", "high"])
+            columns = [batch.column(i).take(take) for i in range(3)]
+            columns += [pa.array(place, pa.int64()), pa.array(wd.mix(low).view(np.int64)), pa.array(wd.mix(high).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["low", "high", "doc_id", "place", "w_low", "w_high"])
 
     return run
 
@@ -148,14 +159,11 @@ def _kept(size: int):
             raw = data.tobytes()
             for i, marks in enumerate(block.column(2).to_pylist()):
                 a, n = first[i], int(first[i + 1] - first[i])
-                edge = np.zeros(n + 1, np.int64)
+                edge = np.zeros(n + 1, np.int64)  # windows that begin here less those that end
                 for mark in marks or ():
-                    at, mask = mark["at"], mark["mask"]
-                    while mask:
-                        low = (mask & -mask).bit_length() - 1
-                        edge[at + low] += 1
-                        edge[at + low + size] -= 1
-                        mask &= mask - 1
+                    at = mark["at"] + np.flatnonzero(mark["hit"])
+                    edge[at] += 1
+                    edge[at + size] -= 1
                 stay = np.flatnonzero(np.cumsum(edge[:n]) == 0) + a
                 kept = b" ".join([raw[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)])
                 rows.append((n, n - len(stay), kept.decode()))
@@ -165,32 +173,64 @@ def _kept(size: int):
     return run
 
 
-def repeated_windows(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, version, at, mask``: windows at word ``at + bit`` that a smaller document has."""
+def _packed(batches):
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for block in wd.blocks(batches):
+        raw = [squeeze.compress((t or "").encode()) for t in block.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(raw, pa.binary()), block.column(2)], ["doc_id", "text", "version"])
+
+
+def _unpacked(run):
+    """``run`` over batches whose texts come compressed, as they are shuffled."""
+
+    def unpacked(batches):
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = pa.array([expand.decompress(t).decode() for t in part.column(1).to_pylist()], pa.string())
+                yield from run([pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[2:]], part.schema.names)])
+
+    return unpacked
+
+
+def repeated_windows(texts: DataFrame, packed: DataFrame, size: int = SIZE) -> DataFrame:
+    """``doc_id, version, at, hit``: which windows from word ``at`` on a smaller document has."""
     keys = texts.mapInArrow(_keys(size), "doc_id long, version int, prefix long")
-    shared = keys.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    shared = store(shared.select("prefix", "n"), "shared-prefixes")
-    wanted = keys.join(shared.select("prefix"), "prefix").groupBy("doc_id", "version").agg(F.collect_list("prefix").alias("prefixes"))
-    marked = texts.join(wanted, ["doc_id", "version"]).select("doc_id", "text", "version", "prefixes")
-    suffixes = store(marked.mapInArrow(_suffixes(size), "doc_id long, version int, prefix long, at long, words string"), "suffixes")
-    counts = suffixes.groupBy("prefix").agg(F.count("*").alias("segments"))
+    shared = keys.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    shared = store(shared.select("prefix"), "shared-prefixes")
+    wanted = keys.join(shared, "prefix").groupBy("doc_id", "version").agg(F.collect_list("prefix").alias("prefixes"))
+    marked = packed.join(wanted, ["doc_id", "version"]).select("doc_id", "text", "version", "prefixes")
+    schema = "doc_id long, version int, prefix long, at long, low long, high long, words string"
+    suffixes = store(marked.mapInArrow(_unpacked(_suffixes(size)), schema), "suffixes")
+
+    # Equal segments are one: a passage in very many documents is a few rows in the trees.
+    once = suffixes.groupBy("prefix", "low", "high").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
+    once = store(once, "segments")
+    counts = once.groupBy("prefix").agg(F.count("*").alias("segments"))
     hot = store(counts.where(F.col("segments") > HOT).select("prefix"), "hot-prefixes")
-    n_groups = max(1, 5 * suffixes.count() // GROUP)
-    cold = suffixes.join(hot, "prefix", "left_anti").withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(n_groups)))
-    found = cold.groupBy("group").applyInPandas(_tree(size), "doc_id long, version int, at long, mask long")
-    whole = suffixes.join(hot, "prefix", "left_semi").select("doc_id", "version", "prefix", "at", "words")
-    whole = whole.mapInArrow(_whole_windows(size), "doc_id long, version int, at long, low long, high long")
-    lowest = whole.groupBy("low", "high").agg(F.min("doc_id").alias("lowest"))
-    whole = whole.join(lowest, ["low", "high"]).where("doc_id > lowest").select("doc_id", "version", "at", F.lit(1).cast("long").alias("mask"))
-    return found.unionByName(whole)
+    n_groups = max(1, 5 * once.count() // GROUP)
+    cold = once.join(hot, "prefix", "left_anti").withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(n_groups)))
+    found = cold.groupBy("group").applyInPandas(_tree(size), "low long, high long, lowest array<long>")
+    whole = once.join(hot, "prefix", "left_semi").select("low", "high", "doc_id", "words")
+    whole = whole.mapInArrow(_whole_windows(size), "low long, high long, doc_id long, place long, w_low long, w_high long")
+    least = whole.groupBy("w_low", "w_high").agg(F.min("doc_id").alias("lowest"))
+    whole = whole.join(least, ["w_low", "w_high"]).groupBy("low", "high").agg(F.array_sort(F.collect_list(F.struct("place", "lowest"))).alias("l"))
+    found = found.unionByName(whole.select("low", "high", F.col("l.lowest").alias("lowest")))
+    found = store(found.join(once.select("low", "high", "last"), ["low", "high"]).where(F.array_min("lowest") < F.col("last")).drop("last"), "trees")
+    marks = suffixes.select("doc_id", "version", "at", "low", "high").join(found, ["low", "high"])
+    marks = marks.where(F.array_min("lowest") < F.col("doc_id"))
+    return marks.select("doc_id", "version", "at", F.transform("lowest", lambda x: x < F.col("doc_id")).alias("hit"))
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every row of ``docs`` (doc_id, text)."""
     texts = ids_and_texts(docs).withColumn("version", F.xxhash64("text").bitwiseAND(0xFFFF).cast("int"))
-    found = repeated_windows(texts.where("doc_id is not null"), size)
-    marks = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "mask")).alias("marks"))
-    return texts.join(marks, ["doc_id", "version"], "left").select("doc_id", "text", "marks").mapInArrow(_kept(size), "doc_id long, n_words long, n_removed long, kept string")
+    packed = texts.mapInArrow(_packed, "doc_id long, text binary, version int")
+    found = repeated_windows(texts.where("doc_id is not null"), packed.where("doc_id is not null"), size)
+    marks = found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "hit")).alias("marks"))
+    rows = packed.join(marks, ["doc_id", "version"], "left").select("doc_id", "text", "marks")
+    return rows.mapInArrow(_unpacked(_kept(size)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:
