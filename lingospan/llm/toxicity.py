@@ -28,7 +28,7 @@ from lingospan.llm.tables import ids_and_texts
 WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, GRAM_BUCKETS, EMBEDDING, HIDDEN, ATTENTION = 4096, 4096, 8, 12, 8
 PER_LABEL = 1200
-ROUNDS, EPOCHS, BATCH = 3, 3, 200
+ROUNDS, EPOCHS, BATCH, LEAST_STEPS = 3, 3, 200, 100
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -215,7 +215,7 @@ def train(texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
         others = np.flatnonzero(labels[text] == 0)
         others = others[rng.permutation(len(others))[: 2 * len(top)]]
         chosen = np.concatenate([top, others])
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(chosen)))):
             chosen = chosen[rng.permutation(len(chosen))]
             for at in range(0, len(chosen), BATCH):
                 batch = chosen[at : at + BATCH]
