@@ -32,16 +32,15 @@ def train_word2vec(
     window: int = 5,
     min_count: int = 15,
     max_iter: int = 1,
-    partitions: int | None = None,
+    partitions: int = 8,
     seed: int = 1,
     tokens: str = "tokens",
 ) -> DataFrame:
     """``(word, vec)`` trained on token arrays (hierarchical softmax).
 
-    Partitions train side by side and are averaged after each pass; the default is one per
-    core of the session.
+    Partitions train side by side and are averaged after each pass, so their number is part
+    of the model and does not follow the cores of the session.
     """
-    partitions = partitions or sentences.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(
         vectorSize=vector_size,
         windowSize=window,
@@ -195,19 +194,23 @@ def nearest(
             scores = a @ b.T
             if metric == "softmax":
                 scores = np.exp(beta * scores) / s["weight"].to_numpy()[None, :]
-        own = q["query_id"].to_numpy()[:, None] == s["item_id"].to_numpy()[None, :]
-        scores = np.where(own, -np.inf, np.round(scores, 12))
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :top_n]
-        n = order.shape[1]
-        out = pd.DataFrame(
-            {
-                key: np.repeat(q[key].to_numpy(), n),
-                "query_id": np.repeat(q["query_id"].to_numpy(), n),
-                "item_id": s["item_id"].to_numpy()[order.ravel()],
-                "score": np.take_along_axis(scores, order, 1).ravel(),
-            }
+        scores = np.round(scores, 12)
+        names, ids = s["item_id"].to_numpy(), q["query_id"].to_numpy()
+        first, last = np.searchsorted(names, ids, "left"), np.searchsorted(names, ids, "right")
+        for i in np.flatnonzero(first < last):
+            scores[i, first[i] : last[i]] = -np.inf
+        n = min(top_n, len(names))
+        least = np.partition(scores, len(names) - n, axis=1)[:, len(names) - n]
+        # Everything tied with the last place is taken, then cut in item order.
+        row, column = np.nonzero(scores >= least[:, None])
+        order = np.lexsort((column, -scores[row, column], row))
+        row, column = row[order], column[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = (place < n) & np.isfinite(scores[row, column])
+        row, column = row[kept], column[kept]
+        return pd.DataFrame(
+            {key: q[key].to_numpy()[row], "query_id": ids[row], "item_id": names[column], "score": scores[row, column]}
         )
-        return out[np.isfinite(out["score"])]
 
     partial = (
         left.groupBy(key, "_q", "_s")
@@ -271,13 +274,14 @@ def translation_precision(
         hit = F.col("neighbour") == F.col("expected")
     else:
         hit = F.col("neighbour").contains(F.col("expected"))
-    joined = test_pairs.join(neighbours, [key, "query_word"], "left")
-    counts = joined.groupBy(key, "query_word", "expected").agg(
+    # A pair that is listed several times is looked up once and counts as often as it is listed.
+    pairs = test_pairs.groupBy(key, "query_word", "expected").agg(F.count(F.lit(1)).alias("n"))
+    joined = pairs.join(neighbours, [key, "query_word"], "left")
+    counts = joined.groupBy(key, "query_word", "expected", "n").agg(
         *[F.count_if(hit & (F.col("rank") <= c)).alias(f"p{c}") for c in cuts]
     )
-    return counts.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_pairs"), *[F.avg(f"p{c}").alias(f"p_at_{c}") for c in cuts]
-    )
+    means = [(F.sum(F.col("n") * F.col(f"p{c}")) / F.sum("n")).alias(f"p_at_{c}") for c in cuts]
+    return counts.groupBy(key).agg(F.sum("n").alias("n_pairs"), *means)
 
 
 # --- language dimensions ----------------------------------------------------------------

@@ -37,13 +37,15 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], by: str,
     return joined.drop("_part")
 
 
-def tag_split_labels(documents: DataFrame, index_lines: DataFrame) -> DataFrame:
-    """Attach ``data_type`` to the documents an index line ``sub_corpus-file_name`` names."""
+def tag_split_labels(documents: DataFrame, index_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Attach ``data_type`` to the documents an index line ``sub_corpus-file_name`` names.
+
+    The second frame holds index lines that do not consist of two parts.
+    """
     parts = F.split("entry", "-")
-    index = index_lines.filter(F.size(parts) == 2).select(
-        parts[0].alias("sub_corpus"), parts[1].alias("file_name"), "data_type"
-    )
-    return documents.join(index, ["sub_corpus", "file_name"])
+    good = F.coalesce(F.size(parts) == 2, F.lit(False))
+    index = index_lines.filter(good).select(parts[0].alias("sub_corpus"), parts[1].alias("file_name"), "data_type")
+    return documents.join(index, ["sub_corpus", "file_name"]), index_lines.filter(~good)
 
 
 def _regroup(terms: DataFrame, doc_columns: Sequence[str], tokens: str) -> DataFrame:

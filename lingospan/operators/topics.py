@@ -129,12 +129,18 @@ def merge_theta(theta: DataFrame, topic_map: DataFrame) -> DataFrame:
 
 
 def theta_from_phi(
-    bow: DataFrame, phi: DataFrame, topics: Sequence[str], keys: Sequence[str] = (), doc_columns: Sequence[str] = ("doc_id", "lang")
+    docs: DataFrame,
+    bow: DataFrame,
+    phi: DataFrame,
+    topics: Sequence[str],
+    keys: Sequence[str] = (),
+    doc_columns: Sequence[str] = ("doc_id", "lang"),
 ) -> DataFrame:
     """Dense document-topic weights: counts times word-topic weights.
 
-    ``phi`` becomes one row per word holding its weight array, so a token row meets exactly
-    one row and the sum is an element-wise aggregate of a fixed-width array.
+    One row per row of ``docs(keys…, doc_columns…)``; a document without any known word has
+    zeros. ``phi`` becomes one row per word holding its weight array, so a token row meets
+    exactly one row and the sum is an element-wise aggregate of a fixed-width array.
     """
     weights = [
         F.coalesce(F.sum(F.when(F.col("topic_id") == t, F.col("weight"))), F.lit(0.0)).alias(f"_w{n}")
@@ -145,7 +151,10 @@ def theta_from_phi(
     sums = [F.sum(F.col("tf") * F.col(c)).alias(c) for c in columns]
     weighted = lookup_join(bow, wide, [*keys, "lang", "word"], doc_columns[0])
     totals = weighted.groupBy(*keys, *doc_columns).agg(*sums)
-    return totals.select(*keys, *doc_columns, F.array(*columns).alias("theta"))
+    totals = totals.select(*keys, *doc_columns, F.array(*columns).cast("array<double>").alias("theta"))
+    zeros = F.array_repeat(F.lit(0.0), len(topics))
+    every = docs.select(*keys, *doc_columns).join(totals, [*keys, *doc_columns], "left")
+    return every.withColumn("theta", F.coalesce("theta", zeros))
 
 
 def normalise_theta(theta: DataFrame) -> DataFrame:
@@ -176,20 +185,22 @@ def fit_lda(
     *,
     alpha_sum: float = 0.1,
     max_iter: int = 20,
-    min_df: int = 5,
-    vocab_size: int = 1 << 18,
+    min_df: int = 1,
+    vocab_size: int | None = None,
     seed: int = 1,
     doc_columns: Sequence[str] = ("doc_id",),
     tokens: str = "tokens",
 ) -> tuple[DataFrame, DataFrame]:
     """Online variational LDA: ``phi(topic_id, word, weight)`` and ``theta(doc…, theta)``.
 
-    ``alpha_sum`` is the Dirichlet mass over all topics. The vocabulary is the ``vocab_size``
-    words with the highest document frequency; it and phi pass the driver, as in Spark ML.
+    ``alpha_sum`` is the Dirichlet mass over all topics. The vocabulary is every word in at
+    least ``min_df`` documents, or with ``vocab_size`` the most frequent of them; it and phi
+    pass the driver, as in Spark ML.
     """
     frequency = document_frequency(docs, [], tokens).filter(F.col("df") >= min_df)
     # Ties in word order: the seeded start of the training depends on the word ids.
-    words = [r.word for r in frequency.orderBy(F.desc("df"), "word").limit(vocab_size).collect()]
+    ranked = frequency.orderBy(F.desc("df"), "word")
+    words = [r.word for r in (ranked if vocab_size is None else ranked.limit(vocab_size)).collect()]
     vectoriser = CountVectorizerModel.from_vocabulary(words, inputCol=tokens, outputCol="_counts")
     counted = vectoriser.transform(docs.select(*doc_columns, tokens)).drop(tokens)
     # Every iteration reads the counts again, so they are written once.

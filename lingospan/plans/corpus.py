@@ -209,8 +209,13 @@ class Corpus:
 
     @cached_property
     def theta(self) -> DataFrame:
-        """``(doc_id, lang, theta)`` with one weight per topic id, summing to one."""
-        return topics.normalise_theta(topics.theta_from_phi(self.bow, self.phi, self.topic_ids))
+        """``(doc_id, lang, theta)`` with one weight per topic id, summing to one.
+
+        A given theta file has a row for each document that was trained on, so documents
+        without any word have none here.
+        """
+        trained = self.docs.filter(F.size("tokens") > 0)
+        return topics.normalise_theta(topics.theta_from_phi(trained, self.bow, self.phi, self.topic_ids))
 
     @cached_property
     def theta_cells(self) -> DataFrame:

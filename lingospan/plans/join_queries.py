@@ -30,7 +30,8 @@ def tag_split_labels(c: Corpus):
         F.concat_ws("-", "sub_corpus", "file_name").alias("entry"),
         F.when(F.col("class") == 1, "train").otherwise("test").alias("data_type"),
     )
-    return matching.tag_split_labels(documents, index).select("doc_id", "data_type")
+    tagged, _ = matching.tag_split_labels(documents, index)
+    return tagged.select("doc_id", "data_type")
 
 
 @query(

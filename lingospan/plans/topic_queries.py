@@ -19,7 +19,7 @@ KS = (10, 20, 30, 40, 50)
 @query("lda_monolingual")
 def lda_monolingual(c: Corpus):
     """Top words of one model per language."""
-    phi, _ = topics.lda_per_language(c.docs, LANGUAGES, 10, max_iter=5)
+    phi, _ = topics.lda_per_language(c.docs, LANGUAGES, 10, min_df=5)
     top = topics.top_words_per_topic(phi, ["lang", "topic_id"], 20)
     return top.select("lang", "topic_id", "rank", "word", "weight")
 
@@ -28,7 +28,7 @@ def lda_monolingual(c: Corpus):
 def lda_polylingual(c: Corpus):
     """Top words per language of a model in which paired documents share their weights."""
     pairs = c.pair_docs.filter("model_id = 'en-fr'")
-    phi, _ = topics.lda_polylingual(pairs, 10, max_iter=5)
+    phi, _ = topics.lda_polylingual(pairs, 10, min_df=5)
     top = topics.top_words_per_topic(phi, ["lang", "topic_id"], 20)
     return top.select("lang", "topic_id", "rank", "word", "weight")
 
@@ -38,7 +38,7 @@ def lda_joint_concept(c: Corpus):
     """Top words per language of a model over shared concepts."""
     bidict = store(matching.dedupe_bidict(c.bidict.filter("model_id = 'en-fr'")), "bidict")
     docs = matching.concept_corpus(c.docs, bidict, SOURCE, "fr")
-    phi, _ = topics.fit_lda(docs, 10, max_iter=5)
+    phi, _ = topics.fit_lda(docs, 10, min_df=5)
     top = topics.top_words_per_topic(phi, ["topic_id"], 50)
     concepts = bidict.withColumn("concept", F.concat(F.lit("#"), F.col("seq").cast("string")))
     return topics.split_concept_topics(top, concepts, ["topic_id"], SOURCE)
@@ -108,13 +108,15 @@ def topic_mapping_flow_query(c: Corpus):
 
 @query(
     "theta_from_phi",
-    "SELECT doc_id, lang, topic_id, w AS weight FROM theta WHERE w > 0",
+    """SELECT d.doc_id, d.lang, t.topic_id, coalesce(h.w, 0)::DOUBLE AS weight FROM documents d
+    CROSS JOIN (SELECT DISTINCT source AS topic_id FROM documents) t
+    LEFT JOIN theta h ON h.doc_id = d.doc_id AND h.topic_id = t.topic_id""",
 )
 def theta_from_phi(c: Corpus):
-    theta = topics.theta_from_phi(c.bow, c.phi, c.topic_ids)
+    """Every document with every topic, those without a known word included."""
+    theta = topics.theta_from_phi(c.docs, c.bow, c.phi, c.topic_ids)
     names = F.array(*[F.lit(t) for t in c.topic_ids])
-    rows = theta.select("doc_id", "lang", F.inline(F.arrays_zip(names, "theta")).alias("topic_id", "weight"))
-    return rows.filter("weight > 0")
+    return theta.select("doc_id", "lang", F.inline(F.arrays_zip(names, "theta")).alias("topic_id", "weight"))
 
 
 RHO_SQL = """rho AS (SELECT s.model_id, substr(s.topic_id, 4)::INTEGER AS src_topic, substr(t.topic_id, 4)::INTEGER AS tgt_topic,
@@ -206,11 +208,10 @@ def pair_counts(c: Corpus) -> DataFrame:
 @query(
     "cooccurrence",
     "SELECT model_id, l1 AS lang1, w1 AS word1, l2 AS lang2, w2 AS word2, n FROM co",
-    views=PAIR_SQL.replace("FROM mtopic),\nhit", "FROM mtopic WHERE rank <= 20),\nhit"),
+    views=PAIR_SQL,
 )
 def cooccurrence_query(c: Corpus):
-    scored = c.model_topic_words.filter("rank <= 20")
-    return cooccurrence.cooccurrence(c.pair_docs, scored).select("model_id", "lang1", "word1", "lang2", "word2", "n")
+    return cooccurrence.cooccurrence(c.pair_docs, c.model_topic_words).select("model_id", "lang1", "word1", "lang2", "word2", "n")
 
 
 @query("coherence_umass", coherence_sql(UMASS, "umass"), views=PAIR_SQL)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lingospan.operators import dictionaries, embedding, matching
-from lingospan.plans.corpus import LANGUAGES, SOURCE, Corpus
+from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus
 from lingospan.plans.registry import query, six
 from lingospan.storage import store
 
@@ -43,17 +43,17 @@ SUMS = """len(v)::INTEGER AS width, round(list_sum(v) + 1e-9, 6) + 0.0 AS total,
   round(list_dot_product(v, list_transform(range(1, len(v) + 1), lambda i: i::DOUBLE)) + 1e-9, 6) + 0.0 AS weighted"""
 
 
-@query("train_word2vec")
+@query("train_word2vec", "SELECT lang, word, 100 AS width FROM freq WHERE cf >= 15")
 def train_word2vec(c: Corpus):
-    """Vectors of every language; each language is one training job."""
+    """Words that get a vector, with its width; each language is one training job."""
 
     def train(lang: str) -> DataFrame:
         sentences = c.docs.filter((F.col("lang") == lang) & (F.size("tokens") > 0))
-        return embedding.train_word2vec(sentences, vector_size=20).withColumn("lang", F.lit(lang))
+        return embedding.train_word2vec(sentences).withColumn("lang", F.lit(lang))
 
     with ThreadPoolExecutor(len(LANGUAGES)) as pool:
         spaces = list(pool.map(train, LANGUAGES))
-    return reduce(DataFrame.unionByName, spaces)
+    return reduce(DataFrame.unionByName, spaces).select("lang", "word", F.size("vec").alias("width"))
 
 
 @query(
@@ -74,14 +74,50 @@ def gram_cells(c: Corpus):
     return embedding.gram_cells(pairs).select("i", "j", six("xx").alias("xx"), six("xy").alias("xy"))
 
 
-@query("learn_translation_lstsq")
+CELLS_SQL = """FROM (SELECT unnest(['en-de', 'en-es', 'en-fr']) AS model_id),
+  (SELECT unnest(range(0, 64))::INTEGER AS i), (SELECT unnest(range(0, 64))::INTEGER AS j)"""
+
+
+def fitted(c: Corpus, learn) -> DataFrame:
+    """``(model_id, i, j, w, xx, xy)``: cells of the fitted matrix beside those of XᵀX and XᵀY."""
+    frames = []
+    for model in MODELS:
+        pairs = store(training_pairs(c, model), "training-pairs")
+        matrix = embedding.matrix_frame(c.spark, learn(pairs)).join(embedding.gram_cells(pairs), ["i", "j"])
+        frames.append(matrix.withColumn("model_id", F.lit(model)))
+    return store(reduce(DataFrame.unionByName, frames), "fitted")
+
+
+def product(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """``(model_id, i, j, name)`` of two matrices given as ``(model_id, i, k, x)`` and ``(model_id, k, j, y)``."""
+    cells = left.join(right, ["model_id", "k"]).groupBy("model_id", "i", "j")
+    return cells.agg(F.sum(F.col("x") * F.col("y")).alias(name))
+
+
+@query("learn_translation_lstsq", f"SELECT model_id, i, j, 0.0::DOUBLE AS gradient {CELLS_SQL}")
 def learn_translation_lstsq(c: Corpus):
-    return embedding.matrix_frame(c.spark, embedding.learn_translation_lstsq(training_pairs(c, "en-fr")))
+    """The gradient XᵀXW − XᵀY of every model, which is zero at the minimum."""
+    f = fitted(c, embedding.learn_translation_lstsq)
+    xx = f.select("model_id", "i", F.col("j").alias("k"), F.col("xx").alias("x"))
+    w = f.select("model_id", F.col("i").alias("k"), "j", F.col("w").alias("y"))
+    both = product(xx, w, "xxw").join(f.select("model_id", "i", "j", "xy"), ["model_id", "i", "j"])
+    return both.select("model_id", "i", "j", six(F.col("xxw") - F.col("xy")).alias("gradient"))
 
 
-@query("learn_translation_procrustes")
+@query(
+    "learn_translation_procrustes",
+    f"SELECT model_id, i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS gram, 0.0::DOUBLE AS skew {CELLS_SQL}",
+)
 def learn_translation_procrustes(c: Corpus):
-    return embedding.matrix_frame(c.spark, embedding.learn_translation_procrustes(training_pairs(c, "en-fr")))
+    """WᵀW, the identity, and the skew part of WᵀXᵀY, zero for the best rotation."""
+    f = fitted(c, embedding.learn_translation_procrustes)
+    turned = f.select("model_id", F.col("j").alias("i"), F.col("i").alias("k"), F.col("w").alias("x"))
+    gram = product(turned, f.select("model_id", F.col("i").alias("k"), "j", F.col("w").alias("y")), "gram")
+    inner = store(product(turned, f.select("model_id", F.col("i").alias("k"), "j", F.col("xy").alias("y")), "s"), "inner")
+    other = inner.select("model_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("t"))
+    skew = inner.join(other, ["model_id", "i", "j"]).withColumn("skew", F.col("s") - F.col("t"))
+    joined = gram.join(skew, ["model_id", "i", "j"])
+    return joined.select("model_id", "i", "j", six("gram").alias("gram"), six("skew").alias("skew"))
 
 
 def fixed_matrix() -> np.ndarray:
@@ -259,7 +295,7 @@ def language_dim_coefficients(c: Corpus):
 
 @query("language_dim_importance")
 def language_dim_importance(c: Corpus):
-    return embedding.language_dim_importance(c.vectors, F.col("lang") != SOURCE, max_iter=5)
+    return embedding.language_dim_importance(c.vectors, F.col("lang") != SOURCE)
 
 
 COEF_SQL = """coefs AS (SELECT i - 1 AS dim, avg(x) AS coef FROM (

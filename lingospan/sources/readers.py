@@ -19,8 +19,6 @@ from lingospan.sources.lines import read_lines
 # The topic code list of a news item and the codes that count as a class.
 TOPIC_CODE_CLASS = "bip:topics:1.0"
 CLASS_CODES = ("CCAT", "ECAT", "GCAT", "MCAT")
-# Fixed value: words read from a vector file at most.
-MAX_VOCAB_SIZE = 200_000
 # Line formats of topic files and training logs.
 TOPIC_LINE = r"Topic\d+:\s(.*)"
 TOPIC_BREAK = "-"
@@ -103,10 +101,11 @@ def read_news_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 # --- vectors and dictionaries -----------------------------------------------------------
 
 
-def parse_word_vectors(lines: DataFrame, max_vocab_size: int = MAX_VOCAB_SIZE) -> DataFrame:
-    """``(idx, word, vec)`` from ``n d`` and ``word f1 … fd`` lines, the first words only.
+def parse_word_vectors(lines: DataFrame, max_vocab_size: int | None = None) -> DataFrame:
+    """``(idx, word, vec)`` from ``n d`` and ``word f1 … fd`` lines.
 
-    Of a repeated word the later row stands. The limit counts distinct words.
+    Of a repeated word the later row stands. All words are read unless ``max_vocab_size``
+    asks for the first so many distinct ones.
     """
     fields = _split(" ")
     header = (F.col("line_no") == 0) & (F.size(fields) == 2)
@@ -116,16 +115,17 @@ def parse_word_vectors(lines: DataFrame, max_vocab_size: int = MAX_VOCAB_SIZE) -
         F.slice(fields, 2, F.size(fields)).alias("parts"),
     )
     numbers = F.transform(F.filter("parts", lambda x: x != ""), lambda x: x.cast("float"))
-    first_seen = rows.groupBy("word").agg(F.min("idx").alias("first"))
-    kept = first_seen.orderBy("first").limit(max_vocab_size)
-    # Reading stops at the word that fills the limit, so a repeat further down is not seen.
-    full = F.count(F.lit(1)) >= max_vocab_size
-    end = kept.agg(F.when(full, F.max("first")).otherwise(F.lit((1 << 63) - 1)).alias("end")).scalar()
-    reached = rows.filter(F.col("idx") <= end)
-    return reached.groupBy("word").agg(F.max("idx").alias("idx"), F.max_by(numbers, "idx").alias("vec"))
+    if max_vocab_size is not None:
+        first_seen = rows.groupBy("word").agg(F.min("idx").alias("first"))
+        kept = first_seen.orderBy("first").limit(max_vocab_size)
+        # Reading stops at the word that fills the limit, so a repeat further down is not seen.
+        full = F.count(F.lit(1)) >= max_vocab_size
+        end = kept.agg(F.when(full, F.max("first")).otherwise(F.lit((1 << 63) - 1)).alias("end")).scalar()
+        rows = rows.filter(F.col("idx") <= end)
+    return rows.groupBy("word").agg(F.max("idx").alias("idx"), F.max_by(numbers, "idx").alias("vec"))
 
 
-def read_word_vectors(spark: SparkSession, path: str, max_vocab_size: int = MAX_VOCAB_SIZE) -> DataFrame:
+def read_word_vectors(spark: SparkSession, path: str, max_vocab_size: int | None = None) -> DataFrame:
     return parse_word_vectors(read_lines(spark, path), max_vocab_size)
 
 

@@ -174,9 +174,13 @@ def doc_topic_report(pairs: DataFrame, theta: DataFrame, n_docs: int) -> DataFra
 
 
 def save_model_bundle(topic_words: DataFrame, src_theta: DataFrame, tgt_theta: DataFrame, path: str) -> None:
-    """Topic words and both theta tables, each partitioned by model."""
+    """Topic words and both theta tables, each partitioned by model.
+
+    Saving a model again replaces its partitions; other models stay.
+    """
     for name, table in (("topic_words", topic_words), ("source_theta", src_theta), ("target_theta", tgt_theta)):
-        table.write.mode("append").partitionBy("model_id").parquet(f"{path}/{name}")
+        saved = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        saved.partitionBy("model_id").parquet(f"{path}/{name}")
 
 
 def load_model_bundle(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -68,6 +68,23 @@ def test_word_vectors(spark, tmp_path):
     assert first == {"a": 0, "b": 1}
 
 
+def test_long_vector_files_are_read_whole(spark):
+    lines = spark.range(200_010).select(F.col("id").alias("line_no"), F.concat_ws(" ", F.concat(F.lit("w"), "id"), F.lit("1 2")).alias("line"))
+    assert readers.parse_word_vectors(lines).count() == 200_010
+
+
+def test_saving_a_model_again_replaces_it(spark, tmp_path):
+    def save(model, n):
+        table = spark.createDataFrame([(model, i) for i in range(n)], "model_id string, v int")
+        writers.save_model_bundle(table, table, table, str(tmp_path / "bundle"))
+
+    save("a", 3)
+    save("b", 2)
+    save("a", 1)
+    for saved in writers.load_model_bundle(spark, str(tmp_path / "bundle")):
+        assert {r.model_id: r["count"] for r in saved.groupBy("model_id").count().collect()} == {"a": 1, "b": 2}
+
+
 def test_vector_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(0, "en", "a", [0.5, -1.25]), (1, "fr", "é", [2.0, 0.0])], "idx long, lang string, word string, vec array<double>")
     path = str(tmp_path / "vec")

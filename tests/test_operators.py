@@ -193,6 +193,36 @@ def test_precision_counts_every_hit(spark):
     assert strict.p_at_30 == 0.0
 
 
+def test_precision_counts_repeated_pairs(spark):
+    neighbours = spark.createDataFrame([("m", "q", "yes", 1)], "model_id string, query_word string, neighbour string, rank int")
+    tests = [("m", "q", "yes"), ("m", "q", "yes"), ("m", "p", "no")]
+    row = embedding.translation_precision(spark.createDataFrame(tests, "model_id string, query_word string, expected string"), neighbours).first()
+    assert row.n_pairs == 3 and row.p_at_1 == pytest.approx(2 / 3)
+
+
+def test_neighbour_ties_go_to_the_smaller_id(spark):
+    rows = [("m", f"w{i}", [1.0, 0.0] if i else [1.0, 0.1]) for i in range(9)] + [("m", "w3", [0.0, 1.0])]
+    space = spark.createDataFrame(rows, "model_id string, item_id string, vec array<double>")
+    queries = spark.createDataFrame([("m", "w3", [1.0, 0.0]), ("m", "x", [1.0, 0.0])], "model_id string, query_id string, vec array<double>")
+    found = embedding.nearest(queries, space, 3).toPandas().sort_values(["query_id", "rank"])
+    assert found["item_id"].tolist() == ["w1", "w2", "w4", "w1", "w2", "w3"]
+
+
+def test_theta_has_every_document(spark):
+    docs = spark.createDataFrame([(1, "en"), (2, "en"), (3, "en")], "doc_id long, lang string")
+    bow = spark.createDataFrame([(1, "en", "a", 2), (2, "en", "nowhere", 1)], "doc_id long, lang string, word string, tf long")
+    phi = spark.createDataFrame([("t0", "en", "a", 0.5)], "topic_id string, lang string, word string, weight double")
+    got = {r.doc_id: r.theta for r in topics.theta_from_phi(docs, bow, phi, ["t0", "t1"]).collect()}
+    assert got == {1: [1.0, 0.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+
+
+def test_index_lines_that_do_not_split_are_returned(spark):
+    docs = spark.createDataFrame([(1, "s", "f")], "doc_id long, sub_corpus string, file_name string")
+    index = spark.createDataFrame([("s-f", "train"), ("s-f-g", "dev"), ("sf", "dev"), (None, "dev")], "entry string, data_type string")
+    tagged, rejects = matching.tag_split_labels(docs, index)
+    assert [(r.doc_id, r.data_type) for r in tagged.collect()] == [(1, "train")] and rejects.count() == 3
+
+
 def test_linkage_fixture():
     angles = np.deg2rad([0, 10, 90, 100])
     points = np.stack([np.cos(angles), np.sin(angles)], axis=1)
