@@ -71,10 +71,15 @@ def _train(x: np.ndarray, y: np.ndarray, steps: int = 400, ridge: float = 1e-4)
     return w * scale, float(b - (w * scale) @ centre)
 
 
-def fit(rows: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float] | None:
-    """Train on ``rows`` (doc_id, text, quality); the sample is chosen by a hash of doc_id."""
-    rows = rows.where("quality is not null").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float] | None:
+    """Train on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks.
+
+    The sample is chosen by a hash of doc_id from ids alone; only its ids, about ``per_label``
+    a label, are sent to the texts, which stay where they are.
+    """
+    labels = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = docs.select("doc_id").join(labels, "doc_id")
+    sizes = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     if len(sizes) < 2:
         return None
     share = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, per_label / n))])
@@ -85,7 +90,9 @@ def fit(rows: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float]
             packed = [v.tobytes() for v in _features(block)]
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(packed, pa.binary())], ["doc_id", "quality", "features"])
 
-    drawn = rows.where(draw < share[F.col("quality")]).mapInArrow(run, "doc_id long, quality int, features binary").collect()
+    sample = store(known.distinct().where(draw < share[F.col("quality")]), "quality-sample")
+    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    drawn = rows.mapInArrow(run, "doc_id long, quality int, features binary").collect()
     drawn.sort(key=lambda r: (r[0], r[2]))
     if len({r[1] for r in drawn}) < 2:
         return None
@@ -123,7 +130,7 @@ def rated(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Dat
     """``doc_id, host, path, evidence, prior, score, keep`` of every row of ``docs``."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(host, F.lit(NO_SITE)).alias("host"), F.coalesce(path, F.lit(NO_SITE)).alias("path"))
-    model = fit(rows.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(rows.select("doc_id", "text"), labels)
     judged = evidence(rows, model, "doc_id", "host", "path").join(labels, "doc_id", "left")
     chance = 1 / (1 + F.exp(-F.col("evidence")))
     judged = store(judged.select("doc_id", "host", "path", "evidence", F.coalesce(F.col("quality").cast("double"), chance).alias("own")), "evidence")
