@@ -75,7 +75,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
     """Train on the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks.
 
     The sample is chosen by a hash of doc_id from ids alone; only its ids, about ``per_label``
-    a label, are sent to the texts, which stay where they are.
+    a label, are sent to the texts, which stay where they are. Rows that share an id give one
+    example.
     """
     labels = labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     known = docs.select("doc_id").join(labels, "doc_id")
@@ -92,7 +93,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
 
     sample = store(known.distinct().where(draw < share[F.col("quality")]), "quality-sample")
     rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
-    drawn = rows.mapInArrow(run, "doc_id long, quality int, features binary").collect()
+    rows = rows.mapInArrow(run, "doc_id long, quality int, features binary")
+    drawn = rows.groupBy("doc_id", "quality").agg(F.min("features").alias("features")).collect()
     drawn.sort(key=lambda r: (r[0], r[2]))
     if len({r[1] for r in drawn}) < 2:
         return None

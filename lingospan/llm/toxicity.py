@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingospan.llm import words as wd
-from lingospan.llm.tables import ids_and_texts
+from lingospan.llm.tables import ids_and_texts, store
 
 WINDOW, STRIDE = 48, 36
 WORD_BUCKETS, GRAM_BUCKETS, EMBEDDING, HIDDEN, ATTENTION = 4096, 4096, 8, 12, 8
@@ -231,15 +231,20 @@ def train(texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dict[str, np.ndarray]:
-    """Train on the rows of ``docs`` that ``labels`` (doc_id, toxic) covers."""
+    """Train on the rows of ``docs`` that ``labels`` (doc_id, toxic) covers.
+
+    Only the ids drawn, about three times ``per_label``, are sent to the texts, which stay where
+    they are. Rows that share an id give one example.
+    """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     if not sizes:
         return train([], np.zeros(0))
     share = F.create_map(*[F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, per_label * (1 if k else 2) / n))])
     draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    drawn = labels.where(draw < share[F.col("toxic")])
-    rows = ids_and_texts(docs).where("text is not null").join(drawn, "doc_id").select("doc_id", "text", "toxic").collect()
+    drawn = store(labels.where(draw < share[F.col("toxic")]), "toxicity-sample")
+    rows = ids_and_texts(docs).where("text is not null").join(F.broadcast(drawn), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
 
