@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_roots: dict[str, str] = {}
+_lock = threading.Lock()
+_writers: list[str | None] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,15 +38,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete the shuffle files of a job at its end, for jobs whose result is written.
+
+    The last of several writers at a time puts the setting of the session back.
+    """
+    with _lock:
+        _writers.append(_writers[-1] if _writers else spark.conf.get(FREE_SHUFFLES, None))
+        spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            before = _writers.pop()
+            if not _writers:
+                spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back.
 
     The table survives the loss of executors, is computed once however often it is read,
-    and gives Catalyst the true size: joins broadcast it only when it is small.
+    and gives Catalyst the true size: joins broadcast it only when it is small. The shuffle
+    files behind it are deleted when it is written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,6 +10,9 @@ spark = (SparkSession.builder.master("local[1]").config("spark.checkpoint.dir",
          .config("spark.ui.enabled", "false").getOrCreate())
 assert scratch_root(spark) == "{path}", scratch_root(spark)
 assert store(spark.range(3), "t").count() == 3
+before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+assert store(spark.range(99).groupBy("id").count(), "u").count() == 99
+assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before == "false"
 spark.stop()
 """
 
