@@ -8,6 +8,7 @@ suffixes. In each group the suffixes are sorted and the longest common prefixes
 taken; runs whose common prefix is at least ``size`` words are the suffixes below one deep
 internal node of the tree. A prefix with more than ``HOT`` segments is extended to the whole
 window, where a node is one key whose smallest document is found by ordinary aggregation.
+The trees compare words by 64-bit keys; equal segments and hot windows by 128 bits.
 
 A word is removed when a window that covers it also starts in a document with a smaller
 doc_id. Defined results: a null text has no words; a row without doc_id neither loses words
@@ -20,13 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lingospan.llm import words as wd
-from lingospan.llm.tables import ids_and_texts, store
+from lingospan.llm.tables import emptied, ids_and_texts, store
 
 SIZE, GRAM = 13, 3
 GROUP, HOT = 60_000, 5_000
@@ -68,31 +70,39 @@ def _keys(size: int):
     return run
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums of a polynomial over the words of a block, from which that of any run follows."""
+    up = wd.powers("up", len(values))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up, dtype=np.uint64)])
+
+
 def _suffixes(size: int):
     def run(batches):
         for block in wd.blocks(batches):
             data, starts, ends, first, doc, at, count, key = _segments(block, size)
-            wanted = block.column(3).to_pylist()
-            keep = np.zeros(len(doc), bool)
-            borders = np.searchsorted(doc, np.arange(block.num_rows + 1))
-            for i, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
-                keep[a:b] = np.isin(key[a:b].view(np.int64), np.array(wanted[i], np.int64))
+            wanted = block.column(3)
+            owner = pc.list_parent_indices(wanted).to_numpy().astype(np.uint64)
+            wanted = pc.list_flatten(wanted).to_numpy().view(np.uint64)
+            # Keys are told apart by document; a chance hit only adds a segment to the trees.
+            keep = np.isin(wd.mix(key + doc.astype(np.uint64) * _PLACES[0]), wd.mix(wanted + owner * _PLACES[0]))
             doc, at, count, key = doc[keep], at[keep], count[keep], key[keep]
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode() for a, b in zip(starts[at], ends[at + count + size - 2], strict=True)]
+            raw, end = data.tobytes(), at + count + size - 1
+            pieces = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[end - 1].tolist(), strict=True)]
             take = pa.array(doc)
-            low, high = _content_keys(pieces)
             columns = [block.column(0).take(take), block.column(2).take(take), pa.array(key.view(np.int64)), pa.array(at - first[doc], pa.int64())]
-            columns += [pa.array(low), pa.array(high), pa.array(pieces, pa.string())]
+            down = wd.powers("down", len(starts) + 1)[at]
+            for hashes in (wd.word_hashes(data, starts, ends), wd.word_hashes(data[::-1], len(data) - ends, len(data) - starts)):
+                sums = _sums(hashes)
+                columns.append(pa.array(wd.mix((sums[end] - sums[at]) * down).view(np.int64)))
+            columns.append(pa.array(pieces, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "prefix", "at", "low", "high", "words"])
 
     return run
 
 
-def _window_words(texts: list[str], size: int):
+def _window_words(texts: list[bytes], size: int):
     """Segment, place in it and first word (as an index) of every window of the segments."""
-    column = pa.array(texts, pa.string())
-    data, offsets = wd.text_bytes(column)
+    data, offsets = wd.text_bytes(pa.array(texts, pa.binary()))
     starts, ends, first = wd.word_spans(data, offsets, wd.WHITE)
     windows = np.diff(first) - size + 1
     segment = np.repeat(np.arange(len(texts)), windows)
@@ -104,8 +114,7 @@ def _tree(size: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """For each window of a segment, the smallest document below its deep node."""
         data, starts, ends, segment, place, head = _window_words(group["words"].tolist(), size)
-        raw = data.tobytes()
-        codes = pd.factorize(np.array([raw[a:b] for a, b in zip(starts, ends, strict=True)], object))[0].astype(np.int32)
+        codes = pd.factorize(wd.word_hashes(data, starts, ends))[0].astype(np.int32)
         suffixes = codes[head[:, None] + np.arange(size)]
         order = np.lexsort(suffixes.T[::-1])
         differs = suffixes[order][1:] != suffixes[order][:-1]
@@ -122,17 +131,6 @@ def _tree(size: int):
     return run
 
 
-def _content_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for the word sequence of each text."""
-    data, offsets = wd.text_bytes(pa.array(texts, pa.string()))
-    starts, ends, first = wd.word_spans(data, offsets, wd.WHITE)
-    hashes, other = wd.word_hashes(data, starts, ends), wd.word_hashes(data[::-1], len(data) - ends, len(data) - starts)
-    place = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
-    low = np.add.reduceat(hashes * _PLACES[place], first[:-1]) if len(texts) else hashes
-    high = np.add.reduceat(other * _PLACES[63 - place], first[:-1]) if len(texts) else other
-    return wd.mix(low).view(np.int64), wd.mix(high).view(np.int64)
-
-
 def _whole_windows(size: int):
     def run(batches):
         for batch in batches:
@@ -153,22 +151,36 @@ def _whole_windows(size: int):
 def _kept(size: int):
     def run(batches):
         for block in wd.blocks(batches):
-            rows = []
             data, offsets = wd.text_bytes(block.column(1))
             starts, ends, first = wd.word_spans(data, offsets, wd.WHITE)
-            raw = data.tobytes()
-            for i, marks in enumerate(block.column(2).to_pylist()):
-                a, n = first[i], int(first[i + 1] - first[i])
-                edge = np.zeros(n + 1, np.int64)  # windows that begin here less those that end
-                for mark in marks or ():
-                    at = mark["at"] + np.flatnonzero(mark["hit"])
-                    edge[at] += 1
-                    edge[at + size] -= 1
-                stay = np.flatnonzero(np.cumsum(edge[:n]) == 0) + a
-                kept = b" ".join([raw[x:y] for x, y in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)])
-                rows.append((n, n - len(stay), kept.decode()))
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column(0), *columns], ["doc_id", "n_words", "n_removed", "kept"])
+            owner = pc.list_parent_indices(block.column(2)).to_numpy()
+            marks = pc.list_flatten(block.column(2))
+            hits = marks.field("hit")
+            mark = pc.list_parent_indices(hits).to_numpy()
+            place = np.arange(len(mark)) - np.searchsorted(mark, mark)
+            hit = pc.list_flatten(hits).to_numpy(zero_copy_only=False).astype(bool)
+            at = (first[owner] + marks.field("at").to_numpy())[mark][hit] + place[hit]
+            edge = np.zeros(len(starts) + 1, np.int64)  # windows that begin here less those that end
+            np.add.at(edge, at, 1)
+            np.subtract.at(edge, at + size, 1)
+            stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+
+            # A kept word stays with one byte after it, a space, unless it is the last of its text.
+            text = np.repeat(np.arange(block.num_rows), np.diff(first))[stay]
+            followed = np.append(text[1:] == text[:-1], np.zeros(min(1, len(text)), bool))
+            a, b = starts[stay], ends[stay] + followed
+            step = np.zeros(len(data) + 1, np.int8)
+            step[a] += 1
+            step[b] -= 1
+            spaced = data.copy()
+            spaced[ends[stay][followed]] = 0x20
+            kept = spaced[np.cumsum(step[:-1], dtype=np.int8) > 0]
+            borders = np.zeros(block.num_rows + 1, np.int64)
+            borders[1:] = np.cumsum(np.bincount(text, weights=b - a, minlength=block.num_rows))
+            kept = pa.Array.from_buffers(pa.large_string(), block.num_rows, [None, pa.py_buffer(borders), pa.py_buffer(kept)]).cast(pa.string())
+            n_words, n_kept = np.diff(first), np.bincount(text, minlength=block.num_rows)
+            columns = [block.column(0), pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), kept]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -196,13 +208,14 @@ def _unpacked(run):
 
 def repeated_windows(texts: DataFrame, packed: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, version, at, hit``: which windows from word ``at`` on a smaller document has."""
-    keys = texts.mapInArrow(_keys(size), "doc_id long, version int, prefix long")
+    keys = store(texts.mapInArrow(_keys(size), "doc_id long, version int, prefix long"), "prefix-keys")
     shared = keys.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     shared = store(shared.select("prefix"), "shared-prefixes")
     wanted = keys.join(shared, "prefix").groupBy("doc_id", "version").agg(F.collect_list("prefix").alias("prefixes"))
     marked = packed.join(wanted, ["doc_id", "version"]).select("doc_id", "text", "version", "prefixes")
-    schema = "doc_id long, version int, prefix long, at long, low long, high long, words string"
+    schema = "doc_id long, version int, prefix long, at long, low long, high long, words binary"
     suffixes = store(marked.mapInArrow(_unpacked(_suffixes(size)), schema), "suffixes")
+    emptied(keys, shared)
 
     # Equal segments are one: a passage in very many documents is a few rows in the trees.
     once = suffixes.groupBy("prefix", "low", "high").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
@@ -220,7 +233,10 @@ def repeated_windows(texts: DataFrame, packed: DataFrame, size: int = SIZE) -> D
     found = store(found.join(once.select("low", "high", "last"), ["low", "high"]).where(F.array_min("lowest") < F.col("last")).drop("last"), "trees")
     marks = suffixes.select("doc_id", "version", "at", "low", "high").join(found, ["low", "high"])
     marks = marks.where(F.array_min("lowest") < F.col("doc_id"))
-    return marks.select("doc_id", "version", "at", F.transform("lowest", lambda x: x < F.col("doc_id")).alias("hit"))
+    marks = marks.select("doc_id", "version", "at", F.transform("lowest", lambda x: x < F.col("doc_id")).alias("hit"))
+    marks = store(marks, "marks")
+    emptied(suffixes, once, hot, found)
+    return marks
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:

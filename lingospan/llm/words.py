@@ -50,6 +50,11 @@ def _grown(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
+def powers(kind: str, n: int) -> np.ndarray:
+    """The first powers of the base of the polynomials ("up") or of its inverse ("down")."""
+    return _grown(kind, _BASE if kind == "up" else _INVERSE, n)
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and where each begins; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
