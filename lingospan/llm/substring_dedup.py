@@ -208,14 +208,14 @@ def _unpacked(run):
 
 def repeated_windows(texts: DataFrame, packed: DataFrame, size: int = SIZE) -> DataFrame:
     """``doc_id, version, at, hit``: which windows from word ``at`` on a smaller document has."""
-    keys = store(texts.mapInArrow(_keys(size), "doc_id long, version int, prefix long"), "prefix-keys")
+    keys = texts.mapInArrow(_keys(size), "doc_id long, version int, prefix long")
     shared = keys.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     shared = store(shared.select("prefix"), "shared-prefixes")
     wanted = keys.join(shared, "prefix").groupBy("doc_id", "version").agg(F.collect_list("prefix").alias("prefixes"))
     marked = packed.join(wanted, ["doc_id", "version"]).select("doc_id", "text", "version", "prefixes")
     schema = "doc_id long, version int, prefix long, at long, low long, high long, words binary"
     suffixes = store(marked.mapInArrow(_unpacked(_suffixes(size)), schema), "suffixes")
-    emptied(keys, shared)
+    emptied(shared)
 
     # Equal segments are one: a passage in very many documents is a few rows in the trees.
     once = suffixes.groupBy("prefix", "low", "high").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
