@@ -112,7 +112,10 @@ def _window_words(texts: list[bytes], size: int):
 
 def _tree(size: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """For each window of a segment, the smallest document below its deep node."""
+        """For each window of a segment, the smallest document below its deep node.
+
+        Segments without a window that a smaller document than their last has are left out.
+        """
         data, starts, ends, segment, place, head = _window_words(group["words"].tolist(), size)
         codes = pd.factorize(wd.word_hashes(data, starts, ends))[0].astype(np.int32)
         suffixes = codes[head[:, None] + np.arange(size)]
@@ -126,7 +129,8 @@ def _tree(size: int):
         cuts = np.flatnonzero(np.diff(segment)) + 1
         out = group[["low", "high"]].copy()
         out["lowest"] = np.split(lowest, cuts)
-        return out
+        least = np.minimum.reduceat(lowest, np.concatenate([[0], cuts]))
+        return out[least < group["last"].to_numpy()]
 
     return run
 
@@ -230,7 +234,7 @@ def repeated_windows(texts: DataFrame, packed: DataFrame, size: int = SIZE) -> D
     least = whole.groupBy("w_low", "w_high").agg(F.min("doc_id").alias("lowest"))
     whole = whole.join(least, ["w_low", "w_high"]).groupBy("low", "high").agg(F.array_sort(F.collect_list(F.struct("place", "lowest"))).alias("l"))
     found = found.unionByName(whole.select("low", "high", F.col("l.lowest").alias("lowest")))
-    found = store(found.join(once.select("low", "high", "last"), ["low", "high"]).where(F.array_min("lowest") < F.col("last")).drop("last"), "trees")
+    found = store(found, "trees")
     marks = suffixes.select("doc_id", "version", "at", "low", "high").join(found, ["low", "high"])
     marks = marks.where(F.array_min("lowest") < F.col("doc_id"))
     marks = marks.select("doc_id", "version", "at", F.transform("lowest", lambda x: x < F.col("doc_id")).alias("hit"))
