@@ -32,6 +32,7 @@ from lingospan.llm.tables import emptied, ids_and_texts, store
 
 SIZE, GRAM = 13, 3
 GROUP, HOT = 60_000, 5_000
+BLOCK = 512 << 10  # bytes of text that a task works on at a time
 _PLACES = wd.constants(64, 17)
 
 
@@ -60,7 +61,7 @@ def _segments(batch: pa.RecordBatch, size: int):
 
 def _keys(size: int):
     def run(batches):
-        for block in wd.blocks(batches):
+        for block in wd.blocks(batches, limit=BLOCK):
             *_, doc, _, _, key = _segments(block, size)
             if len(doc):
                 pairs = pd.DataFrame({"d": doc, "k": key.view(np.int64)}).drop_duplicates()
@@ -78,7 +79,7 @@ def _sums(values: np.ndarray) -> np.ndarray:
 
 def _suffixes(size: int):
     def run(batches):
-        for block in wd.blocks(batches):
+        for block in wd.blocks(batches, limit=BLOCK):
             data, starts, ends, first, doc, at, count, key = _segments(block, size)
             wanted = block.column(3)
             owner = pc.list_parent_indices(wanted).to_numpy().astype(np.uint64)
@@ -154,7 +155,7 @@ def _whole_windows(size: int):
 
 def _kept(size: int):
     def run(batches):
-        for block in wd.blocks(batches):
+        for block in wd.blocks(batches, limit=BLOCK):
             data, offsets = wd.text_bytes(block.column(1))
             starts, ends, first = wd.word_spans(data, offsets, wd.WHITE)
             owner = pc.list_parent_indices(block.column(2)).to_numpy()
@@ -191,7 +192,7 @@ def _kept(size: int):
 
 def _packed(batches):
     squeeze = zstandard.ZstdCompressor(level=1)
-    for block in wd.blocks(batches):
+    for block in wd.blocks(batches, limit=BLOCK):
         raw = [squeeze.compress((t or "").encode()) for t in block.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([block.column(0), pa.array(raw, pa.binary()), block.column(2)], ["doc_id", "text", "version"])
 
