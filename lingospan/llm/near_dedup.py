@@ -2,17 +2,17 @@
 
 Every text becomes its set of distinct word shingles. Equal sets are one node. A signature
 of TREES x DEPTH minima is cut into TREES sorted orders; nodes whose longest common prefix in
-an order is at least MIN_DEPTH minima lie in one region of it. Candidates come in two rounds:
+an order is at least MIN_DEPTH minima lie in one region of it. Candidates come in rounds:
 first the neighbours in each order and the pairs of each member with its region's first node,
 then, when confirmed links have been contracted, every pair of different components that is
 left in a region and whose sizes and signatures allow a link. A region of more than REGION
-nodes is searched at greater depth in the second round, so depth adapts to how crowded an
-order is; no region is cut. Links are confirmed on full sets.
+nodes is searched at greater depth first. What that leaves in different components is
+compared over the whole region, in pairs of bounded blocks, so greater depth only saves
+comparisons; no region is cut. Links are confirmed on full sets.
 
 Two texts at the threshold of 0.85 share MIN_DEPTH = 4 minima in none of 14 orders with
-probability (1 - 0.85**4)**14 = 3e-5, and fall short of the agreement that the second round
-asks of signatures with about the same probability. In a crowded region a pair can be missed
-at greater depth only if no chain of other links joins the two.
+probability (1 - 0.85**4)**14 = 3e-5, and fall short of the agreement that the later rounds
+ask of signatures with about the same probability, however crowded their regions are.
 
 Defined results: a null or blank text has an empty set and is linked with nothing. Rows
 without doc_id are linked with nothing, keep component null and are kept. Rows that share a
@@ -34,6 +34,8 @@ from lingospan.llm.tables import ids_and_texts, store
 TREES, DEPTH, MIN_DEPTH = 14, 8, 4
 DEEPER = (5, 6, 8, 10, 12, 16, 24, 32)
 REGION = 1024
+#: Most nodes and most shingles of a block, pairs compared at once, and candidates among them that are counted together.
+BLOCK, VOLUME, TILE, DENSE = 4096, 1 << 22, 512, 2048
 _SEEDS = wd.constants(TREES * DEPTH, 11)
 _PLACES = wd.constants(8, 13)
 
@@ -142,14 +144,42 @@ def _regions(nodes: DataFrame) -> DataFrame:
 
 
 def _places(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``place, size, node``: each region at the least depth that leaves it REGION nodes at most."""
+    """``place, node``: each region at the least depth that leaves it REGION nodes at most, if there is one."""
     crowded = found.where(F.col("size") > REGION).select("node", "tree").join(nodes.select("node", "signature"), "node")
     levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _region(d).alias("place")) for d in DEEPER])).alias("at")
     crowded = store(crowded.select("node", "tree", levels).select("node", "tree", "at.*"), "depths")
-    sizes = crowded.groupBy("place").agg(F.count("*").alias("size"))
-    first = F.min(F.struct((F.col("size") > REGION).alias("large"), F.when(F.col("size") > REGION, -F.col("depth")).otherwise(F.col("depth")).alias("rank"), "place", "size"))
-    deep = crowded.join(sizes, "place").groupBy("node", "tree").agg(first.alias("at")).select("at.place", "at.size", "node")
-    return found.where(F.col("size") <= REGION).select(F.col("region").alias("place"), "size", "node").unionByName(deep)
+    sizes = crowded.groupBy("place").agg(F.count("*").alias("size")).where(F.col("size") <= REGION)
+    first = F.min(F.struct("depth", "place")).alias("at")
+    deep = crowded.join(sizes, "place").groupBy("node", "tree").agg(first).select("at.place", "node")
+    return found.where(F.col("size") <= REGION).select(F.col("region").alias("place"), "node").unionByName(deep)
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of places (place, node, component) that hold different components."""
+    mixed = placed.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return placed.join(mixed.select("place"), "place")
+
+
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """``place, x, y, side, node, component``: every place as pairs of blocks.
+
+    A component of more than BLOCK nodes has blocks of its own, which are not paired with each
+    other; all other nodes of a place share blocks.
+    """
+    parts = placed.groupBy("place", "component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("volume"))
+    parts = parts.withColumn("owner", F.when(F.col("members") > BLOCK, F.col("component")).otherwise(F.lit(-1)))
+    count = F.ceil(F.greatest(F.sum("members") / BLOCK, F.sum("volume") / VOLUME)).cast("int")
+    owners = parts.groupBy("place", "owner").agg(count.alias("n_blocks"))
+    number = F.pmod(F.xxhash64("node"), "n_blocks").cast("int")
+    rows = placed.join(parts.select("place", "component", "owner"), ["place", "component"]).join(owners, ["place", "owner"])
+    rows = rows.select("place", F.struct("owner", number.alias("number")).alias("block"), "node", "component")
+    blocks = owners.select("place", "owner", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("number"))
+    blocks = blocks.select("place", F.struct("owner", "number").alias("block"))
+    pairs = blocks.select("place", F.col("block").alias("x")).join(blocks.select("place", F.col("block").alias("y")), "place")
+    pairs = pairs.where("x <= y and (x.owner <> y.owner or x.owner = -1)")
+    sides = pairs.select("place", "x", "y", F.lit(0).alias("side"), F.col("x").alias("block"))
+    sides = sides.unionByName(pairs.where("x < y").select("place", "x", "y", F.lit(1).alias("side"), F.col("y").alias("block")))
+    return rows.join(sides, ["place", "block"]).select("place", "x", "y", "side", "node", "component")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -160,30 +190,74 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
 
+def _all_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.int64)
+    held = []
+    for values, rows in sides:
+        at = np.searchsorted(shared, values)
+        known = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == values) if len(shared) else np.zeros(0, np.int64)
+        known = known[np.argsort(at[known], kind="stable")]
+        held.append((at[known], rows[known]))
+    for start in range(0, len(shared), 4096):
+        ones = []
+        for (at, rows), sets in zip(held, (left, right), strict=True):
+            a, b = np.searchsorted(at, [start, start + 4096])
+            one = np.zeros((len(sets), min(4096, len(shared) - start)), np.float32)
+            one[rows[a:b], at[a:b] - start] = 1
+            ones.append(one)
+        out += (ones[0] @ ones[1].T).astype(np.int64)
+    return out
+
+
 def _across(share: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links that join different components of one place, confirmed on full sets.
 
+        Pairs are those within the first side if there is no second one, else those across.
         Sizes and signatures rule most pairs out; a pair that earlier links of the place
         already join is passed over.
         """
-        group = group.drop_duplicates("node").sort_values("node")
+        group = group.drop_duplicates("node").sort_values(["side", "node"])
         node, part = group["node"].to_numpy(), group["component"].to_numpy().copy()
         sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
         n = np.array([len(x) for x in sets])
         minima = np.stack(group["signature"].to_numpy())
+        cut = int((group["side"] == 0).sum())
+        alone = cut == len(node)
         links = []
-        for i in range(len(node) - 1):
-            low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-            near = np.flatnonzero((part[i + 1 :] != part[i]) & (100 * low >= share * high)) + i + 1
-            near = near[(minima[near] == minima[i]).sum(axis=1) >= least_agreement(share)]
-            for j in near.tolist():
-                if part[i] == part[j]:
+        for i in range(0, cut, TILE):
+            for j in range(i, cut, TILE) if alone else range(cut, len(node), TILE):
+                x, y = slice(i, min(i + TILE, cut)), slice(j, min(j + TILE, len(node)))
+                near = part[x, None] != part[None, y]
+                if i == j:
+                    near = np.triu(near, 1)
+                near &= 100 * np.minimum(n[x, None], n[None, y]) >= share * np.maximum(n[x, None], n[None, y])
+                if not near.any():
                     continue
-                common = _common(sets[i], sets[j])
-                if 100 * common >= share * (n[i] + n[j] - common):
-                    links.append((node[i], node[j]))
-                    part[part == part[j]] = part[i]
+                equal = np.zeros(near.shape, np.uint8)
+                for k in range(TREES * DEPTH):
+                    equal += minima[x, None, k] == minima[None, y, k]
+                near &= equal >= least_agreement(share)
+                if near.sum() > DENSE:
+                    common = _all_common(sets[x], sets[y])
+                    near &= 100 * common >= share * (n[x, None] + n[None, y] - common)
+                    confirmed = True
+                else:
+                    confirmed = False
+                for a, b in (np.argwhere(near) + [i, j]).tolist():
+                    if part[a] == part[b]:
+                        continue
+                    if not confirmed:
+                        common = _common(sets[a], sets[b])
+                        if 100 * common < share * (n[a] + n[b] - common):
+                            continue
+                    links.append((node[a], node[b]))
+                    part[part == part[b]] = part[a]
         return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
@@ -243,17 +317,19 @@ def near_duplicates(docs: DataFrame, size: int = 3, share: int = 85) -> DataFram
 
     links = store(_confirm(hubs.unionByName(near), nodes, sets, share), "links")
     labels = store(connected_components(links), "labels")
-    placed = _places(found, nodes).join(labels, "node", "left").select("place", "size", "node", F.coalesce("component", "node").alias("component"))
-    placed = store(placed, "places")
-    mixed = placed.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    # A place that stays large at full depth is compared in blocks, each pair of blocks in a task.
-    n_blocks = F.ceil(F.col("size") / REGION).cast("int")
-    placed = placed.join(mixed.select("place"), "place").withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    placed = placed.select("place", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "component")
-    placed = placed.join(nodes.select("node", "signature"), "node").join(sets, "node")
-    more = store(placed.groupBy("place", "x", "y").applyInPandas(_across(share), "a long, b long"), "more-links")
-    labels = connected_components(links.unionByName(more))
+    component = F.coalesce("component", "node").alias("component")
+    placed = store(_places(found, nodes).join(labels, "node", "left").select("place", "node", component), "places")
+    placed = _mixed(placed).withColumn("side", F.lit(0)).join(nodes.select("node", "signature"), "node").join(sets, "node")
+    more = store(placed.groupBy("place").applyInPandas(_across(share), "a long, b long"), "more-links")
+    labels = store(connected_components(links.unionByName(more)), "labels")
+
+    crowded = found.where(F.col("size") > REGION).select(F.col("region").alias("place"), "node")
+    crowded = store(_mixed(crowded.join(labels, "node", "left").select("place", "node", component)), "crowded")
+    if not crowded.isEmpty():
+        blocks = _block_pairs(crowded.join(nodes.select("node", "n_shingles"), "node"))
+        blocks = blocks.join(nodes.select("node", "signature"), "node").join(sets, "node")
+        rest = store(blocks.groupBy("place", "x", "y").applyInPandas(_across(share), "a long, b long"), "rest-links")
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
     named = nodes.select("node", "set_key", "doc_id").join(labels, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))

@@ -221,6 +221,41 @@ def test_crowded_places_find_the_same(docs, monkeypatch):
     assert rows_of(near_dedup.near_duplicates(docs)) == plain
 
 
+def family(n_texts, n_pairs):
+    """Texts with a similarity of about 0.78 among them; the last ones are edits of the first."""
+    rng = np.random.default_rng(5)
+    texts = [[f"w{k}" for k in range(300)] for _ in range(n_texts)]
+
+    def edit(text, n, mark):
+        for place in rng.choice(100, n, replace=False):
+            text[int(place) * 3] = f"{mark}x{place}"
+
+    for i, text in enumerate(texts):
+        edit(text, 6, i)
+    for i in range(n_pairs):
+        texts[-1 - i] = list(texts[i])
+        edit(texts[-1 - i], int(rng.integers(7, 9)), f"again{i}")
+    return [(i, " ".join(text)) for i, text in enumerate(texts)]
+
+
+def test_crowded_family_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "REGION", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK", 100, raising=False)
+    rows = family(600, 60)
+    sets = [np.array([hash(x) for x in zip(w, w[1:], w[2:], strict=False)]) for w in (t.split() for _, t in rows)]
+    group = list(range(len(rows)))
+    n_links = 0
+    for a in range(len(rows)):
+        held = np.isin(np.stack(sets[a:]), sets[a]).sum(axis=1)
+        for b in (np.flatnonzero(100 * held >= 85 * (2 * len(sets[a]) - held)) + a).tolist():
+            n_links += a < b
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert n_links >= 60 and len(set(group)) > 400
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(group))
+
+
 def test_decontamination_finds_edits(spark):
     rng = random.Random(8)
     item = prose(rng, 30)
