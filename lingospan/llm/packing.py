@@ -6,7 +6,9 @@ configuration linear program over it (which combinations of lengths fill a seque
 often each is used) is solved by multiplicative weights: a length that the chosen
 combinations have served less gets a higher price, and a knapsack dynamic program finds the
 best combinations at these prices. The solution is rounded to whole uses as far as pieces last, the
-rest is solved again, and the last few pieces are packed by filling each sequence as far as a subset sum allows. The plan
+rest is solved again, and the last few pieces are packed by filling each sequence as far as a subset sum allows. Lengths
+without nearly full combinations are packed in the better of two ways: by the combinations there are, or by such
+fillings alone. Every combination is used as often as pieces last, so the plan does not grow with the documents. It
 is a table from (length, rank among pieces of that length) to a place, so pieces are placed
 where they are; ranks are counted per task and shifted by the counts of the tasks before.
 
@@ -206,28 +208,39 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tu
     while (pieces := sum(left.values())) > LAST_PIECES:
         lengths, counts = np.array(sorted(left)), np.array([left[k] for k in sorted(left)], float)
         use = configuration_lp(lengths, counts, capacity)
-        for sizes, times in sorted(use.items(), key=lambda kv: (-kv[1], kv[0])):
-            if sum(sizes) < capacity * FULL:
-                continue
-            need = Counter(sizes)
-            times = min(max(1, int(times)), *(left[s] // n for s, n in need.items()))
-            if times > 0:
-                plan.append((sizes, times))
-                for s, n in need.items():
-                    left[s] -= n * times
-        left = {k: v for k, v in left.items() if v}
-        if sum(left.values()) > 0.95 * pieces:
-            break
-    return plan + [(sizes, 1) for sizes in fill_rest(left, capacity)]
-
-
-def fill_rest(left: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
-    """Longest piece first; the room it leaves is filled as far as a subset sum reaches."""
+        used, rest = whole_uses({k: v for k, v in use.items() if sum(k) >= capacity * FULL}, left)
+        if sum(rest.values()) > 0.95 * pieces:
+            # Too few nearly full combinations: the other ones may still be better than filling.
+            others, last = whole_uses(use, left)
+            ways = [others + fill_rest(last, capacity), used + fill_rest(rest, capacity)]
+            return plan + min(ways, key=lambda way: sum(times for _, times in way))
+        plan, left = plan + used, rest
+    return plan + fill_rest(left, capacity)
+
+
+def whole_uses(use: dict[tuple[int, ...], float], left: dict[int, int]) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Combinations with their rounded uses, as far as pieces last, and the pieces that are left."""
+    left, plan = dict(left), []
+    for sizes, times in sorted(use.items(), key=lambda kv: (-kv[1], kv[0])):
+        need = Counter(sizes)
+        times = min(max(1, int(times)), *(left[s] // n for s, n in need.items()))
+        if times > 0:
+            plan.append((sizes, times))
+            for s, n in need.items():
+                left[s] -= n * times
+    return plan, {k: v for k, v in left.items() if v}
+
+
+def fill_rest(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest piece first; the room it leaves is filled as far as a subset sum reaches.
+
+    A filling stays the best one until one of its lengths runs short, so it is used that often.
+    """
     left, bins = dict(left), []
     while left:
         longest = max(left)
         taken = [longest]
-        left[longest] -= 1
+        left[longest] -= 1  # for the search only
         room = capacity - longest
         reach, states = 1, []
         mask = (1 << (room + 1)) - 1
@@ -244,9 +257,13 @@ def fill_rest(left: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
             if not before >> at & 1:
                 taken.append(size)
                 at -= size
-                left[size] -= 1
+        left[longest] += 1
+        need = Counter(taken)
+        times = min(left[s] // n for s, n in need.items())
+        for s, n in need.items():
+            left[s] -= n * times
         left = {k: v for k, v in left.items() if v}
-        bins.append(tuple(taken))
+        bins.append((tuple(taken), times))
     return bins
 
 

@@ -153,6 +153,21 @@ def test_packing_plan_uses_every_piece():
     assert n <= -(-int((lengths * counts).sum()) // packing.CAPACITY) * 1.01 + 1
 
 
+def test_packing_plan_does_not_grow_with_the_pieces():
+    histograms = [{1500: 10**6}, {n: 10**5 for n in range(1100, 1901)}, {1400: 10**6} | {n: 10**4 for n in range(600, 649)}]
+    histograms.append({700: 10**6} | {n: 10**4 for n in range(1000, 1020)})
+    least = [10**6, 801 * 10**5, 10**6, 6 * 10**5]
+    for histogram, bound in zip(histograms, least, strict=True):
+        plan, used = packing.plan_packing(histogram), {}
+        for sizes, times in plan:
+            assert sum(sizes) <= packing.CAPACITY
+            for s in sizes:
+                used[s] = used.get(s, 0) + times
+        assert used == histogram
+        assert len(plan) <= packing.LAST_PIECES
+        assert bound <= sum(times for _, times in plan) <= bound * 1.01 + 1
+
+
 @pytest.mark.parametrize("hot", [substring_dedup.HOT, 1])
 def test_repeats_against_all_windows(docs, monkeypatch, hot):
     monkeypatch.setattr(substring_dedup, "HOT", hot)
