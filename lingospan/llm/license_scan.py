@@ -2,7 +2,10 @@
 
 Two findings per text. Fixed phrases (base) are counted where their words stand one after the
 other. Templates are found by an exact set-similarity join: every line is a block, and a
-template is in it if at least CONTAINMENT of the template's distinct words are. The words of
+template is in it if at least CONTAINMENT of the template's distinct words are. Notices are
+often wrapped, so around every line break inside a paragraph (lines that hold words) the SPAN
+words on each side are a block too; SPAN is the length of the longest template. Texts that
+hold too few words of every template as a whole have no such blocks. The words of
 templates are ordered by how many blocks of all texts hold them, rarest first; a template is
 joined by its first words in that order only (as many as any match must share one of), blocks
 that are too small are left out, and a pair is dropped when the words after the shared places
@@ -35,8 +38,10 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
 CONTAINMENT = 0.85
+SPAN = max(len(text.split()) for _, text in TEMPLATES)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+BLANK = f"\n(?:{BETWEEN})?\n"
 
 
 def _sets() -> list[tuple[str, list[str], int]]:
@@ -76,6 +81,21 @@ def _base(words: Column) -> dict[str, Column]:
     }
 
 
+def _wrapped(text: Column, known: Column) -> Column:
+    """The known words around every line break of the paragraphs of a text."""
+
+    def around(lines: Column, i: Column) -> Column:
+        before = F.slice(lines, F.greatest(i - SPAN + 1, F.lit(1)), F.least(i, F.lit(SPAN)))
+        after = F.slice(lines, i + 1, F.lit(SPAN))
+        words = [F.filter(F.split(F.array_join(part, " "), BETWEEN), lambda w: w != "") for part in (before, after)]
+        padded = F.concat(F.array_repeat(F.lit(""), SPAN), words[0])
+        return F.array_intersect(F.concat(F.slice(padded, -SPAN, SPAN), F.slice(words[1], 1, SPAN)), known)
+
+    paragraphs = F.transform(F.split(text, BLANK), lambda p: F.split(p, "\n"))
+    paragraphs = F.filter(paragraphs, lambda lines: F.size(lines) > 1)
+    return F.flatten(F.transform(paragraphs, lambda lines: F.transform(F.sequence(F.lit(1), F.size(lines) - 1), lambda i: around(lines, i))))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: base columns, ``labels`` and the greatest containment."""
     spark = docs.sparkSession
@@ -87,9 +107,16 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.transform(F.split(text, "\n"), lambda line: F.array_intersect(F.split(line, BETWEEN), known))
     read = docs.select(
         F.col("doc_id").cast("long"),
+        text.alias("text"),
         F.trim(F.regexp_replace(text, BETWEEN, " ")).alias("words"),
-        F.filter(lines, lambda b: F.size(b) >= fewest).alias("blocks"),
+        lines.alias("lines"),
     )
+    read = read.withColumn("held", F.array_distinct(F.flatten("lines")))
+    enough = F.lit(False)
+    for _, words, need in sets:
+        enough = enough | (F.size(F.array_intersect("held", F.array(*[F.lit(w) for w in words]))) >= need)
+    blocks = F.when(enough & F.contains("text", F.lit("\n")), F.concat("lines", _wrapped(F.col("text"), known))).otherwise(F.col("lines"))
+    read = read.select("doc_id", "words", F.filter(blocks, lambda b: F.size(b) >= fewest).alias("blocks"))
     rows = read.select("doc_id", *[c.alias(n) for n, c in _base(F.col("words")).items()], "blocks")
     rows = store(rows.withColumn("row", F.monotonically_increasing_id()), "license-rows")
 

@@ -108,6 +108,22 @@ def test_license_places(docs):
     assert found[0]["n_words"] == 0 and found[0]["labels"] == "" and found[5]["score"] == 0.0
 
 
+def test_license_notices_over_line_breaks(spark):
+    mit = """ * Permission is hereby granted, free of charge, to any person
+ * obtaining a copy of this software and associated documentation
+ * files (the "Software"), to deal in the Software"""
+    bsd = """# Copyright 2001 someone
+# Redistribution and use in source and binary forms, with or without modification,
+# are permitted provided that the following conditions are met:"""
+    gpl = "This program is free software: you can redistribute\r\nit and/or modify it under the terms of the GNU\r\nGeneral Public License"
+    apart = "Released under\n --- \nthe MIT License"
+    far = "Released under\n" + "other words\n" * 30 + "the MIT License"
+    rows = list(enumerate([mit, bsd, gpl, "Released under the\nMIT License", apart, far, mit.replace("\n", "\n *\n")]))
+    got = license_scan.digest(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in got}
+    assert found == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("gpl", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("", 0.0), 6: ("", 0.0)}
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
