@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from lingospan.llm import (
     decontamination,
+    fill_in_middle,
     fingerprint,
     language_id,
     license_scan,
     near_dedup,
     packing,
     quality,
+    ranked_search,
     secret_scan,
+    sentence_pieces,
     substring_dedup,
     toxicity,
 )
@@ -106,6 +109,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(docs, known, F.col("source"), path)
 
 
+@query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    return sentence_pieces.digest(sentence_pieces.encoded(documents(spark, sf_dir), model), model)
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.restored(fill_in_middle.transformed(documents(spark, sf_dir))))
+
+
+ORACLES["op12_fill_in_middle"] = fill_in_middle.oracle()
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.searched(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = ranked_search.oracle()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
