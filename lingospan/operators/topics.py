@@ -71,23 +71,64 @@ def topic_centroids(topic_words: DataFrame, vectors: DataFrame, keys: Sequence[s
     return means.groupBy(*keys).agg(F.transform(ordered, lambda c: c["x"]).alias("vec"))
 
 
-def complete_linkage(points: np.ndarray, n_clusters: int) -> np.ndarray:
-    """Labels of complete-linkage clustering by cosine distance, numbered by first member."""
+def linkage_merges(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges of complete linkage by cosine distance: pairs of points of the merged clusters, and distances.
+
+    A chain of nearest neighbours is followed until two clusters are nearest to each other; these
+    can be merged whatever else there is. Distances from one cluster to all others are computed
+    when the chain gets there, so memory grows with the points and not with their square.
+    """
     norms = np.linalg.norm(points, axis=1, keepdims=True)
     unit = points / np.where(norms == 0, 1.0, norms)
-    distance = 1.0 - unit @ unit.T
-    np.fill_diagonal(distance, np.inf)
-    labels = np.arange(len(points))
-    for _ in range(len(points) - n_clusters):
-        a, b = sorted(np.unravel_index(np.argmin(distance), distance.shape))
-        joined = np.maximum(distance[a], distance[b])
-        distance[a, :] = joined
-        distance[:, a] = joined
-        distance[a, a] = np.inf
-        distance[b, :] = np.inf
-        distance[:, b] = np.inf
-        labels[labels == b] = a
-    return np.unique(labels, return_inverse=True)[1]
+    n = len(unit)
+    label = np.arange(n)
+    members: dict[int, np.ndarray] = {i: np.array([i]) for i in range(n)}
+
+    def distances(cluster: int) -> np.ndarray:
+        """Largest distance to any member, by cluster number; infinite for itself and numbers not in use."""
+        own, far = members[cluster], np.full(n, -np.inf)
+        for at in range(0, len(own), 256):
+            far = np.maximum(far, (1.0 - unit @ unit[own[at : at + 256]].T).max(axis=1))
+        out = np.full(n, -np.inf)
+        np.maximum.at(out, label, far)
+        out[cluster] = np.inf
+        return np.where(out == -np.inf, np.inf, out)
+
+    pairs, heights, chain = [], [], []
+    while len(members) > 1:
+        if not chain:
+            chain.append(next(iter(members)))
+        away = distances(chain[-1])
+        nearest = int(np.argmin(away))
+        # Of equally near clusters the one the chain came from, or the chain could go round.
+        if len(chain) > 1 and away[chain[-2]] <= away[nearest]:
+            nearest = chain[-2]
+        if len(chain) < 2 or nearest != chain[-2]:
+            chain.append(nearest)
+            continue
+        a, b = sorted((chain.pop(), chain.pop()))
+        pairs.append((a, b))
+        heights.append(away[nearest])
+        members[a] = np.concatenate([members[a], members.pop(b)])
+        label[members[a]] = a
+    return np.array(pairs, np.int64).reshape(-1, 2), np.array(heights)
+
+
+def complete_linkage(points: np.ndarray, n_clusters: int) -> np.ndarray:
+    """Labels of complete-linkage clustering by cosine distance, numbered by first member."""
+    pairs, heights = linkage_merges(points)
+    parent = np.arange(len(points))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in pairs[np.argsort(heights, kind="stable")[: max(0, len(points) - n_clusters)]]:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return np.unique([root(i) for i in range(len(points))], return_inverse=True)[1]
 
 
 def cluster_topics_crosslingual(centroids: DataFrame, n_clusters: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lingospan.functions.text import letter_tokens
@@ -14,7 +15,7 @@ from lingospan.plans.registry import query, six
 from lingospan.sources import readers, writers
 from lingospan.sources.lines import read_lines
 from lingospan.storage import scratch_path
-from lingospan.streaming import incremental
+from lingospan.streaming import bucketed, incremental
 
 ONE_LINE = r"regexp_replace(text, '[\t\n\r]+', ' ', 'g')"
 
@@ -392,14 +393,25 @@ def doc_topic_report(c: Corpus):
 
 @query(
     "upsert_nlp_result",
-    """SELECT doc_id, CASE WHEN quality IS NULL THEN 'done' ELSE 'revised' END AS status,
-      CASE WHEN quality IS NULL THEN 0 ELSE 1 END::BIGINT AS version
-    FROM documents LEFT JOIN labels USING (doc_id)""",
+    r"""SELECT doc_id, len(toks)::INTEGER AS n, CASE WHEN length(text) > 0 THEN 'done' ELSE 'error' END AS status,
+      len(regexp_extract_all(lower(head), '\p{L}+'))::INTEGER AS abstract_n,
+      CASE WHEN length(head) > 0 THEN 'done' ELSE 'error' END AS abstract_status
+    FROM docs JOIN (SELECT doc_id, text, split_part(text, chr(10), 1) AS head FROM documents) USING (doc_id)""",
 )
 def upsert_nlp_result(c: Corpus):
-    first = c.documents.select("doc_id", F.lit("done").alias("status"), F.lit(0).cast("long").alias("version"))
-    changes = c.table("labels").select("doc_id", F.lit("revised").alias("status"), F.lit(1).cast("long").alias("version"))
-    return incremental.upsert(first, changes, ["doc_id"])
+    """Two streams into one table: results of the texts, then those of their first lines."""
+    schema = T.StructType([c.documents.schema["doc_id"]])
+    for prefix in ("", "abstract_"):
+        schema = schema.add(f"{prefix}tokens", T.ArrayType(T.StringType())).add(f"{prefix}status", "string")
+    results = bucketed.BucketedTable(c.spark, scratch_path(c.spark, "nlp-table"), schema, ["doc_id"], 16)
+    fields = {"": F.col("text"), "abstract_": F.substring_index("text", "\n", 1)}
+    version = 0
+    for prefix, content in fields.items():
+        stream = incremental.document_stream(c.spark, c.path, c.documents.schema, "documents.parquet")
+        work = lambda batch, p=prefix, t=content: batch.select("doc_id", *incremental.nlp_result(t, letter_tokens(t), p))
+        version = bucketed.upsert_stream(stream, work, results, scratch_path(c.spark, "nlp-progress"), version)
+    sizes = [F.coalesce(F.size(f"{p}tokens"), F.lit(0)).alias(f"{p}n") for p in fields]
+    return results.read().select("doc_id", *sizes, "status", "abstract_status")
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lingospan.operators import classification, cooccurrence, matching, metrics, tokens, topics
+from lingospan.operators import classification, cooccurrence, gibbs, matching, metrics, polylingual, tokens, topics
 from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus, per_model
 from lingospan.plans.mapping import topic_mapping_flow
 from lingospan.plans.registry import query, six
@@ -16,21 +17,67 @@ KS = (10, 20, 30, 40, 50)
 # --- training ---------------------------------------------------------------------------
 
 
+ROUNDS, SHARD_TOKENS = 10, 100_000
+
+
 @query("lda_monolingual")
 def lda_monolingual(c: Corpus):
-    """Top words of one model per language."""
-    phi, _ = topics.lda_per_language(c.docs, LANGUAGES, 10, min_df=5)
+    """Top words of one sampled model per language."""
+    phi, _, _ = gibbs.lda_gibbs(c.docs, 10, rounds=ROUNDS, shard_tokens=SHARD_TOKENS)
     top = topics.top_words_per_topic(phi, ["lang", "topic_id"], 20)
     return top.select("lang", "topic_id", "rank", "word", "weight")
 
 
+@query(
+    "lda_monolingual_counts",
+    f"""SELECT lang, round, count(*) AS tokens, true AS better FROM tok,
+      (SELECT unnest(range(1, {ROUNDS} + 2))::INTEGER AS round) GROUP BY ALL""",
+)
+def lda_monolingual_counts(c: Corpus):
+    """Tokens in the counts of every round, and whether they are likelier than at the random start."""
+    _, _, history = gibbs.lda_gibbs(c.docs, 10, rounds=ROUNDS, shard_tokens=SHARD_TOKENS)
+    first = history.filter("round = 1").select("lang", F.col("log_likelihood").alias("start"))
+    better = (F.col("round") == 1) | (F.col("log_likelihood") > F.col("start"))
+    return history.join(first, "lang").select("lang", "round", "tokens", better.alias("better"))
+
+
+@query("lda_monolingual_theta", "SELECT doc_id, lang, 10 AS topics, 1.0::DOUBLE AS total FROM docs WHERE len(toks) > 0")
+def lda_monolingual_theta(c: Corpus):
+    """Topics and total weight of every document with a token."""
+    _, theta, _ = gibbs.lda_gibbs(c.docs, 10, rounds=2, shard_tokens=SHARD_TOKENS)
+    total = F.aggregate("theta", F.lit(0.0), lambda a, x: a + x)
+    return theta.select("doc_id", "lang", F.size("theta").alias("topics"), six(total).alias("total"))
+
+
 @query("lda_polylingual")
 def lda_polylingual(c: Corpus):
-    """Top words per language of a model in which paired documents share their weights."""
-    pairs = c.pair_docs.filter("model_id = 'en-fr'")
-    phi, _ = topics.lda_polylingual(pairs, 10, min_df=5)
-    top = topics.top_words_per_topic(phi, ["lang", "topic_id"], 20)
-    return top.select("lang", "topic_id", "rank", "word", "weight")
+    """Top words per model and language; the documents of a pair share their topic weights."""
+    phi, _, _, _ = polylingual.lda_shared(c.pair_docs, 10, shard_tokens=SHARD_TOKENS)
+    top = topics.top_words_per_topic(phi, ["model_id", "lang", "topic_id"], 20)
+    return top.select("model_id", "lang", "topic_id", "rank", "word", "weight")
+
+
+@query(
+    "lda_polylingual_mass",
+    """SELECT model_id, lang, sum(len(toks))::DOUBLE AS tokens, 0::BIGINT AS falls FROM mdocs
+    GROUP BY ALL HAVING sum(len(toks)) > 0""",
+)
+def lda_polylingual_mass(c: Corpus):
+    """Expected counts of every model and language, and how often its bound fell."""
+    _, _, history, mass = polylingual.lda_shared(c.pair_docs, 10, rounds=8, shard_tokens=SHARD_TOKENS)
+    before = F.lag("bound").over(W.partitionBy("model_id").orderBy("round"))
+    fell = history.withColumn("fell", F.coalesce(F.col("bound") < before - 1e-9 * F.abs(before), F.lit(False)))
+    falls = fell.groupBy("model_id").agg(F.sum(F.col("fell").cast("long")).alias("falls"))
+    return mass.join(falls, "model_id").select("model_id", "lang", F.round("tokens", 3).alias("tokens"), "falls")
+
+
+@query("lda_polylingual_phi", """SELECT model_id, lang, topic_id, count(DISTINCT word) AS words, 1.0::DOUBLE AS total
+    FROM (SELECT model_id, lang, unnest(toks) AS word FROM mdocs), (SELECT unnest(range(0, 10))::INTEGER AS topic_id) GROUP BY ALL""")
+def lda_polylingual_phi(c: Corpus):
+    """Words and total weight of every topic of every model and language."""
+    phi, _, _, _ = polylingual.lda_shared(c.pair_docs, 10, rounds=2, shard_tokens=SHARD_TOKENS)
+    sums = phi.groupBy("model_id", "lang", "topic_id").agg(F.count(F.lit(1)).alias("words"), F.sum("weight").alias("total"))
+    return sums.withColumn("total", six("total"))
 
 
 @query("lda_joint_concept")
@@ -402,7 +449,53 @@ def accuracy_report(c: Corpus):
     return report.select("tgt_lang", six("dev_acc").alias("dev_acc"), six("test_acc").alias("test_acc"))
 
 
+MODEL_SETTING = ["model_id", "setting"]
+
+
+def classification_samples(c: Corpus) -> DataFrame:
+    """``(model_id, setting, part, label, features)`` of every model.
+
+    Setting ``plain`` takes the topic weights as they are, ``rho`` maps those of target
+    documents to source topics by the links of the model.
+    """
+    labelled = store(c.split.join(c.theta.select("doc_id", "theta"), "doc_id"), "labelled")
+    names = F.array(*[F.lit(t) for t in c.topic_ids])
+    cells = F.inline(F.arrays_zip(names.alias("topic_id"), F.col("theta").alias("weight"))).alias("topic_id", "weight")
+    given = labelled.filter(F.col("lang") != SOURCE).select(F.concat_ws("-", F.lit(SOURCE), "lang").alias("model_id"), "doc_id", cells)
+    given = given.select("model_id", "doc_id", F.expr("cast(substring(topic_id, 4) as int)").alias("tgt_topic"), "weight")
+    mapped = topics.map_theta_by_rho(given, rho(c)).groupBy("model_id", "doc_id")
+    entries = F.struct(F.concat(F.lit("src"), F.col("src_topic").cast("string")), F.col("weight"))
+    mapped = mapped.agg(F.map_from_entries(F.collect_list(entries)).alias("_by_name"))
+    rows = None
+    for model in MODELS:
+        target = model.removeprefix(f"{SOURCE}-")
+        for setting in ("plain", "rho"):
+            corpus = labelled.withColumn("model_id", F.lit(model)).withColumn("setting", F.lit(setting))
+            if setting == "rho":
+                corpus = corpus.join(mapped, ["model_id", "doc_id"], "left")
+                linked = F.transform(names, lambda t: F.coalesce(F.try_element_at("_by_name", t), F.lit(0.0)))
+                corpus = corpus.withColumn("theta", F.when(F.col("lang") == SOURCE, F.col("theta")).otherwise(linked))
+            part = classification.crosslingual_samples(corpus, SOURCE, target, MODEL_SETTING)
+            rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query("crosslingual_accuracy")
 def crosslingual_accuracy(c: Corpus):
-    corpus = c.split.join(c.theta.select("doc_id", "theta"), "doc_id")
-    return classification.crosslingual_accuracy(corpus, SOURCE, "fr")
+    """Chosen strength and accuracies of every model, with and without links."""
+    best, _ = classification.crosslingual_accuracy(classification_samples(c), MODEL_SETTING)
+    return best
+
+
+@query(
+    "crosslingual_gradient",
+    """SELECT model_id, setting, class, c, feature, 0.0::DOUBLE AS gradient
+    FROM (SELECT unnest(['en-de', 'en-es', 'en-fr']) AS model_id), (SELECT unnest(['plain', 'rho']) AS setting),
+      (SELECT DISTINCT class FROM split JOIN theta USING (doc_id) WHERE split.lang = 'en' AND data_type = 'train' AND class IS NOT NULL),
+      (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0])::DOUBLE AS c),
+      (SELECT unnest(range(0, (SELECT count(DISTINCT source) FROM documents) + 1))::INTEGER AS feature)""",
+)
+def crosslingual_gradient(c: Corpus):
+    """Gradient of the penalised loss at the weights of every class and strength, zero at the minimum."""
+    _, fitted = classification.crosslingual_accuracy(classification_samples(c), MODEL_SETTING)
+    return fitted.select(*MODEL_SETTING, "class", "c", "feature", six("gradient").alias("gradient"))

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lingospan.operators import dictionaries, embedding, matching
+from lingospan.operators import dictionaries, embedding, matching, negative_sampling
 from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus
 from lingospan.plans.registry import query, six
 from lingospan.storage import store
 
 WIDTH = 64
+PASSES, NEGATIVE, SHARD_TOKENS = 5, 10, 100_000
 UNIT_SQL = """unit AS (SELECT model_id, side, word, label, vec_id,
   list_transform(d, lambda x: x / n) AS v FROM (
     SELECT *, sqrt(list_dot_product(d, d)) AS n FROM (SELECT *, vec::DOUBLE[] AS d FROM mvec)))"""
@@ -56,6 +57,37 @@ def train_word2vec(c: Corpus):
     return reduce(DataFrame.unionByName, spaces).select("lang", "word", F.size("vec").alias("width"))
 
 
+def trained_vectors(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Vectors of every language by negative sampling, and the loss of each pass."""
+    return negative_sampling.train_word_vectors(c.docs, passes=PASSES, shard_tokens=SHARD_TOKENS)
+
+
+@query(
+    "train_word_vectors",
+    "SELECT lang, word, 100 AS width, true AS finite, true AS moved FROM freq WHERE cf >= 15",
+)
+def train_word_vectors(c: Corpus):
+    """Every word with its trained vector's width, whether it is finite and longer than at its start."""
+    vectors, _ = trained_vectors(c)
+    squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    length = F.sqrt(squares)
+    # A start vector has 100 numbers below 1 / 200.
+    finite = ~F.isnan(length) & (length < 1e6)
+    return vectors.select("lang", "word", F.size("vec").alias("width"), finite.alias("finite"), (length > 0.05).alias("moved"))
+
+
+@query(
+    "word_vector_loss",
+    f"""SELECT lang, pass, true AS below_start FROM (SELECT DISTINCT lang FROM freq WHERE cf >= 15),
+      (SELECT unnest(range(1, {PASSES} + 1))::INTEGER AS pass)""",
+)
+def word_vector_loss(c: Corpus):
+    """Whether the mean loss of each pass is below that of the start, where every score is zero."""
+    _, history = trained_vectors(c)
+    start = (1 + NEGATIVE) * float(np.log(2))
+    return history.select("lang", "pass", (F.col("loss") < start).alias("below_start"))
+
+
 @query(
     "gram_cells",
     """SELECT i, j, round(sum(s.x * t.x) + 1e-9, 6) + 0.0 AS xx, round(sum(s.x * t.y) + 1e-9, 6) + 0.0 AS xy FROM
