@@ -92,7 +92,7 @@ def _suffixes(size: int):
             take = pa.array(doc)
             columns = [block.column(0).take(take), block.column(2).take(take), pa.array(key.view(np.int64)), pa.array(at - first[doc], pa.int64())]
             down = wd.powers("down", len(starts) + 1)[at]
-            for hashes in (wd.word_hashes(data, starts, ends), wd.word_hashes(data[::-1], len(data) - ends, len(data) - starts)):
+            for hashes in (wd.word_hashes(data, starts, ends), wd.word_hashes(data, starts, ends, seed=1)):
                 sums = _sums(hashes)
                 columns.append(pa.array(wd.mix((sums[end] - sums[at]) * down).view(np.int64)))
             columns.append(pa.array(pieces, pa.binary()))
@@ -140,7 +140,7 @@ def _whole_windows(size: int):
     def run(batches):
         for batch in batches:
             data, starts, ends, segment, place, head = _window_words(batch.column(3).to_pylist(), size)
-            hashes, other = wd.word_hashes(data, starts, ends), wd.word_hashes(data[::-1], len(data) - ends, len(data) - starts)
+            hashes, other = wd.word_hashes(data, starts, ends), wd.word_hashes(data, starts, ends, seed=1)
             low, high = np.zeros(len(head), np.uint64), np.zeros(len(head), np.uint64)
             for k in range(size):
                 low += hashes[head + k] * _PLACES[k]

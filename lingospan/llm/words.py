@@ -1,8 +1,8 @@
 """Words and hashes of many texts at once, on the bytes of an Arrow column.
 
-Separators are ASCII bytes, so words never cut a UTF-8 sequence. A word hash is a polynomial
-over the bytes taken from prefix sums modulo 2**64, then mixed; equal words have equal hashes
-in every task and every run.
+Separators are ASCII bytes, so words never cut a UTF-8 sequence. A word hash sums mixed numbers of
+eight bytes each, every one keyed by its place in the word; equal words have equal hashes in
+every task and every run, and words of a pattern that a polynomial maps to one value do not.
 """
 
 from __future__ import annotations
@@ -39,7 +39,10 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
 
 
-BYTE_VALUES = constants(256, 7)
+#: Words of more bytes are hashed one by one.
+LONG = 256
+#: The first bytes of a 64-bit number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _grown(kind: str, base: np.uint64, n: int) -> np.ndarray:
@@ -97,10 +100,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray):
     return starts, ends, first
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * _grown("up", _BASE, len(data)), out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _grown("down", _INVERSE, len(data))[starts]
-    return mix(value + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words between ``starts`` and ``ends``; other seeds give unrelated ones."""
+    size = ends - starts
+    out = size.astype(np.uint64) * _BASE
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    keys = mix(np.arange(1, LONG // 8 + 1, dtype=np.uint64) + np.uint64(seed << 40))
+    left = np.flatnonzero((size > 0) & (size <= LONG))
+    for part, key in enumerate(keys):
+        if not len(left):
+            break
+        rest = size[left] - 8 * part
+        out[left] += mix((eights[starts[left] + 8 * part] & FIRST_BYTES[np.minimum(rest, 8)]) ^ key)
+        left = left[rest > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        n = -(-int(size[i]) // 8)
+        word = np.zeros(8 * n, np.uint8)
+        word[: size[i]] = data[starts[i] : ends[i]]
+        out[i : i + 1] += mix(word.view("<u8") ^ mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 40))).sum(dtype=np.uint64)
+    return mix(out)
