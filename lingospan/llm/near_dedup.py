@@ -2,13 +2,12 @@
 
 Every text becomes its set of distinct word shingles. Equal sets are one node. A signature
 of TREES x DEPTH minima is cut into TREES sorted orders; nodes whose longest common prefix in
-an order is at least MIN_DEPTH minima lie in one region of it. Candidates come in rounds:
-first the neighbours in each order and the pairs of each member with its region's first node,
-then, when confirmed links have been contracted, every pair of different components that is
-left in a region and whose sizes and signatures allow a link. A region of more than REGION
-nodes is searched at greater depth first. What that leaves in different components is
-compared over the whole region, in pairs of bounded blocks, so greater depth only saves
-comparisons; no region is cut. Links are confirmed on full sets.
+an order is at least MIN_DEPTH minima lie in one region of it. The depth adapts to the region:
+neighbours in a sorted order share the longest prefix there is, whatever the region holds, and
+are the first candidates, with the pairs of each member with its region's hub. When their
+confirmed links have been contracted, every pair of different components that is left in a
+region and whose sizes and signatures allow a link follows; a region of more than REGION nodes is
+compared in pairs of bounded blocks, and none is cut. Links are confirmed on full sets.
 
 Two texts at the threshold of 0.85 share MIN_DEPTH = 4 minima in none of 14 orders with
 probability (1 - 0.85**4)**14 = 3e-5, and fall short of the agreement that the later rounds
@@ -32,7 +31,6 @@ from lingospan.llm.components import connected_components
 from lingospan.llm.tables import ids_and_texts, store
 
 TREES, DEPTH, MIN_DEPTH = 14, 8, 4
-DEEPER = (5, 6, 8, 10, 12, 16, 24, 32)
 REGION = 1024
 #: Most nodes and most shingles of a block, pairs compared at once, and candidates among them that are counted together.
 BLOCK, VOLUME, TILE, DENSE = 4096, 1 << 22, 512, 2048
@@ -119,8 +117,8 @@ def _neighbours(batches):
 
 
 def _order(depth: int):
-    """The first ``depth`` minima of an order; deep ones run on into the next orders."""
-    return F.slice(F.concat("signature", "signature"), F.col("tree") * DEPTH + 1, depth)
+    """The first ``depth`` minima of an order."""
+    return F.slice("signature", F.col("tree") * DEPTH + 1, depth)
 
 
 def _region(depth: int):
@@ -143,17 +141,6 @@ def _regions(nodes: DataFrame) -> DataFrame:
     return store(found.join(hubs, "region"), "hubs")
 
 
-def _places(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``place, node``: each region at the least depth that leaves it REGION nodes at most, if there is one."""
-    crowded = found.where(F.col("size") > REGION).select("node", "tree").join(nodes.select("node", "signature"), "node")
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _region(d).alias("place")) for d in DEEPER])).alias("at")
-    crowded = store(crowded.select("node", "tree", levels).select("node", "tree", "at.*"), "depths")
-    sizes = crowded.groupBy("place").agg(F.count("*").alias("size")).where(F.col("size") <= REGION)
-    first = F.min(F.struct("depth", "place")).alias("at")
-    deep = crowded.join(sizes, "place").groupBy("node", "tree").agg(first).select("at.place", "node")
-    return found.where(F.col("size") <= REGION).select(F.col("region").alias("place"), "node").unionByName(deep)
-
-
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows of places (place, node, component) that hold different components."""
     mixed = placed.groupBy("place").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
@@ -161,13 +148,13 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _block_pairs(placed: DataFrame) -> DataFrame:
-    """``place, x, y, side, node, component``: every place as pairs of blocks.
+    """``place, x, y, side, node, component``: every crowded place as pairs of blocks.
 
     A component of more than BLOCK nodes has blocks of its own, which are not paired with each
     other; all other nodes of a place share blocks.
     """
     parts = placed.groupBy("place", "component").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("volume"))
-    parts = parts.withColumn("owner", F.when(F.col("members") > BLOCK, F.col("component")).otherwise(F.lit(-1)))
+    parts = parts.withColumn("owner", F.when(F.col("members") > BLOCK, F.col("component")).otherwise(F.lit(-1).cast("long")))
     count = F.ceil(F.greatest(F.sum("members") / BLOCK, F.sum("volume") / VOLUME)).cast("int")
     owners = parts.groupBy("place", "owner").agg(count.alias("n_blocks"))
     number = F.pmod(F.xxhash64("node"), "n_blocks").cast("int")
@@ -216,23 +203,24 @@ def _all_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _across(share: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links that join different components of one place, confirmed on full sets.
+        """Pairs of components of one place that a link joins, confirmed on full sets.
 
         Pairs are those within the first side if there is no second one, else those across.
         Sizes and signatures rule most pairs out; a pair that earlier links of the place
         already join is passed over.
         """
         group = group.drop_duplicates("node").sort_values(["side", "node"])
-        node, part = group["node"].to_numpy(), group["component"].to_numpy().copy()
+        component = group["component"].to_numpy()
+        part = component.copy()
         sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
         n = np.array([len(x) for x in sets])
         minima = np.stack(group["signature"].to_numpy())
         cut = int((group["side"] == 0).sum())
-        alone = cut == len(node)
+        alone = cut == len(part)
         links = []
         for i in range(0, cut, TILE):
-            for j in range(i, cut, TILE) if alone else range(cut, len(node), TILE):
-                x, y = slice(i, min(i + TILE, cut)), slice(j, min(j + TILE, len(node)))
+            for j in range(i, cut, TILE) if alone else range(cut, len(part), TILE):
+                x, y = slice(i, min(i + TILE, cut)), slice(j, min(j + TILE, len(part)))
                 near = part[x, None] != part[None, y]
                 if i == j:
                     near = np.triu(near, 1)
@@ -256,7 +244,7 @@ def _across(share: int):
                         common = _common(sets[a], sets[b])
                         if 100 * common < share * (n[a] + n[b] - common):
                             continue
-                    links.append((node[a], node[b]))
+                    links.append((component[a], component[b]))
                     part[part == part[b]] = part[a]
         return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
@@ -318,21 +306,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, share: int = 85) -> DataFram
     links = store(_confirm(hubs.unionByName(near), nodes, sets, share), "links")
     labels = store(connected_components(links), "labels")
     component = F.coalesce("component", "node").alias("component")
-    placed = store(_places(found, nodes).join(labels, "node", "left").select("place", "node", component), "places")
-    placed = _mixed(placed).withColumn("side", F.lit(0)).join(nodes.select("node", "signature"), "node").join(sets, "node")
-    more = store(placed.groupBy("place").applyInPandas(_across(share), "a long, b long"), "more-links")
-    labels = store(connected_components(links.unionByName(more)), "labels")
-
-    crowded = found.where(F.col("size") > REGION).select(F.col("region").alias("place"), "node")
-    crowded = store(_mixed(crowded.join(labels, "node", "left").select("place", "node", component)), "crowded")
-    if not crowded.isEmpty():
-        blocks = _block_pairs(crowded.join(nodes.select("node", "n_shingles"), "node"))
-        blocks = blocks.join(nodes.select("node", "signature"), "node").join(sets, "node")
-        rest = store(blocks.groupBy("place", "x", "y").applyInPandas(_across(share), "a long, b long"), "rest-links")
-        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
-
-    named = nodes.select("node", "set_key", "doc_id").join(labels, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
+    placed = found.select(F.col("region").alias("place"), "size", "node").join(labels, "node", "left")
+    placed = store(_mixed(placed.select("place", "size", "node", component)), "places")
+    alone = F.struct(F.lit(-1).cast("long").alias("owner"), F.lit(0).alias("number"))
+    whole = placed.where(F.col("size") <= REGION).select("place", alone.alias("x"), alone.alias("y"), F.lit(0).alias("side"), "node", "component")
+    crowded = placed.where(F.col("size") > REGION).drop("size").join(nodes.select("node", "n_shingles"), "node")
+    blocks = whole.unionByName(_block_pairs(crowded)).join(nodes.select("node", "signature"), "node").join(sets, "node")
+    more = blocks.groupBy("place", "x", "y").applyInPandas(_across(share), "a long, b long")
+    joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    labels = nodes.select("node").join(labels, "node", "left").select("node", component)
+    labels = labels.join(joined, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+    named = nodes.select("node", "set_key", "doc_id").join(labels, "node")
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = store(named.join(lowest, "component").select("set_key", "component_id"), "components")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
