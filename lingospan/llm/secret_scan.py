@@ -3,8 +3,9 @@
 Fixed kinds (base) come from patterns. Candidate strings, runs of base64 characters with a
 digit, are then judged by the Shannon entropy of every window of WINDOW characters. The
 entropy of a window is log2(W) - (1/W) * sum of c*log2(c) over its character counts c; one
-fold over the candidate keeps the counts and that sum, adding the entering character and
-taking the leaving one away. c*log2(c) is kept in whole millionths, so sums are exact. Each
+fold over the candidate keeps the counts, five bits each in a few numbers, and that sum, adding
+the entering character and taking the leaving one away: a step costs the same however long the
+candidate is. c*log2(c) is kept in whole millionths, so sums are exact. Each
 character class has its own threshold, and allow-listed candidates are suppressed. A
 candidate's span reaches from its first to its last window above the threshold.
 
@@ -19,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lingospan.functions.vectors import let
+
 # The base patterns.
 WORDS = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 ASSIGN = f"({WORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -39,6 +42,9 @@ ALLOWED = (
     "(?i)(example|sample|dummy|placeholder|changeme|xxxxxx|0123456789|1234567890|abcdefgh)",
 )
 MASK = "[SECRET]"
+#: Bits of a count and counts in a 64-bit number; matches of a text that are placed together.
+BITS, PACKED, MATCHES = 5, 12, 256
+SPANS = "array<struct<start:long,kind:int,end:long>>"
 
 
 def weight(count: int) -> int:
@@ -54,11 +60,12 @@ def _found(text: Column, pattern: str, judge) -> Column:
     """Spans of the matches, leftmost and non-overlapping, that ``judge`` turns into spans.
 
     ``judge(match, start)`` gives an array of (start, end, kind). Splitting and extracting
-    by one pattern alternate, so lengths add up to places.
+    by one pattern alternate, so lengths add up to places. Matches are placed in blocks, and
+    the blocks in the text, so a text of very many matches copies no long lists.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("before"), matches.alias("match"))
-    empty = F.array().cast("array<struct<start:long,kind:int,end:long>>")
+    empty = F.array().cast(SPANS)
 
     def step(state, pair):
         start = state["at"] + F.char_length(pair["before"])
@@ -67,8 +74,20 @@ def _found(text: Column, pattern: str, judge) -> Column:
             F.concat(state["spans"], judge(pair["match"], start)).alias("spans"),
         )
 
-    folded = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step)
-    return F.when(F.size(matches) > 0, folded["spans"]).otherwise(empty)
+    def placed(pairs):
+        begin = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
+        starts = F.sequence(F.lit(1), F.size(pairs), F.lit(MATCHES))
+        blocks = F.transform(starts, lambda i: F.aggregate(F.slice(pairs, i, F.lit(MATCHES)), begin, step))
+        moved = lambda spans, by: F.transform(
+            spans, lambda s: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"))
+        )
+        join = lambda state, b: F.struct(
+            (state["at"] + b["at"]).alias("at"), F.concat(state["parts"], F.array(moved(b["spans"], state["at"]))).alias("parts")
+        )
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts"))
+        return F.aggregate(blocks, first, join, lambda state: F.flatten(state["parts"]))
+
+    return F.when(F.size(matches) > 0, let(pairs, placed)).otherwise(empty)
 
 
 def _span(start: Column, end: Column, kind: str) -> Column:
@@ -86,47 +105,71 @@ def _base(kind: str, group: int = 0):
 
 def _entropy(match: Column, start: Column) -> Column:
     """Span over the windows of one candidate that are above its class's threshold."""
-    weights = F.array(*[F.lit(weight(c)).cast("long") for c in range(WINDOW + 1)])
+    # What one more of a character adds to the sum when it has so many already.
+    gains = F.array(*[F.lit(weight(c + 1) - weight(c)).cast("long") for c in range(WINDOW)])
+    numbers = F.array(*[F.lit(ALPHABET.find(chr(c))) for c in range(128)])
     is_hex = match.rlike("^[0-9a-fA-F]+$")
     limit = F.when(is_hex, F.lit(most("entropy_hex"))).otherwise(F.lit(most("entropy_base64"))).cast("long")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(match, i, F.lit(1)))
-
-    def step(state, i):
-        entering, leaving = place(i), F.when(i > WINDOW, place(i - WINDOW)).otherwise(F.lit(0))
-        same = entering == leaving
-        of = lambda k: F.when(k > 0, F.get(state["counts"], k - 1)).otherwise(F.lit(0))
-        more, less = of(entering), of(leaving)
-        grown = F.get(weights, more + 1) - F.get(weights, more)
-        shrunk = F.when(leaving > 0, F.get(weights, less - 1) - F.get(weights, less)).otherwise(F.lit(0).cast("long"))
-        total = state["sum"] + F.when(same, F.lit(0).cast("long")).otherwise(grown + shrunk)
-        counts = F.transform(state["counts"], lambda c, k: c + (k + 1 == entering).cast("int") - (k + 1 == leaving).cast("int"))
-        high = (i >= WINDOW) & (total <= limit)
-        return F.struct(
-            F.when(same, state["counts"]).otherwise(counts).alias("counts"),
-            total.alias("sum"),
-            F.when(high & (state["first"] == 0), i).otherwise(state["first"]).alias("first"),
-            F.when(high, i).otherwise(state["last"]).alias("last"),
-        )
+    one = F.lit(1).cast("long")
+    fields = [f"c{k}" for k in range(-(-len(ALPHABET) // PACKED))]
+
+    def held(state, character):
+        """How many of a character the window holds."""
+        field = F.floor(character / PACKED).cast("int")
+        value = F.lit(0).cast("long")
+        for k, name in enumerate(fields):
+            value = F.when(field == k, state[name]).otherwise(value)
+        return F.call_function("shiftright", value, BITS * (character % PACKED)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def changed(state, character, by):
+        """The counts with one more or less of a character; -1 stands for none."""
+        field = F.floor(character / PACKED).cast("int")
+        return {name: F.when(field == k, state[name] + by * F.call_function("shiftleft", one, BITS * (character % PACKED))).otherwise(state[name]) for k, name in enumerate(fields)}
+
+    def step(characters, is_hex, limit):
+        def run(state, i):
+            leaving, entering = F.when(i >= WINDOW, F.get(characters, i - WINDOW)).otherwise(F.lit(-1)), F.get(characters, i)
+
+            def less(state):
+                gone = F.when(leaving >= 0, F.get(gains, held(state, leaving) - 1)).otherwise(F.lit(0).cast("long"))
+                counts = changed(state, leaving, -1)
+                return F.struct((state["sum"] - gone).alias("sum"), state["first"].alias("first"), state["last"].alias("last"), *[v.alias(n) for n, v in counts.items()])
+
+            def more(state):
+                total = state["sum"] + F.get(gains, held(state, entering))
+                high = (i >= WINDOW - 1) & (total <= limit)
+                return F.struct(
+                    total.alias("sum"),
+                    F.when(high & (state["first"] < 0), i).otherwise(state["first"]).alias("first"),
+                    F.when(high, i).otherwise(state["last"]).alias("last"),
+                    *[v.alias(n) for n, v in changed(state, entering, 1).items()],
+                )
+
+            return let(less(state), more)
+
+        return run
 
     start_state = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"),
-        F.lit(0).cast("long").alias("sum"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("last"),
+        F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), *[F.lit(0).cast("long").alias(n) for n in fields]
     )
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | match.rlike(pattern)
     judged = match.rlike("[0-9]") & ~allowed
-    chars = F.when(judged, F.sequence(F.lit(1), F.char_length(match))).otherwise(F.array().cast("array<int>"))
-    reach = F.aggregate(chars, start_state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    characters = F.transform(F.when(judged, F.split(match, "")).otherwise(F.array().cast("array<string>")), lambda c: F.get(numbers, F.ascii(c)))
+
+    def spans(known):
+        chars, is_hex, limit = known["characters"], known["is_hex"], known["limit"]
+        order = F.when(F.size(chars) > 0, F.sequence(F.lit(0), F.size(chars) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def span(r):
+            kind = F.when(is_hex, F.lit(KINDS.index("entropy_hex"))).otherwise(F.lit(KINDS.index("entropy_base64")))
+            found = F.struct((start + r["first"] - WINDOW + 1).cast("long").alias("start"), kind.alias("kind"), (start + r["last"] + 1).cast("long").alias("end"))
+            return F.filter(F.array(found), lambda _: r["last"] >= 0)
 
-    def spans(r):
-        kind = F.when(is_hex, F.lit(KINDS.index("entropy_hex"))).otherwise(F.lit(KINDS.index("entropy_base64")))
-        span = F.struct((start + r["first"] - WINDOW).cast("long").alias("start"), kind.alias("kind"), (start + r["last"]).cast("long").alias("end"))
-        return F.filter(F.array(span), lambda _: r["last"] > 0)
+        return let(F.aggregate(order, start_state, step(chars, is_hex, limit)), span)
 
-    return F.flatten(F.transform(F.array(reach), spans))
+    return let(F.struct(characters.alias("characters"), is_hex.alias("is_hex"), limit.alias("limit")), spans)
 
 
 def secret_spans(text: Column) -> Column:
@@ -137,7 +180,7 @@ def secret_spans(text: Column) -> Column:
         _found(text, ACCESS, _base("access")),
         # Runs that are too short for a match need no place of their own.
         _found(text, f"[0-9a-f]{{{LEAST['hex']},}}", _base("hex")),
-        _found(text, f"(?=[A-Za-z+/_-]*[0-9]){CANDIDATE}", _entropy),
+        _found(text, f"{CANDIDATE}+", _entropy),
     ]
     return F.array_sort(F.concat(*found))
 
@@ -169,8 +212,11 @@ def masked_rows(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced together; a null text stays null.
     """
-    marked = docs.select("*", secret_spans(F.col("text")).alias("_found_secrets"))
-    text, spans = F.col("text"), F.col("_found_secrets")
+    found = "_found_secrets"
+    while found in docs.columns:
+        found += "_"
+    marked = docs.select("*", secret_spans(F.col("text")).alias(found))
+    text, spans = F.col("text"), F.col(found)
 
     def step(state, s):
         piece = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(MASK))

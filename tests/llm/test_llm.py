@@ -22,6 +22,7 @@ from lingospan.llm import (
     substring_dedup,
     toxicity,
 )
+from lingospan.llm import words as wd
 from lingospan.llm.queries import QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, n_words string, rank long"
@@ -367,3 +368,96 @@ def test_pipeline_stages(spark, docs, data_dir):
     assert ids[1] == ids[0] - {0, 1, 2, 16}
     assert {6, 7, 8} & ids[2] == set() and 5 in ids[2] and 10 not in ids[2]
     assert ids[5] == ids[4] == ids[3]
+
+
+def thue_morse(n):
+    """Two different words that every polynomial hash modulo a power of two maps to one value."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_a_pattern_have_different_hashes(spark):
+    one, other = thue_morse(2048)
+    data = np.frombuffer(f"{one} {other} {one}".encode(), np.uint8)
+    at = np.array([0, 2049, 4098])
+    for seed in (0, 1):
+        found = wd.word_hashes(data, at, at + 2048, seed)
+        assert found[0] == found[2] != found[1]
+    rest = prose(random.Random(1), 4)
+    rows = [(1, f"{rest} {one}"), (2, f"{rest} {other}"), (3, f"{rest} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    crcs = {r["doc_id"]: r["ids_crc32"] for r in packing.packed(docs, tokenizer_path()).collect()}
+    assert crcs[1] == crcs[3] != crcs[2]
+    repeats = [(i, " ".join([prose(random.Random(2), 12), word, prose(random.Random(3), 12)])) for i, word in ((1, one), (2, other), (3, one))]
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.digest(substring_dedup.without_repeats(spark.createDataFrame(repeats, "doc_id long, text string"))).collect()}
+    assert removed == {1: 0, 2: 0, 3: 25}
+
+
+def test_word_hashes_follow_the_bytes_alone():
+    rng = random.Random(4)
+    words_ = ["".join(rng.choice("abé日") for _ in range(rng.choice([1, 3, 7, 8, 9, 16, 17, 255, 256, 257, 700]))) for _ in range(60)]
+    texts = [" ".join(rng.sample(words_, 20)) for _ in range(20)]
+    seen = {}
+    for text in texts:
+        raw = text.encode()
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends, _ = wd.word_spans(data, np.array([0, len(data)]), wd.WHITE)
+        for w, h in zip(raw.split(), wd.word_hashes(data, starts, ends).tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def plain_entropy_span(run):
+    """First and last character of the windows above the threshold, by counting every window anew."""
+    kind = "entropy_hex" if re.fullmatch("[0-9a-fA-F]+", run) else "entropy_base64"
+    hits = []
+    for i in range(len(run) - secret_scan.WINDOW + 1):
+        counts = {c: run.count(c, i, i + secret_scan.WINDOW) for c in set(run[i : i + secret_scan.WINDOW])}
+        if sum(secret_scan.weight(c) for c in counts.values()) <= secret_scan.most(kind):
+            hits.append(i)
+    return (kind, hits[0], hits[-1] + secret_scan.WINDOW) if hits else None
+
+
+def test_entropy_spans_against_every_window(spark):
+    rng = random.Random(7)
+    alphabets = ["0123456789abcdef", secret_scan.ALPHABET, "aab1", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij9"]
+    rows, expected = [], {}
+    for i in range(60):
+        run = "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(20, 90)))
+        run = run + "aaaaaaaaaaaaaaaaaaaaaaaa" * (i % 3) + ("7" if not re.search("[0-9]", run) else "")
+        if re.search(secret_scan.ALLOWED[3], run):
+            continue
+        rows.append((i, f"é  {run} ."))
+        span = plain_entropy_span(run)
+        expected[i] = [] if span is None else [(3 + span[1], secret_scan.KINDS.index(span[0]), 3 + span[2])]
+    docs = spark.createDataFrame([*rows, (100, "letters" * 20)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["secrets"] if s["kind"] > 2] for r in secret_scan.secrets(docs).collect()}
+    assert got == {**expected, 100: []} and sum(map(bool, expected.values())) > 20
+
+
+def test_very_long_runs_take_linear_time(spark):
+    import base64
+    import time
+
+    rng = random.Random(9)
+    run = base64.b64encode(rng.randbytes(750_000)).decode().replace("=", "")
+    letters = "".join(rng.choice("abcdefghijklm") for _ in range(1_000_000))
+    many = " ".join(f"{rng.getrandbits(80):020x}" for _ in range(20_000))
+    docs = spark.createDataFrame([(1, f"data:image/png;base64,{run}"), (2, letters), (3, many)], "doc_id long, text string")
+    secret_scan.digest(secret_scan.secrets(docs.where("doc_id = 2"))).collect()
+    start = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.digest(secret_scan.secrets(docs.coalesce(1))).collect()}
+    taken = time.time() - start
+    assert got[1]["spans"] == f"entropy_base64:22:{22 + len(run)}" or got[1]["spans"].endswith(f":{22 + len(run)}")
+    assert got[2]["spans"] == "" and got[3]["n_hex"] == 20_000
+    assert taken < 40, taken
+
+
+def test_masks_where_a_column_has_the_working_name(spark):
+    docs = spark.createDataFrame([(1, "password = abcDEF123456789", "x")], "doc_id long, text string, _found_secrets string")
+    row = secret_scan.masked_rows(docs).first()
+    assert row["text"] == "[SECRET]" and row["_found_secrets"] == "x"
