@@ -36,9 +36,9 @@ from lingospan.llm.tables import ids_and_texts
 
 SPACE, MARK = 0x20, "▁"
 #: Words kept between batches, bytes of the longest one kept, symbols of a stretch merged beside others.
-KEPT_WORDS, KEPT_BYTES, ABREAST = 1_000_000, 256, 64
-#: The first bytes of a 64-bit number.
-EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+KEPT_WORDS, KEPT_BYTES, ABREAST = 500_000, 256, 64
+#: Bytes of text that are encoded at a time.
+BLOCK_TEXT = 1 << 20
 
 # Fixed values of the model format: kinds of pieces and of models, numbers of fields.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -193,8 +193,8 @@ class WordTable:
         """
         eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
         size = ends - starts
-        low = eights[starts] & EIGHT[np.minimum(size, 8)]
-        high = (eights[starts + 8] & EIGHT[np.clip(size - 8, 0, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+        low = eights[starts] & wd.FIRST_BYTES[np.minimum(size, 8)]
+        high = (eights[starts + 8] & wd.FIRST_BYTES[np.clip(size - 8, 0, 7)]) | (size.astype(np.uint64) << np.uint64(56))
         short = size < 16
         out = np.full(len(starts), -1, np.int32)
         out[short] = self._found(low[short], high[short])
@@ -684,7 +684,7 @@ def encoder_at(path: str) -> Encoder:
 def _encode(path: str):
     def run(batches):
         encoder = encoder_at(path)
-        for block in wd.blocks(batches):
+        for block in wd.blocks(batches, limit=BLOCK_TEXT):
             ids, low, high, borders = encoder(block.column(1))
             columns = [block.column(0), *(_lists(v, borders) for v in (ids, low, high))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "begins", "ends"])
