@@ -88,7 +88,7 @@ def scored_documents(docs: DataFrame, scored: ScoredWords, doc_key: str) -> Data
                     continue
                 tokens = part["tokens"].chunk(0)
                 found = pc.index_in(tokens.flatten(), value_set=words)
-                rows = np.repeat(np.arange(part.num_rows), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                rows = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
                 known = found.is_valid().to_numpy(zero_copy_only=False)
                 at = found.drop_null().to_numpy(zero_copy_only=False)
                 cells = np.unique(rows[known].astype(np.int64) * len(ids) + at)
@@ -104,6 +104,44 @@ def scored_documents(docs: DataFrame, scored: ScoredWords, doc_key: str) -> Data
     return hits.groupBy("model_id", doc_key).agg(F.flatten(F.collect_list("ids")).alias("ids"))
 
 
+def scored_members(docs: DataFrame, members: DataFrame, scored: ScoredWords, doc_key: str) -> DataFrame:
+    """``(model_id, doc_key, ids)`` of documents that several models and pairs share.
+
+    ``docs(doc_id, lang, tokens)`` has every document once, ``members(model_id, doc_key, doc_id)`` says where it
+    belongs. A task looks the tokens of a document up for all models of its language; tokens are never
+    shuffled, only the ids meet the members.
+    """
+    lookups: dict[str | None, list] = {}
+    for (model, lang), (words, ids) in scored.lookups().items():
+        lookups.setdefault(lang, []).append((model, pa.array(words), np.array(ids, dtype=np.int32)))
+    schema = T.StructType([members.schema["model_id"], docs.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for lang, models in lookups.items():
+                part = (table if lang is None else table.filter(pc.equal(table["lang"], lang))).combine_chunks()
+                if part.num_rows == 0:
+                    continue
+                tokens = part["tokens"].chunk(0)
+                flat = tokens.flatten()
+                rows = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+                for model, words, ids in models:
+                    found = pc.index_in(flat, value_set=words)
+                    known = found.is_valid().to_numpy(zero_copy_only=False)
+                    at = found.drop_null().to_numpy(zero_copy_only=False)
+                    cells = np.unique(rows[known].astype(np.int64) * len(ids) + at)
+                    sizes = np.bincount(cells // len(ids), minlength=part.num_rows)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(ids[cells % len(ids)], pa.int32()))
+                    names = pa.array([model] * part.num_rows, pa.string())
+                    yield pa.RecordBatch.from_arrays([names, part["doc_id"].chunk(0), lists], names=schema.names)
+
+    hits = docs.select("doc_id", "lang", "tokens").mapInArrow(run, schema)
+    joined = hits.join(members.select("model_id", "doc_id", doc_key), ["model_id", "doc_id"])
+    return joined.groupBy("model_id", doc_key).agg(F.flatten(F.collect_list("ids")).alias("ids"))
+
+
 def block_counts(documents: DataFrame, blocks: Sequence[Block]) -> DataFrame:
     """``(model_id, block_id, i, j, n)`` with 1-based positions inside the block.
 
@@ -195,12 +233,14 @@ def topic_pair_counts(
     max_k: int,
     doc_key: str = "pair_id",
     match: Sequence[str] = ("lang", "word"),
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """``(model_id, topic_id, i, j, n, df_src, df_tgt)`` for source rank i and target rank j.
 
     Row ``(0, 0)`` is kept so that topics without any word in the corpus stay visible.
     ``topic_words(model_id, topic_id, side, lang, rank, word)`` is model output: topics times
-    ``max_k`` rows, the only thing gathered on the driver.
+    ``max_k`` rows, the only thing gathered on the driver. With ``members`` the documents are given once,
+    see ``scored_members``.
     """
     top = topic_words.filter(F.col("rank") <= max_k)
     scored = ScoredWords(top, match)
@@ -217,7 +257,8 @@ def topic_pair_counts(
         )
         for (model, topic), sides in sorted(lists.items())
     ]
-    cells = block_counts(scored_documents(docs, scored, doc_key), blocks).withColumnRenamed("block_id", "topic_id")
+    found = scored_documents(docs, scored, doc_key) if members is None else scored_members(docs, members, scored, doc_key)
+    cells = block_counts(found, blocks).withColumnRenamed("block_id", "topic_id")
     row_of = W.partitionBy("model_id", "topic_id", "i")
     column_of = W.partitionBy("model_id", "topic_id", "j")
     return cells.withColumn("df_src", F.max(F.when(F.col("j") == 0, F.col("n"))).over(row_of)).withColumn(
@@ -230,6 +271,7 @@ def cooccurrence(
     words: DataFrame,
     doc_key: str = "pair_id",
     match: Sequence[str] = ("lang", "word"),
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Symmetric counts between all scored words; the diagonal is the document frequency.
 
@@ -244,7 +286,8 @@ def cooccurrence(
                 left = tuple(range(a, min(a + TILE, len(keys))))
                 right = tuple(range(b, min(b + TILE, len(keys))))
                 blocks.append(Block(model, f"{a}:{b}", left, right))
-    cells = block_counts(scored_documents(docs, scored, doc_key), blocks).filter("i > 0 AND j > 0 AND n > 0")
+    found = scored_documents(docs, scored, doc_key) if members is None else scored_members(docs, members, scored, doc_key)
+    cells = block_counts(found, blocks).filter("i > 0 AND j > 0 AND n > 0")
     origin = F.split("block_id", ":")
     upper = cells.select(
         "model_id",

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingospan.operators.sharding import generator, packed, train_shards
+from lingospan.operators.sharding import generator, number_by_model, packed, train_shards
 from lingospan.storage import store
 
 STRIPES = 16
@@ -110,7 +110,7 @@ def _counts(shards: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def lda_gibbs(
     docs: DataFrame,
-    n_topics: int,
+    n_topics: int | str,
     keys: Sequence[str] = ("lang",),
     *,
     doc: str = "doc_id",
@@ -130,11 +130,13 @@ def lda_gibbs(
     ``history(keys…, round, tokens, log_likelihood)`` has the counted tokens and the mean
     logarithm of a token's probability before each round, and after the last one.
 
-    ``alpha_sum`` is the Dirichlet mass over all topics. A document is a list of whole
+    ``n_topics`` is a number or the name of the key that holds it, so a sweep over numbers of topics is one
+    training. ``alpha_sum`` is the Dirichlet mass over all topics. A document is a list of whole
     tokens in one shard, so ``shard_tokens`` is exceeded by a longer one.
     """
-    keys, alpha = list(keys), alpha_sum / n_topics
-    shard_tokens = max(1, min(shard_tokens, SHARD_CELLS // n_topics))
+    keys, topics_of = list(keys), number_by_model(n_topics, keys)
+    most = n_topics if isinstance(n_topics, int) else docs.agg(F.max(n_topics)).first()[0] or 1
+    shard_tokens = max(1, min(shard_tokens, SHARD_CELLS // most))
     shards = packed(docs, keys, doc, tokens, shard_tokens, np.iinfo(np.int32).max)
     cell = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("local", "topic", "n")]))
     fields = [T.StructField("z", T.ArrayType(T.IntegerType())), T.StructField("cells", cell), T.StructField("log_likelihood", T.DoubleType())]
@@ -143,17 +145,18 @@ def lda_gibbs(
     def state(row, z, size: int):
         ids = np.asarray(row["ids"], np.int64)
         entry = np.repeat(np.arange(len(row["sizes"])), row["sizes"])
-        own, n = np.unique(ids * n_topics + z, return_counts=True)
-        cells = pd.DataFrame({"local": own // n_topics, "topic": own % n_topics, "n": n}).astype(np.int32)
+        own, n = np.unique(ids * size + z, return_counts=True)
+        cells = pd.DataFrame({"local": own // size, "topic": own % size, "n": n}).astype(np.int32)
         return ids, entry, cells.to_dict("records")
 
     def start(batches):
         for pdf in batches:
             zs, cells = [], []
             for _, row in pdf.iterrows():
-                z = generator(seed, 0, [*(row[k] for k in keys), row["shard"]]).integers(n_topics, size=len(row["ids"]))
+                key = [*(row[k] for k in keys), row["shard"]]
+                z = generator(seed, 0, key).integers(topics_of(key), size=len(row["ids"]))
                 zs.append(z.astype(np.int32))
-                cells.append(state(row, z, n_topics)[2])
+                cells.append(state(row, z, topics_of(key))[2])
             yield pdf.assign(z=zs, cells=cells, log_likelihood=np.nan)
 
     def sampler(step: int, n_sweeps: int):
@@ -161,20 +164,21 @@ def lda_gibbs(
             if not len(shard):
                 return pd.DataFrame(columns=schema.names)
             row, rng = shard.iloc[0].to_dict(), generator(seed, step, key)
-            z = np.asarray(row["z"], np.int64)
-            ids, entry, _ = state(row, z, n_topics)
+            k, z = topics_of(key), np.asarray(row["z"], np.int64)
+            alpha = alpha_sum / k
+            ids, entry, _ = state(row, z, k)
             local, topic, n = (counts[c].to_numpy(np.int64) for c in ("local", "topic", "n"))
-            word_topics = np.zeros((len(row["terms"]), n_topics), np.int64)
+            word_topics = np.zeros((len(row["terms"]), k), np.int64)
             word_topics[local[local >= 0], topic[local >= 0]] = n[local >= 0]
-            totals = np.zeros(n_topics, np.int64)
+            totals = np.zeros(k, np.int64)
             totals[topic[local == -1]] = n[local == -1]
             n_words = int(n[local == -2][0])
-            doc_topics = np.zeros((len(row["sizes"]), n_topics), np.int64)
+            doc_topics = np.zeros((len(row["sizes"]), k), np.int64)
             _count(doc_topics, entry, z, 1)
             row["log_likelihood"] = log_likelihood(ids, entry, word_topics, doc_topics, totals, alpha, beta, n_words)
             for _ in range(n_sweeps):
                 sweep(ids, entry, z, word_topics, doc_topics, totals, alpha, beta, n_words, rng)
-            row["z"], row["cells"] = z.astype(np.int32), state(row, z, n_topics)[2]
+            row["z"], row["cells"] = z.astype(np.int32), state(row, z, k)[2]
             return pd.DataFrame({name: [row[name]] for name in schema.names})
 
         return run
@@ -207,9 +211,11 @@ def lda_gibbs(
         for pdf in batches:
             for _, row in pdf.iterrows():
                 entry = np.repeat(np.arange(len(row["sizes"])), row["sizes"])
-                doc_topics = np.zeros((len(row["sizes"]), n_topics), np.int64)
+                k = topics_of([row[key] for key in keys])
+                doc_topics = np.zeros((len(row["sizes"]), k))
                 _count(doc_topics, entry, np.asarray(row["z"], np.int64), 1)
-                out = pd.DataFrame({doc: row["docs"], "theta": list((doc_topics + alpha) / (doc_topics.sum(axis=1, keepdims=True) + alpha * n_topics))})
+                smoothed = doc_topics + alpha_sum / k
+                out = pd.DataFrame({doc: row["docs"], "theta": list(smoothed / smoothed.sum(axis=1, keepdims=True))})
                 for key in keys:
                     out[key] = row[key]
                 yield out[[*keys, doc, "theta"]]

@@ -6,30 +6,47 @@ of a token table go through ``lookup_join``, which checks the size of the other
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lingospan.functions.text import is_ascii
 from lingospan.operators.sequence import number_by_id
 from lingospan.operators.tokens import distinct_terms, term_positions, tokens_from_positions
 from lingospan.storage import store
 
-BROADCAST_CELLS = 8_000_000
+BROADCAST_BYTES = 64 << 20
 SPREAD = 16
 
 
+def table_bytes(table: DataFrame) -> int:
+    """About how many bytes a table takes in memory."""
+    size = F.lit(0).cast("long")
+    for field in table.schema:
+        if isinstance(field.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        elif isinstance(field.dataType, T.ArrayType):
+            size = size + 8 * F.greatest(F.size(field.name), F.lit(0)) + 16
+        else:
+            size = size + 8
+    return table.agg(F.sum(size)).first()[0] or 0
+
+
 def lookup_join(big: DataFrame, small: DataFrame, keys: Sequence[str], by: str, how: str = "inner") -> DataFrame:
     """Join token rows to a table with one row per word.
 
-    The small side is stored and counted. Up to ``BROADCAST_CELLS`` values it is broadcast, so
+    The small side is stored and measured. Up to ``BROADCAST_BYTES`` it is broadcast, so
     the tokens stay where they are. Beyond that both sides are shuffled, every key of ``big``
     split in ``SPREAD`` parts by a hash of ``by``: a word that fills a third of the rows then
     reaches many tasks, which the adaptive skew join may split further.
     """
     table = store(small, "lookup")
-    if table.count() * len(table.columns) <= BROADCAST_CELLS:
+    if table_bytes(table) <= BROADCAST_BYTES:
         return big.join(F.broadcast(table), list(keys), how)
     part = F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
@@ -53,22 +70,90 @@ def _regroup(terms: DataFrame, doc_columns: Sequence[str], tokens: str) -> DataF
     return grouped.select(*doc_columns, tokens_from_positions(F.col("_terms")).alias(tokens))
 
 
+def _words_by_key(table: DataFrame, keys: Sequence[str]) -> dict[tuple, pa.Table] | None:
+    """The rows ``(keys…, word, …)`` of a table by key, or None if they are too many to send around."""
+    if table_bytes(table) > BROADCAST_BYTES:
+        return None
+    rows = table.toArrow()
+    if not keys:
+        return {(): rows}
+    found = {}
+    for key in rows.select(list(keys)).group_by(list(keys)).aggregate([]).to_pylist():
+        chosen = pa.array(np.ones(len(rows), bool))
+        for name, value in key.items():
+            chosen = pc.and_(chosen, pc.equal(rows[name], value))
+        found[tuple(key.values())] = rows.filter(chosen).combine_chunks()
+    return found
+
+
+def _mapped_tokens(
+    docs: DataFrame,
+    known: dict[tuple, pa.Table],
+    keys: Sequence[str],
+    doc_columns: Sequence[str],
+    tokens: str,
+    change: Callable[[pa.Array, pa.Array, tuple, pa.Table], pa.Array],
+) -> DataFrame:
+    """Documents with changed tokens, whole Arrow columns at a time where the documents are.
+
+    ``change(words, places, key, table)`` gets the tokens of the documents of one key and their places in
+    its words (null: not there); null results are dropped. Documents of other keys lose all tokens.
+    """
+    docs = docs.select(*dict.fromkeys([*doc_columns, *keys]), tokens)
+    schema = docs.select(*doc_columns, tokens).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch[tokens]
+            rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            words = lists.flatten().cast(pa.string())
+            parts = []
+            for key, table in known.items():
+                chosen = pa.array(np.ones(batch.num_rows, bool))
+                for name, value in zip(keys, key, strict=True):
+                    chosen = pc.and_(chosen, pc.equal(batch[name], value))
+                at = np.flatnonzero(pc.fill_null(chosen, False).to_numpy(zero_copy_only=False)[rows])
+                own = words.take(pa.array(at))
+                place = pc.index_in(own, value_set=table["word"].combine_chunks(), skip_nulls=True)
+                out = change(own, place, key, table)
+                kept = np.flatnonzero(out.is_valid().to_numpy(zero_copy_only=False))
+                parts.append((at[kept], out.take(pa.array(kept))))
+            at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+            out = pa.concat_arrays([p[1].cast(pa.string()) for p in parts]) if parts else pa.array([], pa.string())
+            order = np.argsort(at, kind="stable")
+            sizes = np.bincount(rows[at], minlength=batch.num_rows)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            changed = pa.ListArray.from_arrays(offsets, out.take(pa.array(order)))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in doc_columns), changed], [*doc_columns, tokens])
+
+    return docs.mapInArrow(run, schema)
+
+
 def filter_tokens_to_vocab(
     docs: DataFrame,
     vocab: DataFrame,
     keys: Sequence[str] = ("lang",),
     doc_columns: Sequence[str] = ("doc_id", "lang"),
     tokens: str = "tokens",
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """Only tokens found in ``vocab`` stay, in order; documents left empty are dropped.
+    """Only tokens found in ``vocab`` stay, in order; documents left empty are dropped or kept empty.
 
-    Rows are distinct words with their positions, so the join sees each word once per
-    document and the regrouping moves one row per document.
+    A vocabulary of up to ``BROADCAST_BYTES`` is looked up where the documents are. Beyond that, rows
+    are distinct words with their positions, so the join sees each word once per document and
+    the regrouping moves one row per document.
     """
+    words = store(vocab.select(*keys, "word").dropna().distinct(), "vocabulary")
+    known = _words_by_key(words, keys)
+    if known is not None:
+        kept = _mapped_tokens(docs, known, keys, doc_columns, tokens, lambda own, place, key, table: pc.if_else(place.is_valid(), own, None))
+        return kept if keep_empty else kept.filter(F.size(tokens) > 0)
     terms = docs.select(*doc_columns, F.inline(term_positions(F.col(tokens))))
-    words = vocab.select(*keys, "word").distinct()
-    kept = lookup_join(terms, words, [*keys, "word"], doc_columns[0], "left_semi")
-    return _regroup(kept, doc_columns, tokens)
+    kept = _regroup(lookup_join(terms, words, [*keys, "word"], doc_columns[0], "left_semi"), doc_columns, tokens)
+    if not keep_empty:
+        return kept
+    empty = F.array().cast("array<string>")
+    return docs.select(*doc_columns).join(kept, list(doc_columns), "left").withColumn(tokens, F.coalesce(tokens, empty))
 
 
 def missing_words(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -90,13 +175,7 @@ def remove_missing_words(
     tokens: str = "tokens",
 ) -> DataFrame:
     """Drop words no language has a vector for; documents left empty stay, empty."""
-    kept = filter_tokens_to_vocab(docs, vocab, [], doc_columns, tokens)
-    empty = F.array().cast("array<string>")
-    return (
-        docs.select(*doc_columns)
-        .join(kept, list(doc_columns), "left")
-        .withColumn(tokens, F.coalesce(tokens, empty))
-    )
+    return filter_tokens_to_vocab(docs, vocab, [], doc_columns, tokens, keep_empty=True)
 
 
 def select_word_space(vectors: DataFrame, docs: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -196,9 +275,18 @@ def concept_corpus(
     names = bidict.select(F.lit(src_lang).alias("lang"), F.col("src_word").alias("word"), concept).unionByName(
         bidict.select(F.lit(tgt_lang).alias("lang"), F.col("tgt_word").alias("word"), concept)
     )
-    terms = docs.filter(F.col("lang").isin(src_lang, tgt_lang)).select(
-        *doc_columns, F.inline(term_positions(F.col(tokens)))
-    )
+    docs = docs.filter(F.col("lang").isin(src_lang, tgt_lang))
+    names = store(names, "concepts")
+    known = _words_by_key(names, ["lang"])
+    if known is not None:
+
+        def renamed(own: pa.Array, place: pa.Array, key: tuple, table: pa.Table) -> pa.Array:
+            return pc.coalesce(table["concept"].combine_chunks().take(place), pc.binary_join_element_wise(key[0], own, ":"))
+
+        blank = pa.table({"word": pa.array([], pa.string()), "concept": pa.array([], pa.string())})
+        known = {(lang,): known.get((lang,), blank) for lang in (src_lang, tgt_lang)}
+        return _mapped_tokens(docs, known, ["lang"], doc_columns, tokens, renamed).filter(F.size(tokens) > 0)
+    terms = docs.select(*doc_columns, F.inline(term_positions(F.col(tokens))))
     own = F.concat_ws(":", "lang", "word")
     named = lookup_join(terms, names, ["lang", "word"], doc_columns[0], "left").withColumn(
         "word", F.coalesce("concept", own)

@@ -161,6 +161,25 @@ def theta_jsd(pairs: DataFrame, theta: DataFrame, *, skip_first: bool = False) -
     )
 
 
+def theta_jsd_cells(pairs: DataFrame, theta: DataFrame) -> DataFrame:
+    """As ``theta_jsd``, of weights in long form: ``theta(model_id, side, doc_id, cluster_id, weight)``.
+
+    A topic that a document has no row of weighs nothing there; pairs of which a document has no
+    row at all are left out.
+    """
+    keys = ["model_id", "pair_id", "cluster_id"]
+    sides = []
+    for side in ("src", "tgt"):
+        own = theta.filter(F.col("side") == side).select("model_id", F.col("doc_id").alias(f"{side}_doc"), "cluster_id", F.col("weight").alias(side))
+        sides.append(pairs.select("model_id", "pair_id", f"{side}_doc").join(own, ["model_id", f"{side}_doc"]).select(*keys, side))
+    cells = sides[0].join(sides[1], keys, "full_outer").fillna(0.0, ["src", "tgt"])
+    middle = (F.col("src") + F.col("tgt")) / 2
+    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / middle)).otherwise(0.0) / 2
+    whole = cells.groupBy("model_id", "pair_id").agg(F.sum(part("src") + part("tgt")).alias("jsd"), F.sum("src").alias("p"), F.sum("tgt").alias("q"))
+    known = whole.filter((F.col("p") > 0) & (F.col("q") > 0))
+    return known.groupBy("model_id").agg((1 - F.avg("jsd")).alias("similarity"), F.stddev_pop("jsd").alias("jsd_std"))
+
+
 def mean_and_pop_stddev(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"))
 

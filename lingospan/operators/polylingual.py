@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lingospan.functions.special import digamma, log_gamma
-from lingospan.operators.sharding import packed, shard_terms, sum_arrays, train_shards
+from lingospan.operators.sharding import number_by_model, packed, shard_terms, sum_arrays, train_shards
 from lingospan.storage import store
 
 INNER_STEPS, ENOUGH = 30, 1e-4
@@ -64,7 +64,7 @@ def fit_tuples(doc, word, n, gamma, log_beta, alpha: float):
 
 def lda_shared(
     tuples: DataFrame,
-    n_topics: int,
+    n_topics: int | str,
     keys: Sequence[str] = ("model_id",),
     *,
     doc: str = "pair_id",
@@ -82,9 +82,11 @@ def lda_shared(
     weight)`` sums to one by topic and language, ``theta(keys…, doc, theta)`` is normalised, for tuples
     with a token. ``history(keys…, round, bound)`` is the bound before the word rows of the round are
     replaced, ``mass(keys…, lang, tokens)`` the expected counts, which add up to the tokens.
-    Language codes hold no colon.
+    ``n_topics`` is a number or the name of the key that holds it, so a sweep over numbers of topics is one
+    training. Language codes hold no colon.
     """
-    keys, k, alpha = list(keys), n_topics, alpha_sum / n_topics
+    keys, topics_of = list(keys), number_by_model(n_topics, keys)
+    width = F.lit(n_topics) if isinstance(n_topics, int) else F.col(n_topics).cast("int")
     spark = tuples.sparkSession
     named = F.transform(F.filter(tokens, lambda t: t.isNotNull()), lambda t: F.concat(F.col("lang"), F.lit(":"), t))
     # The documents of a tuple meet in one row, as its languages and no more.
@@ -97,7 +99,7 @@ def lda_shared(
     n_words = {tuple(r)[:-1]: r["n"] for r in vocabulary.groupBy(*keys, "lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     # Start: counts that differ a little from word to word and topic to topic.
-    topics = F.sequence(F.lit(0), F.lit(k - 1))
+    topics = F.sequence(F.lit(0), width - 1)
     noise = F.transform(topics, lambda j: 1 + F.pmod(F.xxhash64("term", j, F.lit(seed)), F.lit(1000)) / 500.0)
     state = store(vocabulary.select(*keys, "lang", "term", noise.alias("weights")), "word-topics")
     shards = shards.withColumn("gamma", F.lit(None).cast("array<double>"))
@@ -105,7 +107,7 @@ def lda_shared(
     def totals_of(state: DataFrame) -> dict[tuple, np.ndarray]:
         """Sum of the word rows by model and language: as many numbers as topics each."""
         rows = state.select(*keys, "lang", F.posexplode("weights").alias("topic", "x"))
-        out = {key: np.zeros(k) for key in n_words}
+        out = {key: np.zeros(topics_of(key)) for key in n_words}
         for r in rows.groupBy(*keys, "lang", "topic").agg(F.sum("x").alias("x")).collect():
             out[tuple(r)[:-2]][r["topic"]] = r["x"]
         return out
@@ -115,6 +117,8 @@ def lda_shared(
             if not len(shard):
                 return pd.DataFrame(columns=fitted.names)
             row, rows = shard.iloc[0].to_dict(), rows.sort_values("local", ignore_index=True)
+            k = topics_of(key)
+            alpha = alpha_sum / k
             entry = np.repeat(np.arange(len(row["sizes"])), row["sizes"])
             pairs, n = np.unique(entry * np.int64(len(row["terms"])) + row["ids"], return_counts=True)
             sums = np.stack([totals[(*key[:-1], lang)] for lang in rows["lang"]])
@@ -153,17 +157,18 @@ def lda_shared(
         for r in state.mapInPandas(word_part(totals), part_schema).groupBy(*keys).agg(F.sum("part").alias("p")).collect():
             bound[tuple(r)[:-1]] += r["p"]
         for key, size in n_words.items():
+            k = topics_of(key)
             fixed = k * (log_gamma(np.float64(size * eta)) - size * log_gamma(np.float64(eta)))
             bound[key[:-1]] += float(fixed - log_gamma(totals[key]).sum())
         history += [(*key, step, float(b)) for key, b in bound.items()]
         shards = done.drop("counts", "bound")
         rows = done.select(*keys, "shard", "counts", F.posexplode("terms").alias("local", "term"))
-        rows = rows.select(*keys, "term", F.col("shard").alias("_order"), F.slice("counts", F.col("local") * k + 1, k).alias("weights"))
+        rows = rows.select(*keys, "term", F.col("shard").alias("_order"), F.slice("counts", F.col("local") * width + 1, width).alias("weights"))
         summed = sum_arrays(rows, [*keys, "term"], ["weights"], n_shards)
         state = store(summed.select(*keys, side, "term", F.transform("weights", lambda x: x + eta).alias("weights")), "word-topics")
         totals = totals_of(state)
 
-    mass = [(*key, float(total.sum() - k * eta * n_words[key])) for key, total in totals.items()]
+    mass = [(*key, float(total.sum() - len(total) * eta * n_words[key])) for key, total in totals.items()]
     mass_schema = T.StructType([tuples.schema[key] for key in keys] + [T.StructField("lang", T.StringType()), T.StructField("tokens", T.DoubleType())])
     log_schema = T.StructType([tuples.schema[key] for key in keys] + [T.StructField("round", T.IntegerType()), T.StructField("bound", T.DoubleType())])
     word = F.expr("substring(term, length(lang) + 2)").alias("word")
@@ -174,7 +179,7 @@ def lda_shared(
 
     entry = F.explode(F.sequence(F.lit(0), F.size("docs") - 1)).alias("_i")
     theta = shards.select(*keys, "docs", "gamma", entry)
-    theta = theta.select(*keys, F.get("docs", F.col("_i")).alias(doc), F.slice("gamma", F.col("_i") * k + 1, k).alias("_g"))
+    theta = theta.select(*keys, F.get("docs", F.col("_i")).alias(doc), F.slice("gamma", F.col("_i") * width + 1, width).alias("_g"))
     total = F.aggregate("_g", F.lit(0.0), lambda a, x: a + x)
     theta = theta.select(*keys, doc, F.transform("_g", lambda x: x / total).alias("theta"))
     return phi, theta, spark.createDataFrame(history, log_schema), spark.createDataFrame(mass, mass_schema)

@@ -44,9 +44,15 @@ def split_topics_by_language(
     return split.withColumn("rank", rank)
 
 
-def split_concept_topics(topic_words: DataFrame, concepts: DataFrame, keys: Sequence[str], src_lang: str) -> DataFrame:
-    """Per-language ranked lists of a concept model: a concept gives a word to both sides."""
-    joined = topic_words.join(concepts, F.col("word") == F.col("concept"), "left")
+def split_concept_topics(
+    topic_words: DataFrame, concepts: DataFrame, keys: Sequence[str], src_lang: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Per-language ranked lists of a concept model: a concept gives a word to both sides.
+
+    ``by`` names the keys of models with concepts of their own, which both tables have.
+    """
+    named = concepts.select(*by, F.col("concept").alias("word"), "concept", "src_word", "tgt_word")
+    joined = topic_words.join(named, [*by, "word"], "left")
     own_lang = F.substring_index("word", ":", 1)
     own_word = F.substring(F.col("word"), F.length(own_lang) + 2, F.length("word"))
     own_side = F.when(own_lang == src_lang, "src").otherwise("tgt")
@@ -62,9 +68,15 @@ def split_concept_topics(topic_words: DataFrame, concepts: DataFrame, keys: Sequ
     return rows.withColumn("rank", rank)
 
 
-def topic_centroids(topic_words: DataFrame, vectors: DataFrame, keys: Sequence[str], top_p: int) -> DataFrame:
-    """Mean vector of each topic's top words; words without a vector are left out."""
-    chosen = topic_words.filter(F.col("rank") <= top_p).join(vectors.select("lang", "word", "vec"), ["lang", "word"])
+def topic_centroids(
+    topic_words: DataFrame, vectors: DataFrame, keys: Sequence[str], top_p: int, space: Sequence[str] = ()
+) -> DataFrame:
+    """Mean vector of each topic's top words; words without a vector are left out.
+
+    ``space`` names the keys of several vector spaces, which both tables have.
+    """
+    by = [*space, "lang", "word"]
+    chosen = topic_words.filter(F.col("rank") <= top_p).join(vectors.select(*by, "vec"), by)
     cells = chosen.select(*keys, F.posexplode("vec").alias("dim", "x"))
     means = cells.groupBy(*keys, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
@@ -149,6 +161,25 @@ def cluster_topics_crosslingual(centroids: DataFrame, n_clusters: int) -> DataFr
     )
 
 
+def cluster_topics_by_size(centroids: DataFrame) -> DataFrame:
+    """As ``cluster_topics_crosslingual``, with as many clusters as a model's own ``n_topics``."""
+
+    def cluster(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values(["side", "topic_id"], ignore_index=True)
+        vectors = np.stack(points["vec"].to_numpy()).astype(np.float64)
+        labels = complete_linkage(vectors, min(int(points["n_topics"].iloc[0]), len(points)))
+        return points[["model_id", "side", "topic_id"]].assign(cluster_id=labels)
+
+    return centroids.groupBy("model_id").applyInPandas(
+        cluster, "model_id string, side string, topic_id string, cluster_id int"
+    )
+
+
+def topics_without_centroid(topic_words: DataFrame, centroids: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Topics none of whose top words has a vector: they can be in no cluster."""
+    return topic_words.select(*keys).distinct().join(centroids.select(*keys), list(keys), "left_anti")
+
+
 def merge_topic_words(phi: DataFrame, topic_map: DataFrame, top_n: int) -> DataFrame:
     """Word weights summed over the member topics of each cluster, best ``top_n`` per side."""
     keys = ["model_id", "cluster_id", "side"]

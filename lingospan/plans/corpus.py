@@ -137,14 +137,18 @@ class Corpus:
         )
 
     @cached_property
-    def pair_docs(self) -> DataFrame:
-        """``(model_id, pair_id, side_no, doc_id, lang, tokens)``: both sides of every pair."""
+    def pair_members(self) -> DataFrame:
+        """``(model_id, pair_id, side_no, doc_id)``: the documents of every pair."""
         sides = F.array(
             F.struct(F.lit(0).alias("side_no"), F.col("src_doc").alias("doc_id")),
             F.struct(F.lit(1).alias("side_no"), F.col("tgt_doc").alias("doc_id")),
         )
-        members = self.pairs.select("model_id", "pair_id", F.inline(sides))
-        return members.join(self.docs.select("doc_id", "lang", "tokens"), "doc_id")
+        return self.pairs.select("model_id", "pair_id", F.inline(sides))
+
+    @cached_property
+    def pair_docs(self) -> DataFrame:
+        """``(model_id, pair_id, side_no, doc_id, lang, tokens)``: both sides of every pair."""
+        return self.pair_members.join(self.docs.select("doc_id", "lang", "tokens"), "doc_id")
 
     @cached_property
     def n_pairs(self) -> DataFrame:

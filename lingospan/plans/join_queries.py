@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from lingospan.functions.vectors import array_sum, dot, doubles
 from lingospan.operators import dictionaries, matching, metrics, topics
 from lingospan.operators.sequence import number_by_id
-from lingospan.plans.corpus import SOURCE, Corpus, per_model
+from lingospan.plans.corpus import MODELS, SOURCE, Corpus, per_model
 from lingospan.plans.registry import query, six
 from lingospan.storage import store
 
@@ -229,15 +229,22 @@ def dict_pairs_in_topics(c: Corpus):
 
 @query(
     "concept_corpus",
-    """SELECT doc_id, lang, array_to_string(list(concept ORDER BY pos), ' ') AS words FROM (
-      SELECT doc_id, t.lang, pos, coalesce('#' || d.seq, t.lang || ':' || t.word) AS concept FROM tok t
-      LEFT JOIN (SELECT 'en' AS lang, src_word AS word, seq FROM dict WHERE model_id = 'en-fr'
-        UNION ALL SELECT 'fr', tgt_word, seq FROM dict WHERE model_id = 'en-fr') d USING (lang, word)
-      WHERE t.lang IN ('en', 'fr')) GROUP BY doc_id, lang""",
+    """SELECT model_id, doc_id, lang, array_to_string(list(concept ORDER BY pos), ' ') AS words FROM (
+      SELECT m.model_id, doc_id, t.lang, pos, coalesce('#' || d.seq, t.lang || ':' || t.word) AS concept FROM tok t JOIN models m USING (lang)
+      LEFT JOIN (SELECT model_id, 'en' AS lang, src_word AS word, seq FROM dict
+        UNION ALL SELECT model_id, model_id[4:], tgt_word, seq FROM dict) d ON d.model_id = m.model_id AND d.lang = t.lang AND d.word = t.word)
+    GROUP BY model_id, doc_id, lang""",
 )
 def concept_corpus(c: Corpus):
-    bidict = matching.dedupe_bidict(c.bidict.filter("model_id = 'en-fr'"))
-    return as_text(matching.concept_corpus(c.docs, bidict, SOURCE, "fr"), "doc_id", "lang")
+    """The concept form of the documents of every model."""
+    bidict = store(matching.dedupe_bidict(c.bidict, ["model_id"]), "bidict")
+    rows = None
+    for model in MODELS:
+        pairs = bidict.filter(F.col("model_id") == model)
+        part = matching.concept_corpus(c.docs, pairs, SOURCE, model.removeprefix(f"{SOURCE}-"))
+        part = as_text(part.withColumn("model_id", F.lit(model)), "model_id", "doc_id", "lang")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 # --- dictionary coverage ----------------------------------------------------------------

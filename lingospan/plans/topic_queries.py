@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lingospan.operators import classification, cooccurrence, gibbs, matching, metrics, polylingual, tokens, topics
+from lingospan.operators import anchors, classification, cooccurrence, gibbs, matching, metrics, polylingual, tokens, topics
 from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus, per_model
-from lingospan.plans.mapping import topic_mapping_flow
+from lingospan.plans.mapping import save_models, sweep_scores, topic_mapping_flow, topic_sweep
 from lingospan.plans.registry import query, six
-from lingospan.storage import store
+from lingospan.plans.vector_queries import WIDTH
+from lingospan.storage import scratch_path, store
 
 KS = (10, 20, 30, 40, 50)
 
@@ -82,13 +83,47 @@ def lda_polylingual_phi(c: Corpus):
 
 @query("lda_joint_concept")
 def lda_joint_concept(c: Corpus):
-    """Top words per language of a model over shared concepts."""
-    bidict = store(matching.dedupe_bidict(c.bidict.filter("model_id = 'en-fr'")), "bidict")
-    docs = matching.concept_corpus(c.docs, bidict, SOURCE, "fr")
-    phi, _ = topics.fit_lda(docs, 10, min_df=5)
-    top = topics.top_words_per_topic(phi, ["topic_id"], 50)
+    """Top words per language of every model over shared concepts."""
+    bidict = store(matching.dedupe_bidict(c.bidict, ["model_id"]), "bidict")
+    docs = None
+    for model in MODELS:
+        part = matching.concept_corpus(c.docs, bidict.filter(F.col("model_id") == model), SOURCE, model.removeprefix(f"{SOURCE}-"))
+        part = part.withColumn("model_id", F.lit(model))
+        docs = part if docs is None else docs.unionByName(part)
+    phi, _, _ = gibbs.lda_gibbs(docs, 10, ["model_id"], rounds=ROUNDS, shard_tokens=SHARD_TOKENS)
+    top = topics.top_words_per_topic(phi, ["model_id", "topic_id"], 50)
     concepts = bidict.withColumn("concept", F.concat(F.lit("#"), F.col("seq").cast("string")))
-    return topics.split_concept_topics(top, concepts, ["topic_id"], SOURCE)
+    return topics.split_concept_topics(top, concepts, ["model_id", "topic_id"], SOURCE, ["model_id"])
+
+
+# --- anchor words -----------------------------------------------------------------------
+
+
+def anchor_model(c: Corpus) -> DataFrame:
+    """Topics of every model from anchor pairs of its dictionary."""
+    target = F.expr("substring(model_id, 4)")
+    links = c.bidict.select("model_id", F.lit(SOURCE).alias("src_lang"), "src_word", target.alias("tgt_lang"), "tgt_word")
+    phi, _ = anchors.anchor_topics(c.docs, links, 10, shard_tokens=SHARD_TOKENS)
+    return phi
+
+
+@query("anchor_topics")
+def anchor_topics(c: Corpus):
+    """Top words of every topic on both sides of every model."""
+    top = topics.top_words_per_topic(anchor_model(c), ["model_id", "lang", "topic_id"], 20)
+    return top.select("model_id", "lang", "topic_id", "rank", "word", "weight")
+
+
+@query(
+    "anchor_topics_phi",
+    """SELECT model_id, lang, topic_id, count(DISTINCT word) AS words, 1.0::DOUBLE AS total
+    FROM (SELECT lang, unnest(toks) AS word FROM docs WHERE len(toks) > 1) JOIN models USING (lang),
+      (SELECT unnest(range(0, 10))::INTEGER AS topic_id) GROUP BY ALL""",
+)
+def anchor_topics_phi(c: Corpus):
+    """Words and total weight of every topic."""
+    sums = anchor_model(c).groupBy("model_id", "lang", "topic_id").agg(F.count(F.lit(1)).alias("words"), F.sum("weight").alias("total"))
+    return sums.withColumn("total", six("total"))
 
 
 # --- centroids, clusters, weights -------------------------------------------------------
@@ -221,6 +256,44 @@ def model_sweep(c: Corpus):
     )
 
 
+SWEEP_TOPICS, SWEEP_DIMS, SWEEP_KS = (5, 10), (48, 64), (10, 20)
+SWEEP_SCORES = ("umass", "npmi", "diversity", "unique_share", "similarity")
+
+
+def sweep(c: Corpus) -> DataFrame:
+    """Scores of topic models of two sizes, linked by vectors with all dimensions and with the first ones left out."""
+    sides = per_model(c.spark.createDataFrame([(lang,) for lang in LANGUAGES], "lang string")).withColumnRenamed("model_id", "pair_model")
+    dims = F.explode(F.array(*[F.lit(d) for d in SWEEP_DIMS])).alias("dims")
+    spaces = c.vectors.select("lang", "word", "vec", dims)
+    spaces = store(spaces.withColumn("vec", F.slice("vec", WIDTH - F.col("dims") + 1, F.col("dims"))), "spaces")
+    words, theta = topic_sweep(c.docs, sides, spaces, SWEEP_TOPICS, rounds=4, shard_tokens=SHARD_TOKENS)
+    path = scratch_path(c.spark, "models")
+    save_models(words, path)
+    words = c.spark.read.parquet(path)
+    pairs, members = (df.withColumnRenamed("model_id", "pair_model") for df in (c.pairs, c.pair_members))
+    return sweep_scores(words, store(theta, "sweep-weights"), pairs, c.docs, members, SWEEP_KS)
+
+
+@query("model_sweep_scores")
+def model_sweep_scores(c: Corpus):
+    """Coherence, diversity and document similarity of every model, number of topics, dimensions and list length."""
+    return sweep(c).select("pair_model", "n_topics", "dims", "k", *SWEEP_SCORES)
+
+
+@query(
+    "model_sweep_ranges",
+    """SELECT pair_model, n_topics, dims, k, true AS within FROM (SELECT unnest(['en-de', 'en-es', 'en-fr']) AS pair_model),
+      (SELECT unnest([5, 10])::INTEGER AS n_topics), (SELECT unnest([48, 64])::INTEGER AS dims), (SELECT unnest([10, 20])::INTEGER AS k)""",
+)
+def model_sweep_ranges(c: Corpus):
+    """Whether the scores of every cell lie where they can: NPMI from -1 to 1, shares and similarity from 0 to 1."""
+    low = {"npmi": -1.0, "diversity": 0.0, "unique_share": 0.0, "similarity": 0.0}
+    within = F.lit(True)
+    for name, least in low.items():
+        within = within & F.coalesce(F.col(name).between(least - 1e-9, 1 + 1e-9), F.lit(True))
+    return sweep(c).select("pair_model", "n_topics", "dims", "k", within.alias("within"))
+
+
 # --- co-occurrence and coherence --------------------------------------------------------
 
 PAIR_SQL = """pw AS (SELECT DISTINCT model_id, pair_id, lang, word FROM (
@@ -249,7 +322,7 @@ def coherence_sql(score: str, name: str) -> str:
 
 
 def pair_counts(c: Corpus) -> DataFrame:
-    return cooccurrence.topic_pair_counts(c.pair_docs, c.model_topic_words, max(KS))
+    return cooccurrence.topic_pair_counts(c.docs, c.model_topic_words, max(KS), members=c.pair_members)
 
 
 @query(
@@ -258,7 +331,7 @@ def pair_counts(c: Corpus) -> DataFrame:
     views=PAIR_SQL,
 )
 def cooccurrence_query(c: Corpus):
-    return cooccurrence.cooccurrence(c.pair_docs, c.model_topic_words).select("model_id", "lang1", "word1", "lang2", "word2", "n")
+    return cooccurrence.cooccurrence(c.docs, c.model_topic_words, members=c.pair_members).select("model_id", "lang1", "word1", "lang2", "word2", "n")
 
 
 @query("coherence_umass", coherence_sql(UMASS, "umass"), views=PAIR_SQL)

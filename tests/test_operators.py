@@ -61,9 +61,9 @@ def test_seeded_shuffle_is_a_permutation(spark, bucket_rows):
         assert part["lang_seq"].tolist() == list(range(len(part)))
 
 
-@pytest.mark.parametrize("cells", [8_000_000, 0])
-def test_lookup_join_on_both_sides_of_the_limit(spark, monkeypatch, cells):
-    monkeypatch.setattr(matching, "BROADCAST_CELLS", cells)
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_lookup_join_on_both_sides_of_the_limit(spark, monkeypatch, limit):
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", limit)
     tokens_of = [(i, "hot" if i % 3 else f"w{i}") for i in range(300)]
     big = spark.createDataFrame(tokens_of, "doc_id long, word string")
     small = spark.createDataFrame([("hot", 1), ("w0", 2), ("w3", 3)], "word string, n int")
@@ -75,6 +75,41 @@ def test_lookup_join_on_both_sides_of_the_limit(spark, monkeypatch, cells):
     assert matching.lookup_join(big, small, ["word"], "doc_id", "left").count() == 300
 
 
+def test_table_bytes(spark):
+    df = spark.createDataFrame([("abc", 1, [1.0, 2.0]), (None, 2, None)], "word string, n int, vec array<double>")
+    assert matching.table_bytes(df) == (3 + 16) + 16 + 16 + (16 + 16) + 16
+    assert matching.table_bytes(df.filter("n > 5")) == 0
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_concepts_replace_words_of_both_languages(spark, monkeypatch, limit):
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", limit)
+    docs = spark.createDataFrame(
+        [(1, "en", ["a", "z", "a"]), (2, "fr", ["b", "a"]), (3, "de", ["a"]), (4, "en", []), (None, "en", ["a"]), (5, "fr", None)],
+        "doc_id long, lang string, tokens array<string>",
+    )
+    pairs = spark.createDataFrame([(7, "a", "b")], "seq long, src_word string, tgt_word string")
+    got = {r.doc_id: r.tokens for r in matching.concept_corpus(docs, pairs, "en", "fr").collect()}
+    assert got == {1: ["#7", "en:z", "#7"], 2: ["#7", "fr:a"], None: ["#7"]}
+    none = matching.concept_corpus(docs, pairs.filter("seq < 0"), "en", "fr")
+    assert {r.doc_id: r.tokens for r in none.collect()}[2] == ["fr:b", "fr:a"]
+
+
+def test_pair_counts_with_documents_given_once(spark):
+    docs = spark.createDataFrame(
+        [(1, "en", ["a", "b"]), (2, "fr", ["x"]), (3, "en", ["a"]), (4, "fr", ["y", "x"]), (5, "de", ["a"]), (6, "fr", None)],
+        "doc_id long, lang string, tokens array<string>",
+    )
+    members = [("m", 0, 1), ("m", 0, 2), ("m", 1, 3), ("m", 1, 4), ("m", 2, 6), ("n", 0, 3), ("n", 0, 2)]
+    members = spark.createDataFrame(members, "model_id string, pair_id long, doc_id long")
+    rows = [(m, "t", side, lang, r, w) for m in ("m", "n") for side, lang, words in (("src", "en", "ab"), ("tgt", "fr", "xy")) for r, w in enumerate(words, 1)]
+    words = spark.createDataFrame(rows, "model_id string, topic_id string, side string, lang string, rank int, word string")
+    joined = members.join(docs, "doc_id")
+    plain = cooccurrence.topic_pair_counts(joined, words, 2).collect()
+    given = cooccurrence.topic_pair_counts(docs, words, 2, members=members).collect()
+    assert sorted(map(repr, plain)) == sorted(map(repr, given)) and plain
+
+
 def test_term_counts_and_positions(spark):
     docs = [(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["x"])]
     df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
@@ -84,7 +119,9 @@ def test_term_counts_and_positions(spark):
     assert {r.doc_id: r.t for r in back.collect() if r.t is not None} == {d: ws for d, ws in docs if ws}
 
 
-def test_vocabulary_filter_keeps_order_and_drops_empty(spark):
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_vocabulary_filter_keeps_order_and_drops_empty(spark, monkeypatch, limit):
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", limit)
     docs = spark.createDataFrame(
         [(1, "en", ["b", "z", "a", "b"]), (2, "en", ["z"]), (3, "fr", ["a"]), (4, "en", [])],
         "doc_id long, lang string, tokens array<string>",

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingospan.functions.special import digamma, log_gamma
-from lingospan.operators import classification, gibbs, negative_sampling, polylingual, sharding
+from lingospan.operators import anchors, classification, gibbs, negative_sampling, polylingual, sharding
+from lingospan.operators.topics import complete_linkage
 
 
 def as_map(df, *keys):
@@ -253,6 +254,91 @@ def test_tuples_share_their_weights_across_languages(spark):
     assert set(phi.filter("model_id = 'n'").select("word").distinct().toPandas()["word"]) == {"a:b", "c"}
 
 
+# ---- anchor words
+
+
+def test_projected_rows_are_those_of_the_cooccurrence_table():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.6, size=(40, 12))
+    counts[5] = 0
+    counts[5, 3] = 1
+    random_rows = rng.normal(size=(12, 7))
+    size = counts.sum(axis=1)
+    table = np.zeros((12, 12))
+    for h, n in zip(counts, size, strict=True):
+        if n > 1:
+            table += (np.outer(h, h) - np.diag(h)) / (n * (n - 1))
+    doc, term = np.nonzero(counts)
+    present, doc = np.unique(doc, return_inverse=True)
+    got = anchors.project(doc, term, counts[counts > 0], random_rows)
+    assert np.allclose(got[:, :7], table @ random_rows) and np.allclose(got[:, 7], table.sum(axis=1))
+    assert (got[:, 8] == (counts[size > 1] > 0).sum(axis=0)).all() and len(present) <= 40
+
+
+def test_mixtures_are_the_nearest_on_the_simplex():
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(4, 9))
+    exact = rng.dirichlet(np.ones(4), size=30)
+    assert np.allclose(anchors.mixtures(exact @ points, points), exact, atol=1e-4)
+    rows = rng.normal(size=(20, 9))
+    c = anchors.mixtures(rows, points)
+    assert np.allclose(c.sum(axis=1), 1) and (c >= 0).all()
+    best = ((rows - c @ points) ** 2).sum(axis=1)
+    for other in rng.dirichlet(np.ones(4), size=300):
+        assert (((rows - other @ points) ** 2).sum(axis=1) >= best - 1e-9).all()
+
+
+def test_planted_anchors_are_found_in_both_languages(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        lang = ("en", "fr")[i % 2]
+        share = [rng.random() ** 3 for _ in range(3)]
+        words = []
+        for _ in range(40):
+            topic = rng.choices(range(3), share)[0]
+            # Word 0 of a topic is its anchor; words 8 and 9 belong to all topics.
+            k = rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9])
+            words.append(f"{lang}{k}" if k >= 8 else f"{lang}{topic}{k}")
+        rows.append((i, lang, words))
+    docs = spark.createDataFrame([*rows, (5000, "en", ["lonely"]), (5001, "en", []), (5002, "fr", None)], "doc_id long, lang string, tokens array<string>")
+    pairs = [("m", "en", f"en{t}{k}", "fr", f"fr{t}{k}") for t in range(3) for k in range(8)]
+    pairs += [("m", "en", f"en{k}", "fr", f"fr{k}") for k in (8, 9)] + [("m", "en", "unknown", "fr", "fr00"), ("m", "en", "lonely", "fr", "fr8")]
+    links = spark.createDataFrame(pairs, "model_id string, src_lang string, src_word string, tgt_lang string, tgt_word string")
+    phi, found = anchors.anchor_topics(docs, links, 3, width=64, shard_tokens=4000)
+    chosen = found[("m",)]
+    assert {a["src_word"][2] for a in chosen} == {"0", "1", "2"} and all(a["src_word"][2:] == a["tgt_word"][2:] for a in chosen)
+    weights = phi.toPandas()
+    assert "lonely" not in set(weights["word"])
+    assert np.allclose(weights.groupby(["lang", "topic_id"])["weight"].sum(), 1)
+    for i, a in enumerate(chosen):
+        for lang in ("en", "fr"):
+            own = weights[(weights["lang"] == lang) & (weights["topic_id"] == i)].nlargest(6, "weight")["word"]
+            assert (own.str[2] == a["src_word"][2]).all() or (own.str.len() == 3).sum() <= 2, list(own)
+
+
+# ---- clusters
+
+
+def test_chain_linkage_gives_the_labels_of_the_matrix_loop():
+    rng = np.random.default_rng(0)
+    for n, k in ((600, 20), (60, 1), (30, 30), (5, 9)):
+        points = rng.normal(size=(n, 8))
+        unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+        distance = 1 - unit @ unit.T
+        np.fill_diagonal(distance, np.inf)
+        labels = np.arange(n)
+        for _ in range(max(0, n - k)):
+            a, b = sorted(np.unravel_index(np.argmin(distance), distance.shape))
+            distance[a, :] = distance[:, a] = np.maximum(distance[a], distance[b])
+            distance[a, a] = np.inf
+            distance[b, :] = distance[:, b] = np.inf
+            labels[labels == b] = a
+        assert (complete_linkage(points, k) == np.unique(labels, return_inverse=True)[1]).all()
+    same = np.repeat(np.eye(3), 4, axis=0)
+    assert complete_linkage(same, 3).tolist() == [0] * 4 + [1] * 4 + [2] * 4
+
+
 # ---- classification
 
 
