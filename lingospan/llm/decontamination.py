@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lingospan.llm.tables import ids_and_texts
+from lingospan.llm.tables import ids_and_texts, store
 
 ERROR_RATE = 0.07
 BLOCK_CHARS = 4_000_000
@@ -152,8 +152,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 
     ``end_at`` is the place after its last character in the normalised text.
     """
-    texts = ids_and_texts(docs)
-    found = [texts.mapInArrow(_search(block, error_rate), RESULT) for block in _item_blocks(benchmark, block_chars)]
+    texts, found = ids_and_texts(docs), []
+    for block in _item_blocks(benchmark, block_chars):
+        # What earlier blocks found is written, so no plan holds two blocks of items.
+        found[-1:] = [store(earlier, "matches") for earlier in found[-1:]]
+        found.append(texts.mapInArrow(_search(block, error_rate), RESULT))
     if not found:
         return docs.sparkSession.createDataFrame([], RESULT)
     out = found[0]
@@ -185,6 +188,7 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
         return run
 
     out = docs.toDF(*names)
-    for block in _item_blocks(benchmark, block_chars):
+    for number, block in enumerate(_item_blocks(benchmark, block_chars)):
+        out = store(out, "clean") if number else out
         out = out.mapInArrow(keep(block), out.schema)
     return out.toDF(*docs.columns)

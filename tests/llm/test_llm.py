@@ -461,3 +461,82 @@ def test_masks_where_a_column_has_the_working_name(spark):
     docs = spark.createDataFrame([(1, "password = abcDEF123456789", "x")], "doc_id long, text string, _found_secrets string")
     row = secret_scan.masked_rows(docs).first()
     assert row["text"] == "[SECRET]" and row["_found_secrets"] == "x"
+
+
+def least_distance(item, text):
+    """Smallest edit distance of the item to any substring of the text, by the whole table."""
+    row = list(range(len(item) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for i, d in enumerate(item, 1):
+            new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (d != c)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 40])
+def test_decontamination_against_the_whole_table(spark, block_chars):
+    rng = random.Random(12)
+    items = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(20, 70))) for _ in range(12)]
+    texts = []
+    for _ in range(70):
+        item = rng.choice(items)
+        body = list(item)
+        for _ in range(rng.randrange(0, 9)):
+            at = rng.randrange(len(body))
+            change = rng.randrange(3)
+            body[at : at + 1] = [rng.choice("abcdX")] if change == 0 else [] if change == 1 else [body[at], rng.choice("abcdX")]
+        texts.append("".join(rng.choice("abcd ") for _ in range(rng.randrange(40))) + "".join(body).upper() + "".join(rng.choice("abcd  ") for _ in range(rng.randrange(40))))
+    rows = [(i, t, "x", 5) for i, t in enumerate(texts)] + [(None, texts[0], None, None), (3, texts[4], None, None), (200, None, None, None), (201, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, c0 string, item_id int")
+    benchmark = spark.createDataFrame([*enumerate(items), (50, None), (51, "  "), (None, items[1])], "item_id long, text string")
+    rate = 0.1
+    expected, dirty = [], []
+    for n, (doc_id, text, *_) in enumerate(rows):
+        hit = False
+        for item_id, item in [*enumerate(items), (None, items[1])]:
+            item, body = decontamination.normalise(item), decontamination.normalise(text)
+            distance = least_distance(item, body)
+            if distance <= int(rate * len(item)):
+                expected.append((doc_id, item_id, distance))
+                hit = True
+        dirty.append(hit)
+    got = decontamination.contaminated(docs, benchmark, rate, block_chars).select("doc_id", "item_id", "distance").collect()
+    assert sorted(map(repr, expected)) == sorted(repr(tuple(r)) for r in got) and len(expected) > 30
+    clean = decontamination.clean_rows(docs, benchmark, rate, block_chars)
+    assert clean.columns == docs.columns
+    assert sorted(repr(tuple(r)) for r in clean.collect()) == sorted(repr(r) for r, hit in zip(rows, dirty, strict=True) if not hit)
+
+
+def test_toxicity_and_quality_of_awkward_rows(spark, docs):
+    labels = spark.createDataFrame([(5, 1, 1), (9, 0, 0), (9, 0, 0), (11, 1, 0), (None, 1, 1), (6, None, None)], "doc_id long, toxic int, quality int")
+    net = toxicity.fit(docs, labels)
+    scores = [(r["doc_id"], r["score"]) for r in toxicity.scored(docs, net).collect()]
+    assert len(scores) == len(awkward()) and all(0 <= s <= 1 for _, s in scores)
+    same = [s for d, s in scores if d == 5]
+    assert len(same) == 2 and same[0] == same[1]
+    rated = quality.rated(docs, labels, docs["source"], docs["lang"]).collect()
+    assert len(rated) >= len(awkward()) and all(0 <= r["score"] <= 1 and 0 < r["prior"] < 1 for r in rated)
+    assert all(r["keep"] == (r["score"] >= 0.5) for r in rated)
+    assert {r["host"] for r in rated if r["doc_id"] is None} == {quality.NO_SITE}
+
+
+def held_out(spark, folder, label):
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(language_id.fold("doc_id", 5) == 0)
+    return {r["doc_id"]: r[label] for r in labels.where(f"{label} is not null").collect()}
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_held_out_quality_and_toxicity(spark, folder):
+    """Rows that no training has seen: those of the fold that the queries leave out."""
+    good = held_out(spark, folder, "quality")
+    rated = {r["doc_id"]: r["keep"] for r in QUERIES["op10_quality_classifier"](spark, folder).collect()}
+    right = sum(rated[d] == bool(q) for d, q in good.items())
+    assert right >= 0.95 * len(good), (right, len(good))
+    toxic = held_out(spark, folder, "toxic")
+    scored = {r["doc_id"]: r["predicted"] for r in QUERIES["op7_toxicity"](spark, folder).collect()}
+    found = sum(scored[d] for d, t in toxic.items() if t)
+    false = sum(scored[d] for d, t in toxic.items() if not t)
+    assert found >= 0.7 * sum(toxic.values()) and false <= 0.1 * len(toxic), (found, false, len(toxic))
