@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,11 +13,11 @@ from pyspark.sql import Window as W
 from lingospan.functions.text import letter_tokens
 from lingospan.operators import tokens
 from lingospan.operators.sequence import number_by_id
-from lingospan.plans.corpus import SOURCE, Corpus, per_model
+from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus, per_model
 from lingospan.plans.registry import query, six
 from lingospan.sources import readers, writers
 from lingospan.sources.lines import read_lines
-from lingospan.storage import scratch_path
+from lingospan.storage import scratch_path, store
 from lingospan.streaming import bucketed, incremental
 
 ONE_LINE = r"regexp_replace(text, '[\t\n\r]+', ' ', 'g')"
@@ -240,19 +243,27 @@ def read_interleaved_pairs(c: Corpus):
     return pairs.select("model_id", "pair_id", "side", F.array_join("tokens", " ").alias("words"))
 
 
-@query(
-    "zip_line_files",
-    "SELECT seq AS line_no, src_word, tgt_word FROM dict WHERE model_id = 'en-fr'",
-)
+def every_model(run) -> DataFrame:
+    """Rows of ``run(model)`` of all models, whose files are written side by side."""
+    with ThreadPoolExecutor(len(MODELS)) as pool:
+        parts = list(pool.map(lambda model: run(model).withColumn("model_id", F.lit(model)), MODELS))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("zip_line_files", "SELECT model_id, seq AS line_no, src_word, tgt_word FROM dict")
 def zip_line_files(c: Corpus):
-    """Both sides of a dictionary written to two files and read back line by line."""
-    pairs = c.bidict.filter("model_id = 'en-fr'")
-    files = []
-    for side in ("src_word", "tgt_word"):
-        path = scratch_path(c.spark, side)
-        writers.write_lines(pairs.select("seq", F.col(side).alias("line")), path, ["seq"])
-        files.append(whole_file(c, path))
-    return readers.zip_line_files(*files)
+    """Both sides of every dictionary written to two files and read back line by line."""
+    bidict = store(c.bidict, "bidict")
+
+    def zipped(model: str) -> DataFrame:
+        pairs, files = bidict.filter(F.col("model_id") == model), []
+        for side in ("src_word", "tgt_word"):
+            path = scratch_path(c.spark, side)
+            writers.write_lines(pairs.select("seq", F.col(side).alias("line")), path, ["seq"])
+            files.append(whole_file(c, path))
+        return readers.zip_line_files(*files)
+
+    return every_model(zipped)
 
 
 @query(
@@ -282,28 +293,46 @@ def perplexity_log(c: Corpus):
 # --- writers ----------------------------------------------------------------------------
 
 
-def interleaved(c: Corpus, model: str = "en-fr") -> DataFrame:
+def interleaved(c: Corpus, model: str) -> DataFrame:
     return c.pair_docs.filter(F.col("model_id") == model).withColumnRenamed("side_no", "side")
 
 
-EN_FR = "mdocs WHERE model_id = 'en-fr'"
+@query("write_interleaved_corpus", "SELECT model_id, pair_id * 2 + side_no AS line_no, array_to_string(toks, ' ') AS line FROM mdocs")
+def write_interleaved_corpus(c: Corpus):
+    c.pairs  # Numbered once for all models.
 
+    def lines(model: str) -> DataFrame:
+        path = scratch_path(c.spark, "interleaved")
+        writers.write_interleaved_corpus(interleaved(c, model), path)
+        return whole_file(c, path)
 
-@query("write_interleaved_corpus", f"SELECT pair_id * 2 + side_no AS line_no, array_to_string(toks, ' ') AS line FROM {EN_FR}")
-def write_interleaved_corpus(c: Corpus):
-    path = scratch_path(c.spark, "interleaved")
-    writers.write_interleaved_corpus(interleaved(c), path)
-    return whole_file(c, path)
+    return every_model(lines)
+
+
+def language_files(c: Corpus, name: str, write) -> DataFrame:
+    """Numbered lines of the file of each language of every model."""
+    c.pairs
+
+    def lines(model: str) -> DataFrame:
+        path = scratch_path(c.spark, name)
+        write(interleaved(c, model), path)
+        langs = (SOURCE, model.removeprefix(f"{SOURCE}-"))
+        return reduce(DataFrame.unionByName, [whole_file(c, f"{path}/lang={lang}").withColumn("lang", F.lit(lang)) for lang in langs])
+
+    return every_model(lines)
+
+
+ORDERED_SQL = "SELECT model_id, lang, row_number() OVER (PARTITION BY model_id, lang ORDER BY pair_id) - 1 AS line_no, {} AS line FROM mdocs"
 
 
-@query("write_two_file_corpus", f"SELECT lang, array_to_string(toks, ' ') AS line FROM {EN_FR}")
+@query("write_two_file_corpus", ORDERED_SQL.format("array_to_string(toks, ' ')"))
 def write_two_file_corpus(c: Corpus):
-    return written_lines(c, "two-files", lambda p: writers.write_two_file_corpus(interleaved(c), p))
+    return language_files(c, "two-files", writers.write_two_file_corpus)
 
 
-@query("write_polylingual_tsv", f"SELECT lang, pair_id || chr(9) || upper(lang) || chr(9) || array_to_string(toks, ' ') AS line FROM {EN_FR}")
+@query("write_polylingual_tsv", ORDERED_SQL.format("pair_id || chr(9) || upper(lang) || chr(9) || array_to_string(toks, ' ')"))
 def write_polylingual_tsv(c: Corpus):
-    return written_lines(c, "polylingual", lambda p: writers.write_polylingual_tsv(interleaved(c), p))
+    return language_files(c, "polylingual", writers.write_polylingual_tsv)
 
 
 def indexed_vectors(c: Corpus) -> DataFrame:
@@ -360,11 +389,15 @@ def write_sparse_counts(c: Corpus):
     return written_lines(c, "sparse", lambda p: writers.write_sparse_counts(terms, p))
 
 
-@query("write_vocab", "SELECT row_number() OVER (ORDER BY word) - 1 AS line_no, word AS line FROM freq WHERE lang = 'en'")
+@query("write_vocab", "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY word) - 1 AS line_no, word AS line FROM freq")
 def write_vocab(c: Corpus):
-    path = scratch_path(c.spark, "vocab")
-    writers.write_vocab(tokens.count_vectorizer_vocab(c.docs.filter(F.col("lang") == SOURCE)), path)
-    return whole_file(c, path)
+    """The vocabulary file of every language."""
+    vocab, files = store(tokens.count_vectorizer_vocab(c.docs), "vocabulary"), []
+    for lang in LANGUAGES:
+        path = scratch_path(c.spark, "vocab")
+        writers.write_vocab(vocab.filter(F.col("lang") == lang), path)
+        files.append(whole_file(c, path).withColumn("lang", F.lit(lang)))
+    return reduce(DataFrame.unionByName, files)
 
 
 @query("write_mtm_bidict", "SELECT 0 || chr(9) || src_word || chr(9) || 1 || chr(9) || tgt_word AS line FROM dict")
@@ -382,13 +415,15 @@ def topic_word_report(c: Corpus):
 
 @query(
     "doc_topic_report",
-    """SELECT pair_id * 2 + side_no AS doc_no, lang, array_to_string(toks, ', ') AS words, round(top + 1e-9, 6) + 0.0 AS top
+    """SELECT model_id, pair_id * 2 + side_no AS doc_no, lang, array_to_string(toks, ', ') AS words, round(top + 1e-9, 6) + 0.0 AS top
     FROM mdocs JOIN (SELECT doc_id, max(theta) AS top FROM theta GROUP BY doc_id) USING (doc_id)
-    WHERE model_id = 'en-fr' AND pair_id * 2 + side_no < 1000""",
+    WHERE pair_id * 2 + side_no < 1000""",
 )
 def doc_topic_report(c: Corpus):
-    report = writers.doc_topic_report(interleaved(c), c.theta.select("doc_id", "theta"), 1000)
-    return report.select("doc_no", "lang", "words", six(F.array_max("theta")).alias("top"))
+    """The report on the first documents of every model."""
+    theta = store(c.theta.select("doc_id", "theta"), "theta")
+    report = every_model(lambda model: writers.doc_topic_report(interleaved(c, model), theta, 1000))
+    return report.select("model_id", "doc_no", "lang", "words", six(F.array_max("theta")).alias("top"))
 
 
 @query(

@@ -495,11 +495,16 @@ def theta_jsd_skip_first(c: Corpus):
 
 @query(
     "feature_split",
-    """SELECT doc_id, lang, class, CASE WHEN lang = 'en' THEN data_type ELSE 'test' END AS part FROM split
-    WHERE (lang = 'en' AND data_type IN ('train', 'dev')) OR (lang = 'fr' AND data_type = 'test')""",
+    """SELECT model_id, doc_id, lang, class, CASE WHEN lang = 'en' THEN data_type ELSE 'test' END AS part FROM split JOIN models USING (lang)
+    WHERE (lang = 'en' AND data_type IN ('train', 'dev')) OR (lang <> 'en' AND data_type = 'test')""",
 )
 def feature_split(c: Corpus):
-    return metrics.feature_split(c.split, SOURCE, "fr").select("doc_id", "lang", "class", "part")
+    """Train and dev rows of the source language and test rows of the other one, for every model."""
+    rows = None
+    for model in MODELS:
+        part = metrics.feature_split(c.split, SOURCE, model.removeprefix(f"{SOURCE}-")).withColumn("model_id", F.lit(model))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.select("model_id", "doc_id", "lang", "class", "part")
 
 
 @query(
