@@ -161,6 +161,23 @@ def theta_jsd(pairs: DataFrame, theta: DataFrame, *, skip_first: bool = False) -
     )
 
 
+def theta_jsd_by_position(src: DataFrame, tgt: DataFrame, skip_first: bool = False) -> DataFrame:
+    """As ``theta_jsd``, of two files whose n-th lines belong together: ``(model_id, lang_seq, theta)`` each."""
+    p = src.select("model_id", "lang_seq", F.col("theta").alias("p")).filter(F.col("lang_seq") >= int(skip_first))
+    pairs = p.join(tgt.select("model_id", "lang_seq", F.col("theta").alias("q")), ["model_id", "lang_seq"])
+    jsd = pairs.select("model_id", measures.jensen_shannon(F.col("p"), F.col("q")).alias("jsd"))
+    return jsd.groupBy("model_id").agg((1 - F.avg("jsd")).alias("similarity"), F.stddev_pop("jsd").alias("jsd_std"))
+
+
+def theta_jsd_joint(theta: DataFrame) -> DataFrame:
+    """As ``theta_jsd``, of one matrix ``(model_id, row, theta)``, the target rows behind as many source rows."""
+    half = theta.groupBy("model_id").agg(F.floor(F.count(F.lit(1)) / 2).alias("_half"))
+    rows = theta.join(half, "model_id")
+    src = rows.filter(F.col("row") < F.col("_half")).withColumnRenamed("row", "lang_seq")
+    tgt = rows.filter(F.col("row") >= F.col("_half")).withColumn("lang_seq", F.col("row") - F.col("_half"))
+    return theta_jsd_by_position(src, tgt)
+
+
 def theta_jsd_cells(pairs: DataFrame, theta: DataFrame) -> DataFrame:
     """As ``theta_jsd``, of weights in long form: ``theta(model_id, side, doc_id, cluster_id, weight)``.
 

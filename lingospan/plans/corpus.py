@@ -47,8 +47,9 @@ models AS (
   UNION ALL SELECT 'en', unnest(['en-de', 'en-es', 'en-fr']), 'src'),
 mvec AS (SELECT model_id, side, vec.* FROM vec JOIN models USING (lang)),
 dict AS (
-  SELECT 'en-' || f.lang AS model_id, r AS seq, e.word AS src_word, f.word AS tgt_word
-  FROM rnk e JOIN rnk f USING (r) WHERE e.lang = 'en' AND f.lang <> 'en'),
+  SELECT 'en-' || lang AS model_id, r AS seq, src_word, word AS tgt_word FROM (
+    SELECT lang, word, r, max(CASE WHEN lang = 'en' THEN word END) OVER (PARTITION BY r) AS src_word FROM rnk)
+  WHERE lang <> 'en' AND src_word IS NOT NULL),
 phi AS (
   SELECT source AS topic_id, lang, word, sum(tf)::DOUBLE AS weight FROM bow GROUP BY ALL),
 topic AS (

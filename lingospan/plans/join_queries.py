@@ -110,7 +110,7 @@ def bidict_encoded(c: Corpus):
 
 @query(
     "words_not_in_pairs",
-    "SELECT word, cf FROM rnk WHERE lang = 'en' AND word NOT IN (SELECT src_word FROM dict)",
+    "SELECT word, cf FROM rnk ANTI JOIN dict ON word = src_word WHERE lang = 'en'",
 )
 def words_not_in_pairs(c: Corpus):
     vocab = c.ranks.filter(F.col("lang") == SOURCE).select("word", "cf")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lingospan.operators import anchors, classification, cooccurrence, gibbs, matching, metrics, polylingual, tokens, topics
+from lingospan.operators.sequence import number_by_id
 from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus, per_model
 from lingospan.plans.mapping import save_models, sweep_scores, topic_mapping_flow, topic_sweep
 from lingospan.plans.registry import query, six
 from lingospan.plans.vector_queries import WIDTH
+from lingospan.sources import readers
 from lingospan.storage import scratch_path, store
 
 KS = (10, 20, 30, 40, 50)
@@ -493,6 +495,44 @@ def theta_jsd_skip_first(c: Corpus):
     return rows.select("model_id", six("similarity").alias("similarity"), six("jsd_std").alias("jsd_std"))
 
 
+JSD = "SELECT model_id, round(1 - avg(d) + 1e-9, 6) + 0.0 AS similarity, round(stddev_pop(d) + 1e-9, 6) + 0.0 AS jsd_std FROM jsd GROUP BY model_id"
+
+
+def paired_theta(c: Corpus) -> DataFrame:
+    """``(model_id, pair_id, p, q)``: the weights of both documents of every pair that has them."""
+    theta = store(c.theta.select("doc_id", "theta"), "theta")
+    src = theta.select(F.col("doc_id").alias("src_doc"), F.col("theta").alias("p"))
+    tgt = theta.select(F.col("doc_id").alias("tgt_doc"), F.col("theta").alias("q"))
+    return store(c.pairs.join(src, "src_doc").join(tgt, "tgt_doc").select("model_id", "pair_id", "p", "q"), "paired-theta")
+
+
+@query("theta_jsd_polylingual", JSD, views=JSD_SQL)
+def theta_jsd_polylingual(c: Corpus):
+    """From a weight file of each side, with a header, two id columns and tabs."""
+    pairs = paired_theta(c)
+    header = pairs.select("model_id").distinct().select("model_id", F.lit(0).cast("long").alias("line_no"), F.lit("#doc\tname\ttopic proportion").alias("line"))
+    sides = []
+    for column in ("p", "q"):
+        weights = F.transform(column, lambda x: x.cast("string"))
+        number = F.col("pair_id").cast("string")
+        line = F.concat_ws("\t", number, F.concat(F.lit("doc"), number), F.array_join(weights, "\t"), F.lit(""))
+        lines = pairs.select("model_id", (F.col("pair_id") + 1).alias("line_no"), line.alias("line")).unionByName(header)
+        sides.append(readers.parse_theta_polylingual(lines, ["model_id"]))
+    rows = metrics.theta_jsd_by_position(*sides)
+    return rows.select("model_id", six("similarity").alias("similarity"), six("jsd_std").alias("jsd_std"))
+
+
+@query("theta_jsd_joint", JSD, views=JSD_SQL)
+def theta_jsd_joint(c: Corpus):
+    """From one matrix a model, the rows of target documents behind those of source documents."""
+    pairs = number_by_id(paired_theta(c), ["model_id"], "pair_id", out="row")
+    sizes = pairs.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
+    src = pairs.select("model_id", "row", F.col("p").alias("theta"))
+    tgt = pairs.join(sizes, "model_id").select("model_id", (F.col("row") + F.col("n")).alias("row"), F.col("q").alias("theta"))
+    rows = metrics.theta_jsd_joint(src.unionByName(tgt))
+    return rows.select("model_id", six("similarity").alias("similarity"), six("jsd_std").alias("jsd_std"))
+
+
 @query(
     "feature_split",
     """SELECT model_id, doc_id, lang, class, CASE WHEN lang = 'en' THEN data_type ELSE 'test' END AS part FROM split JOIN models USING (lang)

@@ -239,6 +239,21 @@ def read_theta(spark: SparkSession, path: str) -> DataFrame:
     return parse_theta(read_lines(spark, path))
 
 
+def parse_theta_polylingual(lines: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys…, lang_seq, doc_name, theta)``: a header line, then number, name and weights between tabs.
+
+    Lines without weights are left out, as is whatever is behind a trailing tab.
+    """
+    parts = F.filter(F.split("line", "\t", -1), lambda x, i: (i < 2) | (x != ""))
+    rows = lines.filter(F.col("line_no") > 0).select(*keys, "line_no", parts.alias("_p")).filter(F.size("_p") > 2)
+    weights = F.transform(F.slice("_p", F.lit(3), F.size("_p") - 2), lambda x: x.cast("double"))
+    return rows.select(*keys, (F.col("line_no") - 1).alias("lang_seq"), F.get("_p", F.lit(1)).alias("doc_name"), weights.alias("theta"))
+
+
+def read_theta_polylingual(spark: SparkSession, path: str) -> DataFrame:
+    return parse_theta_polylingual(read_lines(spark, path))
+
+
 def parse_rho(lines: DataFrame, n_topics: int, keys: Sequence[str] = ()) -> DataFrame:
     """Skip line 0, keep ``n_topics`` rows: ``(src_topic, tgt_topic, w)``."""
     parts = F.split(F.rtrim("line"), " ", -1)

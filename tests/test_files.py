@@ -176,3 +176,9 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     assert run() == {1: ("done", 0), 2: ("error", 0)}
     spark.createDataFrame([(2, "c"), (3, "d")], schema).write.mode("append").parquet(docs)
     assert run() == {1: ("done", 0), 2: ("done", 1), 3: ("done", 1)}
+
+
+def test_polylingual_weights(spark):
+    lines = [(0, "#doc\tname\ttopic"), (1, "0\ta\t0.25\t0.75\t"), (2, "1\tb c\t1.0\t0"), (3, "2\tbroken"), (4, "3\t\t0.5\t0.5")]
+    rows = readers.parse_theta_polylingual(spark.createDataFrame(lines, "line_no long, line string")).orderBy("lang_seq").collect()
+    assert [tuple(r) for r in rows] == [(0, "a", [0.25, 0.75]), (1, "b c", [1.0, 0.0]), (3, "", [0.5, 0.5])]
