@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lingospan.operators import dictionaries, embedding, matching, negative_sampling
+from lingospan.operators import dictionaries, embedding, matching, negative_sampling, neighbours
 from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus
 from lingospan.plans.registry import query, six
 from lingospan.storage import store
@@ -226,6 +226,18 @@ def translate_nearest(c: Corpus):
     return found.select("model_id", "query_id", "item_id")
 
 
+@query(
+    "nearest_words_pruned",
+    """SELECT model_id, query_id, item_id, round(s + 1e-9, 6) + 0.0 AS score, n::INTEGER AS rank FROM (SELECT *,
+      row_number() OVER (PARTITION BY model_id, query_id ORDER BY s DESC, item_id) AS n FROM scores) WHERE n <= 10""",
+    views=COS_SQL,
+)
+def nearest_words_pruned(c: Corpus):
+    """As ``nearest_words``, each query sent only to parts of the space that can hold a neighbour."""
+    found, _ = neighbours.nearest_pruned(as_queries(side(c, "src")), as_items(c.model_vectors), 10, n_pivots=16)
+    return found.withColumn("score", six("score"))
+
+
 SOFT_SQL = COS_SQL + """,
 sampled AS (SELECT model_id, id FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY md5('3:' || id)) AS n
   FROM named WHERE side = 'src') WHERE n <= 50),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lingospan.functions.special import digamma, log_gamma
-from lingospan.operators import anchors, classification, gibbs, negative_sampling, polylingual, sharding
+from lingospan.operators import anchors, classification, embedding, gibbs, negative_sampling, neighbours, polylingual, sharding
 from lingospan.operators.topics import complete_linkage
 
 
@@ -395,3 +395,29 @@ def test_separable_rows_have_a_minimum_too(spark):
     rows = [("a", "train", int(v > 0), [float(v), 1000.0 * v]) for v in (-3, -2, 2, 3)] + [("a", "dev", 1, [1.0, 1.0])]
     best, fitted = classification.crosslingual_accuracy(spark.createDataFrame(rows, "model_id string, part string, label int, features array<double>"), ["model_id"])
     assert best.first()["dev_acc"] == 1.0 and np.isfinite(fitted.toPandas()["weight"]).all()
+
+
+# ---- neighbours
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "softmax"])
+@pytest.mark.parametrize("clustered", [True, False])
+def test_pruned_search_is_exact_and_sends_less(spark, metric, clustered):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 10)) * 6
+    points = (centres[rng.integers(12, size=900)] if clustered else 0) + rng.normal(size=(900, 10))
+    points[5] = points[6]
+    ids = [f"w{i:03d}" for i in range(900)]
+    weights = rng.uniform(1, 2, size=900)
+    space = spark.createDataFrame([("m", i, p.tolist()) for i, p in zip(ids, points, strict=True)] + [("n", "w1", [1.0] * 10)], "model_id string, item_id string, vec array<double>")
+    queries = space.filter("item_id < 'w200'").withColumnRenamed("item_id", "query_id")
+    extra = spark.createDataFrame([("m", "out", (rng.normal(size=10) * 3).tolist()), ("unknown", "x", [1.0] * 10)], queries.schema)
+    queries = queries.unionByName(extra)
+    offset = spark.createDataFrame([("m", i, float(w)) for i, w in zip(ids, weights, strict=True)], "model_id string, item_id string, denominator double") if metric == "softmax" else None
+    got, sent = neighbours.nearest_pruned(queries, space, 5, metric=metric, offset=offset, n_pivots=24, block_rows=20)
+    plain = embedding.nearest(queries, space, 5, metric=metric, offset=offset)
+    rows = lambda df: sorted((r["model_id"], r["query_id"], r["rank"], r["item_id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(got) == rows(plain)
+    if clustered and metric != "softmax":
+        blocks = 900 / 20
+        assert sum(df.filter("model_id = 'm'").count() for df in sent) <= 201 * blocks / 3
