@@ -187,11 +187,11 @@ def lda_gibbs(
     shards = store(shards.mapInPandas(start, schema), "topics")
     vocabulary = store(shards.select(*keys, "shard", F.posexplode("terms").alias("local", "term")), "shard-words")
     spots = shards.select(*keys, "shard")
+    words = store(vocabulary.select(*keys, "term").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "vocabulary-sizes")
     history = []
     for step in range(1, rounds + 2):
         counts = store(_counts(shards, keys), "counts")
         totals = counts.groupBy(*keys, "topic").agg(F.sum("n").alias("n"))
-        words = counts.groupBy(*keys).agg(F.count_distinct("term").alias("n"))
         needed = vocabulary.join(counts, [*keys, "term"]).select(*keys, "shard", "local", "topic", "n")
         needed = needed.unionByName(spots.join(totals, keys).select(*keys, "shard", F.lit(-1).alias("local"), "topic", "n"))
         needed = needed.unionByName(spots.join(words, keys).select(*keys, "shard", F.lit(-2).alias("local"), F.lit(0).alias("topic"), "n"))

@@ -20,7 +20,7 @@ KS = (10, 20, 30, 40, 50)
 # --- training ---------------------------------------------------------------------------
 
 
-ROUNDS, SHARD_TOKENS = 10, 100_000
+ROUNDS, SHARD_TOKENS = 6, 100_000
 
 
 @query("lda_monolingual")
