@@ -150,6 +150,17 @@ def cluster_topics_crosslingual(c: Corpus):
     return topics.cluster_topics_crosslingual(centres, 20)
 
 
+@query(
+    "cluster_topics_partition",
+    """SELECT model_id, side, topic_id, 1::BIGINT AS clusters FROM mtopic JOIN vec USING (lang, word) WHERE mtopic.rank <= 10 GROUP BY ALL""",
+)
+def cluster_topics_partition(c: Corpus):
+    """In how many clusters every topic with a centroid is."""
+    centres = topics.topic_centroids(c.model_topic_words, c.vectors, ["model_id", "side", "topic_id"], 10)
+    found = topics.cluster_topics_crosslingual(centres, 20)
+    return found.groupBy("model_id", "side", "topic_id").agg(F.count_distinct("cluster_id").alias("clusters"))
+
+
 def given_map(c: Corpus) -> DataFrame:
     """A given grouping of topics: the last digit of the source number."""
     cluster = F.expr("cast(substring(topic_id, 4) as int) % 7")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lingospan.functions.vectors import l2_normalise
 from lingospan.operators import dictionaries, embedding, matching, negative_sampling, neighbours
 from lingospan.plans.corpus import LANGUAGES, MODELS, SOURCE, Corpus
 from lingospan.plans.registry import query, six
@@ -342,6 +343,17 @@ def language_dim_importance(c: Corpus):
     return embedding.language_dim_importance(c.vectors, F.col("lang") != SOURCE)
 
 
+@query("language_dims_found", "SELECT 64::BIGINT AS dims, 64::BIGINT AS distinct_dims, true AS beats_majority, 1.0::DOUBLE AS importance")
+def language_dims_found(c: Corpus):
+    """Dimensions that have a coefficient, whether the classifier beats the larger side, and the sum of importances."""
+    coefs, accuracy = embedding.language_dim_coefficients(c.vectors, F.col("lang") != SOURCE)
+    importance = embedding.language_dim_importance(c.vectors, F.col("lang") != SOURCE).agg(six(F.sum("coef")).alias("importance"))
+    share = c.vectors.agg(F.avg((F.col("lang") != SOURCE).cast("double")).alias("s"))
+    dims = coefs.agg(F.count(F.lit(1)).alias("dims"), F.count_distinct("dim").alias("distinct_dims"))
+    beats = F.lit(accuracy) >= F.greatest(F.col("s"), 1 - F.col("s"))
+    return dims.join(share).join(importance).select("dims", "distinct_dims", beats.alias("beats_majority"), "importance")
+
+
 COEF_SQL = """coefs AS (SELECT i - 1 AS dim, avg(x) AS coef FROM (
   SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i),
 ranked AS (SELECT dim, row_number() OVER (ORDER BY coef, dim) AS low,
@@ -389,11 +401,33 @@ def mask_language_dims_percent(c: Corpus):
 # --- clusters ---------------------------------------------------------------------------
 
 
+def clustered(c: Corpus, lang: str) -> tuple[DataFrame, DataFrame]:
+    return embedding.cluster_words(c.vectors.filter(F.col("lang") == lang), words_per_cluster=20)
+
+
 @query("cluster_words")
 def cluster_words(c: Corpus):
-    """Source-language words with their cluster."""
-    words, _ = embedding.cluster_words(c.vectors.filter(F.col("lang") == SOURCE), words_per_cluster=20)
-    return words.select("word", "cluster")
+    """Words of every language with their cluster."""
+    return reduce(DataFrame.unionByName, [clustered(c, lang)[0].select("lang", "word", "cluster") for lang in LANGUAGES])
+
+
+@query("cluster_words_placed", "SELECT lang, word, 1::BIGINT AS clusters, true AS nearest FROM vec")
+def cluster_words_placed(c: Corpus):
+    """In how many clusters a word is, and whether no other centre is nearer than its own."""
+    rows = None
+    for lang in LANGUAGES:
+        words, centres = clustered(c, lang)
+        unit = l2_normalise(F.col("vec")).cast("array<double>")
+        words = words.select("lang", "word", F.col("cluster").alias("own"), unit.alias("vec"))
+        centres = centres.agg(F.collect_list(F.struct("cluster", "vec")).alias("centres"))  # One of twenty words each.
+        square = lambda p: F.aggregate(F.zip_with("vec", p["vec"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+        away = F.transform("centres", lambda p: F.struct(square(p).alias("d"), p["cluster"].alias("cluster")))
+        placed = words.join(centres).select("lang", "word", "own", away.alias("away"))
+        own = F.filter("away", lambda p: p["cluster"] == F.col("own"))[0]["d"]
+        near = placed.select("lang", "word", (own <= F.array_min("away")["d"] + 1e-6).alias("near"))
+        part = near.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("clusters"), F.bool_and("near").alias("nearest"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 CENTRE_SQL = """centre_cells AS (SELECT model_id, side, label, i, avg(x) AS x FROM (
