@@ -225,6 +225,9 @@ def repeated_windows(texts: DataFrame, packed: DataFrame, size: int = SIZE) -> D
     # Equal segments are one: a passage in very many documents is a few rows in the trees.
     once = suffixes.groupBy("prefix", "low", "high").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.any_value("words").alias("words"))
     once = store(once, "segments")
+    # From here on the segments have the words; what is left of the suffixes is where they stand.
+    spans = store(suffixes.select("doc_id", "version", "at", "low", "high"), "spans")
+    emptied(suffixes)
     counts = once.groupBy("prefix").agg(F.count("*").alias("segments"))
     hot = store(counts.where(F.col("segments") > HOT).select("prefix"), "hot-prefixes")
     n_groups = max(1, 5 * once.count() // GROUP)
@@ -236,11 +239,11 @@ def repeated_windows(texts: DataFrame, packed: DataFrame, size: int = SIZE) -> D
     whole = whole.join(least, ["w_low", "w_high"]).groupBy("low", "high").agg(F.array_sort(F.collect_list(F.struct("place", "lowest"))).alias("l"))
     found = found.unionByName(whole.select("low", "high", F.col("l.lowest").alias("lowest")))
     found = store(found, "trees")
-    marks = suffixes.select("doc_id", "version", "at", "low", "high").join(found, ["low", "high"])
+    marks = spans.join(found, ["low", "high"])
     marks = marks.where(F.array_min("lowest") < F.col("doc_id"))
     marks = marks.select("doc_id", "version", "at", F.transform("lowest", lambda x: x < F.col("doc_id")).alias("hit"))
     marks = store(marks, "marks")
-    emptied(suffixes, once, hot, found)
+    emptied(spans, once, hot, found)
     return marks
 
 
