@@ -67,7 +67,7 @@ def lda_polylingual(c: Corpus):
 )
 def lda_polylingual_mass(c: Corpus):
     """Expected counts of every model and language, and how often its bound fell."""
-    _, _, history, mass = polylingual.lda_shared(c.pair_docs, 10, rounds=8, shard_tokens=SHARD_TOKENS)
+    _, _, history, mass = polylingual.lda_shared(c.pair_docs, 10, rounds=6, shard_tokens=SHARD_TOKENS)
     before = F.lag("bound").over(W.partitionBy("model_id").orderBy("round"))
     fell = history.withColumn("fell", F.coalesce(F.col("bound") < before - 1e-9 * F.abs(before), F.lit(False)))
     falls = fell.groupBy("model_id").agg(F.sum(F.col("fell").cast("long")).alias("falls"))
@@ -279,7 +279,7 @@ def sweep(c: Corpus) -> DataFrame:
     dims = F.explode(F.array(*[F.lit(d) for d in SWEEP_DIMS])).alias("dims")
     spaces = c.vectors.select("lang", "word", "vec", dims)
     spaces = store(spaces.withColumn("vec", F.slice("vec", WIDTH - F.col("dims") + 1, F.col("dims"))), "spaces")
-    words, theta = topic_sweep(c.docs, sides, spaces, SWEEP_TOPICS, rounds=4, shard_tokens=SHARD_TOKENS)
+    words, theta = topic_sweep(c.docs, sides, spaces, SWEEP_TOPICS, rounds=3, shard_tokens=SHARD_TOKENS)
     path = scratch_path(c.spark, "models")
     save_models(words, path)
     words = c.spark.read.parquet(path)

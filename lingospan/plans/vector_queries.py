@@ -17,7 +17,7 @@ from lingospan.plans.registry import query, six
 from lingospan.storage import store
 
 WIDTH = 64
-PASSES, NEGATIVE, SHARD_TOKENS = 5, 10, 100_000
+PASSES, NEGATIVE, SHARD_TOKENS = 3, 10, 100_000
 UNIT_SQL = """unit AS (SELECT model_id, side, word, label, vec_id,
   list_transform(d, lambda x: x / n) AS v FROM (
     SELECT *, sqrt(list_dot_product(d, d)) AS n FROM (SELECT *, vec::DOUBLE[] AS d FROM mvec)))"""
