@@ -101,6 +101,13 @@ class Corpus:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self._built: dict[str, object] = {}
+
+    def once(self, name: str, build):
+        """The result of a training that several queries of one corpus look at."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")

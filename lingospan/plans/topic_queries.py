@@ -20,13 +20,23 @@ KS = (10, 20, 30, 40, 50)
 # --- training ---------------------------------------------------------------------------
 
 
-ROUNDS, SHARD_TOKENS = 6, 100_000
+ROUNDS, SHARED_ROUNDS, SHARD_TOKENS = 6, 10, 100_000
+
+
+def sampled(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One sampled model per language: phi, theta and history."""
+    return c.once("sampled", lambda: gibbs.lda_gibbs(c.docs, 10, rounds=ROUNDS, shard_tokens=SHARD_TOKENS))
+
+
+def shared(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One model per language pair, the documents of a pair sharing their topic weights."""
+    return c.once("shared", lambda: polylingual.lda_shared(c.pair_docs, 10, rounds=SHARED_ROUNDS, shard_tokens=SHARD_TOKENS))
 
 
 @query("lda_monolingual")
 def lda_monolingual(c: Corpus):
     """Top words of one sampled model per language."""
-    phi, _, _ = gibbs.lda_gibbs(c.docs, 10, rounds=ROUNDS, shard_tokens=SHARD_TOKENS)
+    phi, _, _ = sampled(c)
     top = topics.top_words_per_topic(phi, ["lang", "topic_id"], 20)
     return top.select("lang", "topic_id", "rank", "word", "weight")
 
@@ -38,7 +48,7 @@ def lda_monolingual(c: Corpus):
 )
 def lda_monolingual_counts(c: Corpus):
     """Tokens in the counts of every round, and whether they are likelier than at the random start."""
-    _, _, history = gibbs.lda_gibbs(c.docs, 10, rounds=ROUNDS, shard_tokens=SHARD_TOKENS)
+    _, _, history = sampled(c)
     first = history.filter("round = 1").select("lang", F.col("log_likelihood").alias("start"))
     better = (F.col("round") == 1) | (F.col("log_likelihood") > F.col("start"))
     return history.join(first, "lang").select("lang", "round", "tokens", better.alias("better"))
@@ -47,7 +57,7 @@ def lda_monolingual_counts(c: Corpus):
 @query("lda_monolingual_theta", "SELECT doc_id, lang, 10 AS topics, 1.0::DOUBLE AS total FROM docs WHERE len(toks) > 0")
 def lda_monolingual_theta(c: Corpus):
     """Topics and total weight of every document with a token."""
-    _, theta, _ = gibbs.lda_gibbs(c.docs, 10, rounds=2, shard_tokens=SHARD_TOKENS)
+    _, theta, _ = sampled(c)
     total = F.aggregate("theta", F.lit(0.0), lambda a, x: a + x)
     return theta.select("doc_id", "lang", F.size("theta").alias("topics"), six(total).alias("total"))
 
@@ -55,7 +65,7 @@ def lda_monolingual_theta(c: Corpus):
 @query("lda_polylingual")
 def lda_polylingual(c: Corpus):
     """Top words per model and language; the documents of a pair share their topic weights."""
-    phi, _, _, _ = polylingual.lda_shared(c.pair_docs, 10, shard_tokens=SHARD_TOKENS)
+    phi, _, _, _ = shared(c)
     top = topics.top_words_per_topic(phi, ["model_id", "lang", "topic_id"], 20)
     return top.select("model_id", "lang", "topic_id", "rank", "word", "weight")
 
@@ -67,7 +77,7 @@ def lda_polylingual(c: Corpus):
 )
 def lda_polylingual_mass(c: Corpus):
     """Expected counts of every model and language, and how often its bound fell."""
-    _, _, history, mass = polylingual.lda_shared(c.pair_docs, 10, rounds=6, shard_tokens=SHARD_TOKENS)
+    _, _, history, mass = shared(c)
     before = F.lag("bound").over(W.partitionBy("model_id").orderBy("round"))
     fell = history.withColumn("fell", F.coalesce(F.col("bound") < before - 1e-9 * F.abs(before), F.lit(False)))
     falls = fell.groupBy("model_id").agg(F.sum(F.col("fell").cast("long")).alias("falls"))
@@ -78,7 +88,7 @@ def lda_polylingual_mass(c: Corpus):
     FROM (SELECT model_id, lang, unnest(toks) AS word FROM mdocs), (SELECT unnest(range(0, 10))::INTEGER AS topic_id) GROUP BY ALL""")
 def lda_polylingual_phi(c: Corpus):
     """Words and total weight of every topic of every model and language."""
-    phi, _, _, _ = polylingual.lda_shared(c.pair_docs, 10, rounds=2, shard_tokens=SHARD_TOKENS)
+    phi, _, _, _ = shared(c)
     sums = phi.groupBy("model_id", "lang", "topic_id").agg(F.count(F.lit(1)).alias("words"), F.sum("weight").alias("total"))
     return sums.withColumn("total", six("total"))
 
@@ -103,6 +113,10 @@ def lda_joint_concept(c: Corpus):
 
 def anchor_model(c: Corpus) -> DataFrame:
     """Topics of every model from anchor pairs of its dictionary."""
+    return c.once("anchors", lambda: _anchor_model(c))
+
+
+def _anchor_model(c: Corpus) -> DataFrame:
     target = F.expr("substring(model_id, 4)")
     links = c.bidict.select("model_id", F.lit(SOURCE).alias("src_lang"), "src_word", target.alias("tgt_lang"), "tgt_word")
     phi, _ = anchors.anchor_topics(c.docs, links, 10, shard_tokens=SHARD_TOKENS)
@@ -275,6 +289,10 @@ SWEEP_SCORES = ("umass", "npmi", "diversity", "unique_share", "similarity")
 
 def sweep(c: Corpus) -> DataFrame:
     """Scores of topic models of two sizes, linked by vectors with all dimensions and with the first ones left out."""
+    return c.once("sweep", lambda: _sweep(c))
+
+
+def _sweep(c: Corpus) -> DataFrame:
     sides = per_model(c.spark.createDataFrame([(lang,) for lang in LANGUAGES], "lang string")).withColumnRenamed("model_id", "pair_model")
     dims = F.explode(F.array(*[F.lit(d) for d in SWEEP_DIMS])).alias("dims")
     spaces = c.vectors.select("lang", "word", "vec", dims)
@@ -284,7 +302,7 @@ def sweep(c: Corpus) -> DataFrame:
     save_models(words, path)
     words = c.spark.read.parquet(path)
     pairs, members = (df.withColumnRenamed("model_id", "pair_model") for df in (c.pairs, c.pair_members))
-    return sweep_scores(words, store(theta, "sweep-weights"), pairs, c.docs, members, SWEEP_KS)
+    return store(sweep_scores(words, store(theta, "sweep-weights"), pairs, c.docs, members, SWEEP_KS), "sweep-scores")
 
 
 @query("model_sweep_scores")
@@ -612,7 +630,7 @@ def classification_samples(c: Corpus) -> DataFrame:
 @query("crosslingual_accuracy")
 def crosslingual_accuracy(c: Corpus):
     """Chosen strength and accuracies of every model, with and without links."""
-    best, _ = classification.crosslingual_accuracy(classification_samples(c), MODEL_SETTING)
+    best, _ = c.once("classifiers", lambda: classification.crosslingual_accuracy(classification_samples(c), MODEL_SETTING))
     return best
 
 
@@ -626,5 +644,5 @@ def crosslingual_accuracy(c: Corpus):
 )
 def crosslingual_gradient(c: Corpus):
     """Gradient of the penalised loss at the weights of every class and strength, zero at the minimum."""
-    _, fitted = classification.crosslingual_accuracy(classification_samples(c), MODEL_SETTING)
+    _, fitted = c.once("classifiers", lambda: classification.crosslingual_accuracy(classification_samples(c), MODEL_SETTING))
     return fitted.select(*MODEL_SETTING, "class", "c", "feature", six("gradient").alias("gradient"))

@@ -60,7 +60,7 @@ def train_word2vec(c: Corpus):
 
 def trained_vectors(c: Corpus) -> tuple[DataFrame, DataFrame]:
     """Vectors of every language by negative sampling, and the loss of each pass."""
-    return negative_sampling.train_word_vectors(c.docs, passes=PASSES, shard_tokens=SHARD_TOKENS)
+    return c.once("word-vectors", lambda: negative_sampling.train_word_vectors(c.docs, passes=PASSES, shard_tokens=SHARD_TOKENS))
 
 
 @query(
