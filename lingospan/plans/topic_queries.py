@@ -20,7 +20,7 @@ KS = (10, 20, 30, 40, 50)
 # --- training ---------------------------------------------------------------------------
 
 
-ROUNDS, SHARED_ROUNDS, SHARD_TOKENS = 6, 10, 100_000
+ROUNDS, SHARED_ROUNDS, SHARD_TOKENS = 4, 10, 100_000
 
 
 def sampled(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
