@@ -178,6 +178,22 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     assert run() == {1: ("done", 0), 2: ("done", 1), 3: ("done", 1)}
 
 
+def test_table_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    one, parts = tmp_path / "one", tmp_path / "parts"
+    schema = "doc_id long, text string"
+    rows = [(i, "a b" if i % 3 else "") for i in range(20)]
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(str(parts / "documents.parquet"))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "written"))
+    one.mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(one / "documents.parquet")
+    # A table beside it is not read.
+    spark.createDataFrame([(99, "c")], schema).write.parquet(str(parts / "pages.parquet"))
+    for folder in (one, parts):
+        stream = incremental.table_stream(spark, f"{folder}/documents.parquet", schema)
+        incremental.process_available(stream, lambda b: b, str(folder / "out"), str(folder / "progress"))
+        assert sorted(r.doc_id for r in spark.read.parquet(str(folder / "out")).collect()) == list(range(20))
+
+
 def test_polylingual_weights(spark):
     lines = [(0, "#doc\tname\ttopic"), (1, "0\ta\t0.25\t0.75\t"), (2, "1\tb c\t1.0\t0"), (3, "2\tbroken"), (4, "3\t\t0.5\t0.5")]
     rows = readers.parse_theta_polylingual(spark.createDataFrame(lines, "line_no long, line string")).orderBy("lang_seq").collect()
