@@ -35,6 +35,14 @@ def test_shards_hold_every_token(spark):
     assert sorted(found) == sorted((lang, doc, w) for lang, doc, words in rows for w in words or [] if w is not None)
 
 
+def test_a_stored_file_holds_few_shards(spark):
+    docs = spark.createDataFrame([(i, "en", [f"w{j}" for j in range(10)]) for i in range(300)], "doc long, lang string, words array<string>")
+    got = sharding.packed(docs, ["lang"], "doc", "words", 50, 100)
+    per_file = got.groupBy(F.input_file_name()).count().toPandas()["count"]
+    # 60 shards, dealt by a hash.
+    assert per_file.sum() > 50 and per_file.max() <= 8
+
+
 def test_sums_of_arrays(spark):
     rows = [("a", "x", 2, [1.0, 2.0]), ("a", "x", 1, [10.0, 20.0]), ("b", "x", 1, [5.0, 5.0])]
     df = spark.createDataFrame(rows, "lang string, term string, _order int, v array<double>")
