@@ -36,26 +36,26 @@ def fit_tuples(doc, word, n, gamma, log_beta, alpha: float):
     tuple; ``log_beta`` the expected logarithms of the words' weights.
     """
     k = gamma.shape[1]
-    beta = np.exp(log_beta)
+    # A contiguous row per topic: sums over the cells of a document run along it.
+    beta = np.exp(log_beta).T[:, word].copy()
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    size = np.diff(first, append=len(doc))
     for _ in range(INNER_STEPS):
         theta = np.exp(expected_log(gamma, gamma.sum(axis=1, keepdims=True)))
-        both = theta[doc] * beta[word]
-        share = both * (n / both.sum(axis=1))[:, None]
+        norm = np.zeros(len(doc))
+        for share, row in zip(theta[doc[first]].T, beta, strict=True):
+            norm += np.repeat(share, size) * row
         new = np.full_like(gamma, alpha)
-        new[doc[first]] += np.add.reduceat(share, first, axis=0)
+        new[doc[first]] += theta[doc[first]] * np.add.reduceat(beta * (n / norm), first, axis=1).T
         change = np.abs(new - gamma).mean()
         gamma = new
         if change < ENOUGH:
             break
     log_theta = expected_log(gamma, gamma.sum(axis=1, keepdims=True))
-    both = np.exp(log_theta)[doc] * beta[word]
-    norm = both.sum(axis=1)
-    share = both * (n / norm)[:, None]
-    counts = np.zeros((len(log_beta), k))
-    order = np.argsort(word, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], word[order][1:] != word[order][:-1]]))
-    counts[word[order][at]] = np.add.reduceat(share[order], at, axis=0)
+    both = np.exp(log_theta).T[:, doc] * beta
+    norm = both.sum(axis=0)
+    share = both * (n / norm)
+    counts = np.stack([np.bincount(word, weights, minlength=len(log_beta)) for weights in share], axis=1)
     bound = (n * np.log(norm)).sum()
     bound += len(gamma) * (log_gamma(np.float64(k * alpha)) - k * log_gamma(np.float64(alpha)))
     bound += ((alpha - gamma) * log_theta + log_gamma(gamma)).sum() - log_gamma(gamma.sum(axis=1)).sum()
