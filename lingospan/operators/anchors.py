@@ -25,6 +25,8 @@ from lingospan.operators.sharding import packed, sum_arrays
 from lingospan.storage import store
 
 ENTRIES, REGRESSION_STEPS = 16_384, 300
+#: Groups of shards are as many until a group has its most shards.
+GROUPS = 64
 
 
 def signs(terms: Sequence[str], width: int, seed: int) -> np.ndarray:
@@ -58,46 +60,104 @@ def project(doc: np.ndarray, term: np.ndarray, n: np.ndarray, random: np.ndarray
     return out
 
 
-def cooccurrence_rows(
-    docs: DataFrame,
-    keys: Sequence[str] = ("lang",),
-    *,
-    doc: str = "doc_id",
-    tokens: str = "tokens",
-    width: int = 256,
-    shard_tokens: int = 500_000,
-    seed: int = 1,
-) -> DataFrame:
-    """``(keys…, word, vec, mass, df)``: the projected co-occurrence distribution of every word.
+def _cells(shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and number of every non-zero count of a shard, sorted by document."""
+    entry = np.repeat(np.arange(len(shard["sizes"])), shard["sizes"])
+    cells, n = np.unique(entry * np.int64(len(shard["terms"])) + shard["ids"], return_counts=True)
+    return *np.divmod(cells, len(shard["terms"])), n
 
-    Words of documents with one token alone have no company and no row. ``mass`` sums to the number of
-    documents with two tokens or more.
-    """
+
+def _grouped(shards: DataFrame, most: int) -> DataFrame:
+    """Shards with the number of their group: a task adds up a group's rows before they are shuffled."""
+    group_shards = max(1, min(most, shards.count() // GROUPS))
+    return shards.withColumn("_group", F.floor(F.col("shard") / group_shards).cast("int"))
+
+
+def document_frequency(shards: DataFrame, keys: Sequence[str] = ("lang",)) -> DataFrame:
+    """``(keys…, word, df)``: documents with two tokens or more that hold the word."""
     keys = list(keys)
-    shards = packed(docs, keys, doc, tokens, shard_tokens, np.iinfo(np.int32).max)
-    n_shards = shards.count()
-    fields = [docs.schema[k] for k in keys] + [T.StructField("word", T.StringType()), T.StructField("_order", T.IntegerType())]
-    schema = T.StructType([*fields, T.StructField("row", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([shards.schema[k] for k in keys] + [T.StructField("word", T.StringType()), T.StructField("df", T.LongType())])
 
     def run(batches):
         for pdf in batches:
             for _, shard in pdf.iterrows():
-                entry = np.repeat(np.arange(len(shard["sizes"])), shard["sizes"])
-                cells, n = np.unique(entry * np.int64(len(shard["terms"])) + shard["ids"], return_counts=True)
-                rows = project(*np.divmod(cells, len(shard["terms"])), n, signs(shard["terms"], width, seed))
-                kept = rows[:, -1] > 0
-                out = pd.DataFrame({"word": np.asarray(shard["terms"])[kept], "_order": shard["shard"], "row": list(rows[kept])})
+                doc, term, n = _cells(shard)
+                df = np.bincount(term[np.bincount(doc, n)[doc] > 1], minlength=len(shard["terms"]))
+                out = pd.DataFrame({"word": np.asarray(shard["terms"])[df > 0], "df": df[df > 0]})
                 for key in keys:
                     out[key] = shard[key]
                 yield out[schema.names]
 
-    spread = shards.repartition(max(1, n_shards), *keys, "shard")
-    summed = sum_arrays(spread.mapInPandas(run, schema), [*keys, "word"], ["row"], n_shards)
+    return shards.mapInPandas(run, schema).groupBy(*keys, "word").agg(F.sum("df").alias("df"))
+
+
+def cooccurrence_rows(
+    shards: DataFrame, words: DataFrame, keys: Sequence[str] = ("lang",), *, width: int = 256, group_shards: int = 50, seed: int = 1
+) -> DataFrame:
+    """``(keys…, word, vec, mass, df)``: the projected co-occurrence distribution of ``words(keys…, word)``.
+
+    Words of documents with one token alone have no company and no row. A task holds the rows of all
+    ``words`` of a model.
+    """
+    keys = list(keys)
+    grouped = _grouped(shards, group_shards)
+    by = [*keys, "_group"]
+    groups = store(grouped.select(*by).distinct(), "groups")
+    wanted, n_groups = words.join(groups, keys), groups.count()
+    fields = [shards.schema[k] for k in keys] + [T.StructField("word", T.StringType()), T.StructField("_order", T.IntegerType())]
+    schema = T.StructType([*fields, T.StructField("row", T.ArrayType(T.DoubleType()))])
+
+    def run(key: tuple, group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = pd.Index(own["word"]).sort_values()
+        rows = np.zeros((len(own), width + 2))
+        for _, shard in group.sort_values("shard").iterrows():
+            place = own.get_indexer(shard["terms"]) if len(own) else np.full(len(shard["terms"]), -1)
+            if (place >= 0).any():
+                rows[place[place >= 0]] += project(*_cells(shard), signs(shard["terms"], width, seed))[place >= 0]
+        kept = rows[:, -1] > 0
+        out = pd.DataFrame({"word": own[kept], "_order": int(key[-1]), "row": list(rows[kept])})
+        for name, value in zip(keys, key, strict=False):
+            out[name] = value
+        return out[schema.names]
+
+    left, right = grouped.repartition(max(1, n_groups), *by), wanted.repartition(max(1, n_groups), *by)
+    rows = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
+    summed = sum_arrays(rows, [*keys, "word"], ["row"], n_groups)
     mass, df = F.get("row", F.lit(width)), F.get("row", F.lit(width + 1))
     vec = F.transform(F.slice("row", 1, width), lambda x: x / mass)
     return store(summed.select(*keys, "word", vec.alias("vec"), mass.alias("mass"), df.cast("long").alias("df")), "rows")
 
 
+def products(shards: DataFrame, directions: dict[str, np.ndarray], *, width: int, group_shards: int = 20, seed: int = 1) -> DataFrame:
+    """``(lang, word, products, mass)``: inner products of every word's row with the directions of its language.
+
+    They are linear in the row, so documents are projected on ``directions`` (a row each) at once and no row of
+    ``width`` numbers is built for a word. Words of languages without directions are left out.
+    """
+    schema = "lang string, word string, _order int, row array<double>"
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        points = directions[key[0]]
+        place, terms = pd.factorize(np.concatenate(group["terms"].to_numpy()), sort=True)
+        random = np.concatenate([signs(terms[at : at + ENTRIES], width, seed) @ points.T for at in range(0, len(terms), ENTRIES)])
+        rows, done = np.zeros((len(terms), len(points) + 2)), 0
+        for _, shard in group.iterrows():
+            own = place[done : done + len(shard["terms"])]
+            done += len(own)
+            rows[own] += project(*_cells(shard), random[own])
+        kept = rows[:, -1] > 0
+        return pd.DataFrame({"lang": key[0], "word": terms[kept], "_order": int(key[-1]), "row": list(rows[kept])})
+
+    grouped = _grouped(shards.filter(F.col("lang").isin(list(directions))), group_shards)
+    n_groups = grouped.select("lang", "_group").distinct().count()
+    ordered = grouped.repartition(max(1, n_groups), "lang", "_group").sortWithinPartitions("lang", "_group", "shard")
+    rows = ordered.groupBy("lang", "_group").applyInPandas(run, schema)
+    summed = sum_arrays(rows, ["lang", "word"], ["row"], n_groups)
+    size, mass = F.size("row"), F.element_at("row", -2)
+    found = F.transform(F.slice("row", F.lit(1), size - 2), lambda x: x / mass)
+    return store(summed.select("lang", "word", found.alias("products"), mass.alias("mass")), "products")
+
+
 def choose_anchors(candidates: DataFrame, keys: Sequence[str], names: Sequence[str], n_topics: int) -> dict[tuple, list[dict]]:
     """Anchors of every model in the order of choice, from ``candidates(keys…, names…, sides)``.
 
@@ -161,9 +221,13 @@ def simplex_projection(x: np.ndarray) -> np.ndarray:
 
 def mixtures(rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Weights on the simplex with which the anchors come nearest to every row, by accelerated descent."""
-    gram, product = anchors @ anchors.T, rows @ anchors.T
+    return nearest_mixtures(rows @ anchors.T, anchors @ anchors.T)
+
+
+def nearest_mixtures(product: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The same from the inner products of rows with anchors and of the anchors with each other."""
     step = 1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
-    c = np.full((len(rows), len(anchors)), 1 / len(anchors))
+    c = np.full(product.shape, 1 / len(gram))
     ahead, t = c, 1.0
     for _ in range(REGRESSION_STEPS):
         new = simplex_projection(ahead - step * (ahead @ gram - product))
@@ -190,36 +254,52 @@ def linked_candidates(rows: DataFrame, links: DataFrame, min_share: float, n_doc
     return pairs.select("model_id", "src_word", "tgt_word", F.array("src_vec", "tgt_vec").alias("sides"))
 
 
-def recovered_topics(rows: DataFrame, anchors: dict[tuple, list[dict]], langs: dict[tuple, Sequence[str]]) -> DataFrame:
+def recovered_topics(shards: DataFrame, anchors: dict[tuple, list[dict]], langs: dict[tuple, Sequence[str]], *, width: int, seed: int) -> DataFrame:
     """``(model_id, lang, topic_id, word, weight)``: word weights of every topic, summing to one by language.
 
     ``anchors`` by ``(model_id,)`` from ``choose_anchors``, ``langs`` the language of each of their sides. Every
-    word of ``rows(lang, word, vec, mass)`` has a weight in every topic.
+    word of ``shards`` that shares a document with another token has a weight in every topic.
     """
-    wanted = [(key[0], lang, np.stack([a["sides"][s] for a in found])) for key, found in anchors.items() for s, lang in enumerate(langs[key])]
+    points: dict[str, list[np.ndarray]] = {}
+    wanted = []
+    for key, found in anchors.items():
+        for s, lang in enumerate(langs[key]):
+            own = np.stack([a["sides"][s] for a in found])
+            at = sum(len(x) for x in points.get(lang, []))
+            points.setdefault(lang, []).append(own)
+            wanted.append((key[0], lang, own @ own.T, slice(at, at + len(own))))
     schema = "model_id string, lang string, word string, weights array<double>"
 
     def run(batches):
         for pdf in batches:
-            for model, lang, points in wanted:
+            for model, lang, gram, columns in wanted:
                 own = pdf[pdf["lang"] == lang]
                 if len(own):
-                    c = mixtures(np.stack(own["vec"].to_numpy()).astype(np.float64), points) * own["mass"].to_numpy()[:, None]
+                    c = nearest_mixtures(np.stack(own["products"].to_numpy())[:, columns], gram) * own["mass"].to_numpy()[:, None]
                     yield pd.DataFrame({"model_id": model, "lang": lang, "word": own["word"], "weights": list(c)})
 
-    cells = store(rows.select("lang", "word", "vec", "mass").mapInPandas(run, schema), "mixtures")
+    rows = products(shards, {lang: np.concatenate(x) for lang, x in points.items()}, width=width, seed=seed)
+    cells = store(rows.mapInPandas(run, schema), "mixtures")
     cells = cells.select("model_id", "lang", "word", F.posexplode("weights").alias("topic_id", "weight"))
     totals = cells.groupBy("model_id", "lang", "topic_id").agg(F.sum("weight").alias("_total"))
-    joined = cells.join(totals, ["model_id", "lang", "topic_id"])
+    joined = cells.join(F.broadcast(totals), ["model_id", "lang", "topic_id"])
     return joined.select("model_id", "lang", "topic_id", "word", (F.col("weight") / F.col("_total")).alias("weight"))
 
 
 def anchor_topics(
     docs: DataFrame, links: DataFrame, n_topics: int, *, min_share: float = 0.001, width: int = 256, shard_tokens: int = 500_000, seed: int = 1
 ) -> tuple[DataFrame, dict[tuple, list[dict]]]:
-    """Topics of every dictionary model over ``docs(doc_id, lang, tokens)``, and its anchors."""
-    rows = cooccurrence_rows(docs, width=width, shard_tokens=shard_tokens, seed=seed)
+    """Topics of every dictionary model over ``docs(doc_id, lang, tokens)``, and its anchors.
+
+    Rows are built for words that may be anchors; of all others only their products with the anchors are.
+    """
+    shards = packed(docs, ["lang"], "doc_id", "tokens", shard_tokens, np.iinfo(np.int32).max)
+    links = store(links, "links")
     n_docs = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    frequent = document_frequency(shards).join(n_docs, "lang").filter(F.col("df") >= min_share * F.col("n_docs"))
+    sides = [links.select(F.col(f"{side}_lang").alias("lang"), F.col(f"{side}_word").alias("word")) for side in ("src", "tgt")]
+    words = store(frequent.join(sides[0].unionByName(sides[1]), ["lang", "word"], "left_semi").select("lang", "word"), "frequent")
+    rows = cooccurrence_rows(shards, words, width=width, seed=seed)
     anchors = choose_anchors(linked_candidates(rows, links, min_share, n_docs), ["model_id"], ["src_word", "tgt_word"], n_topics)
     langs = {(r["model_id"],): (r["src_lang"], r["tgt_lang"]) for r in links.select("model_id", "src_lang", "tgt_lang").distinct().collect()}
-    return recovered_topics(rows, anchors, langs), anchors
+    return recovered_topics(shards, anchors, langs, width=width, seed=seed), anchors

@@ -262,6 +262,21 @@ def test_tuples_share_their_weights_across_languages(spark):
     assert set(phi.filter("model_id = 'n'").select("word").distinct().toPandas()["word"]) == {"a:b", "c"}
 
 
+def test_vectors_stay_in_single_precision():
+    rng = np.random.default_rng(4)
+    inner, outer = (rng.normal(size=(9, 4)).astype(np.float32) for _ in range(2))
+    around, target = rng.integers(-1, 9, size=(20, 3)), rng.integers(9, size=20)
+    around[:, 0] = 1
+    _, to_mean, to_outer, _ = negative_sampling.gradients(inner, outer, around, target, rng.integers(9, size=(20, 2)))
+    assert to_mean.dtype == to_outer.dtype == np.float32
+    for n in (0, 1, 7, 300):
+        rows, values = rng.integers(9, size=n), rng.normal(size=(n, 4))
+        got, expected = np.zeros((9, 4)), np.zeros((9, 4))
+        negative_sampling.add_rows(got, rows, values)
+        np.add.at(expected, rows, values)
+        assert np.allclose(got, expected)
+
+
 # ---- anchor words
 
 
@@ -296,6 +311,23 @@ def test_mixtures_are_the_nearest_on_the_simplex():
         assert (((rows - other @ points) ** 2).sum(axis=1) >= best - 1e-9).all()
 
 
+def test_products_are_those_of_the_rows(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "en", [f"w{rng.randrange(40)}" for _ in range(12)]) for i in range(200)], "doc_id long, lang string, tokens array<string>")
+    shards = sharding.packed(docs, ["lang"], "doc_id", "tokens", 100, 100)
+    words = docs.select("lang", F.explode("tokens").alias("word")).distinct()
+    rows = {r["word"]: (r["vec"], r["mass"], r["df"]) for r in anchors.cooccurrence_rows(shards, words, width=16).collect()}
+    frequency = {r["word"]: r["df"] for r in anchors.document_frequency(shards).collect()}
+    assert len(rows) == 40 and {w: r[2] for w, r in rows.items()} == frequency
+    points = np.random.default_rng(1).normal(size=(3, 16))
+    got = anchors.products(shards, {"en": points, "fr": points[:1]}, width=16).collect()
+    assert len(got) == 40
+    for r in got:
+        assert np.allclose(r["products"], points @ np.array(rows[r["word"]][0])) and np.isclose(r["mass"], rows[r["word"]][1])
+    # Only the words that are asked for get a row.
+    assert anchors.cooccurrence_rows(shards, words.filter("word < 'w2'"), width=16).count() == sum(w < "w2" for w in rows)
+
+
 def test_planted_anchors_are_found_in_both_languages(spark):
     rng = random.Random(11)
     rows = []
