@@ -306,3 +306,20 @@ def test_segmenter_hook(spark):
 
 def test_percent_removals():
     assert embedding.removals_for_percent(300, [10, 50, 90]) == [135, 75, 15]
+
+
+def test_words_are_looked_up_where_the_documents_are(spark, monkeypatch):
+    """A table counts with the Arrow bytes of its words; documents leave a worker in pieces, in order."""
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 1100)
+    monkeypatch.setattr(matching, "PIECE_TOKENS", 7)
+    pairs = spark.createDataFrame([(n, f"a{n}", f"b{n}") for n in range(40)], "seq long, src_word string, tgt_word string")
+    words = [[f"{random.Random(i * 9 + j).choice('abc')}{j}" if j % 4 else None for j in range(i % 11)] for i in range(60)]
+    docs = [(i, ("en", "fr", "de")[i % 3], None if i % 13 == 0 else ws) for i, ws in enumerate(words)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, tokens array<string>").coalesce(1)
+    named = matching.concept_corpus(df, pairs, "en", "fr")
+    assert "MapInArrow" in named._jdf.queryExecution().toString()
+    own = {"en": "a", "fr": "b"}
+    expected = {i: [f"#{w[1:]}" if w[0] == own[lang] else f"{lang}:{w}" for w in ws if w] for i, lang, ws in docs if lang in own and ws}
+    assert {r.doc_id: r.tokens for r in named.collect()} == {i: ws for i, ws in expected.items() if ws}
+    kept = matching.remove_missing_words(df, spark.createDataFrame([("a1",), ("a1",), ("b5",)], "word string"))
+    assert [(r.doc_id, r.tokens) for r in kept.collect()] == [(i, [w for w in ws or [] if w in ("a1", "b5")]) for i, _, ws in docs]
