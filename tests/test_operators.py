@@ -323,3 +323,22 @@ def test_words_are_looked_up_where_the_documents_are(spark, monkeypatch):
     assert {r.doc_id: r.tokens for r in named.collect()} == {i: ws for i, ws in expected.items() if ws}
     kept = matching.remove_missing_words(df, spark.createDataFrame([("a1",), ("a1",), ("b5",)], "word string"))
     assert [(r.doc_id, r.tokens) for r in kept.collect()] == [(i, [w for w in ws or [] if w in ("a1", "b5")]) for i, _, ws in docs]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 6000, 0])
+def test_frequent_words_are_weighed_where_the_documents_are(spark, monkeypatch, limit):
+    """Only words that may not be broadcast are joined by word; the sums are those of all words."""
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", limit)
+    rng = random.Random(4)
+    docs = [(i, rng.choice(["en", "fr"]), [f"w{min(int(rng.paretovariate(0.4)), 90)}" for _ in range(rng.randint(0, 40))]) for i in range(80)]
+    df = spark.createDataFrame([*docs, (None, "en", ["w1"]), (7, docs[7][1], ["w2", "nowhere"])], "doc_id long, lang string, tokens array<string>")
+    phi = [(t, lang, f"w{n}", float(97 // n + m)) for m, t in enumerate(["t0", "t1", "t2"]) for lang in ("en", "fr") for n in range(1, 80) if (n + m) % 5]
+    bow = tokens.bag_of_words(df)
+    theta = topics.theta_from_phi(df.select("doc_id", "lang"), bow, spark.createDataFrame(phi, "topic_id string, lang string, word string, weight double"), ["t0", "t1", "t2"])
+    weight, docs[7] = {(t, lang, w): x for t, lang, w, x in phi}, (7, docs[7][1], [*docs[7][2], "w2"])
+    expected = {i: [sum(weight.get((t, lang, w), 0.0) for w in ws) for t in ("t0", "t1", "t2")] for i, lang, ws in docs}
+    assert {r.doc_id: list(r.theta) for r in theta.collect()} == expected | {None: [0.0, 0.0, 0.0]}
+    wide = spark.createDataFrame([(f"w{n}", float(n)) for n in range(400)], "word string, n double")
+    head, tail = matching.frequent_rows(wide, "n")
+    held = {r.word for r in head.collect()}, {r.word for r in tail.collect()} if tail else set()
+    assert len(held[0]) + len(held[1]) == 400 and (len(held[0]) == 400, 100 < len(held[0]) < 400, not held[0])[[64 << 20, 6000, 0].index(limit)]
