@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lingospan.operators import (
     cooccurrence, dictionaries, embedding, matching, metrics, sequence, tokens, topics,
 )
+from lingospan.sources import writers
 
 
 @pytest.fixture(params=[2_000_000, 100])
@@ -342,3 +343,15 @@ def test_frequent_words_are_weighed_where_the_documents_are(spark, monkeypatch,
     head, tail = matching.frequent_rows(wide, "n")
     held = {r.word for r in head.collect()}, {r.word for r in tail.collect()} if tail else set()
     assert len(held[0]) + len(held[1]) == 400 and (len(held[0]) == 400, 100 < len(held[0]) < 400, not held[0])[[64 << 20, 6000, 0].index(limit)]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1500, 0])
+def test_terms_of_frequent_and_other_words_meet_in_a_document(spark, monkeypatch, limit):
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", limit)
+    rng = random.Random(6)
+    docs = [(i, "en", [f"w{min(int(rng.paretovariate(0.4)), 60)}" for _ in range(rng.randint(0, 30))]) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, tokens array<string>")
+    vocab = tokens.count_vectorizer_vocab(df, with_df=True)
+    place = {w: n for n, w in enumerate(sorted({w for _, _, ws in docs for w in ws}))}
+    got = {r.doc_id: sorted((t.word_id, t.tf) for t in r.terms) for r in writers.collect_terms(df, tokens.bag_of_words(df), vocab).collect()}
+    assert got == {i: sorted((place[w], n) for w, n in Counter(ws).items()) for i, _, ws in docs}
