@@ -14,12 +14,14 @@ from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lingospan.functions.text import word_script_binary
 from lingospan.functions.vectors import drop_dims, l2_normalise
 
 BLOCK_ROWS = 4096
+QUERY_ROWS = 512
 
 
 # --- training and alignment -------------------------------------------------------------
@@ -140,6 +142,11 @@ def _blocks(n_rows: int) -> int:
     return max(1, math.ceil(n_rows / BLOCK_ROWS))
 
 
+def _largest(rows: DataFrame, key: str) -> int:
+    """Rows of the key that has most: blocks are dealt out inside every key."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def nearest(
     queries: DataFrame,
     space: DataFrame,
@@ -155,14 +162,15 @@ def nearest(
     """Best ``top_n`` rows of ``space`` for each query, exact.
 
     ``queries(key, query_id, vec)`` and ``space(key, item_id, vec)``, ids being strings. Both
-    sides are cut into hash blocks of about ``BLOCK_ROWS`` rows; a task multiplies one block
+    sides of a key are cut into hash blocks of about ``BLOCK_ROWS`` rows (``n_queries`` and ``n_space`` are
+    the rows of the largest key, counted if not given); a task multiplies one block
     pair and keeps the best ``top_n`` per query, so no task sees a whole space and no pair of
     vectors becomes a row. ``metric``: ``cosine``, ``euclidean`` (nearest first, score is the
     negative distance) or ``softmax`` (exp(beta·cosine) over ``offset(key, item_id,
     denominator)``). Ties go to the smaller item id. Queries equal to an item id are skipped.
     """
-    blocks_q = _blocks(queries.count() if n_queries is None else n_queries)
-    blocks_s = _blocks(space.count() if n_space is None else n_space)
+    blocks_q = _blocks(_largest(queries, key) if n_queries is None else n_queries)
+    blocks_s = _blocks(_largest(space, key) if n_space is None else n_space)
     vec = F.col("vec").cast("array<double>")
     unit = vec if metric == "euclidean" else l2_normalise(vec)
 
@@ -212,10 +220,14 @@ def nearest(
             {key: q[key].to_numpy()[row], "query_id": ids[row], "item_id": names[column], "score": scores[row, column]}
         )
 
+    def in_parts(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        # Scores of some queries at a time, not of a whole block pair.
+        return pd.concat([best(q.iloc[i : i + QUERY_ROWS], s) for i in range(0, max(1, len(q)), QUERY_ROWS)])
+
     partial = (
         left.groupBy(key, "_q", "_s")
         .cogroup(right.groupBy(key, "_q", "_s"))
-        .applyInPandas(lambda q, s: best(q, s), f"{key} string, query_id string, item_id string, score double")
+        .applyInPandas(in_parts, f"{key} string, query_id string, item_id string, score double")
     )
     rank = F.row_number().over(W.partitionBy(key, "query_id").orderBy(F.desc("score"), "item_id"))
     return partial.withColumn("rank", rank).filter(F.col("rank") <= top_n)
@@ -366,6 +378,28 @@ def cluster_words(vectors: DataFrame, *, words_per_cluster: int = 100, seed: int
     return assigned, vectors.sparkSession.createDataFrame(centres, "cluster int, vec array<double>")
 
 
+def own_centre_nearest(words: DataFrame, centres: DataFrame, keep: Sequence[str], own: str = "own", slack: float = 1e-6) -> DataFrame:
+    """``(keep…, near)``: whether no centre is nearer to ``vec`` than the one of the cluster ``own``, by squared distance.
+
+    Centres, which come from the driver, go to every task; it multiplies some words with all of them at a time.
+    """
+    rows = centres.select("cluster", F.col("vec").cast("array<double>")).toPandas().sort_values("cluster")
+    numbers, points = rows["cluster"].to_numpy(), np.array(rows["vec"].tolist(), np.float64)
+    squares = (points * points).sum(axis=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), QUERY_ROWS):
+                part = pdf.iloc[i : i + QUERY_ROWS]
+                x = np.stack(part["vec"].to_numpy()).astype(np.float64)
+                away = (x * x).sum(axis=1)[:, None] + squares[None, :] - 2 * (x @ points.T)
+                at = np.searchsorted(numbers, part[own].to_numpy())
+                yield part[list(keep)].assign(near=away[np.arange(len(part)), at] <= away.min(axis=1) + slack)
+
+    words = words.select(*keep, own, F.col("vec").cast("array<double>").alias("vec"))
+    return words.mapInPandas(run, T.StructType([words.schema[k] for k in keep] + [T.StructField("near", T.BooleanType())]))
+
+
 def match_clusters(src_centres: DataFrame, tgt_centres: DataFrame, *, key: str = "model_id", metric: str = "euclidean") -> DataFrame:
     """Nearest target centre of every source centre; several may share one target."""
     if metric not in ("euclidean", "cosine"):

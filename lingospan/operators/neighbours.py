@@ -18,11 +18,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lingospan.functions.vectors import l2_normalise
-from lingospan.operators.embedding import BLOCK_ROWS
+from lingospan.operators.embedding import BLOCK_ROWS, _largest
 from lingospan.storage import store
 
 #: Bounds are loosened by more than rounding can move a score.
 SLACK = 1e-9
+#: Rows that a task makes at once of queries and the blocks they are sent to.
+SENT_ROWS = 1 << 15
+#: Queries of a key that meet a block in one task.
+ASKED_ROWS = 1 << 14
 
 
 @dataclass
@@ -118,25 +122,30 @@ def _sent(queries: DataFrame, parts: dict[str, Partition], key: str, metric: str
                 part = parts.get(k)
                 if part is None:
                     continue
-                away = distances(np.stack(rows["vec"].to_numpy()).astype(np.float64), part.pivots, metric)
-                used = np.unique(part.pivot)
-                home = used[away[:, used].argmin(axis=1)]
-                at_home = part.pivot[None, :] == home[:, None]
-                if own:
-                    row, block = np.nonzero(at_home)
-                else:
-                    bound = best_scores(away[:, part.pivot] - part.radius[None, :], part.least_weight[None, :], metric, beta)
-                    least = rows["least"].to_numpy(np.float64)[:, None]
-                    row, block = np.nonzero(~at_home & (bound >= least - SLACK * np.maximum(1, np.abs(least))))
-                yield pd.DataFrame(
-                    {
-                        key: k,
-                        "query_id": rows["query_id"].to_numpy()[row],
-                        "vec": rows["vec"].to_numpy()[row],
-                        "pivot": part.pivot[block].astype(np.int32),
-                        "block": part.block[block].astype(np.int32),
-                    }
-                )
+                # As many queries at a time as make SENT_ROWS rows if all blocks get them.
+                n = max(1, SENT_ROWS // max(1, len(part.block)))
+                yield from (_dealt(rows.iloc[i : i + n], k, part) for i in range(0, len(rows), n))
+
+    def _dealt(rows: pd.DataFrame, k: str, part: Partition) -> pd.DataFrame:
+        away = distances(np.stack(rows["vec"].to_numpy()).astype(np.float64), part.pivots, metric)
+        used = np.unique(part.pivot)
+        home = used[away[:, used].argmin(axis=1)]
+        at_home = part.pivot[None, :] == home[:, None]
+        if own:
+            row, block = np.nonzero(at_home)
+        else:
+            bound = best_scores(away[:, part.pivot] - part.radius[None, :], part.least_weight[None, :], metric, beta)
+            least = rows["least"].to_numpy(np.float64)[:, None]
+            row, block = np.nonzero(~at_home & (bound >= least - SLACK * np.maximum(1, np.abs(least))))
+        return pd.DataFrame(
+            {
+                key: k,
+                "query_id": rows["query_id"].to_numpy()[row],
+                "vec": rows["vec"].to_numpy()[row],
+                "pivot": part.pivot[block].astype(np.int32),
+                "block": part.block[block].astype(np.int32),
+            }
+        )
 
     schema = f"{key} string, query_id string, vec array<double>, pivot int, block int"
     return queries.mapInPandas(run, schema)
@@ -165,7 +174,11 @@ def nearest_pruned(
     weight = F.lit(1.0) if offset is None else F.col("denominator").cast("double")
     items, parts = partitioned(store(items.select(key, "item_id", unit, weight.alias("weight")), "space"), key, metric, n_pivots, block_rows)
     asked = store(queries.select(key, "query_id", unit), "queries")
-    by = [key, "pivot", "block"]
+    by = [key, "pivot", "block", "part"]
+    # Queries are dealt to parts, so how many meet in a task does not grow with them; a block is there once for each part.
+    n_parts = max(1, -(-_largest(asked, key) // ASKED_ROWS))
+    part = F.pmod(F.xxhash64(F.lit("part"), "query_id"), F.lit(n_parts)).cast("int")
+    blocks = items.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
 
     def search(sent: DataFrame) -> DataFrame:
         def run(k: tuple, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -174,7 +187,7 @@ def nearest_pruned(
             found = [top_of_block(q.iloc[i : i + 1024], s, top_n, metric, beta) for i in range(0, len(q), 1024)]
             return pd.concat(found).assign(**{key: k[0]})[[key, "query_id", "item_id", "score"]]
 
-        found = sent.groupBy(*by).cogroup(items.groupBy(*by)).applyInPandas(run, f"{key} string, query_id string, item_id string, score double")
+        found = sent.withColumn("part", part).groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(run, f"{key} string, query_id string, item_id string, score double")
         rank = F.row_number().over(W.partitionBy(key, "query_id").orderBy(F.desc("score"), "item_id"))
         return found.withColumn("rank", rank).filter(F.col("rank") <= top_n)
 

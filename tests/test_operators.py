@@ -355,3 +355,35 @@ def test_terms_of_frequent_and_other_words_meet_in_a_document(spark, monkeypatch
     place = {w: n for n, w in enumerate(sorted({w for _, _, ws in docs for w in ws}))}
     got = {r.doc_id: sorted((t.word_id, t.tf) for t in r.terms) for r in writers.collect_terms(df, tokens.bag_of_words(df), vocab).collect()}
     assert got == {i: sorted((place[w], n) for w, n in Counter(ws).items()) for i, _, ws in docs}
+
+
+def test_own_centre_is_compared_with_all_centres(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "QUERY_ROWS", 7)
+    draw = np.random.default_rng(2)
+    points, centres = draw.normal(size=(40, 3)).round(2), draw.normal(size=(6, 3)).round(2)
+    rows = [(f"w{i}", int(draw.integers(6)) * 3, p.tolist()) for i, p in enumerate(points)]
+    words = spark.createDataFrame(rows, "word string, own int, vec array<double>")
+    middle = spark.createDataFrame([(i * 3, c.tolist()) for i, c in enumerate(centres)], "cluster int, vec array<double>")
+    got = {r.word: r.near for r in embedding.own_centre_nearest(words, middle, ["word"]).collect()}
+    away = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert got == {w: bool(away[i, own // 3] <= away[i].min() + 1e-6) for i, (w, own, _) in enumerate(rows)} and len(set(got.values())) == 2
+
+
+def test_queries_meet_blocks_in_parts(spark, monkeypatch):
+    """Blocks are cut inside a key; neither the queries of a block nor the rows sent at once grow with the queries."""
+    from lingospan.operators import neighbours
+
+    draw = np.random.default_rng(3)
+    rows = [(m, f"{m}{i:03d}", draw.normal(size=4).tolist()) for m in "ab" for i in range(60)]
+    space = spark.createDataFrame(rows, "model_id string, item_id string, vec array<double>")
+    queries = space.withColumnRenamed("item_id", "query_id")
+    assert embedding._largest(queries, "model_id") == 60 and embedding._largest(queries.filter("false"), "model_id") == 0
+    pick = lambda df: sorted((r.model_id, r.query_id, r.item_id, r["rank"], round(r.score, 9)) for r in df.collect())
+    plain = pick(embedding.nearest(queries, space, 3))
+    monkeypatch.setattr(embedding, "QUERY_ROWS", 9)
+    monkeypatch.setattr(embedding, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(neighbours, "ASKED_ROWS", 16)
+    monkeypatch.setattr(neighbours, "SENT_ROWS", 10)
+    assert pick(embedding.nearest(queries, space, 3)) == plain and len(plain) == 360
+    found, _ = neighbours.nearest_pruned(queries, space, 3, n_pivots=4, block_rows=8)
+    assert pick(found) == plain
