@@ -8,6 +8,7 @@ from comparing import difference, duck
 from pyspark.sql import functions as F
 
 from lingospan.plans import catalog
+from lingospan.plans.corpus import Corpus
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +119,49 @@ def test_entry_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+# ---- work on the documents that a query returns
+
+
+def small_corpus(spark, folder, n: int) -> Corpus:
+    """``n`` documents each of two languages, every third one labelled; the first ids are there twice or without text."""
+    docs = []
+    for i in range(n):
+        for at, lang in enumerate(("en", "de")):
+            text = " ".join(f"{lang}{chr(97 + (i * k + at) % 23)}" for k in range(1, 4 + i % 5))
+            docs.append((2 * i + at, None if i == 1 else text, lang, f"src{i % 3}"))
+    docs += [docs[4], (None, "ena enb", "en", "src0")]
+    labels = [(d[0], k % 2) for k, d in enumerate(docs) if d[0] is not None and d[0] % 3 == 0]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    return Corpus(spark, str(folder))
+
+
+def weighted_ids(monkeypatch) -> list:
+    """Ids of the documents that get topic weights from now on."""
+    from lingospan.operators import topics
+
+    seen, plain = [], topics.theta_from_phi
+
+    def watched(docs, *args, **options):
+        seen.extend(r["doc_id"] for r in docs.select("doc_id").collect())
+        return plain(docs, *args, **options)
+
+    monkeypatch.setattr(topics, "theta_from_phi", watched)
+    return seen
+
+
+def test_report_weighs_the_first_documents_only(spark, tmp_path, monkeypatch):
+    c = small_corpus(spark, tmp_path, 520)
+    whole = c.docs.select("doc_id", "lang", "tokens").join(c.theta.select("doc_id", "theta"), "doc_id").collect()
+    numbers = c.pair_members.filter("pair_id < 500").collect()
+    expected = sorted(
+        (m["model_id"], 2 * m["pair_id"] + m["side_no"], d["lang"], ", ".join(d["tokens"]), round(max(d["theta"]), 6))
+        for m in numbers for d in whole if d["doc_id"] == m["doc_id"]
+    )
+    seen = weighted_ids(monkeypatch)
+    report = catalog.BUILDERS["doc_topic_report"](Corpus(spark, str(tmp_path)))
+    got = sorted((r["model_id"], r["doc_no"], r["lang"], r["words"], round(r["top"], 6)) for r in report.collect())
+    assert got == expected and len({r[1] for r in got}) > 900
+    assert set(seen) <= {m["doc_id"] for m in numbers}
