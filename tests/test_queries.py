@@ -165,3 +165,19 @@ def test_report_weighs_the_first_documents_only(spark, tmp_path, monkeypatch):
     got = sorted((r["model_id"], r["doc_no"], r["lang"], r["words"], round(r["top"], 6)) for r in report.collect())
     assert got == expected and len({r[1] for r in got}) > 900
     assert set(seen) <= {m["doc_id"] for m in numbers}
+
+
+def test_classifiers_weigh_the_rows_of_their_parts_only(spark, tmp_path, monkeypatch):
+    from lingospan.plans.topic_queries import classification_samples
+
+    c = small_corpus(spark, tmp_path, 90)
+    theta = c.theta.select("doc_id", "theta").collect()
+    parts = [(r, "test" if r["lang"] == "de" else r["data_type"]) for r in c.split.collect()]
+    parts = [(r, p) for r, p in parts if (r["lang"] == "en" and p != "test") or (r["lang"] == "de" and r["data_type"] == "test")]
+    expected = sorted((p, r["class"], tuple(np.round(t["theta"], 9))) for r, p in parts for t in theta if t["doc_id"] == r["doc_id"])
+    seen, opened = weighted_ids(monkeypatch), Corpus(spark, str(tmp_path))
+    got = classification_samples(opened).filter("model_id = 'en-de' and setting = 'plain'").collect()
+    assert sorted((r["part"], r["label"], tuple(np.round(r["features"], 9))) for r in got) == expected and expected
+    assert set(seen) <= {r["doc_id"] for r, _ in parts}
+    # The corpus is counted once for weights and topic words.
+    assert "Exchange" not in opened.phi._jdf.queryExecution().executedPlan().toString()
