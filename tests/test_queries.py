@@ -181,3 +181,22 @@ def test_classifiers_weigh_the_rows_of_their_parts_only(spark, tmp_path, monkeyp
     assert set(seen) <= {r["doc_id"] for r, _ in parts}
     # The corpus is counted once for weights and topic words.
     assert "Exchange" not in opened.phi._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word2vec_tokenises_a_document_once(spark, tmp_path):
+    from lingospan.plans.corpus import LANGUAGES
+
+    docs = [(i, lang, [f"{lang}a", f"{lang}b"] * 10) for i in range(6) for lang in LANGUAGES] + [(7, "en", []), (8, "en", None), (9, None, ["x"] * 20), (10, "it", ["x"] * 20)]
+    tokenised = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(tokens):
+        tokenised.add(1)
+        return tokens
+
+    given = spark.createDataFrame(docs, "doc_id long, lang string, tokens array<string>")
+    c = Corpus(spark, str(tmp_path))
+    c.__dict__["docs"] = given.withColumn("tokens", counted("tokens"))
+    got = sorted(tuple(r) for r in catalog.BUILDERS["train_word2vec"](c).collect())
+    assert got == sorted((lang, f"{lang}{end}", 100) for lang in LANGUAGES for end in "ab")
+    assert tokenised.value <= len(docs)
