@@ -51,20 +51,22 @@ def topic_sweep(
 
     def cells(df: DataFrame, *columns: str) -> DataFrame:
         """Rows of a language repeated for every cell it takes part in: a few copies, as many as the grid has."""
-        spread = df.join(sides, "lang").join(F.broadcast(dims))
+        spread = df.join(F.broadcast(sides), "lang").join(F.broadcast(dims))
         return spread.select(cell, "pair_model", "n_topics", "dims", "side", "lang", *columns)
 
     topic_id = F.col("topic_id").cast("string").alias("topic_id")
-    words = cells(topics.top_words_per_topic(phi, ["lang", "n_topics", "topic_id"], 4 * top_n), topic_id, "word", "weight")
+    first = topics.top_words_per_topic(phi, ["lang", "n_topics", "topic_id"], top_p)
     keys = ["model_id", "n_topics", "side", "topic_id"]
-    representatives = topics.top_words_per_topic(words, keys, top_p)
+    representatives = topics.top_words_per_topic(cells(first, topic_id, "word", "weight"), keys, top_p)
     centroids = topics.topic_centroids(representatives, vectors, [*keys, "dims"], top_p, ["dims"])
     topic_map = store(topics.cluster_topics_by_size(centroids), "sweep-map")
-    merged = topics.merge_topic_words(words, topic_map, top_n)
+    # All words are merged. Dealt by word they are repeated for the cells where their sums are formed.
+    words = cells(phi.repartition("lang", "word"), topic_id, "word", "weight")
+    merged = topics.merge_topic_words(words, F.broadcast(topic_map), top_n)
     weights = theta.select("doc_id", "lang", "n_topics", F.posexplode("theta").alias("topic_id", "weight"))
     weights = cells(weights, "doc_id", topic_id, "weight")
-    named = words.select("model_id", "pair_model", "n_topics", "dims").distinct()
-    merged_theta = topics.merge_theta(weights, topic_map).join(named, "model_id")
+    named = cells(first).select("model_id", "pair_model", "n_topics", "dims").distinct()
+    merged_theta = topics.merge_theta(weights, F.broadcast(topic_map)).join(named, "model_id")
     return merged.join(named, "model_id"), merged_theta
 
 

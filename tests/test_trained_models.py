@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lingospan.functions.special import digamma, log_gamma
 from lingospan.operators import anchors, classification, embedding, gibbs, negative_sampling, neighbours, polylingual, sharding
 from lingospan.operators.topics import complete_linkage
+from lingospan.plans import mapping
 
 
 def as_map(df, *keys):
@@ -229,6 +230,23 @@ def test_sampled_topics_do_not_depend_on_the_layout(spark):
     assert results[0] == results[1]
 
 
+def test_a_sweep_merges_all_words_of_its_topics(spark, monkeypatch):
+    """A word that is far down the lists of two topics leads the list of both together."""
+    lists = {("en", 0): [f"a{i}" for i in range(6)], ("en", 1): [f"b{i}" for i in range(6)], ("fr", 0): ["c"], ("fr", 1): ["d"]}
+    rows = [(lang, 2, t, w, 0.15) for (lang, t), words in lists.items() for w in words] + [("en", 2, t, "shared", 0.1) for t in (0, 1)]
+    phi = spark.createDataFrame(rows, "lang string, n_topics int, topic_id int, word string, weight double")
+    theta = spark.createDataFrame([(1, "en", 2, [0.5, 0.5]), (2, "fr", 2, [1.0, 0.0])], "doc_id long, lang string, n_topics int, theta array<double>")
+    monkeypatch.setattr(mapping.gibbs, "lda_gibbs", lambda *args, **options: (phi, theta, None))
+    vectors = [(2, lang, w, [0.0, 1.0] if w == "d" else [1.0, 0.0]) for (lang, _), words in lists.items() for w in words]
+    spaces = spark.createDataFrame(vectors, "dims int, lang string, word string, vec array<double>")
+    sides = spark.createDataFrame([("en-fr", "en", "src"), ("en-fr", "fr", "tgt")], "pair_model string, lang string, side string")
+    docs = spark.createDataFrame([(1, "en", ["a0"])], "doc_id long, lang string, tokens array<string>")
+    words, weights = mapping.topic_sweep(docs, sides, spaces, [2], top_p=3, top_n=1)
+    found = {(r["side"], r["cluster_id"]): (r["word"], round(r["weight"], 9)) for r in words.collect()}
+    assert found == {("src", 0): ("shared", 0.2), ("tgt", 0): ("c", 0.15), ("tgt", 1): ("d", 0.15)}
+    assert {(r["doc_id"], r["cluster_id"]): r["weight"] for r in weights.collect()} == {(1, 0): 1.0, (2, 0): 1.0, (2, 1): 0.0}
+
+
 # ---- shared topic weights
 
 
