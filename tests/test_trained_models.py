@@ -186,6 +186,45 @@ def test_vectors_do_not_depend_on_the_layout(spark):
     assert results[0] == results[1] and len(results[0]) > 50
 
 
+def test_a_group_has_the_words_of_its_shards_and_their_noise(spark):
+    rng = random.Random(8)
+    cf = {f"w{i:02d}": 1 + int(40 * rng.random() ** 3) for i in range(50)}
+    vocab = spark.createDataFrame([("en", w, n) for w, n in cf.items()], "lang string, term string, cf long")
+    own = {s: sorted(rng.sample([*cf, "x", "y"], 4)) for s in range(11)}
+    for per_group in (1, 3, 11, 40):
+        shards = spark.createDataFrame([("en", s, s // per_group, w) for s, w in own.items()], "lang string, shard int, group int, terms array<string>")
+        n_shards = spark.createDataFrame([("en", 11)], "lang string, _shards int")
+        noise = negative_sampling._noise(vocab, n_shards, ["lang"], 20).cache()
+        rows = noise.toPandas()
+        numbers = [rows[n].to_numpy() for n in ("whole", "more", "first")]
+        drawn = {s: negative_sampling.drawn_as_noise(s, 11, *numbers) for s in range(11)}
+        assert abs(sum(d.sum() for d in drawn.values()) - 220) < 50 and rows["whole"].max() > 0
+        got = {r["group"]: r for r in negative_sampling._group_words(shards, noise, n_shards, ["lang"], per_group).collect()}
+        for g in range(-(-11 // per_group)):
+            members = [s for s in own if s // per_group == g]
+            expected = {w for s in members for w in own[s] if w in cf} | {w for s in members for w in rows["term"][drawn[s] > 0]}
+            assert got[g]["terms"] == sorted(expected) and got[g]["cf"] == [cf[w] for w in sorted(expected)]
+        assert len(got) == -(-11 // per_group)
+
+
+def test_vectors_do_not_depend_on_groups(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, lang, [f"w{rng.randrange(30)}" for _ in range(20)]) for lang in ("en", "fr") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, tokens array<string>")
+    results, left = [], []
+    for groups, passes in ((24, 2), (1, 2), (24, 4)):
+        monkeypatch.setattr(negative_sampling, "GROUPS", groups)
+        before = set(os.listdir(storage.scratch_root(spark)))
+        vectors, history = negative_sampling.train_word_vectors(docs, vector_size=8, min_count=1, passes=passes, shard_tokens=100, noise_draws=30)
+        results.append(({(r["lang"], r["word"]): r["vec"] for r in vectors.collect()}, {(r["lang"], r["pass"]): r["loss"] for r in history.collect()}))
+        left.append(len(set(os.listdir(storage.scratch_root(spark))) - before))
+    (a, loss_a), (b, loss_b), _ = results
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
+    assert loss_a.keys() == loss_b.keys() and all(math.isclose(loss_a[k], loss_b[k], rel_tol=1e-4) for k in loss_a)
+    # Tables of earlier passes are gone, so disk does not grow with the passes.
+    assert left[2] == left[0]
+
+
 def test_vectors_of_nothing(spark):
     docs = spark.createDataFrame([(1, "en", ["a"]), (2, "fr", []), (3, "de", None)], "doc_id long, lang string, tokens array<string>")
     vectors, history = negative_sampling.train_word_vectors(docs, min_count=2, passes=1)
@@ -194,6 +233,12 @@ def test_vectors_of_nothing(spark):
     assert [(r["word"], len(r["vec"])) for r in vectors.collect()] == [("a", 3)]
 
 
+def test_a_model_without_examples_has_no_loss(spark):
+    docs = spark.createDataFrame([(1, "en", ["a"])], "doc_id long, lang string, tokens array<string>")
+    _, history = negative_sampling.train_word_vectors(docs, min_count=1, passes=1, vector_size=3)
+    assert [tuple(r) for r in history.collect()] == [("en", 1, None)]
+
+
 # ---- sampled topics
 
 
