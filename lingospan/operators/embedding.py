@@ -25,6 +25,8 @@ from lingospan.storage import store
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
+#: So many blocks of these rows before a block gets more of them, and how many times as many at most.
+MOST_BLOCKS, WIDE = 8, 8
 
 
 # --- training and alignment -------------------------------------------------------------
@@ -158,7 +160,39 @@ def concat_spaces(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def _blocks(n_rows: int) -> int:
-    return max(1, math.ceil(n_rows / BLOCK_ROWS))
+    """Blocks of ``BLOCK_ROWS`` rows up to ``MOST_BLOCKS``, then as many blocks of up to ``WIDE`` times these rows.
+
+    Both sides of a key are copied for every block of the other, so their number decides how much is shuffled.
+    """
+    plain = max(1, math.ceil(n_rows / BLOCK_ROWS))
+    return max(min(plain, MOST_BLOCKS), math.ceil(plain / WIDE))
+
+
+def skip_own(scores: np.ndarray, ids: np.ndarray, names: np.ndarray) -> None:
+    """Take a query out of its own row; ``names`` of the columns are sorted."""
+    first, last = np.searchsorted(names, ids, "left"), np.searchsorted(names, ids, "right")
+    for i in np.flatnonzero(first < last):
+        scores[i, first[i] : last[i]] = -np.inf
+
+
+def top_places(scores: np.ndarray, top_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value, rounded to 12 digits, of the best ``top_n`` finite scores of every row, in their order.
+
+    Ties go to the smaller column. Columns are dealt to lanes: the best ``top_n`` are no worse than the least of as many
+    lanes' maxima, so only scores that reach it are rounded and ordered.
+    """
+    n = min(top_n, scores.shape[1])
+    lanes = min(scores.shape[1], max(4 * n, 128))
+    whole = scores.shape[1] // lanes * lanes
+    maxima = scores[:, :whole].reshape(len(scores), -1, lanes).max(axis=1)
+    least = np.partition(maxima, lanes - n, axis=1)[:, lanes - n]
+    # Rounding may lift a score by less than this.
+    row, column = np.nonzero(scores >= (least - 1e-9 * np.maximum(1, np.abs(least)))[:, None])
+    value = np.round(scores[row, column], 12)
+    order = np.lexsort((column, -value, row))
+    row, column, value = row[order], column[order], value[order]
+    kept = (np.arange(len(row)) - np.searchsorted(row, row) < n) & np.isfinite(value)
+    return row[kept], column[kept], value[kept]
 
 
 def _largest(rows: DataFrame, key: str) -> int:
@@ -212,7 +246,6 @@ def nearest(
         columns = [key, "query_id", "item_id", "score"]
         if not len(q) or not len(s):
             return pd.DataFrame(columns=columns)
-        s = s.sort_values("item_id", ignore_index=True)
         a, b = np.stack(q["vec"].to_numpy()), np.stack(s["vec"].to_numpy())
         if metric == "euclidean":
             squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
@@ -221,27 +254,16 @@ def nearest(
             scores = a @ b.T
             if metric == "softmax":
                 scores = np.exp(beta * scores) / s["weight"].to_numpy()[None, :]
-        scores = np.round(scores, 12)
         names, ids = s["item_id"].to_numpy(), q["query_id"].to_numpy()
-        first, last = np.searchsorted(names, ids, "left"), np.searchsorted(names, ids, "right")
-        for i in np.flatnonzero(first < last):
-            scores[i, first[i] : last[i]] = -np.inf
-        n = min(top_n, len(names))
-        least = np.partition(scores, len(names) - n, axis=1)[:, len(names) - n]
-        # Everything tied with the last place is taken, then cut in item order.
-        row, column = np.nonzero(scores >= least[:, None])
-        order = np.lexsort((column, -scores[row, column], row))
-        row, column = row[order], column[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = (place < n) & np.isfinite(scores[row, column])
-        row, column = row[kept], column[kept]
-        return pd.DataFrame(
-            {key: q[key].to_numpy()[row], "query_id": ids[row], "item_id": names[column], "score": scores[row, column]}
-        )
+        skip_own(scores, ids, names)
+        row, column, value = top_places(scores, top_n)
+        return pd.DataFrame({key: q[key].to_numpy()[row], "query_id": ids[row], "item_id": names[column], "score": value})
 
     def in_parts(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         # Scores of some queries at a time, not of a whole block pair.
-        return pd.concat([best(q.iloc[i : i + QUERY_ROWS], s) for i in range(0, max(1, len(q)), QUERY_ROWS)])
+        n = max(1, min(QUERY_ROWS, QUERY_ROWS * BLOCK_ROWS // max(1, len(s))))
+        s = s.sort_values("item_id", ignore_index=True)
+        return pd.concat([best(q.iloc[i : i + n], s) for i in range(0, max(1, len(q)), n)])
 
     partial = (
         left.groupBy(key, "_q", "_s")

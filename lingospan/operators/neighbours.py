@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lingospan.functions.vectors import l2_normalise
-from lingospan.operators.embedding import BLOCK_ROWS, _largest
+from lingospan.operators.embedding import BLOCK_ROWS, _largest, skip_own, top_places
 from lingospan.storage import store
 
 #: Bounds are loosened by more than rounding can move a score.
@@ -67,14 +67,9 @@ def top_of_block(q: pd.DataFrame, s: pd.DataFrame, top_n: int, metric: str, beta
         scores = a @ b.T
         if metric == "softmax":
             scores = np.exp(beta * scores) / s["weight"].to_numpy()[None, :]
-    scores = np.round(scores, 12)
-    scores[q["query_id"].to_numpy()[:, None] == s["item_id"].to_numpy()[None, :]] = -np.inf
-    n = min(top_n, len(s))
-    # A stable order of falling scores leaves ties in item order.
-    place = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-    value = np.take_along_axis(scores, place, axis=1)
-    row, column = np.nonzero(np.isfinite(value))
-    return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "item_id": s["item_id"].to_numpy()[place[row, column]], "score": value[row, column]})
+    skip_own(scores, q["query_id"].to_numpy(), s["item_id"].to_numpy())
+    row, column, value = top_places(scores, top_n)
+    return pd.DataFrame({"query_id": q["query_id"].to_numpy()[row], "item_id": s["item_id"].to_numpy()[column], "score": value})
 
 
 def partitioned(

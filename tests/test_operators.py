@@ -387,3 +387,19 @@ def test_queries_meet_blocks_in_parts(spark, monkeypatch):
     assert pick(embedding.nearest(queries, space, 3)) == plain and len(plain) == 360
     found, _ = neighbours.nearest_pruned(queries, space, 3, n_pivots=4, block_rows=8)
     assert pick(found) == plain
+
+
+def test_best_scores_of_a_row():
+    draw = np.random.default_rng(5)
+    for columns in (1, 7, 300, 1000):
+        scores = draw.normal(size=(20, columns)).round(1) + draw.normal(size=(20, columns)) * 1e-14
+        scores[draw.random(scores.shape) < 0.1] = -np.inf
+        scores[3] = -np.inf
+        row, column, value = embedding.top_places(scores.copy(), 5)
+        expected = [(i, j, v) for i, r in enumerate(scores.round(12)) for v, j in [(v, j) for j, v in sorted(enumerate(r), key=lambda c: (-c[1], c[0]))][:5] if v > -np.inf]
+        assert list(zip(row.tolist(), column.tolist(), value.tolist(), strict=True)) == expected
+
+
+def test_copies_of_a_space_do_not_grow_with_its_square():
+    assert [embedding._blocks(n) for n in (0, 4096, 4097, 8 * 4096)] == [1, 1, 2, 8]
+    assert embedding._blocks(8 * 8 * 4096) == 8 and embedding._blocks(600_000) == 19
