@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lingospan.operators.negative_sampling import add_rows
 from lingospan.operators.sharding import packed, sum_arrays
 from lingospan.storage import store
 
 ENTRIES, REGRESSION_STEPS = 16_384, 300
+#: Numbers that are worked on at a time, so that they stay near the core.
+CACHED = 1 << 16
 #: Groups of shards are as many until a group has its most shards.
 GROUPS = 64
 
@@ -32,14 +33,29 @@ GROUPS = 64
 def signs(terms: Sequence[str], width: int, seed: int) -> np.ndarray:
     """A row of random signs for every term, the same in every task, of length one."""
     first = [int.from_bytes(hashlib.blake2b(f"{seed}:{t}".encode(), digest_size=8).digest(), "little") for t in terms]
-    x = np.array(first, np.uint64)[:, None] + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return np.where(x >> np.uint64(63), 1.0, -1.0) / np.sqrt(width)
+    first, step = np.array(first, np.uint64), np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out, one, rows = np.empty((len(first), width)), 1.0 / np.sqrt(width), max(1, CACHED // width)
+    for at in range(0, len(first), rows):
+        x = first[at : at + rows, None] + step
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        out[at : at + rows] = np.where(x >> np.uint64(63), one, -one)
+    return out
+
+
+def _add_runs(into: np.ndarray, keys: np.ndarray, rows) -> None:
+    """``into[keys] += rows(part)`` for sorted keys, some rows at a time; those of a key are added up first."""
+    size = max(1, CACHED // into.shape[1])
+    for at in range(0, len(keys), size):
+        part = slice(at, at + size)
+        own = keys[part]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        into[own[first]] += np.add.reduceat(rows(part), first, axis=0)
 
 
-def project(doc: np.ndarray, term: np.ndarray, n: np.ndarray, random: np.ndarray) -> np.ndarray:
-    """Projected row, mass and documents of every term, from counts sorted by document.
+def project(doc: np.ndarray, term: np.ndarray, n: np.ndarray, random: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Projected row, mass and documents of every term, or of ``wanted`` ones, from counts sorted by document.
 
     A document of N tokens spreads a mass of one over its N (N - 1) ordered pairs of tokens.
     """
@@ -47,16 +63,16 @@ def project(doc: np.ndarray, term: np.ndarray, n: np.ndarray, random: np.ndarray
     width = random.shape[1]
     out = np.zeros((len(random), width + 2))
     whole = np.zeros((len(size), width))
-    for at in range(0, len(doc), ENTRIES):
-        part = slice(at, at + ENTRIES)
-        add_rows(whole, doc[part], n[part, None] * random[term[part]])
-    for at in range(0, len(doc), ENTRIES):
-        part = slice(at, at + ENTRIES)
-        d, t, c = doc[part], term[part], n[part].astype(np.float64)
-        useful = size[d] > 1
-        d, t, c = d[useful], t[useful], c[useful]
-        share = c / (size[d] * (size[d] - 1))
-        add_rows(out, t, np.column_stack([share[:, None] * (whole[d] - random[t]), c / size[d], np.ones(len(c))])) if len(c) else None
+    _add_runs(whole, doc, lambda part: n[part, None] * random[term[part]])
+    useful = size[doc] > 1
+    useful &= True if wanted is None else wanted[term]
+    d, t, c = doc[useful], term[useful], n[useful].astype(np.float64)
+    by_term = np.argsort(t, kind="stable")
+    d, t, c = d[by_term], t[by_term], c[by_term]
+    share = c / (size[d] * (size[d] - 1))
+    _add_runs(out[:, :width], t, lambda part: share[part, None] * (whole[d[part]] - random[t[part]]))
+    out[:, width] = np.bincount(t, c / size[d], minlength=len(random))
+    out[:, width + 1] = np.bincount(t, minlength=len(random))
     return out
 
 
@@ -113,7 +129,8 @@ def cooccurrence_rows(
         for _, shard in group.sort_values("shard").iterrows():
             place = own.get_indexer(shard["terms"]) if len(own) else np.full(len(shard["terms"]), -1)
             if (place >= 0).any():
-                rows[place[place >= 0]] += project(*_cells(shard), signs(shard["terms"], width, seed))[place >= 0]
+                known = place >= 0
+                rows[place[known]] += project(*_cells(shard), signs(shard["terms"], width, seed), known)[known]
         kept = rows[:, -1] > 0
         out = pd.DataFrame({"word": own[kept], "_order": int(key[-1]), "row": list(rows[kept])})
         for name, value in zip(keys, key, strict=False):

@@ -434,6 +434,21 @@ def test_projected_rows_are_those_of_the_cooccurrence_table():
     assert (got[:, 8] == (counts[size > 1] > 0).sum(axis=0)).all() and len(present) <= 40
 
 
+def test_rows_of_wanted_terms_are_those_of_all(monkeypatch):
+    draw = np.random.default_rng(6)
+    counts = draw.integers(0, 3, size=(30, 12))
+    doc, term = np.nonzero(counts)
+    random_rows = draw.normal(size=(12, 5))
+    whole = anchors.project(doc, term, counts[counts > 0], random_rows)
+    wanted = np.arange(12) % 3 == 0
+    # Runs of a document or term are cut by the rows that are worked on at a time.
+    monkeypatch.setattr(anchors, "CACHED", 15)
+    assert np.allclose(anchors.project(doc, term, counts[counts > 0], random_rows), whole)
+    some = anchors.project(doc, term, counts[counts > 0], random_rows, wanted)
+    assert np.allclose(some[wanted], whole[wanted]) and not some[~wanted].any()
+    assert np.array_equal(anchors.signs([f"w{i}" for i in range(9)], 4, 1), np.concatenate([anchors.signs([f"w{i}"], 4, 1) for i in range(9)]))
+
+
 def test_mixtures_are_the_nearest_on_the_simplex():
     rng = np.random.default_rng(3)
     points = rng.normal(size=(4, 9))
